@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LUMA = (0.2126, 0.7152, 0.0722)
@@ -20,18 +20,24 @@ def _f(t: Column) -> Column:
     return F.when(t > 216 / 24389, F.cbrt(t)).otherwise((t * (24389 / 27) + 16) / 116)
 
 
-def lab(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
-    """CIE L*a*b*, D65."""
-    R, G, B = linear(r), linear(g), linear(b)
-    x = _f((R * 0.4124564 + G * 0.3575761 + B * 0.1804375) / 0.95047)
-    y = _f(R * 0.2126729 + G * 0.7151522 + B * 0.072175)
-    z = _f((R * 0.0193339 + G * 0.119192 + B * 0.9503041) / 1.08883)
-    return y * 116 - 16, (x - y) * 500, (y - z) * 200
+def with_lab(df: DataFrame, r: Column, g: Column, b: Column, out: str = "lab") -> DataFrame:
+    """Add CIE L*a*b* (D65) as a struct column.
 
-
-def lab_struct(r: Column, g: Column, b: Column) -> Column:
-    l, a, bb = lab(r, g, b)
-    return F.struct(l.alias("l"), a.alias("a"), bb.alias("b"))
+    Built in stages, so that each power and cube root is computed once per row.
+    """
+    keep = df.columns
+    lin = df.withColumns({"_r": linear(r), "_g": linear(g), "_b": linear(b)})
+    R, G, B = F.col("_r"), F.col("_g"), F.col("_b")
+    xyz = lin.withColumns(
+        {
+            "_x": (R * 0.4124564 + G * 0.3575761 + B * 0.1804375) / 0.95047,
+            "_y": R * 0.2126729 + G * 0.7151522 + B * 0.072175,
+            "_z": (R * 0.0193339 + G * 0.119192 + B * 0.9503041) / 1.08883,
+        }
+    )
+    f = xyz.withColumns({"_x": _f(F.col("_x")), "_y": _f(F.col("_y")), "_z": _f(F.col("_z"))})
+    x, y, z = F.col("_x"), F.col("_y"), F.col("_z")
+    return f.select(*keep, F.struct((y * 116 - 16).alias("l"), ((x - y) * 500).alias("a"), ((y - z) * 200).alias("b")).alias(out))
 
 
 def lab_distance(p: Column, q: Column) -> Column:
@@ -87,13 +93,19 @@ def centre_tone(t: Column, k: Column) -> Column:
     return lo * RIM_LEVEL + hi * (1 - RIM_LEVEL)
 
 
-def axis_position(p: Column, centre: Column, rim: Column) -> Column:
-    """Position of Lab colour ``p`` on the axis rim = 0, centre = 1 (axis at least 6 long)."""
-    d = {k: centre[k] - rim[k] for k in ("l", "a", "b")}
-    length = F.sqrt(d["l"] * d["l"] + d["a"] * d["a"] + d["b"] * d["b"])
-    same = length < 1e-6
-    n = F.when(same, 1.0).otherwise(length)
-    u = {"l": F.when(same, 1.0).otherwise(d["l"] / n), "a": F.when(same, 0.0).otherwise(d["a"] / n), "b": F.when(same, 0.0).otherwise(d["b"] / n)}
-    span = F.greatest(n, F.lit(MIN_AXIS))
-    dot = sum((p[k] - (centre[k] + rim[k]) / 2) * u[k] for k in ("l", "a", "b"))
-    return dot / span + 0.5
+def with_axis(df: DataFrame, centre: str, rim: str, out: str = "axis") -> DataFrame:
+    """Describe the axis from Lab struct ``rim`` to ``centre``: unit direction, midpoint, span >= 6."""
+    k3 = ("l", "a", "b")
+    d = df.withColumn("_d", F.struct(*[(F.col(centre)[k] - F.col(rim)[k]).alias(k) for k in k3]))
+    d = d.withColumn("_n", F.sqrt(sum(F.col("_d")[k] * F.col("_d")[k] for k in k3)))
+    same = F.col("_n") < 1e-6
+    unit = [F.when(same, 1.0 if k == "l" else 0.0).otherwise(F.col("_d")[k] / F.col("_n")).alias("u" + k) for k in k3]
+    mid = [((F.col(centre)[k] + F.col(rim)[k]) / 2).alias("m" + k) for k in k3]
+    span = F.greatest(F.when(same, 1.0).otherwise(F.col("_n")), F.lit(MIN_AXIS)).alias("span")
+    return d.withColumn(out, F.struct(*unit, *mid, span)).drop("_d", "_n")
+
+
+def axis_position(p: Column, axis: Column) -> Column:
+    """Position of Lab colour ``p`` on a described axis: rim = 0, centre = 1."""
+    dot = sum((p[k] - axis["m" + k]) * axis["u" + k] for k in ("l", "a", "b"))
+    return dot / axis["span"] + 0.5

@@ -13,3 +13,90 @@ def stale_layers(layers: DataFrame, images: DataFrame, groups: DataFrame) -> Dat
     j = layers.join(i, "image_id", "left").join(g, "group_id", "left")
     stale = F.col("_fp").isNull() | F.col("_del").isNotNull() | F.col("_mm") | (F.col("_fp") != F.col("image_fingerprint")) | F.col("_g").isNull()
     return j.where(stale).select(layers.columns)
+
+
+from pyspark.sql.window import Window as W  # noqa: E402
+
+from petrigrid.functions.text import review_question  # noqa: E402
+from petrigrid.plans.ranks import ordered_rank  # noqa: E402
+
+from . import matching, spatial  # noqa: E402
+from .counts import MAX_SEEDS, MIN_SEEDS, is_confirmed, manual  # noqa: E402
+
+c = F.col
+COMPARE_MAX_SEEDS = 8
+
+
+def resolved_clusters(marks: DataFrame, runs: DataFrame) -> DataFrame:
+    """Clusters that current marks accepted through one of the given runs (JON23)."""
+    return marks.join(runs.select("run_id"), "run_id", "left_semi").select("image_id", "cluster_id").distinct()
+
+
+def compare_options(a: DataFrame, b: DataFrame, keys: list[str], a_id: str, b_id: str) -> DataFrame:
+    """Two circle sets as shared / only-a / only-b rows (JON24)."""
+    m = matching.match_circles(a, b, keys, a_id, b_id)
+    only_a = a.join(m, [*keys, a_id], "left_anti").select(*keys, F.lit("only-a").alias("part"), a_id, F.lit(None).cast("bigint").alias(b_id))
+    only_b = b.join(m, [*keys, b_id], "left_anti").select(*keys, F.lit("only-b").alias("part"), F.lit(None).cast("bigint").alias(a_id), b_id)
+    return m.select(*keys, F.lit("shared").alias("part"), a_id, b_id).unionByName(only_a).unionByName(only_b)
+
+
+def alternative_diff(primary: DataFrame, alt: DataFrame, keys: list[str], a_id: str, b_id: str) -> DataFrame:
+    """What the alternative removes and adds, primaries matched in list order (JON25)."""
+    m = matching.assign_in_order(matching.same_colony(primary, alt, keys, a_id, b_id, strict=False), keys, a_id, b_id)
+    gone = primary.join(m, [*keys, a_id], "left_anti").select(*keys, F.lit("removed").alias("change"), c(a_id).alias("disk_id"))
+    new = alt.join(m, [*keys, b_id], "left_anti").select(*keys, F.lit("added").alias("change"), c(b_id).alias("disk_id"))
+    return gone.unionByName(new)
+
+
+def reading_order(df: DataFrame, keys: list[str], y: str, x: str, tie: str) -> DataFrame:
+    """Top to bottom, then left to right (WIN8)."""
+    return ordered_rank(df.withColumn("_k", F.struct(y, x, tie)), keys, "_k", "position", chunk=F.floor(c(y) / 256)).drop("_k")
+
+
+def top_candidates(suggestions: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """Best ``n`` by score, numbered in reading order (WIN9)."""
+    w = W.partitionBy(*keys).orderBy(F.coalesce("score", F.lit(0.0)).desc(), "suggestion_id")
+    top = suggestions.withColumn("_rk", F.row_number().over(w)).where(c("_rk") <= n).drop("_rk")
+    return top.withColumn("number", F.row_number().over(W.partitionBy(*keys).orderBy("y", "x", "suggestion_id")).cast("bigint"))
+
+
+def auto_seeds(suggestions: DataFrame, keys: list[str], n: int = 7) -> DataFrame:
+    """Best isolated suggestions: alone in their cluster (WIN10)."""
+    alone = suggestions.groupBy(*keys, "cluster_id").agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct("suggestion_id", "x", "y", "score")).alias("s")).where("_n = 1").select(*keys, "cluster_id", "s.*")
+    w = W.partitionBy(*keys).orderBy(F.coalesce("score", F.lit(0.0)).desc(), "suggestion_id")
+    return alone.withColumn("_rk", F.row_number().over(w)).where(c("_rk") <= n).drop("_rk")
+
+
+def largest_seeds(marks: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """The ``k`` marks with the largest radius, list order on ties (WIN11)."""
+    w = W.partitionBy(*keys).orderBy(F.coalesce("r", F.lit(0.0)).desc(), "ord")
+    return marks.withColumn("_rk", F.row_number().over(w)).where(c("_rk") <= k).drop("_rk")
+
+
+def comparison_plan(marks: DataFrame, vertices: DataFrame, group: str) -> DataFrame:
+    """Role of each manual mark in a comparison, both seed modes (WIN13).
+
+    inside: up to eight spread-out marks of the region are seeds, the rest is scored;
+    outside: the most recent marks outside are seeds, all marks inside are scored.
+    Regions with too few marks for a mode give no rows for it.
+    """
+    m = marks.where(c("group_id") == group)
+    ins = spatial.in_region(m, vertices, "annotation_id", ["image_id"])
+    good = m.where(manual() & is_confirmed())
+    inside = good.join(ins, ["image_id", "annotation_id"]).select("region_id", "image_id", "annotation_id", "x", "y", "ord")
+    n = inside.groupBy("region_id").agg(F.count(F.lit(1)).alias("n"))
+    k = F.least(F.lit(COMPARE_MAX_SEEDS), F.greatest(F.lit(MIN_SEEDS), F.floor(c("n") / 2)))
+    enough = n.where(c("n") >= MIN_SEEDS + 1).withColumn("k", k)
+    picks = matching.farthest_points(inside.join(enough, "region_id", "left_semi"), ["region_id"], "annotation_id", COMPARE_MAX_SEEDS)
+    seeds = picks.join(enough, "region_id").where((c("pick") <= c("k"))).select("region_id", "annotation_id")
+    # farthest-point picks are nested: the first k of eight are the picks for k
+    scored = inside.join(enough, "region_id", "left_semi").join(seeds, ["region_id", "annotation_id"], "left_anti").select("region_id", "annotation_id")
+    role = lambda df, mode, r: df.select("region_id", "annotation_id", F.lit(mode).alias("mode"), F.lit(r).alias("role"))
+    a = role(seeds, "inside", "seed").unionByName(role(scored, "inside", "scored"))
+    regions = vertices.select("region_id", "image_id").distinct()
+    out = good.join(regions, "image_id").join(ins, ["region_id", "annotation_id"], "left_anti")
+    w = W.partitionBy("region_id").orderBy(c("ord").desc())
+    last = out.withColumn("_rk", F.row_number().over(w)).where(c("_rk") <= MAX_SEEDS)
+    able = last.groupBy("region_id").agg(F.count(F.lit(1)).alias("m")).where(c("m") >= MIN_SEEDS).join(n, "region_id").select("region_id")
+    b = role(last.join(able, "region_id", "left_semi"), "outside", "seed").unionByName(role(inside.join(able, "region_id", "left_semi"), "outside", "scored"))
+    return a.unionByName(b)

@@ -89,3 +89,17 @@ def hits_larger(owner: DataFrame, other: DataFrame, keys: list[str], owner_id: s
     own = pairs_in_reach(mine, o, keys, F.col("r") * factor, strict=True, size=size).select(*keys, owner_id)
     theirs = pairs_in_reach(o, mine, keys, F.col("r") * factor, strict=True, size=size).select(*keys, F.col("o_" + owner_id).alias(owner_id))
     return own.unionByName(theirs).distinct()
+
+
+def pairs_larger(a: DataFrame, b: DataFrame, keys: list[str], factor: float, *, strict: bool, size: float = CELL) -> DataFrame:
+    """(a, b) pairs within ``factor * max(r, o_r)``; columns of ``b`` are prefixed ``o_``.
+
+    The larger circle owns the reach, so each pair is found from its larger side only.
+    """
+    mine = pairs_in_reach(a, b, keys, F.col("r") * factor, strict=strict, size=size, extra=F.col("r") >= F.col("o_r"))
+    names = [n for n in a.columns if n not in keys]
+    back = pairs_in_reach(prefixed(b, "o_", keys).withColumnsRenamed({"o_x": "x", "o_y": "y"}), a.withColumnsRenamed({n: "m_" + n for n in names}).withColumnsRenamed({"m_x": "x", "m_y": "y"}), keys, F.col("o_r") * factor, strict=strict, size=size, prefix="q_", extra=F.col("o_r") > F.col("q_m_r"))
+    cols = [F.col(k) for k in keys]
+    cols += [F.col("q_x").alias("x") if n == "x" else F.col("q_y").alias("y") if n == "y" else F.col("q_m_" + n).alias(n) for n in names]
+    cols += [F.col("x").alias("o_x") if n == "x" else F.col("y").alias("o_y") if n == "y" else F.col("o_" + n) for n in b.columns if n not in keys]
+    return mine.unionByName(back.select(*cols, "d"))

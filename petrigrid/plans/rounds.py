@@ -10,21 +10,27 @@ from pyspark.sql import functions as F
 from petrigrid.session import cut
 
 
-def drain(pending: DataFrame, step: Callable[[DataFrame], tuple[DataFrame, DataFrame]]) -> DataFrame | None:
+def drain(
+    pending: DataFrame,
+    step: Callable[[DataFrame], tuple[DataFrame, DataFrame]],
+    measure: Callable[[DataFrame], object] | None = None,
+) -> DataFrame | None:
     """Run ``step(pending) -> (settled rows, still pending)`` until nothing is pending.
 
-    ``step`` must settle at least one row of a non-empty input; this is checked, so a
-    step that stalls fails loudly. Returns the union of the settled rows.
+    Every step must make progress: the number of pending rows, or ``measure`` of them,
+    has to change, so a step that stalls fails loudly instead of looping. Returns the
+    union of the settled rows, or None for an empty input.
     """
+    size = measure or (lambda d: (d.count(),))
     pending = cut(pending)
-    left = pending.count()
+    left = size(pending)
     done: DataFrame | None = None
-    while left:
+    while left[0]:
         settled, rest = step(pending)
-        settled, rest = cut(settled), cut(rest)
-        now = rest.count()
-        if now >= left:
-            raise RuntimeError(f"no progress: {now} rows pending after a round, {left} before")
+        rest = cut(rest)
+        now = size(rest)
+        if now == left:
+            raise RuntimeError(f"no progress with {now[0]} rows pending")
         done = settled if done is None else done.unionByName(settled)
         pending, left = rest, now
     return done
