@@ -97,11 +97,8 @@ _DD = _D.replace("s.", "a.")
  row_number() OVER (PARTITION BY a.image_id, a.annotation_id ORDER BY {_DD}, m.ord DESC) AS rn
 FROM marks a JOIN marks m ON a.image_id = m.image_id AND a.annotation_id <> m.annotation_id AND {_DD} <= greatest(6, a.r) JOIN annotation_groups g ON g.group_id = m.group_id AND NOT g.hidden) WHERE rn = 1""")
 def _(t):
-    visible = t("marks").join(t("annotation_groups").where("not hidden").select("group_id"), "group_id", "left_semi").select("image_id", "annotation_id", "x", "y", "ord")
-    probes = t("marks").select("image_id", "annotation_id", "x", "y", "r")
-    # the mark itself is excluded by pair, so points at one position must not collapse: keep the id as a filter column
-    pts = visible.withColumn("pid", c("annotation_id"))
-    return S.nearest(probes, pts, IMG, F.greatest(F.lit(6.0), c("r")), "annotation_id", "annotation_id", "ord", extra=c("o_pid") != c("annotation_id"))
+    visible = t("marks").join(t("annotation_groups").where("not hidden").select("group_id"), "group_id", "left_semi")
+    return S.double_marks(t("marks"), visible, IMG, F.greatest(F.lit(6.0), c("r")), "annotation_id", "ord")
 
 
 @query("jon6_erase_targets", f"""SELECT image_id, suggestion_id, nearest_id, d FROM (SELECT s.image_id, s.suggestion_id, m.annotation_id AS nearest_id, {_D} AS d,

@@ -78,8 +78,8 @@ def cluster_errors(gt_labels: DataFrame, pred_labels: DataFrame, keys: list[str]
 
 
 def outside_counts(gt_labels: DataFrame, pred_labels: DataFrame, keys: list[str]) -> DataFrame:
-    g = gt_labels.groupBy(*keys).agg(F.count_if("label = 0").alias("gt_outside"))
-    p = pred_labels.groupBy(*keys).agg(F.count_if("label = 0").alias("pred_outside"))
+    g = gt_labels.groupBy(*keys).agg(F.count_if(F.expr("label = 0")).alias("gt_outside"))
+    p = pred_labels.groupBy(*keys).agg(F.count_if(F.expr("label = 0")).alias("pred_outside"))
     return g.join(p, keys, "full_outer").select(*keys, F.coalesce("gt_outside", F.lit(0)).alias("gt_outside"), F.coalesce("pred_outside", F.lit(0)).alias("pred_outside"))
 
 
@@ -153,7 +153,7 @@ def box_counts(suggestions: DataFrame, seeds: DataFrame, boxes: DataFrame, toler
     ``boxes(box_id, image_id, bx, by, w, h, expected)``.
     """
     inside = (c("x") >= c("bx")) & (c("y") >= c("by")) & (c("x") < c("bx") + c("w")) & (c("y") < c("by") + c("h"))
-    s = suggestions.join(boxes, "image_id").where(inside).groupBy("box_id").agg(F.count(F.lit(1)).alias("suggestions"), F.count_if("status = 'review'").alias("review"))
+    s = suggestions.join(boxes, "image_id").where(inside).groupBy("box_id").agg(F.count(F.lit(1)).alias("suggestions"), F.count_if(F.expr("status = 'review'")).alias("review"))
     m = seeds.join(boxes, "image_id").where(inside).groupBy("box_id").agg(F.count(F.lit(1)).alias("seeds"))
     j = boxes.join(s, "box_id", "left").join(m, "box_id", "left")
     z = lambda n: F.coalesce(n, F.lit(0)).cast("bigint").alias(n)
@@ -165,7 +165,7 @@ def box_counts(suggestions: DataFrame, seeds: DataFrame, boxes: DataFrame, toler
 def accept_statistics(decisions: DataFrame) -> DataFrame:
     """accepted / duplicates / rejected per run (AGG23)."""
     return decisions.groupBy("run_id").agg(
-        F.count_if("outcome = 'accepted'").alias("accepted"), F.count_if("outcome = 'duplicate'").alias("duplicates"), F.count_if("outcome = 'rejected'").alias("rejected")
+        F.count_if(F.expr("outcome = 'accepted'")).alias("accepted"), F.count_if(F.expr("outcome = 'duplicate'")).alias("duplicates"), F.count_if(F.expr("outcome = 'rejected'")).alias("rejected")
     )
 
 

@@ -35,6 +35,22 @@ def nearest(
     return best.select(*keys, probe_id, c("m.id").alias("nearest_id"), c("m.d").alias("d"))
 
 
+def double_marks(marks: DataFrame, visible: DataFrame, keys: list[str], reach: Column, item: str, order: str) -> DataFrame:
+    """Nearest other visible mark within ``reach`` of each mark (JON5).
+
+    At one position only the last two marks can be an answer (the last, or the one
+    before it for the last itself), so a heap of copies contributes two rows. The rank
+    is limited, so Spark applies it before the shuffle as well.
+    """
+    from pyspark.sql.window import Window as W
+
+    w = W.partitionBy(*keys, "x", "y").orderBy(c(order).desc())
+    top = visible.select(*keys, item, "x", "y", order).withColumn("_rk", F.row_number().over(w)).where(c("_rk") <= 2).drop("_rk")
+    p = grid.pairs_in_reach(marks.select(*keys, item, "x", "y", reach.alias("_own")), top, keys, c("_own"), strict=False, extra=c("o_" + item) != c(item))
+    best = p.groupBy(*keys, item).agg(F.min(F.struct("d", (-c("o_" + order)).alias("neg"), c("o_" + item).alias("id"))).alias("m"))
+    return best.select(*keys, item, c("m.id").alias("nearest_id"), c("m.d").alias("d"))
+
+
 def uncovered(suggestions: DataFrame, marks: DataFrame, keys: list[str], item: str, factor: float = COVER) -> DataFrame:
     """Suggestions without a mark closer than ``factor * r`` (strict) (JON7)."""
     hit = grid.hits(suggestions, marks, keys, item, c("r") * factor, strict=True)

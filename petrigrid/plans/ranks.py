@@ -16,11 +16,21 @@ WIDTH = 1 << 20  # rows per chunk for a unique integer order column
 
 
 def _offsets(df: DataFrame, keys: list[str], amount: Column, desc: bool) -> DataFrame:
-    sizes = df.groupBy(*keys, "_chunk").agg(amount.alias("_n"))
-    order = F.col("_chunk").desc() if desc else F.col("_chunk").asc()
-    w = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))
+    """Per chunk, the total of all chunks before it; key columns renamed ``_k0..``."""
+    names = [f"_k{i}" for i in range(len(keys))]
+    sizes = df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col("_chunk").alias("_kc")).agg(amount.alias("_n"))
+    order = F.col("_kc").desc() if desc else F.col("_kc").asc()
+    w = W.partitionBy(*names) if names else W.partitionBy(F.lit(1))
     before = w.orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    return sizes.select(*keys, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return sizes.select(*names, "_kc", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+
+
+def _shifted(local: DataFrame, off: DataFrame, keys: list[str], columns: list[str], value: Column, out: str) -> DataFrame:
+    # null-safe on the keys; both sides are already hashed on (keys, chunk)
+    on = F.col("_chunk").eqNullSafe(F.col("_kc"))
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return local.join(off, on).select(*columns, value.alias(out))
 
 
 def ordered_rank(
@@ -43,10 +53,7 @@ def ordered_rank(
     off = _offsets(tagged, keys, F.count(F.lit(1)), desc)
     by = [F.col(order).desc() if desc else F.col(order).asc(), *(ties or [])]
     local = tagged.withColumn("_rn", F.row_number().over(W.partitionBy(*keys, "_chunk").orderBy(*by)))
-    # null-safe on the keys, and both sides are already hashed on (keys, chunk)
-    on = [local[k].eqNullSafe(off[k]) for k in [*keys, "_chunk"]]
-    joined = local.join(off, on)
-    return joined.select(*[local[c] for c in df.columns], (F.col("_rn") + F.col("_before")).cast("bigint").alias(out))
+    return _shifted(local, off, keys, df.columns, (F.col("_rn") + F.col("_before")).cast("bigint"), out)
 
 
 def running_total(df: DataFrame, keys: list[str], order: str, amount: str, chunk: Column, out: str = "total") -> DataFrame:
@@ -55,5 +62,4 @@ def running_total(df: DataFrame, keys: list[str], order: str, amount: str, chunk
     off = _offsets(tagged, keys, F.sum(amount), False)
     w = W.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
     local = tagged.withColumn("_run", F.sum(amount).over(w))
-    on = [local[k].eqNullSafe(off[k]) for k in [*keys, "_chunk"]]
-    return local.join(off, on).select(*[local[c] for c in df.columns], (F.col("_run") + F.col("_before")).alias(out))
+    return _shifted(local, off, keys, df.columns, F.col("_run") + F.col("_before"), out)

@@ -13,6 +13,8 @@ RUNTIME = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a hot join partition even when that costs one extra exchange downstream
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # sessions of one burst merge before the shuffle
+    "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
 }
 
