@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from petrigrid.functions.colour import luma, with_lab
 from petrigrid.plans.quantiles import exact_median, exact_quantiles, scaled_mad
 
+from petrigrid.session import cut
+
 from . import components as CC
 from . import pixels as P
 from .shapes import convex_hull
@@ -64,14 +66,16 @@ def rim_width(plane: DataFrame, keys: list[str], diameters: DataFrame) -> DataFr
 
     ``plane(keys, luma, dist)`` holds plate pixels with their distance to the outline.
     """
-    p = plane.join(diameters, keys)
+    # read several times below: materialise once
+    p = cut(plane.select(*keys, "luma", "dist").join(diameters, keys))
     d, eq = c("dist"), c("diameter")
     inner = p.where(d > eq * 0.25)
     agar = exact_median(inner, keys, "luma", "agar").join(inner.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_in")).where("n_in >= 50"), keys)
     max_d = F.greatest(F.lit(4), F.floor(eq * 0.15))
     ring = p.where((d <= eq * 0.25) & (d <= max_d)).join(agar, keys).withColumns({"ring": F.floor("dist"), "dev": F.abs(c("luma") - c("agar")) / F.greatest(c("agar"), F.lit(1.0))})
+    ring = cut(ring.select(*keys, "ring", "dev"))
     n = ring.groupBy(*keys, "ring").agg(F.count(F.lit(1)).alias("n_ring")).where("n_ring >= 20")
-    p90 = exact_quantiles(ring.join(n, [*keys, "ring"], "left_semi"), [*keys, "ring"], "dev", {"p90": 0.9}).join(diameters, keys)
+    p90 = cut(exact_quantiles(ring, [*keys, "ring"], "dev", {"p90": 0.9}).join(n, [*keys, "ring"]).join(diameters, keys))
     start = F.floor(eq * 0.08)
     ref = exact_median(p90.where(c("ring") >= start), keys, "p90", "ref")
     last = p90.join(ref, keys).where((c("ring") < start) & (c("p90") > c("ref") + 0.12)).groupBy(*keys).agg((F.max("ring") + 1).alias("rim"))
@@ -105,34 +109,34 @@ def plate_region(pixels: DataFrame, keys: list[str], margin_frac: float = 0.025)
     component with most central votes, holes filled, convex hull, rim margin; the
     central 90 % when no outline is found.
     """
-    full = pixels.withColumn("v", luma(c("r"), c("g"), c("b"))).select(*keys, "y", "x", "v")
-    sizes = P.size_of(full, keys)
+    full = cut(pixels.withColumn("v", luma(c("r"), c("g"), c("b"))).select(*keys, "y", "x", "v"))
+    sizes = cut(P.size_of(full, keys))
     f = F.least(F.lit(1.0), F.lit(float(WORK_SIDE)) / F.greatest("w", "h"))
     work = lambda n: F.greatest(F.lit(8), F.floor(c(n) * f + 0.5)).cast("bigint")
     s = sizes.withColumns({"ow": work("w"), "oh": work("h")})
-    small = P.resize_area(full, keys, s).join(s.select(*keys, c("ow").alias("sw"), c("oh").alias("sh")), keys)
+    small = cut(P.resize_area(full, keys, s).join(s.select(*keys, c("ow").alias("sw"), c("oh").alias("sh")), keys))
     central = _central(c("sw"), c("sh"))
     agar = scaled_mad(small.where(central), keys, "v", "agar", "spread")
     j = small.join(agar, keys)
     lo = F.least(c("agar") * 0.55, c("agar") - c("spread") * 4)
     hi = F.greatest(c("agar") * 1.5, c("agar") + c("spread") * 4)
-    cand = j.select(*keys, "y", "x", "sw", "sh", ((c("v") >= lo) & (c("v") <= hi)).alias("on"))
+    cand = cut(j.select(*keys, "y", "x", "sw", "sh", ((c("v") >= lo) & (c("v") <= hi)).alias("on")))
     d = P.distance_transform(cand, keys, ~c("on"), border=True)
     open_r = F.greatest(F.lit(1), F.floor(F.least("sw", "sh") * 0.006 + 0.5))
     eroded = cand.join(d, [*keys, "y", "x"]).withColumn("on", c("dist") > open_r)
-    lab = CC.labelled_pixels(eroded.where("on").select(*keys, "y", "x"), keys, 4)
+    lab = cut(CC.labelled_pixels(eroded.where("on").select(*keys, "y", "x"), keys, 4))
     ss = s.select(*keys, c("ow").alias("sw"), c("oh").alias("sh"))
     votes = lab.join(ss, keys).where(central).groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n"))
     best = votes.groupBy(*keys).agg(F.max(F.struct("n", (-c("label")).alias("neg"))).alias("m")).select(*keys, (-c("m.neg")).alias("label"))
     core = lab.join(best, [*keys, "label"], "left_semi").select(*keys, "y", "x").withColumn("core", F.lit(True))
-    raster = cand.select(*keys, "y", "x", "sw", "sh").join(core, [*keys, "y", "x"], "left").withColumn("core", F.coalesce("core", F.lit(False)))
+    raster = cand.select(*keys, "y", "x").join(core, [*keys, "y", "x"], "left").withColumn("core", F.coalesce("core", F.lit(False)))
     grown = P.distance_transform(raster, keys, c("core"), border=False)
-    plate = raster.join(grown, [*keys, "y", "x"]).withColumn("on", c("dist") <= open_r).select(*keys, "y", "x", "on")
-    plate = CC.fill_holes(plate, keys, s.select(*keys, c("ow").alias("w"), c("oh").alias("h")))
+    plate = raster.join(grown, [*keys, "y", "x"]).join(ss, keys).withColumn("on", c("dist") <= open_r).select(*keys, "y", "x", "on")
+    plate = cut(CC.fill_holes(cut(plate), keys, s.select(*keys, c("ow").alias("w"), c("oh").alias("h"))))
     area = plate.groupBy(*keys).agg((F.count_if("on") / F.count(F.lit(1))).alias("frac"))
     ok = area.where((c("frac") >= 0.08) & (c("frac") <= 0.97)).select(*keys)
     edge = P.boundary(plate, keys).where("edge").join(ok, keys, "left_semi").select(*keys, (c("x") + 0.5).alias("x"), (c("y") + 0.5).alias("y"))
-    hull = convex_hull(edge, keys)
+    hull = cut(convex_hull(edge, keys))
     found = hull.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n >= 3").select(*keys, F.lit(True).alias("found"))
     src = s.join(found, keys, "left").withColumn("found", F.coalesce("found", F.lit(False)))
     sx, sy = c("w") / c("ow"), c("h") / c("oh")
@@ -141,14 +145,15 @@ def plate_region(pixels: DataFrame, keys: list[str], margin_frac: float = 0.025)
     box = src.where(~c("found")).select(*keys, F.posexplode(F.array(corner(0.05, 0.05), corner(0.95, 0.05), corner(0.95, 0.95), corner(0.05, 0.95))).alias("ord", "p"))
     outline = auto.unionByName(box.select(*keys, c("ord").cast("bigint").alias("ord"), c("p.x").alias("x"), c("p.y").alias("y")))
     inside = P.raster_polygon(full.select(*keys, "y", "x"), outline, keys).withColumn("plate", F.lit(True))
-    r = full.join(inside, [*keys, "y", "x"], "left").withColumn("plate", F.coalesce("plate", F.lit(False)))
+    r = cut(full.join(inside, [*keys, "y", "x"], "left").withColumn("plate", F.coalesce("plate", F.lit(False))))
     dist = P.distance_transform(r.select(*keys, "y", "x", "plate"), keys, ~c("plate"), border=True)
-    r = r.join(dist, [*keys, "y", "x"])
-    diam = equivalent_diameter(r.where("plate"), keys)
+    r = cut(r.join(dist, [*keys, "y", "x"]))
+    diam = cut(equivalent_diameter(r.where("plate"), keys))
     rim = rim_width(r.where("plate").select(*keys, c("v").alias("luma"), "dist"), keys, diam)
-    rep = src.join(diam, keys).join(rim, keys)
+    rep = src.select(*keys, "found").join(diam, keys).join(cut(rim), keys)
     margin = F.when(~c("found"), 0.0).otherwise(F.greatest(c("diameter") * margin_frac, F.when(c("rim") > 0, c("rim") + c("diameter") * 0.01).otherwise(0.0)))
     rep = rep.select(*keys, F.when(c("found"), "auto").otherwise("fallback").alias("source"), "diameter", "rim", margin.alias("margin"))
     masks = r.join(rep.select(*keys, "margin"), keys).select(*keys, "y", "x", "plate", (c("dist") > c("margin")).alias("on"))
+    masks = cut(masks)
     n = masks.groupBy(*keys).agg(F.count_if("plate").alias("plate_area"), F.count_if("on").alias("area"))
     return masks, rep.join(n, keys)

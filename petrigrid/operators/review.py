@@ -100,3 +100,133 @@ def comparison_plan(marks: DataFrame, vertices: DataFrame, group: str) -> DataFr
     able = last.groupBy("region_id").agg(F.count(F.lit(1)).alias("m")).where(c("m") >= MIN_SEEDS).join(n, "region_id").select("region_id")
     b = role(last.join(able, "region_id", "left_semi"), "outside", "seed").unionByName(role(inside.join(able, "region_id", "left_semi"), "outside", "scored"))
     return a.unionByName(b)
+
+
+IMG = ["image_id"]
+
+
+def reconcile_clusters(clusters: DataFrame, kept: DataFrame, alternatives: DataFrame) -> DataFrame:
+    """Cluster K, runner-up K and status after suggestions were filtered (REV6).
+
+    ``clusters(image_id, cluster_id, chosen_k, status)``, ``kept`` the surviving suggestions,
+    ``alternatives(image_id, cluster_id, ...)`` the surviving circles of runner-ups, one row each;
+    clusters with a runner-up carry ``has_alternative``.
+    """
+    key = ["image_id", "cluster_id"]
+    k = kept.groupBy(*key).agg(F.count(F.lit(1)).alias("_k"))
+    a = alternatives.groupBy(*key).agg(F.count(F.lit(1)).alias("_a"))
+    j = clusters.join(k, key, "left").join(a, key, "left")
+    n, m = F.coalesce("_k", F.lit(0)), F.coalesce("_a", F.lit(0))
+    big = c("status") == "too-large"
+    same = c("has_alternative") & (n == m) & ~big
+    return j.select(
+        *key, F.when(big, c("chosen_k")).otherwise(n).alias("chosen_k"), F.when(c("has_alternative") & ~same & ~big, m).alias("runner_up_k"), F.when(same, "ok").otherwise(c("status")).alias("status"), (c("has_alternative") & ~same).alias("has_alternative")
+    )
+
+
+def pending_marks(suggestions: DataFrame, clusters: DataFrame, marks: DataFrame, rejected: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Suggestions still pending with their state ok / review / rejected (REV7).
+
+    Dropped: near-duplicates of a better one, resolved clusters, and those a current mark covers.
+    """
+    from .metrics import flagged_clusters
+
+    best = matching.near_duplicates(suggestions, IMG, "suggestion_id").where("kept").drop("kept")
+    open_ = best.join(resolved, ["image_id", "cluster_id"], "left_anti")
+    shown = spatial.uncovered(open_, marks, IMG, "suggestion_id")
+    rev = flagged_clusters(suggestions, clusters, IMG).withColumn("_rev", F.lit(True))
+    rej = rejected.select("suggestion_id").distinct().withColumn("_rej", F.lit(True))
+    j = shown.join(rev, ["image_id", "cluster_id"], "left").join(rej, "suggestion_id", "left")
+    state = F.when(c("_rej"), "rejected").when(c("_rev"), "review").otherwise("ok")
+    return j.select("image_id", "cluster_id", "suggestion_id", "x", "y", "r", "score", "status", state.alias("state"), F.coalesce("_rev", F.lit(False)).alias("in_review"))
+
+
+def pending_counts(pending: DataFrame) -> DataFrame:
+    s = c("state")
+    return pending.groupBy("image_id").agg(
+        F.count_if(s != "rejected").alias("suggested"), F.count_if(s == "review").alias("need_review"), F.count_if(s == "rejected").alias("rejected"), F.count_if(s == "ok").alias("ok")
+    )
+
+
+def review_clusters(pending: DataFrame) -> DataFrame:
+    """Review regions with their pending and rejected suggestions, box and question."""
+    p = pending.where("in_review").groupBy("image_id", "cluster_id").agg(
+        F.count_if(c("state") != "rejected").alias("primary"),
+        F.count_if(c("state") == "rejected").alias("rejected"),
+        F.min(c("x") - c("r")).alias("x0"), F.min(c("y") - c("r")).alias("y0"), F.max(c("x") + c("r")).alias("x1"), F.max(c("y") + c("r")).alias("y1"),
+    )
+    return p.withColumn("question", review_question(c("primary"), F.lit(None).cast("bigint")))
+
+
+def accept_plan(pending: DataFrame, marks: DataFrame) -> DataFrame:
+    """Outcome per suggestion of "accept all OK": accepted / duplicate / negative (REV8).
+
+    Candidates already under a mark or overlapping a better candidate are duplicates;
+    rejected suggestions outside review regions become the run's negatives.
+    """
+    ok = pending.where("state = 'ok'").select("image_id", "suggestion_id", "x", "y", "r", "score", "cluster_id", "status")
+    free = spatial.uncovered(ok, marks, IMG, "suggestion_id")
+    kept = matching.near_duplicates(free, IMG, "suggestion_id").where("kept").select("image_id", "suggestion_id", F.lit("accepted").alias("outcome"))
+    dup = ok.join(kept, ["image_id", "suggestion_id"], "left_anti").select("image_id", "suggestion_id", F.lit("duplicate").alias("outcome"))
+    neg = pending.where("state = 'rejected' and not in_review").select("image_id", "suggestion_id", F.lit("negative").alias("outcome"))
+    return kept.unionByName(dup).unionByName(neg)
+
+
+def to_annotations(suggestions: DataFrame, group: str, run_id, method: str, version: str, at) -> DataFrame:
+    """Accepted suggestions as automated, accepted marks with provenance, confidence null (REV9)."""
+    new_id = F.sha2(F.concat_ws(":", run_id, c("suggestion_id").cast("string")), 256)
+    return suggestions.select(
+        new_id.alias("annotation_id"), "image_id", "x", "y", F.lit(group).alias("group_id"), F.lit("automated").alias("origin"), F.lit("accepted").alias("review_status"),
+        F.lit("automated").alias("last_edit_source"), F.lit(False).alias("manually_adjusted"), at.alias("created_at"), F.lit(method).alias("detector_name"), F.lit(version).alias("detector_version"),
+        run_id.alias("run_id"), F.lit(None).cast("double").alias("confidence"), "cluster_id", "score", "status", (F.floor(c("r") * 100 + 0.5) / 100).alias("geometry_r"),
+    )
+
+
+def toggle_rejections(rejected: DataFrame, toggled: DataFrame) -> DataFrame:
+    """Symmetric difference: toggled ids enter or leave the rejected set (REV10). Each id toggles once per occurrence."""
+    odd = toggled.groupBy("suggestion_id").agg((F.count(F.lit(1)) % 2).alias("_o")).where("_o = 1").select("suggestion_id")
+    return rejected.join(odd, "suggestion_id", "left_anti").unionByName(odd.join(rejected, "suggestion_id", "left_anti"))
+
+
+def reject_runs(pending_rejected: DataFrame, recorded: DataFrame) -> DataFrame:
+    """Reject-only run per image: rejected, still shown, not recorded by a stored accept run (REV11)."""
+    left = pending_rejected.join(recorded.select("suggestion_id"), "suggestion_id", "left_anti")
+    return left.groupBy("image_id").agg(F.count(F.lit(1)).alias("negatives"))
+
+
+def display_marks(pending: DataFrame, options: DataFrame, focus: DataFrame) -> DataFrame:
+    """Rings to draw when the detector's choice of one region per image is focused (REV12).
+
+    ``focus(image_id, cluster_id)``; ``options`` comes from ``compare_options`` (column ``a_id``).
+    """
+    f = focus.select("image_id", "cluster_id", F.lit(True).alias("_f"))
+    only = options.where("part = 'only-a'").select("image_id", "cluster_id", c("a_id").alias("suggestion_id"), F.lit(True).alias("_c"))
+    j = pending.join(f, ["image_id", "cluster_id"], "left").join(only, ["image_id", "cluster_id", "suggestion_id"], "left")
+    inside = F.coalesce("_f", F.lit(False))
+    state = F.when(~inside, c("state")).when(c("state") == "rejected", "rejected").when(c("_c"), "changed").otherwise("review")
+    return j.select("image_id", "suggestion_id", "x", "y", "r", state.alias("state"))
+
+
+def comparison_marks(scored: DataFrame, detected: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Overlay marks: matched, extra and missed (REV13)."""
+    m = detected.join(pairs.select(*keys, "suggestion_id"), [*keys, "suggestion_id"], "left_semi").select(*keys, "x", "y", F.lit("matched").alias("kind"))
+    e = detected.join(pairs.select(*keys, "suggestion_id"), [*keys, "suggestion_id"], "left_anti").select(*keys, "x", "y", F.lit("extra").alias("kind"))
+    x = scored.join(pairs.select(*keys, "annotation_id"), [*keys, "annotation_id"], "left_anti").select(*keys, "x", "y", F.lit("missed").alias("kind"))
+    return m.unionByName(e).unionByName(x)
+
+
+def detection_requests(images: DataFrame, marks: DataFrame, references: DataFrame, group: str) -> DataFrame:
+    """Points of each request: local seeds, remote seeds, existing marks with known radii (REV14).
+
+    ``references(image_id, reference_image_id)`` names the image that lends examples.
+    """
+    from .counts import active, seed_marks
+
+    act = active(images).select("image_id")
+    seeds = seed_marks(marks.where(c("group_id") == group)).select("image_id", "annotation_id", "x", "y")
+    local = seeds.join(act, "image_id").select("image_id", F.lit("seed").alias("role"), "annotation_id", "x", "y", F.lit(None).cast("double").alias("r"))
+    ref = references.where(c("reference_image_id").isNotNull()).join(act, "image_id")
+    remote = ref.join(seeds.withColumnRenamed("image_id", "reference_image_id"), "reference_image_id").select("image_id", F.lit("remote-seed").alias("role"), "annotation_id", "x", "y", F.lit(None).cast("double").alias("r"))
+    known = F.when(c("origin") == "automated", c("r"))
+    existing = marks.join(act, "image_id").select("image_id", F.lit("existing").alias("role"), "annotation_id", "x", "y", known.alias("r"))
+    return local.unionByName(remote).unionByName(existing)
