@@ -5,6 +5,8 @@ import pkgutil
 
 import petrigrid.catalog as _pkg
 
-for _m in sorted(m.name for m in pkgutil.iter_modules(_pkg.__path__)):
+_names = [m.name for m in pkgutil.iter_modules(_pkg.__path__)]
+# q_sources reuses oracle texts of the others
+for _m in sorted(_names, key=lambda n: (n == "q_sources", n)):
     if _m.startswith("q_"):
         importlib.import_module(f"petrigrid.catalog.{_m}")

@@ -338,3 +338,84 @@ def _(t):
     # only planes with a polygon are restricted
     auto = auto.join(polygons(t).select("plane_id").distinct(), "plane_id", "left_semi")
     return B.region_mask(auto, core, PL, diam).where("on").select("plane_id", "y", "x")
+
+
+# ---------------------------------------------------------------- detector stages
+
+
+def _seeds(t, n=40):
+    """Brightest maxima of each plane as seeds."""
+    s = P.local_maxima(t("planes"), PL, 3, F.lit(0.2))
+    return s.select("plane_id", (c("y") * 64 + c("x")).alias("seed_id"), (c("x") + 0.5).alias("px"), (c("y") + 0.5).alias("py"), F.lit(0.02).alias("noise"), F.lit(6.0).alias("r_max"))
+
+
+@query("pix28_seed_measurement")
+def _(t):
+    from petrigrid.operators.detector import measure_seeds
+
+    smooth = P.gaussian_blur(t("planes"), PL, 1.5)
+    return measure_seeds(smooth, _seeds(t), PL, "seed_id").select("plane_id", "seed_id", "cx", "cy", "r", "contrast", "cv", "blocked_frac", "seam_frac", "quality", "weight")
+
+
+def _calibrated(t):
+    from petrigrid.operators.detector import calibrate
+
+    p = B.lab_planes(t("pixels"), IMG)
+    masks = t("pixels").select("image_id", "y", "x", F.lit(True).alias("plate"), ((c("x") > 1) & (c("x") < 62) & (c("y") > 1) & (c("y") < 48)).alias("on"))
+    s = _seeds(t).where("seed_id % 3 = 0").select(c("plane_id").alias("image_id"), "seed_id", "px", "py")
+    return calibrate(p, masks, s, IMG, "seed_id", 4.0, 4.0)
+
+
+@query("pix29_calibration")
+def _(t):
+    cal = _calibrated(t)
+    return cal["prior"].join(cal["reference"], "image_id").select("image_id", "log_r", "s", "source", "r_med", "noise", "contrast_ref")
+
+
+@query("pix30_local_colonies")
+def _(t):
+    from petrigrid.operators.detector import local_colonies
+
+    smooth = P.gaussian_blur(t("planes"), PL, 1.5)
+    lim = t("planes").select("plane_id").distinct().select("plane_id", F.lit(0.005).alias("noise"), F.lit(6.0).alias("r_max"), F.lit(0.04).alias("threshold"))
+    return local_colonies(smooth, t("planes").select("plane_id", "y", "x"), PL, lim, 2.0)
+
+
+def _limits(t):
+    return t("planes").select("plane_id").distinct().select("plane_id", F.lit(0.02).alias("noise"), F.lit(0.1).alias("contrast_ref"), F.lit(0.02).alias("threshold"), F.lit(2.5).alias("r_med"), F.lit(1.5).alias("r_lo"))
+
+
+@query("pix31_foreground")
+def _(t):
+    from petrigrid.operators.detector import foreground
+
+    return foreground(P.gaussian_blur(t("planes"), PL, 1.0).withColumn("on", c("x") > 2), PL, _limits(t))
+
+
+@query("pix32_log_detector")
+def _(t):
+    from petrigrid.operators.detector import log_job
+
+    seeds = _seeds(t).where("seed_id % 5 = 0").select("plane_id", c("seed_id").alias("item"), c("px").alias("x"), c("py").alias("y"))
+    fixed = seeds.select("plane_id", "x", "y", F.lit(2.0).alias("r"))
+    s, _k = log_job(t("planes"), t("planes").where("x > 2"), seeds, fixed, _limits(t), PL, [2.0, 2.8, 4.0], 0.3)
+    return s
+
+
+@query("pix33_cluster_marks")
+def _(t):
+    from petrigrid.operators.detector import marks_per_cluster
+
+    runs, stats = CC.label_components(mask(t, 0.12), PL, 8)
+    m = _seeds(t).select("plane_id", c("px").alias("x"), c("py").alias("y"))
+    return marks_per_cluster(CC.to_pixels(runs, PL, "label"), stats, m, PL, _limits(t).select("plane_id", "r_med"), 2)
+
+
+@query("pix34_fixed_discs")
+def _(t):
+    from petrigrid.operators.detector import fixed_discs, measure_seeds
+
+    s = _seeds(t)
+    ms = measure_seeds(P.gaussian_blur(t("planes"), PL, 1.5), s, PL, "seed_id")
+    marks = s.select("plane_id", "seed_id", "px", "py", F.when(c("seed_id") % 4 == 0, 3.5).alias("known_r"))
+    return fixed_discs(marks, ms, _limits(t).select("plane_id", "r_med", (c("r_med") * 2).alias("r_hi")), PL, "seed_id")

@@ -1 +1,395 @@
-"""Detector stages on pixel tables: blobs, circles, rims, seed measurement, the LoG job."""
+"""Detector stages on pixel tables: blobs, circles, rims, seed measurement, the LoG job.
+
+Stage tables that later stages read more than once are cut to the shared checkpoint
+folder, so each is computed once and survives lost executors.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from petrigrid.functions import scoring as SC
+from petrigrid.functions.colour import with_lab
+from petrigrid.plans import grid
+from petrigrid.plans.quantiles import exact_median, exact_quantiles
+from petrigrid.session import cut
+
+from . import background as B
+from . import components as CC
+from . import fits as FT
+from . import matching as M
+from . import pixels as P
+from . import robust as R
+from . import spatial as S
+
+c = F.col
+RAYS, STEP = 32, 0.5
+TAU = 2 * math.pi
+
+
+# ---------------------------------------------------------------- blobs
+
+
+def log_blobs(plane: DataFrame, keys: list[str], radii: list[float], min_response: float, within: DataFrame | None = None, overlap: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """Multi-scale blobs and all responses (PIX17).
+
+    One response plane per radius; a maximum must also beat the neighbouring scales at
+    its pixel; overlapping circles are suppressed, strongest first.
+    """
+    resp = peaks = None
+    for k, r in enumerate(radii):
+        sigma = r / math.sqrt(2)
+        one = cut(P.log_response(plane.select(*keys, "y", "x", "v"), keys, sigma).withColumn("scale", F.lit(k)))
+        top = P.local_maxima(one, keys, max(1, math.floor(sigma * 0.7 + 0.5)), F.lit(min_response)).withColumn("r", F.lit(float(r)))
+        resp = one if resp is None else resp.unionByName(one)
+        peaks = top if peaks is None else peaks.unionByName(top)
+    if within is not None:
+        peaks = peaks.join(within.select(*keys, "y", "x"), [*keys, "y", "x"], "left_semi")
+    near = resp.select(*keys, "y", "x", c("v").alias("nv"), F.explode(F.array(c("scale") - 1, c("scale") + 1)).alias("scale"))
+    better = peaks.join(near, [*keys, "y", "x", "scale"]).where(c("nv") > c("v")).select(*keys, "y", "x", "scale").distinct()
+    b = peaks.join(better, [*keys, "y", "x", "scale"], "left_anti")
+    b = b.select(*keys, (c("x") + 0.5).alias("x"), (c("y") + 0.5).alias("y"), "r", c("v").alias("response"), ((c("y") * (1 << 24) + c("x")) * 16 + c("scale")).alias("blob_id"))
+    kept = M.greedy_keep(b, keys, "blob_id", [-c("response")], overlap)
+    return kept.where("kept").drop("kept"), resp
+
+
+def hough_circles(plane: DataFrame, keys: list[str], r_min: int, r_max: int, edge_quantile: float = 0.9) -> DataFrame:
+    """Strongest circle per image from gradient votes (PIX18). Votes combine map-side per cell."""
+    g = cut(P.gradient(plane, keys).withColumn("m", F.sqrt(c("gx") * c("gx") + c("gy") * c("gy"))))
+    sizes = cut(P.size_of(plane, keys))
+    thr = exact_quantiles(g, keys, "m", {"t": edge_quantile})
+    e = g.join(thr, keys).join(sizes, keys).where((c("m") > c("t")) & (c("m") > 0) & (c("x") > 0) & (c("y") > 0) & (c("x") < c("w") - 1) & (c("y") < c("h") - 1))
+    e = cut(e.select(*keys, "y", "x", "w", "h", (c("gx") / c("m")).alias("ux"), (c("gy") / c("m")).alias("uy")))
+    v = e.withColumn("s", F.explode(F.array(F.lit(1), F.lit(-1)))).withColumn("rr", F.explode(F.sequence(F.lit(r_min), F.lit(r_max))))
+    v = v.select(*keys, "w", "h", F.floor(c("x") + c("s") * c("ux") * c("rr") + 0.5).alias("x"), F.floor(c("y") + c("s") * c("uy") * c("rr") + 0.5).alias("y")).where((c("x") >= 0) & (c("y") >= 0) & (c("x") < c("w")) & (c("y") < c("h")))
+    acc = v.groupBy(*keys, "y", "x").agg(F.count(F.lit(1)).alias("n"))
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    s9 = acc.select(*keys, "y", "x", "n", around.alias("k")).groupBy(*keys, (c("y") + c("k.i")).alias("y"), (c("x") + c("k.j")).alias("x")).agg(F.sum("n").alias("n"))
+    s9 = s9.join(sizes, keys).where((c("x") > 0) & (c("y") > 0) & (c("x") < c("w") - 1) & (c("y") < c("h") - 1))
+    best = s9.groupBy(*keys).agg(F.max(F.struct("n", (-c("y")).alias("ny"), (-c("x")).alias("nx"))).alias("b")).select(*keys, (-c("b.nx") + 0.5).alias("cx"), (-c("b.ny") + 0.5).alias("cy"))
+    d = cut(e.join(best, keys).select(*keys, "cx", "cy", grid.distance(c("x") + 0.5, c("y") + 0.5, c("cx"), c("cy")).alias("d"), F.atan2(c("y") + 0.5 - c("cy"), c("x") + 0.5 - c("cx")).alias("a")))
+    hist = d.groupBy(*keys, F.floor(c("d") - r_min + 0.5).alias("b")).agg(F.sum(1 / F.greatest(c("d"), F.lit(1.0))).alias("n")).where((c("b") >= 0) & (c("b") <= r_max - r_min))
+    pair = hist.select(*keys, "b", "n").unionByName(hist.select(*keys, (c("b") + 1).alias("b"), "n")).groupBy(*keys, "b").agg(F.sum("n").alias("n")).where(c("b") <= r_max - r_min)
+    rad = pair.groupBy(*keys).agg(F.max(F.struct(F.round("n", 9), (-c("b")).alias("nb"))).alias("m")).select(*keys, (F.lit(float(r_min)) - c("m.nb")).alias("r"))
+    sup = d.join(rad, keys).where(F.abs(c("d") - c("r")) <= 2).select(*keys, F.floor((c("a") + math.pi) / TAU * 179.999).alias("bin")).distinct().groupBy(*keys).agg((F.count(F.lit(1)) / 180).alias("support"))
+    return best.join(rad, keys).join(sup, keys, "left").select(*keys, "cx", "cy", "r", F.coalesce("support", F.lit(0.0)).alias("support"))
+
+
+def rim_estimates(pixels: DataFrame, picks: DataFrame, keys: list[str], item: str) -> DataFrame:
+    """Rim colour and radius around picked centres (PIX22).
+
+    Along 32 rays the colour distance from the centre is smoothed; the first strong local
+    rise is the edge, the upper median over rays the radius, the mean of the ring at
+    0.65-0.85 radius the rim. A ring too close to the centre colour moves towards the
+    background ring; without enough edges the window mean is the rim.
+    """
+    sizes = P.size_of(pixels, keys)
+    px = cut(with_lab(pixels, c("r"), c("g"), c("b")).select(*keys, "y", "x", "r", "g", "b", "lab"))
+    at = px.select(*keys, c("x").alias("px"), c("y").alias("py"), c("lab").alias("clab"), c("r").alias("cr"), c("g").alias("cg"), c("b").alias("cb"))
+    p = picks.join(at, [*keys, "px", "py"]).join(sizes, keys)
+    p = p.withColumn("max_r", F.least("px", "py", c("w") - 1 - c("px"), c("h") - 1 - c("py")))
+    p = cut(p.withColumn("win", F.greatest(F.lit(1), F.floor(c("max_r") / 60 + 0.5)).cast("int")))
+    ok = p.where("max_r >= 8")
+    ray = ok.withColumn("ray", F.explode(F.sequence(F.lit(0), F.lit(RAYS - 1)))).withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), c("max_r"))))
+    ang = c("ray") / RAYS * TAU
+    ray = ray.select(*keys, item, "clab", "win", "max_r", "ray", "k", F.floor(c("px") + c("k") * F.cos(ang) + 0.5).alias("x"), F.floor(c("py") + c("k") * F.sin(ang) + 0.5).alias("y"))
+    d3 = lambda a, b: F.sqrt(sum((a[n] - b[n]) * (a[n] - b[n]) for n in ("l", "a", "b")))
+    d = ray.join(px.select(*keys, "y", "x", "lab"), [*keys, "y", "x"]).select(*keys, item, "ray", "k", "win", "max_r", d3(c("lab"), c("clab")).alias("d"))
+    line = [*keys, item, "ray"]
+    prof = cut(d.groupBy(*line, "win", "max_r").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "d"))), lambda s: s["d"]).alias("d")))
+    n = F.size("d")
+    idx = F.sequence(F.lit(0), n - 1)
+    mean = lambda arr: F.aggregate(arr, F.lit(0.0), lambda a, b: a + b) / F.size(arr)
+    prof = prof.withColumn("sm", F.transform(idx, lambda i: mean(F.slice("d", F.greatest(i - c("win"), F.lit(0)) + 1, F.least(i + c("win"), n - 1) - F.greatest(i - c("win"), F.lit(0)) + 1))))
+    prof = prof.withColumn("gap", F.greatest(F.lit(2), c("win") * 2))
+    prof = prof.withColumn("rise", F.transform(F.filter(idx, lambda i: i + c("gap") < n), lambda i: F.when(i < 3, 0.0).otherwise(F.element_at("sm", i + c("gap") + 1) - F.element_at("sm", i + 1))))
+    prof = prof.withColumn("lim", F.greatest(F.lit(2.0), F.greatest(F.array_max("rise"), F.lit(0.0)) * 0.5))
+    m = F.size("rise")
+    peak = F.filter(F.sequence(F.lit(0), m - 1), lambda i: (i >= 3) & (F.element_at("rise", i + 1) >= c("lim")) & ((i + 1 >= m) | (F.coalesce(F.get("rise", i + 1), F.lit(-1.0)) < F.element_at("rise", i + 1))))
+    edge = prof.withColumn("first", F.get(peak, F.lit(0))).where(c("first").isNotNull()).where(F.element_at("rise", c("first") + 1) > 2)
+    rad = edge.groupBy(*keys, item).agg(F.sort_array(F.collect_list(c("first") + c("gap") / 2)).alias("e")).where(F.size("e") >= RAYS / 4)
+    rad = rad.select(*keys, item, F.element_at("e", F.floor(F.size("e") / 2).cast("int") + 1).alias("radius"))
+
+    def ring(f0: int, f1: int, name: str) -> DataFrame:
+        e = p.join(rad, [*keys, item]).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(2 * RAYS - 1)))).withColumn("f", F.explode(F.sequence(F.lit(f0), F.lit(f1), F.lit(5))))
+        ang2 = c("a") / (2 * RAYS) * TAU
+        q = e.select(*keys, item, F.floor(c("px") + c("f") / 100 * c("radius") * F.cos(ang2) + 0.5).alias("x"), F.floor(c("py") + c("f") / 100 * c("radius") * F.sin(ang2) + 0.5).alias("y"))
+        return q.join(px, [*keys, "y", "x"]).groupBy(*keys, item).agg(*[F.avg(n).alias(name + n) for n in "rgb"])
+
+    j = p.join(rad, [*keys, item], "left").join(ring(65, 85, "m"), [*keys, item], "left").join(ring(130, 160, "o"), [*keys, item], "left")
+    whole = pixels.groupBy(*keys).agg(*[F.avg(n).alias("w" + n) for n in "rgb"])
+    j = j.join(whole, keys)
+    j = with_lab(with_lab(j, c("mr"), c("mg"), c("mb"), "mlab"), c("or"), c("og"), c("ob"), "olab")
+    j = j.withColumns({"dm": d3(c("mlab"), c("clab")), "do": d3(c("olab"), c("clab"))})
+    f = F.least(F.lit(1.0), F.lit(6.0) / c("do"))
+    pick = lambda n: F.when(c("radius").isNull(), c("w" + n)).when((c("dm") < 6) & (c("do") > 1e-6), c("c" + n) + (c("o" + n) - c("c" + n)) * f).otherwise(c("m" + n))
+    return j.select(*keys, item, *[F.round(pick(n), 6).alias("rim_" + n) for n in "rgb"], "radius")
+
+
+# ---------------------------------------------------------------- seed measurement
+
+
+def _med(arr: Column) -> Column:
+    s, n = F.sort_array(arr), F.size(arr)
+    at = lambda i: F.element_at(s, i.cast("int"))
+    return F.when(n > 0, (at(F.floor((n - 1) / 2) + 1) + at(F.floor(n / 2) + 1)) / 2)
+
+
+def _profiles(plane: DataFrame, sizes: DataFrame, seeds: DataFrame, keys: list[str], item: str) -> DataFrame:
+    """Smoothed radial profiles ``(item, ray, k, p)``: mean of three sub-rays (PIX28)."""
+    nk = F.greatest(F.lit(4), F.ceil(c("r_max") / STEP) + 1).cast("int")
+    e = seeds.select(*keys, item, "cx", "cy", nk.alias("nk")).withColumn("ray", F.explode(F.sequence(F.lit(0), F.lit(RAYS - 1)))).withColumn("sub", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn("k", F.explode(F.sequence(F.lit(0), c("nk") - 1)))
+    th = (c("ray") + c("sub") / 3) / RAYS * TAU
+    pts = e.select(*keys, item, "ray", "sub", "k", "nk", (c("cx") + F.cos(th) * c("k") * STEP).alias("px"), (c("cy") + F.sin(th) * c("k") * STEP).alias("py"))
+    v = P.sample_bilinear(plane, pts, keys, sizes, [item, "ray", "sub", "k", "nk"])
+    raw = v.groupBy(*keys, item, "ray", "k", "nk").agg((F.sum("value") / 3).alias("t"))
+    w = W.partitionBy(*keys, item, "ray").orderBy("k")  # one ray: at most nk rows
+    return raw.withColumn("p", F.coalesce(F.lag("t").over(w), c("t")) * 0.25 + c("t") * 0.5 + F.coalesce(F.lead("t").over(w), c("t")) * 0.25).drop("t")
+
+
+def _measure_once(plane: DataFrame, sizes: DataFrame, seeds: DataFrame, keys: list[str], item: str) -> DataFrame:
+    """One pass: first boundary per ray and the robust radius. At most 32 hits per seed."""
+    key = [*keys, item]
+    prof = cut(_profiles(plane, sizes, seeds, keys, item))
+    k_near = F.greatest(F.lit(3), F.least(c("nk"), F.ceil(F.greatest(F.lit(3.0), c("r_max") * 0.25) / STEP)))
+    j = prof.join(seeds.select(*key, "cx", "cy", "noise", "r_max"), key)
+    per_ray = j.groupBy(*key, "ray").agg(F.avg(F.when(c("k") <= 2, c("p"))).alias("m0"), F.min("p").alias("lo"), F.max(F.when(c("k") < k_near, c("p"))).alias("hi"))
+    base = per_ray.groupBy(*key).agg(F.median("m0").alias("centre"), F.median("lo").alias("floor"), F.median("hi").alias("near_max"))
+    base = base.withColumns({"dip": (c("centre") < c("near_max") * 0.6) & (c("near_max") > 0), "base": F.least(c("floor"), F.greatest("centre", "near_max") * 0.25)})
+    w = W.partitionBy(*key, "ray").orderBy("k")
+    before = F.max("p").over(w.rowsBetween(W.unboundedPreceding, -1))
+    t = j.join(base, key).withColumns({"top": before.isNull() | (c("p") > before), "drop": F.lag("p").over(w) - c("p"), "prev": F.lag("p").over(w), "mx": F.max("p").over(w.rowsBetween(W.unboundedPreceding, W.currentRow))})
+    t = t.withColumn("seg", F.sum(F.when(c("top"), 1).otherwise(0)).over(w))
+    ws = W.partitionBy(*key, "ray", "seg").orderBy("k").rowsBetween(W.unboundedPreceding, W.currentRow)
+    t = t.withColumns({"low": F.min(F.struct("p", "k")).over(ws), "st": F.max(F.when(~c("top") & (c("drop") > 0), F.struct(c("drop").alias("d"), (-c("k")).alias("nk")))).over(ws), "k0": F.min("k").over(ws)})
+    con, nz = c("mx") - c("base"), c("noise") / math.sqrt(3)
+    level = c("base") + con * 0.5
+    edge = c("p") < level
+    seam = (c("mx") - c("low.p") >= F.greatest(con * 0.08, nz * 4)) & (c("p") - c("low.p") >= F.greatest(con * 0.03, nz * 2))
+    tt = F.least(F.greatest((c("prev") - level) / F.greatest(c("prev") - c("p"), F.lit(1e-9)), F.lit(0.0)), F.lit(1.0))
+    steep_k = F.coalesce(-c("st.nk"), c("k0"))
+    hit = t.where(~c("top") & (con > 0) & (edge | seam)).select(
+        *key, "ray", "k", F.when(edge, (c("k") - 1 + tt) * STEP).otherwise(c("low.k") * STEP).alias("r"), (~edge).alias("seam"), ((steep_k - 0.5) * STEP).alias("r_steep"), (F.coalesce("st.d", F.lit(0.0)) / STEP).alias("slope"), c("mx").alias("max")
+    )
+    first = hit.groupBy(*key, "ray").agg(F.min(F.struct("k", "r", "seam", "r_steep", "slope", "max")).alias("h"))
+    hits = first.groupBy(*key).agg(F.collect_list(F.struct("ray", "h.r", "h.seam", "h.r_steep", "h.slope", "h.max")).alias("hits"))
+    m = seeds.join(base, key).join(hits, key, "left").withColumn("hits", F.coalesce("hits", F.filter(F.array(F.struct(F.lit(0).alias("ray"), F.lit(0.0).alias("r"), F.lit(True).alias("seam"), F.lit(0.0).alias("r_steep"), F.lit(0.0).alias("slope"), F.lit(0.0).alias("max"))), lambda x: F.lit(False))))
+    get = lambda arr, f: F.transform(arr, lambda x: x[f])
+    m = m.withColumn("contrast", F.coalesce(_med(get(c("hits"), "max")), F.greatest("centre", "near_max")) - c("base")).withColumn("r0", _med(get(c("hits"), "r")))
+    enough = (F.size("hits") >= RAYS / 4) & (c("contrast") > 0) & (c("r0") > 0)
+    m = m.withColumn("_r", F.when(enough, c("r0"))).withColumn("inl", c("hits"))
+    for _ in range(2):
+        m = m.withColumn("inl", F.filter("hits", lambda x: (x["r"] >= c("_r") * 0.6) & (x["r"] <= c("_r") * 1.6)))
+        m = m.withColumn("_n", F.size("inl")).withColumn("_r", F.when(c("_n") >= RAYS / 4, _med(get(c("inl"), "r"))))
+    r = c("_r")
+    m = m.withColumn("edge_inl", F.filter("hits", lambda x: (x["r"] >= c("_r") * 0.6) & (x["r"] <= c("_r") * 1.6)))
+    steep = F.filter("inl", lambda x: x["slope"] > 0)
+    dev = F.transform("inl", lambda x: F.abs(x["r"] - _med(F.transform("inl", lambda z: z["r"]))))
+    blocked = F.when(enough, F.lit(1.0) - F.coalesce("_n", F.lit(0)) / RAYS).otherwise((F.lit(RAYS) - F.size("hits")) / RAYS)
+    return m.select(
+        *[x for x in seeds.columns], "dip", "contrast", (c("contrast") / c("noise")).alias("snr"), r.alias("r"),
+        F.when(r.isNotNull(), _med(F.transform(steep, lambda x: x["r_steep"]))).alias("r_edge"), F.when(r.isNotNull(), _med(dev) * 1.4826 / r).otherwise(1.0).alias("cv"), blocked.alias("blocked_frac"),
+        F.when(r.isNotNull(), F.size(F.filter("inl", lambda x: x["seam"])) / RAYS).otherwise(0.0).alias("seam_frac"), F.when(r.isNotNull(), F.size("edge_inl")).otherwise(0).alias("n_rays"),
+        F.when(r.isNotNull(), F.coalesce(_med(F.transform(steep, lambda x: x["slope"])) * r / c("contrast"), F.lit(0.0))).otherwise(0.0).alias("sharpness"), "hits", "edge_inl",
+    )
+
+
+def measure_seeds(plane: DataFrame, seeds: DataFrame, keys: list[str], item: str, saturated: DataFrame | None = None, region_distance: DataFrame | None = None) -> DataFrame:
+    """Radius and quality features of every seed, re-centred at most three times (PIX28).
+
+    ``seeds(keys, item, px, py, noise, r_max)`` in plane pixels; ``plane(keys, y, x, v)``.
+    """
+    key = [*keys, item]
+    sizes = cut(P.size_of(plane, keys))
+    cur = cut(_measure_once(plane, sizes, seeds.withColumns({"cx": c("px"), "cy": c("py")}), keys, item)).withColumn("live", F.lit(True))
+    for _ in range(3):
+        go = cur.where(c("live") & c("r").isNotNull() & (c("n_rays") >= 8))
+        pts = lambda arr: go.select(*key, "cx", "cy", F.explode(arr).alias("h")).select(*key, (c("cx") + F.cos(c("h.ray") / RAYS * TAU) * c("h.r")).alias("x"), (c("cy") + F.sin(c("h.ray") / RAYS * TAU) * c("h.r")).alias("y"))
+        circ = FT.recentre(pts("edge_inl"), cut(pts("hits")), key).select(*key, c("cx").alias("nx"), c("cy").alias("ny"), c("cr").alias("nr"))
+        j = go.join(circ, key)
+        fits = (grid.distance(c("nx"), c("ny"), c("px"), c("py")) <= c("nr") * 0.8) & (c("nr") <= c("r") * 2) & (grid.distance(c("nx"), c("ny"), c("cx"), c("cy")) >= 0.05) & (c("nr") > 0)
+        moved = cut(j.where(fits).select(*keys, item, "px", "py", "noise", "r_max", c("nx").alias("cx"), c("ny").alias("cy")))
+        if moved.limit(1).count() == 0:
+            break
+        nxt = cut(_measure_once(plane, sizes, moved, keys, item).where(c("r").isNotNull())).withColumn("live", F.lit(True))
+        rest = cur.join(nxt.select(*key), key, "left_anti").withColumn("live", F.lit(False))
+        cur = cut(rest.unionByName(nxt))
+    out = cur.drop("live", "hits", "edge_inl")
+    if saturated is not None:
+        side = lambda a: F.explode(F.sequence(F.floor(c(a) - c("r")), F.ceil(c(a) + c("r"))))
+        box = out.where(c("r").isNotNull()).select(*key, "cx", "cy", "r").withColumn("x", side("cx")).withColumn("y", side("cy"))
+        disc = box.where(grid.distance(c("x") + 0.5, c("y") + 0.5, c("cx"), c("cy")) <= c("r"))
+        sf = disc.join(saturated.select(*keys, "y", "x", "saturated"), [*keys, "y", "x"]).groupBy(*key).agg(F.avg(F.when(c("saturated"), 1.0).otherwise(0.0)).alias("saturated_frac"))
+        out = out.join(sf, key, "left")
+    else:
+        out = out.withColumn("saturated_frac", F.lit(0.0))
+    if region_distance is not None:
+        at = out.select(*key, c("cx").alias("px"), c("cy").alias("py"))
+        cl = P.sample_bilinear(region_distance, at, keys, sizes, [item], "dist")
+        out = out.join(cl.select(*key, c("value").alias("_d")), key, "left").withColumn("edge_clearance", c("_d") - F.coalesce("r", F.lit(0.0))).drop("_d")
+    else:
+        out = out.withColumn("edge_clearance", F.lit(1e9))
+    out = out.withColumn("saturated_frac", F.coalesce("saturated_frac", F.lit(0.0)))
+    return out.withColumns({"quality": SC.seed_quality(), "weight": SC.seed_weight()})
+
+
+def calibrate(planes: DataFrame, masks: DataFrame, seeds: DataFrame, keys: list[str], item: str, sigma1: float, sigma2: float, s_min: float = 0.25) -> dict[str, DataFrame]:
+    """Two-pass calibration (PIX29): contrast plane, noise, measured seeds, size prior.
+
+    ``planes`` from ``lab_planes``, ``masks(keys, y, x, plate, on)`` from ``plate_region``,
+    ``seeds(keys, item, px, py)``; seeds of other images are rows with their own key. The
+    second background leaves out bright foreground grown by 1.5 typical radii.
+    """
+    base = cut(planes.join(masks, [*keys, "y", "x"]))
+    diam = cut(B.equivalent_diameter(base.where("plate"), keys))
+    region = cut(P.distance_transform(base.select(*keys, "y", "x", "on"), keys, ~c("on"), border=True))
+    r_max = F.greatest(F.lit(6.0), c("diameter") * 0.06)
+    axes = None
+    weight = F.when(c("plate"), 1.0).otherwise(0.0)
+    sigma, out = sigma1, {}
+    for step in (1, 2):
+        bg = cut(B.lab_background(base.withColumn("wt", weight), keys, sigma, "wt"))
+        if axes is None:
+            diffs = B.lab_differences(bg, seeds, keys, item)
+            found = R.colour_axis(cut(diffs), keys)
+            axes = cut(diam.select(*keys).join(found, keys, "left").select(*keys, F.coalesce("axis_l", F.lit(1.0)).alias("axis_l"), F.coalesce("axis_a", F.lit(0.0)).alias("axis_a"), F.coalesce("axis_b", F.lit(0.0)).alias("axis_b")))
+        f = cut(B.contrast_plane(bg, axes, keys).select(*keys, "y", "x", "v", "plate", "on", "saturated", *(["fg"] if step == 2 else [])))
+        noise = cut(B.noise_sigma(f, keys, c("on") if step == 1 else c("on") & ~c("fg")))
+        s = seeds.join(noise, keys).join(diam, keys).withColumn("r_max", r_max).drop("diameter")
+        ms = cut(measure_seeds(f.select(*keys, "y", "x", "v"), s, keys, item, f, region).withColumn("w", c("weight")))
+        prior = R.radius_prior(ms, keys, s_min, "r", "w")
+        pa = cut(R.fallback_prior(diam.select(*keys, F.lit(1.0).alias("scale"), c("diameter").alias("plate_diameter")), prior, ms, keys))
+        ref = cut(exact_median(ms.where("snr >= 4"), keys, "contrast", "ref"))
+        out = {"plane": f, "noise": noise, "seeds": ms, "prior": pa, "axes": axes}
+        if step == 1:
+            thr = noise.join(ref, keys, "left").join(pa, keys).select(*keys, F.greatest(c("noise") * 3, F.coalesce("ref", c("noise") * 8) * 0.25).alias("thr"), F.greatest(F.lit(1.0), c("r_med") * 1.5).alias("grow"))
+            fg = f.join(thr, keys).select(*keys, "y", "x", "grow", (c("v") > c("thr")).alias("hot"))
+            d = P.distance_transform(fg, keys, c("hot"), border=False)
+            grown = fg.join(d, [*keys, "y", "x"]).select(*keys, "y", "x", (c("dist") <= c("grow")).alias("fg"))
+            base = cut(base.join(grown, [*keys, "y", "x"]))
+            weight = F.when(c("plate") & ~c("fg"), 1.0).otherwise(0.0)
+            sigma = sigma2
+    use = out["seeds"].where("w > 0")
+    cr = exact_median(use, keys, "contrast", "_u").join(exact_median(out["seeds"].where("snr >= 3"), keys, "contrast", "_a"), keys, "full_outer")
+    out["reference"] = cut(out["noise"].join(cr, keys, "left").select(*keys, "noise", F.coalesce("_u", "_a", c("noise") * 8).alias("contrast_ref")))
+    return out
+
+
+def local_colonies(plane: DataFrame, within: DataFrame, keys: list[str], limits: DataFrame, r_min: float, threshold: str = "threshold") -> DataFrame:
+    """Colonies measured at brightness maxima, merged: rounder first, then larger (PIX30).
+
+    ``limits(keys, noise, r_max, threshold)``. A maximum inside half the radius of a brighter
+    measured one is dropped; the suppression rounds run over all images at once.
+    """
+    smooth = cut(P.gaussian_blur(plane.select(*keys, "y", "x", "v"), keys, max(0.7, 0.35 * r_min)).join(limits.select(*keys, threshold), keys))
+    peaks = P.local_maxima(smooth, keys, max(1, math.floor(0.6 * r_min + 0.5)), c(threshold)).join(within.select(*keys, "y", "x"), [*keys, "y", "x"], "left_semi")
+    ids = peaks.select(*keys, (c("y") * (1 << 24) + c("x")).alias("peak_id"), (c("x") + 0.5).alias("px"), (c("y") + 0.5).alias("py"), c("v").alias("bright"))
+    m = cut(measure_seeds(plane, cut(ids.join(limits.select(*keys, "noise", "r_max"), keys)), keys, "peak_id").join(ids.select(*keys, "peak_id", "bright"), [*keys, "peak_id"]))
+    good = m.where((c("weight") > 0) & (c("r") >= 0.5 * r_min))
+    # brighter measured colonies swallow the maxima inside half their radius
+    bright = _swallow(good.select(*keys, "peak_id", "px", "py", c("cx").alias("x"), c("cy").alias("y"), "r", "bright"), keys)
+    col = good.join(bright, [*keys, "peak_id"], "left_semi").select(*keys, "peak_id", c("cx").alias("x"), c("cy").alias("y"), "r", "weight", "cv")
+    return M.greedy_keep(col, keys, "peak_id", [c("cv"), -c("r"), c("y"), c("x")], 0.8).where("kept").drop("kept")
+
+
+def _swallow(items: DataFrame, keys: list[str]) -> DataFrame:
+    """Brightness-order rule: keep a maximum unless a kept, brighter colony holds it within half its radius."""
+    from petrigrid.plans.rounds import drain
+
+    own = items.select(*keys, c("peak_id").alias("a"), c("bright").alias("ab"), "x", "y", "r")
+    other = items.select(*keys, c("peak_id").alias("b"), c("bright").alias("bb"), c("px").alias("x"), c("py").alias("y"))
+    e = grid.pairs_in_reach(own, other, keys, c("r") * 0.5, strict=True).where((c("a") != c("o_b")) & (F.struct(-c("ab"), c("a")) < F.struct(-c("o_bb"), c("o_b")))).select(*keys, "a", c("o_b").alias("b"))
+    e = cut(e)
+
+    def step(pending: DataFrame) -> tuple[DataFrame, DataFrame]:
+        # an item without an undecided brighter holder is kept; what it holds is dropped
+        held = e.join(pending.select(*keys, c("peak_id").alias("a")), [*keys, "a"], "left_semi")
+        kept = cut(pending.join(held.select(*keys, c("b").alias("peak_id")).distinct(), [*keys, "peak_id"], "left_anti"))
+        gone = e.join(kept.select(*keys, c("peak_id").alias("a")), [*keys, "a"], "left_semi").select(*keys, c("b").alias("peak_id")).distinct()
+        rest = pending.join(kept, [*keys, "peak_id"], "left_anti").join(gone, [*keys, "peak_id"], "left_anti")
+        return kept, rest
+
+    out = drain(items.select(*keys, "peak_id"), step)
+    return items.select(*keys, "peak_id") if out is None else out
+
+
+# ---------------------------------------------------------------- clusters and the LoG job
+
+
+def foreground(smooth: DataFrame, keys: list[str], limits: DataFrame) -> DataFrame:
+    """Foreground mask: above threshold inside the region, small holes filled, specks dropped (PIX31).
+
+    ``smooth(keys, y, x, v, on)`` with ``on`` = analysed region, ``limits(keys, threshold, r_med, r_lo)``.
+    """
+    sizes = P.size_of(smooth, keys).join(limits, keys)
+    sizes = cut(sizes.withColumns({"hole": c("r_med") * c("r_med") * (0.15 * math.pi), "speck": F.greatest(F.lit(2.0), c("r_lo") * c("r_lo") * (0.3 * math.pi))}))
+    m = cut(smooth.join(limits.select(*keys, "threshold"), keys).select(*keys, "y", "x", (c("on") & (c("v") > c("threshold"))).alias("on")))
+    filled = cut(CC.fill_holes(m, keys, sizes, "hole"))
+    return CC.drop_specks(filled, keys, sizes, "speck").where("on").select(*keys, "y", "x")
+
+
+def marks_per_cluster(labels: DataFrame, stats: DataFrame, marks: DataFrame, keys: list[str], r_med: DataFrame, k_max: int = 400) -> DataFrame:
+    """Cluster table with fixed marks and the too-large flag (PIX33)."""
+    at = S.label_at(marks, labels, keys).where("label > 0").groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("fixed"))
+    j = stats.join(at, [*keys, "label"], "left").join(r_med, keys)
+    big = c("area") > c("r_med") * c("r_med") * (k_max * math.pi)
+    return j.select(*keys, "label", "area", "min_x", "min_y", "max_x", "max_y", F.coalesce("fixed", F.lit(0)).alias("fixed"), big.alias("too_large"))
+
+
+def fixed_discs(marks: DataFrame, measured: DataFrame, prior: DataFrame, keys: list[str], item: str) -> DataFrame:
+    """Existing marks as discs (PIX34): known radius, else measured and clamped, else typical.
+
+    ``marks(keys, item, px, py, known_r)``, ``measured`` from ``measure_seeds``, ``prior(keys, r_med, r_hi)``.
+    """
+    m = measured.select(*keys, item, "cx", "cy", c("r").alias("mr"), "snr")
+    j = marks.join(m, [*keys, item], "left").join(prior.select(*keys, "r_med", "r_hi"), keys)
+    good = c("mr").isNotNull() & (c("snr") >= 3)
+    r = F.when(c("known_r").isNotNull(), c("known_r")).when(good, F.least(F.greatest(c("mr"), c("r_med") * 0.6), c("r_hi") * 1.6)).otherwise(c("r_med"))
+    j = j.withColumn("r", r)
+    near = c("known_r").isNull() & good & (grid.distance(c("cx"), c("cy"), c("px"), c("py")) < c("r") * 0.5)
+    return j.select(*keys, item, F.when(near, c("cx")).otherwise(c("px")).alias("x"), F.when(near, c("cy")).otherwise(c("py")).alias("y"), "r")
+
+
+def log_job(plane: DataFrame, region: DataFrame, seeds: DataFrame, fixed: DataFrame, limits: DataFrame, keys: list[str], radii: list[float], log_frac: float) -> tuple[DataFrame, DataFrame]:
+    """LoG detector end to end (PIX32): candidates, seed-relative threshold, clusters, suggestions.
+
+    ``seeds(keys, item, x, y)`` and ``fixed(keys, x, y, r)`` in plane pixels,
+    ``limits(keys, noise, contrast_ref, threshold, r_med, r_lo)``.
+    """
+    blobs, resp = log_blobs(plane, keys, radii, 0.0, region, 0.7)
+    blobs = cut(blobs)
+    mid = min(range(len(radii)), key=lambda i: (abs(radii[i] - radii[len(radii) // 2]), i))
+    rr = max(1, math.floor(radii[mid] * 0.3 + 0.5))
+    side = lambda n: F.explode(F.sequence(F.floor(c(n)) - rr, F.floor(c(n)) + rr))
+    near = seeds.select(*keys, "item", "x", "y").withColumn("sx", side("x")).withColumn("sy", side("y")).select(*keys, "item", c("sx").alias("x"), c("sy").alias("y"))
+    top = near.join(resp.where(c("scale") == mid).select(*keys, "y", "x", "v"), [*keys, "y", "x"]).groupBy(*keys, "item").agg(F.max("v").alias("v"))
+    from .metrics import upper_median
+
+    ref = upper_median(top, keys, "v", "_ref")
+    lim = cut(limits.join(ref, keys, "left").withColumn("log_thr", F.greatest(F.coalesce("_ref", c("contrast_ref") * 0.5) * log_frac, c("noise") * 1.5)))
+    cand = blobs.join(lim.select(*keys, "log_thr"), keys).where(c("response") >= c("log_thr"))
+    cand = S.not_near_fixed(cand, fixed, keys, "blob_id", 0.6)
+    on = plane.select(*keys, "y", "x", "v").join(region.select(*keys, "y", "x").withColumn("on", F.lit(True)), [*keys, "y", "x"], "left").withColumn("on", F.coalesce("on", F.lit(False)))
+    run_rows, stats = CC.label_components(foreground(on, keys, lim), keys, 8)
+    labels = cut(CC.to_pixels(run_rows, keys, "label"))
+    s = S.label_at(cand, labels, keys)
+    cid = F.when(c("label") > 0, F.concat(F.lit("c"), c("label").cast("string"))).otherwise(F.concat(F.lit("s"), c("blob_id").cast("string")))
+    s = cut(s.select(*keys, "blob_id", "x", "y", "r", (c("response") / c("log_thr")).alias("score"), cid.alias("cluster_id"), "label"))
+    n = s.where("label > 0").groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("chosen_k"))
+    return s.drop("label"), stats.join(n, [*keys, "label"], "left").withColumn("chosen_k", F.coalesce("chosen_k", F.lit(0)))
+
+
+def post_filter(suggestions: DataFrame, fixed: DataFrame, regions: DataFrame, roi: DataFrame, images: DataFrame, scale: float) -> DataFrame:
+    """Keep suggestions in the analysed mask, in the image's polygon if it has one, inside the image, off existing marks (FIL10)."""
+    keys = ["image_id"]
+    s = S.label_at(suggestions, roi, keys, scale).where("label = 1").drop("label")
+    size = images.select("image_id", "width", "height")
+    s = s.join(size, "image_id").where((c("x") < c("width")) & (c("y") < c("height")) & (c("x") >= 0) & (c("y") >= 0)).drop("width", "height")
+    ins = S.in_region(s, regions, "suggestion_id", keys).select("image_id", "suggestion_id").distinct()
+    drawn = regions.select("image_id").distinct()
+    s = s.join(drawn, "image_id", "left_anti").unionByName(s.join(drawn, "image_id", "left_semi").join(ins, ["image_id", "suggestion_id"], "left_semi"))
+    return S.not_near_fixed(s, fixed, keys, "suggestion_id", 0.5)

@@ -64,3 +64,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise reliably and truncate the lineage (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the shared checkpoint folder, for tables that a job writes and reads."""
+    import uuid
+
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
