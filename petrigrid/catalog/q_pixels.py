@@ -343,9 +343,9 @@ def _(t):
 # ---------------------------------------------------------------- detector stages
 
 
-def _seeds(t, n=40):
+def _seeds(t):
     """Brightest maxima of each plane as seeds."""
-    s = P.local_maxima(t("planes"), PL, 3, F.lit(0.2))
+    s = P.local_maxima(t("planes"), PL, 3, F.lit(0.3))
     return s.select("plane_id", (c("y") * 64 + c("x")).alias("seed_id"), (c("x") + 0.5).alias("px"), (c("y") + 0.5).alias("py"), F.lit(0.02).alias("noise"), F.lit(6.0).alias("r_max"))
 
 

@@ -8,8 +8,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 from pyspark.sql.window import Window as W
 
 from petrigrid.functions import scoring as SC
@@ -79,6 +83,25 @@ def hough_circles(plane: DataFrame, keys: list[str], r_min: int, r_max: int, edg
     return best.join(rad, keys).join(sup, keys, "left").select(*keys, "cx", "cy", "r", F.coalesce("support", F.lit(0.0)).alias("support"))
 
 
+@pandas_udf(T.DoubleType())
+def _first_edge(profiles: pd.Series, windows: pd.Series) -> pd.Series:
+    """Radius of the first strong local rise of one ray's smoothed profile, null without one."""
+    out = []
+    for d, w in zip(profiles, windows):
+        d = np.asarray(d, dtype=float)
+        run = np.concatenate([[0.0], np.cumsum(d)])
+        at = np.arange(len(d))
+        lo, hi = np.maximum(at - w, 0), np.minimum(at + w, len(d) - 1) + 1
+        smooth = (run[hi] - run[lo]) / (hi - lo)
+        gap = max(2, 2 * int(w))
+        rise = smooth[gap:] - smooth[:-gap] if len(d) > gap else np.zeros(0)
+        rise[:3] = 0.0
+        ahead = np.append(rise[1:], -np.inf)
+        peak = np.flatnonzero((rise >= max(2.0, 0.5 * max(rise.max(initial=0.0), 0.0))) & (ahead < rise) & (np.arange(len(rise)) >= 3))
+        out.append(float(peak[0] + gap / 2) if len(peak) and rise[peak[0]] > 2 else None)
+    return pd.Series(out, dtype="float64")
+
+
 def rim_estimates(pixels: DataFrame, picks: DataFrame, keys: list[str], item: str) -> DataFrame:
     """Rim colour and radius around picked centres (PIX22).
 
@@ -101,18 +124,9 @@ def rim_estimates(pixels: DataFrame, picks: DataFrame, keys: list[str], item: st
     d = ray.join(px.select(*keys, "y", "x", "lab"), [*keys, "y", "x"]).select(*keys, item, "ray", "k", "win", "max_r", d3(c("lab"), c("clab")).alias("d"))
     line = [*keys, item, "ray"]
     prof = cut(d.groupBy(*line, "win", "max_r").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "d"))), lambda s: s["d"]).alias("d")))
-    n = F.size("d")
-    idx = F.sequence(F.lit(0), n - 1)
-    mean = lambda arr: F.aggregate(arr, F.lit(0.0), lambda a, b: a + b) / F.size(arr)
-    prof = prof.withColumn("sm", F.transform(idx, lambda i: mean(F.slice("d", F.greatest(i - c("win"), F.lit(0)) + 1, F.least(i + c("win"), n - 1) - F.greatest(i - c("win"), F.lit(0)) + 1))))
-    prof = prof.withColumn("gap", F.greatest(F.lit(2), c("win") * 2))
-    prof = prof.withColumn("rise", F.transform(F.filter(idx, lambda i: i + c("gap") < n), lambda i: F.when(i < 3, 0.0).otherwise(F.element_at("sm", i + c("gap") + 1) - F.element_at("sm", i + 1))))
-    prof = prof.withColumn("lim", F.greatest(F.lit(2.0), F.greatest(F.array_max("rise"), F.lit(0.0)) * 0.5))
-    m = F.size("rise")
-    peak = F.filter(F.sequence(F.lit(0), m - 1), lambda i: (i >= 3) & (F.element_at("rise", i + 1) >= c("lim")) & ((i + 1 >= m) | (F.coalesce(F.get("rise", i + 1), F.lit(-1.0)) < F.element_at("rise", i + 1))))
-    edge = prof.withColumn("first", F.get(peak, F.lit(0))).where(c("first").isNotNull()).where(F.element_at("rise", c("first") + 1) > 2)
-    rad = edge.groupBy(*keys, item).agg(F.sort_array(F.collect_list(c("first") + c("gap") / 2)).alias("e")).where(F.size("e") >= RAYS / 4)
-    rad = rad.select(*keys, item, F.element_at("e", F.floor(F.size("e") / 2).cast("int") + 1).alias("radius"))
+    rays = prof.withColumn("edge", _first_edge(c("d"), c("win"))).where(c("edge").isNotNull())
+    rad = rays.groupBy(*keys, item).agg(F.sort_array(F.collect_list("edge")).alias("e")).where(F.size("e") >= RAYS / 4)
+    rad = cut(rad.select(*keys, item, F.element_at("e", F.floor(F.size("e") / 2).cast("int") + 1).alias("radius")))
 
     def ring(f0: int, f1: int, name: str) -> DataFrame:
         e = p.join(rad, [*keys, item]).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(2 * RAYS - 1)))).withColumn("f", F.explode(F.sequence(F.lit(f0), F.lit(f1), F.lit(5))))
@@ -120,9 +134,11 @@ def rim_estimates(pixels: DataFrame, picks: DataFrame, keys: list[str], item: st
         q = e.select(*keys, item, F.floor(c("px") + c("f") / 100 * c("radius") * F.cos(ang2) + 0.5).alias("x"), F.floor(c("py") + c("f") / 100 * c("radius") * F.sin(ang2) + 0.5).alias("y"))
         return q.join(px, [*keys, "y", "x"]).groupBy(*keys, item).agg(*[F.avg(n).alias(name + n) for n in "rgb"])
 
-    j = p.join(rad, [*keys, item], "left").join(ring(65, 85, "m"), [*keys, item], "left").join(ring(130, 160, "o"), [*keys, item], "left")
+    inner, outer = cut(ring(65, 85, "m")), cut(ring(130, 160, "o"))
+    j = p.join(rad, [*keys, item], "left").join(inner, [*keys, item], "left").join(outer, [*keys, item], "left")
     whole = pixels.groupBy(*keys).agg(*[F.avg(n).alias("w" + n) for n in "rgb"])
     j = j.join(whole, keys)
+    j = cut(j)
     j = with_lab(with_lab(j, c("mr"), c("mg"), c("mb"), "mlab"), c("or"), c("og"), c("ob"), "olab")
     j = j.withColumns({"dm": d3(c("mlab"), c("clab")), "do": d3(c("olab"), c("clab"))})
     f = F.least(F.lit(1.0), F.lit(6.0) / c("do"))
@@ -209,8 +225,8 @@ def measure_seeds(plane: DataFrame, seeds: DataFrame, keys: list[str], item: str
     for _ in range(3):
         go = cur.where(c("live") & c("r").isNotNull() & (c("n_rays") >= 8))
         pts = lambda arr: go.select(*key, "cx", "cy", F.explode(arr).alias("h")).select(*key, (c("cx") + F.cos(c("h.ray") / RAYS * TAU) * c("h.r")).alias("x"), (c("cy") + F.sin(c("h.ray") / RAYS * TAU) * c("h.r")).alias("y"))
-        circ = FT.recentre(pts("edge_inl"), cut(pts("hits")), key).select(*key, c("cx").alias("nx"), c("cy").alias("ny"), c("cr").alias("nr"))
-        j = go.join(circ, key)
+        circ = FT.recentre(cut(pts("edge_inl")), cut(pts("hits")), key).select(*key, c("cx").alias("nx"), c("cy").alias("ny"), c("cr").alias("nr"))
+        j = go.drop("hits", "edge_inl").join(circ, key)
         fits = (grid.distance(c("nx"), c("ny"), c("px"), c("py")) <= c("nr") * 0.8) & (c("nr") <= c("r") * 2) & (grid.distance(c("nx"), c("ny"), c("cx"), c("cy")) >= 0.05) & (c("nr") > 0)
         moved = cut(j.where(fits).select(*keys, item, "px", "py", "noise", "r_max", c("nx").alias("cx"), c("ny").alias("cy")))
         if moved.limit(1).count() == 0:

@@ -120,11 +120,14 @@ def consensus_circles(points: DataFrame, keys: list[str], item: str, tol: float,
 
 def recentre(inliers: DataFrame, points: DataFrame, keys: list[str], passes: int = 2) -> DataFrame:
     """Circle through the inliers, then refitted with all points close to it (FIT5)."""
-    circle = fit_circles(inliers, keys)
+    from petrigrid.session import cut
+
+    circle = cut(fit_circles(inliers, keys))
     for _ in range(passes):
         tol = F.greatest(F.lit(1.0), c("cr") * 0.15)
         near = points.join(circle, keys).where(F.abs(distance(c("x"), c("y"), c("cx"), c("cy")) - c("cr")) <= tol).select(*keys, "x", "y")
+        near = cut(near)
         enough = near.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n >= 8").select(*keys)
         nxt = fit_circles(near.join(enough, keys, "left_semi"), keys).select(*keys, c("cx").alias("nx"), c("cy").alias("ny"), c("cr").alias("nr"))
-        circle = circle.join(nxt, keys, "left").select(*keys, F.coalesce("nx", "cx").alias("cx"), F.coalesce("ny", "cy").alias("cy"), F.coalesce("nr", "cr").alias("cr"))
+        circle = cut(circle.join(nxt, keys, "left").select(*keys, F.coalesce("nx", "cx").alias("cx"), F.coalesce("ny", "cy").alias("cy"), F.coalesce("nr", "cr").alias("cr")))
     return circle

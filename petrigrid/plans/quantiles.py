@@ -33,21 +33,21 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
             for i, n in enumerate(names)
         ]
     )
-    per = joined.select(*keys, "_n", "_v", F.explode(brackets).alias("k")).where(F.col("_v") <= F.col("k.hi"))
+    per = joined.select(*keys, "_n", "_v", F.explode(brackets).alias("_br")).where(F.col("_v") <= F.col("_br.hi"))
     # everything below the bracket is one row; equal values inside are one row
     slim = per.groupBy(
-        *keys, "_n", F.col("k.i").alias("i"), F.col("k.q").alias("q"), F.when(F.col("_v") >= F.col("k.lo"), F.col("_v")).alias("v")
-    ).agg(F.count(F.lit(1)).alias("c"))
-    w = W.partitionBy(*keys, "i").orderBy(F.col("v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    pos = F.col("q") * (F.col("_n") - 1)
-    cum = slim.withColumn("cum", F.sum("c").over(w)).withColumn("k0", F.floor(pos)).withColumn("k1", F.ceil(pos)).withColumn("t", pos - F.floor(pos))
-    picked = cum.groupBy(*keys, "i").agg(
-        F.min(F.when(F.col("cum") > F.col("k0"), F.col("v"))).alias("a"),
-        F.min(F.when(F.col("cum") > F.col("k1"), F.col("v"))).alias("b"),
-        F.first("t").alias("t"),
+        *keys, "_n", F.col("_br.i").alias("_i"), F.col("_br.q").alias("_q"), F.when(F.col("_v") >= F.col("_br.lo"), F.col("_v")).alias("_val")
+    ).agg(F.count(F.lit(1)).alias("_c"))
+    w = W.partitionBy(*keys, "_i").orderBy(F.col("_val").asc_nulls_first()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    pos = F.col("_q") * (F.col("_n") - 1)
+    cum = slim.withColumns({"_cum": F.sum("_c").over(w), "_k0": F.floor(pos), "_k1": F.ceil(pos), "_t": pos - F.floor(pos)})
+    picked = cum.groupBy(*keys, "_i").agg(
+        F.min(F.when(F.col("_cum") > F.col("_k0"), F.col("_val"))).alias("_a"),
+        F.min(F.when(F.col("_cum") > F.col("_k1"), F.col("_val"))).alias("_b"),
+        F.first("_t").alias("_t"),
     )
-    val = F.col("a") + (F.col("b") - F.col("a")) * F.col("t")
-    return picked.groupBy(*keys).agg(*[F.max(F.when(F.col("i") == i, val)).alias(n) for i, n in enumerate(names)])
+    val = F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_t")
+    return picked.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, val)).alias(n) for i, n in enumerate(names)])
 
 
 def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median") -> DataFrame:
