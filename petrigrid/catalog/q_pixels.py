@@ -345,7 +345,7 @@ def _(t):
 
 def _seeds(t):
     """Brightest maxima of each plane as seeds."""
-    s = P.local_maxima(t("planes"), PL, 3, F.lit(0.3))
+    s = P.local_maxima(t("planes"), PL, 3, F.lit(0.36))
     return s.select("plane_id", (c("y") * 64 + c("x")).alias("seed_id"), (c("x") + 0.5).alias("px"), (c("y") + 0.5).alias("py"), F.lit(0.02).alias("noise"), F.lit(6.0).alias("r_max"))
 
 
@@ -377,7 +377,7 @@ def _(t):
     from petrigrid.operators.detector import local_colonies
 
     smooth = P.gaussian_blur(t("planes"), PL, 1.5)
-    lim = t("planes").select("plane_id").distinct().select("plane_id", F.lit(0.005).alias("noise"), F.lit(6.0).alias("r_max"), F.lit(0.04).alias("threshold"))
+    lim = t("planes").select("plane_id").distinct().select("plane_id", F.lit(0.005).alias("noise"), F.lit(6.0).alias("r_max"), F.lit(0.075).alias("threshold"))
     return local_colonies(smooth, t("planes").select("plane_id", "y", "x"), PL, lim, 2.0)
 
 

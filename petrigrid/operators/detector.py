@@ -44,10 +44,11 @@ def log_blobs(plane: DataFrame, keys: list[str], radii: list[float], min_respons
     One response plane per radius; a maximum must also beat the neighbouring scales at
     its pixel; overlapping circles are suppressed, strongest first.
     """
+    plane = cut(plane.select(*keys, "y", "x", "v"))
     resp = peaks = None
     for k, r in enumerate(radii):
         sigma = r / math.sqrt(2)
-        one = cut(P.log_response(plane.select(*keys, "y", "x", "v"), keys, sigma).withColumn("scale", F.lit(k)))
+        one = cut(P.log_response(plane, keys, sigma).withColumn("scale", F.lit(k)))
         top = P.local_maxima(one, keys, max(1, math.floor(sigma * 0.7 + 0.5)), F.lit(min_response)).withColumn("r", F.lit(float(r)))
         resp = one if resp is None else resp.unionByName(one)
         peaks = top if peaks is None else peaks.unionByName(top)
@@ -220,6 +221,7 @@ def measure_seeds(plane: DataFrame, seeds: DataFrame, keys: list[str], item: str
     ``seeds(keys, item, px, py, noise, r_max)`` in plane pixels; ``plane(keys, y, x, v)``.
     """
     key = [*keys, item]
+    plane, seeds = cut(plane.select(*keys, "y", "x", "v")), cut(seeds.select(*keys, item, "px", "py", "noise", "r_max"))
     sizes = cut(P.size_of(plane, keys))
     cur = cut(_measure_once(plane, sizes, seeds.withColumns({"cx": c("px"), "cy": c("py")}), keys, item)).withColumn("live", F.lit(True))
     for _ in range(3):
@@ -231,7 +233,8 @@ def measure_seeds(plane: DataFrame, seeds: DataFrame, keys: list[str], item: str
         moved = cut(j.where(fits).select(*keys, item, "px", "py", "noise", "r_max", c("nx").alias("cx"), c("ny").alias("cy")))
         if moved.limit(1).count() == 0:
             break
-        nxt = cut(_measure_once(plane, sizes, moved, keys, item).where(c("r").isNotNull())).withColumn("live", F.lit(True))
+        # filter after the cut: pushed into the measurement, the filter would repeat its expressions
+        nxt = cut(_measure_once(plane, sizes, moved, keys, item)).where(c("r").isNotNull()).withColumn("live", F.lit(True))
         rest = cur.join(nxt.select(*key), key, "left_anti").withColumn("live", F.lit(False))
         cur = cut(rest.unionByName(nxt))
     out = cur.drop("live", "hits", "edge_inl")

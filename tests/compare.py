@@ -10,7 +10,7 @@ import datetime as dt
 import math
 import sys
 import time
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import ThreadPoolExecutor, as_completed
 from decimal import Decimal
 
 import duckdb
@@ -93,7 +93,8 @@ def main(argv=None):
 
     bad = 0
     with ThreadPoolExecutor(a.threads) as pool:
-        for n, status, rows, took, note in pool.map(one, picked):
+        for done in as_completed([pool.submit(one, n) for n in picked]):
+            n, status, rows, took, note = done.result()
             good = status in ("ok", "rows-only")
             bad += not good
             print(f"{'  ' if good else '!!'} {n:34s} {status:9s} {rows:7d} {took:6.1f}s {note}", flush=True)
