@@ -357,21 +357,6 @@ def _(t):
     return measure_seeds(smooth, _seeds(t), PL, "seed_id").select("plane_id", "seed_id", "cx", "cy", "r", "contrast", "cv", "blocked_frac", "seam_frac", "quality", "weight")
 
 
-def _calibrated(t):
-    from petrigrid.operators.detector import calibrate
-
-    p = B.lab_planes(t("pixels"), IMG)
-    masks = t("pixels").select("image_id", "y", "x", F.lit(True).alias("plate"), ((c("x") > 1) & (c("x") < 62) & (c("y") > 1) & (c("y") < 48)).alias("on"))
-    s = _seeds(t).where("seed_id % 3 = 0").select(c("plane_id").alias("image_id"), "seed_id", "px", "py")
-    return calibrate(p, masks, s, IMG, "seed_id", 4.0, 4.0)
-
-
-@query("pix29_calibration")
-def _(t):
-    cal = _calibrated(t)
-    return cal["prior"].join(cal["reference"], "image_id").select("image_id", "log_r", "s", "source", "r_med", "noise", "contrast_ref")
-
-
 @query("pix30_local_colonies")
 def _(t):
     from petrigrid.operators.detector import local_colonies
