@@ -109,14 +109,16 @@ def png(path, w, h, rgb):
 
 
 def test_image_files(spark, tmp_path):
-    from petrigrid.sources.images import decode_pixels, read_images
+    from petrigrid.sources.images import decode_pixels, inspect_images, read_images
 
     png(tmp_path / "a.png", 5, 4, lambda x, y: (x * 10, y * 20, 7))
     (tmp_path / "b.png").write_bytes(b"nothing")
-    (tmp_path / "c.png").write_bytes(b"")
     rows = {r.path.rsplit("/", 1)[1]: r for r in read_images(spark, str(tmp_path / "*.png")).collect()}
     assert (rows["a.png"].mime, rows["a.png"].width, rows["a.png"].height, rows["a.png"].rejected) == ("image/png", 5, 4, None)
-    assert rows["b.png"].rejected.startswith("Not a recognised") and rows["c.png"].rejected == "The file is empty."
+    assert rows["b.png"].rejected.startswith("Not a recognised")
+    # file sources skip empty files, so an empty one only arrives as a row
+    empty = inspect_images(spark.createDataFrame([("e", bytearray())], "path string, content binary")).first()
+    assert empty.rejected == "The file is empty."
     img = spark.read.format("image").load(str(tmp_path / "a.png")).select(c("image.origin").alias("k"), "image.width", "image.height", c("image.nChannels").alias("channels"), "image.data")
     px = {(r.x, r.y): (r.r, r.g, r.b) for r in decode_pixels(img, K).collect()}
     assert px == {(x, y): (x * 10, y * 20, 7) for x in range(5) for y in range(4)}
@@ -127,7 +129,7 @@ def test_seed_radius_of_a_disk(spark):
 
     edge = lambda d: 1 / (1 + math.exp((d - 8) * 2))
     rows = [(1, y, x, 50 * edge(math.hypot(x + 0.5 - 25, y + 0.5 - 20))) for x in range(50) for y in range(40)]
-    plane = spark.createDataFrame(rows, "k int, y long, x long, v double")
-    seeds = spark.createDataFrame([(1, 7, 26.5, 21.0, 0.2, 18.0)], "k int, s int, px double, py double, noise double, r_max double")
-    m = measure_seeds(plane, seeds, K, "s").first()
+    plane = spark.createDataFrame(rows, "image_id int, y long, x long, v double")
+    seeds = spark.createDataFrame([(1, 7, 26.5, 21.0, 0.2, 18.0)], "image_id int, s int, px double, py double, noise double, r_max double")
+    m = measure_seeds(plane, seeds, ["image_id"], "s").first()
     assert m.quality == "ok" and abs(m.r - 8) < 0.4 and math.hypot(m.cx - 25, m.cy - 20) < 0.3
