@@ -196,6 +196,44 @@ def slices(col: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int,
         i = j
 
 
+def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches sorted by ``key``: what a batch leaves open waits for the next."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = b.column(b.schema.get_field_index(key))
+        last = k[b.num_rows - 1]
+        if held and held[0].column(held[0].schema.get_field_index(key))[0] == last:
+            held.append(b)
+            continue
+        # the last group of this batch may go on; all before it is complete
+        codes = k.to_numpy(zero_copy_only=False)
+        cut = b.num_rows - int(np.argmax(codes[::-1] != last.as_py())) if (codes != last.as_py()).any() else 0
+        done = [*held, b.slice(0, cut)]
+        if held or cut:
+            yield pa.Table.from_batches(done)
+        held = [b.slice(cut)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest vertex reachable from each of 0..n-1 over the links a-b."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 

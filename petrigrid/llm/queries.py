@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import decontamination, mixing, pii, quality, sharding, toxicity
+from . import decontamination, mixing, ngram_join, pii, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +33,25 @@ def graded(df: DataFrame, held_out) -> DataFrame:
     return df.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+_FOLDED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_PLAIN = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+
+@query
+@oracle(f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_PLAIN} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM d, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT x, y, c = a.n AND c = b.n AS same FROM p JOIN n AS a ON a.doc_id = x JOIN n AS b ON b.doc_id = y WHERE 5 * c >= 4 * (a.n + b.n - c)),
+r AS (SELECT doc_id AS id, doc_id AS root FROM d UNION SELECT y, root FROM r JOIN l ON x = id)
+SELECT d.doc_id, least(d.doc_id, min(root)) AS class_id, coalesce(any_value(n_links), 0) AS n_links, least(d.doc_id, min(c.least_copy)) AS copy_of, d.doc_id = min(root) AS kept
+FROM d JOIN r ON r.id = d.doc_id LEFT JOIN (SELECT x, count(*) AS n_links, min(CASE WHEN same THEN y END) AS least_copy FROM l GROUP BY x) AS c ON c.x = d.doc_id GROUP BY d.doc_id""")
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents: word 5-grams, Jaccard similarity of 0.8 or more."""
+    return ngram_join.join(C.table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document; every fifth id by checksum is held out."""
@@ -41,10 +60,6 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded(toxicity.scored(docs, toxicity.train(docs, C.table(spark, sf_dir, "labels"), "toxic", held_out)), held_out)
 
 
-_FOLDED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
-_PLAIN = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
-
-
 @query
 @oracle(f"""
 WITH d AS (SELECT doc_id, {_FOLDED} AS w FROM documents),
