@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import decontamination, mixing, ngram_join, pii, quality, sharding, toxicity
+from . import decontamination, mixing, ngram_join, pii, quality, sharding, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,6 +60,19 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded(toxicity.scored(docs, toxicity.train(docs, C.table(spark, sf_dir, "labels"), "toxic", held_out)), held_out)
 
 
+@query
+@oracle(f"""
+WITH d AS (SELECT doc_id, {_PLAIN} AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS g FROM d, unnest(generate_series(1, len(w) - 34)) AS t(i)),
+r AS (SELECT doc_id, i FROM g WHERE g IN (SELECT g FROM g GROUP BY g HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT doc_id, p FROM r, unnest(generate_series(i, i + 34)) AS t(p)),
+k AS (SELECT x.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY x.p) AS kept FROM (SELECT doc_id, p, w[p] AS word FROM d, unnest(generate_series(1, len(w))) AS t(p)) AS x ANTI JOIN gone USING (doc_id, p) GROUP BY x.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id""")
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that repeated windows of 35 words cover."""
+    return substring_dedup.dedup(C.table(spark, sf_dir, "documents"))
+
+
 @query
 @oracle(f"""
 WITH d AS (SELECT doc_id, {_FOLDED} AS w FROM documents),
