@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import decontamination, mixing, ngram_join, pii, quality, sharding, substring_dedup, toxicity
+from . import decontamination, embedding_dedup, mixing, ngram_join, pii, quality, sharding, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,6 +60,19 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded(toxicity.scored(docs, toxicity.train(docs, C.table(spark, sf_dir, "labels"), "toxic", held_out)), held_out)
 
 
+@query
+@oracle("""
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND vec_id IN (SELECT vec_id FROM v, unnest(e) AS t(x) GROUP BY vec_id HAVING bool_and(x IS NOT NULL AND isfinite(x)) AND bool_or(x <> 0))),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM ok AS a JOIN ok AS b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT vec_id AS id, vec_id AS root FROM v UNION SELECT y, root FROM r JOIN l ON x = id)
+SELECT v.vec_id, coalesce(any_value(n), 0) AS n_links, min(root) AS component_id, v.vec_id = min(root) AS kept
+FROM v JOIN r ON r.id = v.vec_id LEFT JOIN (SELECT x, count(*) AS n FROM l GROUP BY x) AS c ON c.x = v.vec_id GROUP BY v.vec_id""")
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings of one label with a cosine of 0.98 or more."""
+    return embedding_dedup.near_duplicates(C.table(spark, sf_dir, "embeddings"))
+
+
 @query
 @oracle(f"""
 WITH d AS (SELECT doc_id, {_PLAIN} AS w FROM documents),
