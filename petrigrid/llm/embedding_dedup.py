@@ -202,7 +202,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: st
     h = F.xxhash64("id", F.lit(5))
 
     def dealt(df: DataFrame, own: str, other: str, query: bool) -> DataFrame:
-        df = df.join(sizes, cell).withColumn("x", F.pmod(h, F.col(own))).withColumn("y", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        df = df.join(sizes, cell).withColumn("x", F.pmod(h, F.col(own)).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
         pair = ("y", "x") if query else ("x", "y")
         return df.select(F.xxhash64(*cell, *pair).alias("key"), F.lit(query).alias("query"), "id", "mult", "v", "dim", "list", "codes", "error")
 
