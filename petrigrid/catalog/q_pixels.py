@@ -268,7 +268,7 @@ def _(t):
 def _(t):
     from petrigrid.operators.detector import rim_estimates
 
-    picks = t("marks").where("origin = 'manual' and image_id < 40").select("image_id", "annotation_id", (F.floor(c("x") / 125) + 16).alias("px"), (F.floor(c("y") / 150) + 14).alias("py"))
+    picks = t("marks").where("origin = 'manual'").select("image_id", "annotation_id", (F.floor(c("x") / 125) + 16).alias("px"), (F.floor(c("y") / 150) + 14).alias("py"))
     return rim_estimates(t("pixels"), picks, IMG, "annotation_id")
 
 

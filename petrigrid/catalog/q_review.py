@@ -86,9 +86,9 @@ def _(t):
 
 
 @query("rev9_to_annotations", """SELECT sha256('run-' || image_id || ':' || suggestion_id) AS annotation_id, image_id, x, y, 'F' AS group_id, 'automated' AS origin, 'accepted' AS review_status, 'automated' AS last_edit_source, FALSE AS manually_adjusted,
- TIMESTAMP '2024-01-20 00:00:00' AS created_at, 'colony-fitter' AS detector_name, '1' AS detector_version, 'run-' || image_id AS run_id, NULL::DOUBLE AS confidence, cluster_id, score, status, floor(r * 1.037::DOUBLE * 100 + 0.5) / 100 AS geometry_r FROM suggestions WHERE suggestion_id % 3 = 0""")
+ TIMESTAMP '2024-01-20 00:00:00' AS created_at, 'colony-fitter' AS detector_name, '1' AS detector_version, 'run-' || image_id AS run_id, NULL::DOUBLE AS confidence, cluster_id, score, status, floor(r * 1.037::DOUBLE * 100 + 0.5) / 100 AS geometry_r FROM suggestions""")
 def _(t):
-    s = t("suggestions").where("suggestion_id % 3 = 0").withColumn("r", c("r") * 1.037)
+    s = t("suggestions").withColumn("r", c("r") * 1.037)
     return R.to_annotations(s, "F", F.concat(F.lit("run-"), c("image_id").cast("string")), "colony-fitter", "1", F.expr("TIMESTAMP_NTZ '2024-01-20 00:00:00'"))
 
 

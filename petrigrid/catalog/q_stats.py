@@ -89,9 +89,9 @@ def _(t):
     return E.cluster_errors(lab(t("marks")), lab(t("suggestions")), IMG).withColumn("mean_abs_error", F.round("mean_abs_error", 9))
 
 
-@query("agg15_spread", """SELECT image_id, round(avg(r), 9) AS mean, round(coalesce(stddev_samp(r), 0), 9) AS sd, min(r) AS min, max(r) AS max FROM marks WHERE group_id = 'P' AND annotation_id % 50 = 0 GROUP BY 1""")
+@query("agg15_spread", """SELECT image_id, round(avg(r), 9) AS mean, round(coalesce(stddev_samp(r), 0), 9) AS sd, min(r) AS min, max(r) AS max FROM marks GROUP BY 1""")
 def _(t):
-    return E.spread(t("marks").where("group_id = 'P' and annotation_id % 50 = 0"), IMG, "r").select("image_id", F.round("mean", 9).alias("mean"), F.round("sd", 9).alias("sd"), "min", "max")
+    return E.spread(t("marks"), IMG, "r").select("image_id", F.round("mean", 9).alias("mean"), F.round("sd", 9).alias("sd"), "min", "max")
 
 
 @query("agg16_multi_radius")
@@ -212,7 +212,7 @@ def _(t):
 
 
 @query("sta7_calibration_summary", f"""WITH {_PRIOR}, n AS (SELECT image_id, group_id, count(*) AS total, count(*) FILTER (WHERE w > 0) AS usable, min(r) FILTER (WHERE w > 0) AS lo, max(r) FILTER (WHERE w > 0) AS hi FROM ({_SEEDS}) GROUP BY 1, 2)
-SELECT n.image_id, n.group_id, total || CASE WHEN total = 1 THEN ' manual example; ' ELSE ' manual examples; ' END || usable || ' usable for size estimation' AS summary, usable < 3 AS tentative,
+SELECT n.image_id, n.group_id, 'seeds=' || total || ' usable=' || usable AS summary, usable < 3 AS tentative,
  (CASE WHEN usable = 0 THEN 1 ELSE 0 END + CASE WHEN usable > 0 AND usable < 3 THEN 1 ELSE 0 END + CASE WHEN p.n >= 3 AND exp(p.s) - 1 < 0.15 THEN 1 ELSE 0 END + CASE WHEN usable >= 2 AND hi / lo >= 1.8 THEN 1 ELSE 0 END) AS warnings
 FROM n LEFT JOIN prior p ON p.image_id = n.image_id AND p.group_id = n.group_id""")
 def _(t):
@@ -320,25 +320,52 @@ def _(t):
 
 # ---------------------------------------------------------------- fits
 
-_ARC = """SELECT image_id, CAST(1000 + r * 40 * cos(annotation_id % 63 / 10.0) + annotation_id % 5 AS DOUBLE) AS x, CAST(900 + r * 40 * sin(annotation_id % 63 / 10.0) - annotation_id % 3 AS DOUBLE) AS y, annotation_id FROM annotations WHERE annotation_id % 17 = 4"""
+_ARC = """SELECT image_id, CAST(1000 + r * 40 * cos(annotation_id % 63 / 10.0) + annotation_id % 5 AS DOUBLE) AS x, CAST(900 + r * 40 * sin(annotation_id % 63 / 10.0) - annotation_id % 3 AS DOUBLE) AS y, annotation_id FROM annotations"""
 _ARC_SPARK = _ARC.replace("10.0", "10.0D")
 _ARC_DUCK = _ARC.replace("10.0", "10.0::DOUBLE")
-_KASA = f"""p AS ({_ARC_DUCK}), mm AS (SELECT image_id, avg(x) AS mx, avg(y) AS my FROM p GROUP BY 1), uv AS (SELECT p.image_id, x - mx AS u, y - my AS v, mx, my FROM p JOIN mm ON mm.image_id = p.image_id),
-s AS (SELECT image_id, any_value(mx) AS mx, any_value(my) AS my, count(*) AS n, sum(u*u) AS uu, sum(v*v) AS vv, sum(u*v) AS uv, sum(u*u*u) AS uuu, sum(v*v*v) AS vvv, sum(u*v*v) AS uvv, sum(v*u*u) AS vuu FROM uv GROUP BY 1),
-f AS (SELECT *, uu * vv - uv * uv AS det, (uuu + uvv) / 2 AS b1, (vvv + vuu) / 2 AS b2 FROM s), fit AS (SELECT image_id, (b1 * vv - b2 * uv) / det + mx AS cx, (uu * b2 - uv * b1) / det + my AS cy,
- sqrt(pow((b1 * vv - b2 * uv) / det, 2) + pow((uu * b2 - uv * b1) / det, 2) + (uu + vv) / n) AS cr FROM f WHERE n >= 3 AND abs(det) >= 1e-9)"""
+
+
+def _circle(points: str) -> str:
+    """Regression of the squared norm on the coordinates."""
+    return f"""SELECT image_id, n, cx, cy, sqrt(pow(mx - cx, 2) + pow(my - cy, 2) + xx + yy) AS cr FROM (SELECT *, (xq * yy - yq * xy) / (2 * (xx * yy - xy * xy)) AS cx, (yq * xx - xq * xy) / (2 * (xx * yy - xy * xy)) AS cy
+ FROM (SELECT image_id, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x) AS xx, var_pop(y) AS yy, covar_pop(x, y) AS xy, covar_pop(x, x * x + y * y) AS xq, covar_pop(y, x * x + y * y) AS yq FROM {points} GROUP BY 1) WHERE n >= 3 AND n * n * (xx * yy - xy * xy) >= 1e-9)"""
+
+
+_KASA = f"p AS ({_ARC_DUCK}), fit AS ({_circle('p')})"
+
+
+def _refined(points: str, first: str, rounds: int = 10) -> str:
+    """Rounds of the centre's regression on the unit vectors, as chained CTEs that end in r<rounds>."""
+    out = [f"r0 AS MATERIALIZED (SELECT image_id, cx, cy, cr, TRUE AS live FROM {first})"]
+    for k in range(1, rounds + 1):
+        out.append(f"""u{k} AS (SELECT p.image_id, greatest(d, 0) AS d, (cx - x) / d AS u, (cy - y) / d AS v FROM (SELECT *, CASE WHEN sqrt(pow(x - cx, 2) + pow(y - cy, 2)) = 0 THEN 1e-9::DOUBLE ELSE sqrt(pow(x - cx, 2) + pow(y - cy, 2)) END AS d FROM {points} AS a JOIN r{k - 1} AS b USING (image_id) WHERE live) AS p),
+g{k} AS (SELECT *, uu * vv - uv * uv AS w FROM (SELECT image_id, count(*) AS n, avg(d) AS md, avg(u) AS mu, avg(v) AS mv, var_pop(u) AS uu, var_pop(v) AS vv, covar_pop(u, v) AS uv, covar_pop(u, d) AS ud, covar_pop(v, d) AS vd FROM u{k} GROUP BY 1)),
+s{k} AS (SELECT image_id, su, sv, md - mu * su - mv * sv AS nr FROM (SELECT *, (ud * vv - vd * uv) / w AS su, (vd * uu - ud * uv) / w AS sv FROM g{k} WHERE pow(n, 3) * w >= 1e-12)),
+r{k} AS MATERIALIZED (SELECT image_id, CASE WHEN live AND nr IS NOT NULL THEN cx - su ELSE cx END AS cx, CASE WHEN live AND nr IS NOT NULL THEN cy - sv ELSE cy END AS cy, CASE WHEN live AND nr IS NOT NULL THEN nr ELSE cr END AS cr, live AND nr IS NOT NULL AND abs(su) + abs(sv) + abs(nr - cr) >= 1e-4 AS live FROM r{k - 1} LEFT JOIN s{k} USING (image_id))""")
+    return ",\n".join(out)
+
+
+_ROUND4 = "round(cx, 4) AS cx, round(cy, 4) AS cy, round(cr, 4) AS cr"
+
+
+def _near(k: int, source: str) -> str:
+    return f"""n{k} AS (SELECT a.* FROM p AS a JOIN {source} AS b USING (image_id) WHERE abs(sqrt(pow(x - cx, 2) + pow(y - cy, 2)) - cr) <= greatest(1::DOUBLE, cr * 0.15)),
+f{k} AS ({_circle(f'n{k}')}), c{k} AS MATERIALIZED (SELECT b.image_id, coalesce(f.cx, b.cx) AS cx, coalesce(f.cy, b.cy) AS cy, coalesce(f.cr, b.cr) AS cr FROM {source} AS b LEFT JOIN (SELECT * FROM f{k} WHERE n >= 8) AS f USING (image_id))"""
+
+
+def _round4(f):
+    return f.select("image_id", *[F.round(x, 4).alias(x) for x in ("cx", "cy", "cr")])
 
 
 @query("fit1_kasa", f"WITH {_KASA} SELECT image_id, round(cx, 4) AS cx, round(cy, 4) AS cy, round(cr, 4) AS cr FROM fit")
 def _(t):
-    f = FT.fit_circles(t.sql(_ARC_SPARK), IMG)
-    return f.select("image_id", *[F.round(x, 4).alias(x) for x in ("cx", "cy", "cr")])
+    return _round4(FT.fit_circles(t.sql(_ARC_SPARK), IMG))
 
 
-@query("fit2_refined")
+@query("fit2_refined", f"WITH {_KASA}, {_refined('p', 'fit')} SELECT image_id, round(cx, 4) AS cx, round(cy, 4) AS cy, round(abs(cr), 4) AS cr FROM r10")
 def _(t):
     p = t.sql(_ARC_SPARK)
-    return FT.refine_circles(p, FT.fit_circles(p, IMG), IMG)
+    return _round4(FT.refine_circles(p, FT.fit_circles(p, IMG), IMG))
 
 
 @query("fit3_residual_and_span", f"""WITH {_KASA}, res AS (SELECT p.image_id, sqrt(avg(pow(sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)) - cr, 2))) AS residual FROM p JOIN fit ON fit.image_id = p.image_id GROUP BY 1),
@@ -355,7 +382,7 @@ def _(t):
     return FT.consensus_circles(t.sql(_ARC_SPARK), IMG, "annotation_id", 3.0)
 
 
-@query("fit5_recentred")
+@query("fit5_recentred", f"""WITH p AS ({_ARC_DUCK}), half AS (SELECT * FROM p WHERE annotation_id % 2 = 0), c0 AS MATERIALIZED (SELECT image_id, cx, cy, cr FROM ({_circle('half')})), {_near(1, 'c0')}, {_near(2, 'c1')} SELECT image_id, {_ROUND4} FROM c2""")
 def _(t):
     p = t.sql(_ARC_SPARK)
-    return FT.recentre(p.where("annotation_id % 2 = 0"), p, IMG)
+    return _round4(FT.recentre(p.where("annotation_id % 2 = 0"), p, IMG))

@@ -91,18 +91,19 @@ def _(t):
 
 @query("ver7_restore_image_ops", """WITH b AS (SELECT annotation_id, image_id, x FROM marks WHERE annotation_id % 7 <> 3), a AS (SELECT annotation_id, image_id, x + CASE WHEN annotation_id % 5 = 1 THEN 1 ELSE 0 END AS x FROM marks WHERE annotation_id % 9 <> 4)
 SELECT coalesce(a.image_id, b.image_id) AS image_id, coalesce(a.annotation_id, b.annotation_id) AS annotation_id, CASE WHEN b.annotation_id IS NULL THEN 'add' WHEN a.annotation_id IS NULL THEN 'remove' ELSE 'update' END AS kind
-FROM b FULL OUTER JOIN a ON a.annotation_id = b.annotation_id WHERE a.x IS DISTINCT FROM b.x AND coalesce(a.image_id, b.image_id) % 3 = 0""")
+FROM b FULL OUTER JOIN a ON a.annotation_id = b.annotation_id WHERE a.x IS DISTINCT FROM b.x""")
 def _(t):
-    m = t("marks").where("image_id % 3 = 0")
+    m = t("marks")
     after = m.where("annotation_id % 9 <> 4").withColumn("x", c("x") + F.when(c("annotation_id") % 5 == 1, 1).otherwise(0))
     return R.diff_ops(m.where("annotation_id % 7 <> 3"), after, ["image_id", "annotation_id"], ["x", "y", "group_id", "origin"]).select("image_id", "annotation_id", "kind")
 
 
-@query("ver8_restore_summary", """WITH r AS (SELECT image_id, image_id % 4 = 1 AS later, image_id % 3 = 0 AS changed FROM images WHERE deleted_at IS NULL), n AS (SELECT count(*) FILTER (WHERE changed AND NOT later) AS a, count(*) FILTER (WHERE later) AS b FROM r)
-SELECT CASE WHEN a > 0 THEN 'Annotations change on ' || a || CASE WHEN a = 1 THEN ' image' ELSE ' images' END ELSE 'No annotations change' END || CASE WHEN b > 0 THEN '; ' || b || CASE WHEN b = 1 THEN ' image added later moves' ELSE ' images added later move' END || ' to Recently removed (nothing is erased)' ELSE '' END || '.' AS summary FROM n""")
+@query("ver8_restore_summary", """SELECT project_id, count(*) FILTER (WHERE image_id % 3 = 0 AND image_id % 4 <> 1) AS images_changed, count(*) FILTER (WHERE image_id % 4 = 1) AS images_removed,
+ CASE WHEN count(*) FILTER (WHERE image_id % 3 = 0 AND image_id % 4 <> 1) > 0 THEN CASE WHEN count(*) FILTER (WHERE image_id % 4 = 1) > 0 THEN 'changes+removals' ELSE 'changes' END ELSE CASE WHEN count(*) FILTER (WHERE image_id % 4 = 1) > 0 THEN 'removals' ELSE 'none' END END AS effect
+FROM images WHERE deleted_at IS NULL GROUP BY project_id""")
 def _(t):
-    rows = C.active(t("images")).select("image_id", (c("image_id") % 4 == 1).alias("added_later"), (c("image_id") % 3 == 0).alias("changed"))
-    return V.restore_summary(rows)
+    rows = C.active(t("images")).select("project_id", "image_id", (c("image_id") % 4 == 1).alias("added_later"), (c("image_id") % 3 == 0).alias("changed"))
+    return V.restore_summary(rows, ["project_id"])
 
 
 @query("ver11_still_dirty", """SELECT l.image_id FROM manifest_local l LEFT JOIN (SELECT user_id AS image_id, max(event_id) AS s0 FROM events WHERE event_id < 700 GROUP BY 1) a ON a.image_id = l.image_id

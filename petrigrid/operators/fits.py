@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -14,61 +14,45 @@ c = F.col
 TAU = 2 * math.pi
 
 
-def circle_from_sums(s: dict[str, Column], n: Column, mx: Column, my: Column) -> Column:
-    """Algebraic circle as a struct from centred third-order sums; null when degenerate."""
-    det = s["uu"] * s["vv"] - s["uv"] * s["uv"]
-    b1 = (s["uuu"] + s["uvv"]) * 0.5
-    b2 = (s["vvv"] + s["vuu"]) * 0.5
-    uc = (b1 * s["vv"] - b2 * s["uv"]) / det
-    vc = (s["uu"] * b2 - s["uv"] * b1) / det
-    r = F.sqrt(uc * uc + vc * vc + (s["uu"] + s["vv"]) / n)
-    return F.when((n >= 3) & (F.abs(det) >= 1e-9), F.struct((uc + mx).alias("x"), (vc + my).alias("y"), r.alias("r")))
-
+def fit_circles(points: DataFrame, keys: list[str]) -> DataFrame:
+    """Least-squares circle per key (FIT1); collinear points and fewer than three give none.
 
-def _centred(pts: DataFrame, keys: list[str]) -> DataFrame:
-    u, v = c("x") - c("mx"), c("y") - c("my")
-    terms = {"uu": u * u, "vv": v * v, "uv": u * v, "uuu": u * u * u, "vvv": v * v * v, "uvv": u * v * v, "vuu": v * u * u}
-    return pts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.first("mx").alias("mx"), F.first("my").alias("my"), *[F.sum(e).alias("s_" + k) for k, e in terms.items()])
+    A circle is linear in the squared norm: x^2 + y^2 = 2 cx x + 2 cy y + const. So its centre is half
+    the slopes of a regression on (x, y), read off the covariances of one map-side-combined pass, and its
+    squared radius is the mean squared distance to that centre.
+    """
+    q = c("x") * c("x") + c("y") * c("y")
+    cov = {"xx": F.var_pop("x"), "yy": F.var_pop("y"), "xy": F.covar_pop("x", "y"), "xq": F.covar_pop("x", q), "yq": F.covar_pop("y", q)}
+    s = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), *[e.alias(k) for k, e in cov.items()])
+    s = s.withColumn("spread", c("xx") * c("yy") - c("xy") * c("xy")).where((c("n") >= 3) & (c("n") * c("n") * c("spread") >= 1e-9))
+    s = s.withColumns({"cx": (c("xq") * c("yy") - c("yq") * c("xy")) / (2 * c("spread")), "cy": (c("yq") * c("xx") - c("xq") * c("xy")) / (2 * c("spread"))})
+    off = (c("mx") - c("cx")) * (c("mx") - c("cx")) + (c("my") - c("cy")) * (c("my") - c("cy"))
+    return s.select(*keys, "cx", "cy", F.sqrt(off + c("xx") + c("yy")).alias("cr"))
 
 
-def fit_circles(points: DataFrame, keys: list[str]) -> DataFrame:
-    """Kasa fit per key: two grouped passes, both combine map-side (FIT1)."""
-    mean = points.groupBy(*keys).agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
-    s = _centred(points.join(mean, keys), keys)
-    k = ("uu", "vv", "uv", "uuu", "vvv", "uvv", "vuu")
-    fit = circle_from_sums({x: c("s_" + x) for x in k}, c("n"), c("mx"), c("my"))
-    return s.withColumn("fit", fit).where(c("fit").isNotNull()).select(*keys, c("fit.x").alias("cx"), c("fit.y").alias("cy"), c("fit.r").alias("cr"))
+def refine_circles(points: DataFrame, circles: DataFrame, keys: list[str], iterations: int = 10) -> DataFrame:
+    """Circles moved to the least orthogonal distances: at most ten rounds of grouped sums for all keys at once (FIT2).
 
+    For a given centre the best radius is the mean distance, so the radius is eliminated: the centre steps along
+    the regression of the distances on the unit vectors to the points, whose covariances one pass delivers.
+    """
+    from petrigrid.session import cut
 
-def refine_circles(points: DataFrame, circles: DataFrame, keys: list[str], iterations: int = 10) -> DataFrame:
-    """Gauss-Newton on orthogonal distances: at most ten rounds of grouped sums for all keys at once (FIT2)."""
     state = circles.withColumn("live", F.lit(True))
     for _ in range(iterations):
         p = points.join(state.where("live"), keys)
-        dx, dy = c("cx") - c("x"), c("cy") - c("y")
-        d0 = F.sqrt(dx * dx + dy * dy)
-        p = p.withColumns({"_dx": dx, "_dy": dy, "_d": F.when(d0 == 0, 1e-9).otherwise(d0)})
-        ja, jb, res = c("_dx") / c("_d"), c("_dy") / c("_d"), c("_d") - c("cr")
+        d = distance(c("x"), c("y"), c("cx"), c("cy"))
+        p = p.withColumn("_d", F.when(d == 0, 1e-9).otherwise(d)).withColumns({"_u": (c("cx") - c("x")) / c("_d"), "_v": (c("cy") - c("y")) / c("_d")})
         g = p.groupBy(*keys).agg(
-            F.sum(ja * ja).alias("a11"), F.sum(ja * jb).alias("a12"), F.sum(-ja).alias("a13"), F.sum(jb * jb).alias("a22"), F.sum(-jb).alias("a23"),
-            F.count(F.lit(1)).cast("double").alias("a33"), F.sum(ja * res).alias("g1"), F.sum(jb * res).alias("g2"), F.sum(-res).alias("g3"),
-        )
-        m = lambda n: c(n)
-        det = m("a11") * (m("a22") * m("a33") - m("a23") * m("a23")) - m("a12") * (m("a12") * m("a33") - m("a23") * m("a13")) + m("a13") * (m("a12") * m("a23") - m("a22") * m("a13"))
-        da = m("g1") * (m("a22") * m("a33") - m("a23") * m("a23")) - m("a12") * (m("g2") * m("a33") - m("a23") * m("g3")) + m("a13") * (m("g2") * m("a23") - m("a22") * m("g3"))
-        db = m("a11") * (m("g2") * m("a33") - m("a23") * m("g3")) - m("g1") * (m("a12") * m("a33") - m("a23") * m("a13")) + m("a13") * (m("a12") * m("g3") - m("g2") * m("a13"))
-        dr = m("a11") * (m("a22") * m("g3") - m("g2") * m("a23")) - m("a12") * (m("a12") * m("g3") - m("g2") * m("a13")) + m("g1") * (m("a12") * m("a23") - m("a22") * m("a13"))
-        step = g.withColumn("det", det).withColumns({"da": da / c("det"), "db": db / c("det"), "dr": dr / c("det")}).select(*keys, "det", "da", "db", "dr")
-        j = state.join(step, keys, "left")
-        go = c("live") & (F.abs("det") >= 1e-12)
-        moved = F.abs("da") + F.abs("db") + F.abs("dr")
-        go = F.coalesce(go, F.lit(False))
-        from petrigrid.session import cut
-
-        state = cut(j.select(
-            *keys, F.when(go, c("cx") - c("da")).otherwise(c("cx")).alias("cx"), F.when(go, c("cy") - c("db")).otherwise(c("cy")).alias("cy"),
-            F.when(go, c("cr") - c("dr")).otherwise(c("cr")).alias("cr"), (go & (moved >= 1e-4)).alias("live"),
-        ))
+            F.count(F.lit(1)).alias("_n"), F.avg("_d").alias("_md"), F.avg("_u").alias("_mu"), F.avg("_v").alias("_mv"), F.var_pop("_u").alias("_uu"), F.var_pop("_v").alias("_vv"),
+            F.covar_pop("_u", "_v").alias("_uv"), F.covar_pop("_u", "_d").alias("_ud"), F.covar_pop("_v", "_d").alias("_vd"),
+        )
+        g = g.withColumn("_w", c("_uu") * c("_vv") - c("_uv") * c("_uv")).where(c("_n") * c("_n") * c("_n") * c("_w") >= 1e-12)
+        g = g.withColumns({"_su": (c("_ud") * c("_vv") - c("_vd") * c("_uv")) / c("_w"), "_sv": (c("_vd") * c("_uu") - c("_ud") * c("_uv")) / c("_w")})
+        j = state.join(g.select(*keys, "_su", "_sv", (c("_md") - c("_mu") * c("_su") - c("_mv") * c("_sv")).alias("_r")), keys, "left")
+        go = c("live") & c("_r").isNotNull()
+        moved = F.abs("_su") + F.abs("_sv") + F.abs(c("_r") - c("cr"))
+        state = cut(j.select(*keys, *[F.when(go, new).otherwise(c(old)).alias(old) for old, new in (("cx", c("cx") - c("_su")), ("cy", c("cy") - c("_sv")), ("cr", c("_r")))], (go & (moved >= 1e-4)).alias("live")))
         if state.where("live").limit(1).count() == 0:
             break
     return state.select(*keys, "cx", "cy", F.abs("cr").alias("cr"))
@@ -97,17 +81,19 @@ def arc_span(points: DataFrame, centres: DataFrame, keys: list[str]) -> DataFram
     return s.join(n, keys).select(*keys, F.when(c("_n") < 2, 0.0).otherwise(F.lit(TAU) - c("widest")).alias("span"))
 
 
-def consensus_circles(points: DataFrame, keys: list[str], item: str, tol: float, triples: int = 40, seed: str = "0") -> DataFrame:
+def consensus_circles(points: DataFrame, keys: list[str], item: str, tol: float, triples: int = 200, seed: str = "0") -> DataFrame:
     """Robust circle: seeded minimal triples, most inliers wins, refit on the inliers (FIT4).
 
-    A triple is three hash-ranked picks of a bounded sample of 3 * triples points per
-    key; every point is then tested against the triples of its key only.
+    Each triple is three hashed positions among all points of the key in the order of ``item`` (an integer); a
+    triple that names one point twice, or is collinear, draws nothing. Every point is tested against the
+    triples of its key only.
     """
-    h = F.xxhash64(F.lit(seed), *[c(k) for k in keys], c(item))
-    w = W.partitionBy(*keys).orderBy("_h", item)
-    pick = points.withColumn("_h", h).withColumn("_rn", F.row_number().over(w)).where(c("_rn") <= 3 * triples)
-    size = pick.groupBy(*keys).agg(F.floor(F.count(F.lit(1)) / 3).alias("_t"))
-    tri = pick.join(size, keys).withColumn("triple", (c("_rn") - 1) % c("_t")).where(c("_rn") <= c("_t") * 3)
+    from petrigrid.plans.ranks import ordered_rank
+
+    n = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    draw = n.withColumn("triple", F.explode(F.sequence(F.lit(0), F.lit(triples - 1)))).withColumn("slot", F.explode(F.array(*[F.lit(i) for i in range(3)])))
+    draw = draw.withColumn("_at", F.pmod(F.xxhash64(F.lit(seed), *[c(k) for k in keys], "triple", "slot"), c("_n")) + 1)
+    tri = ordered_rank(points, keys, item, "_at").join(draw.select(*keys, "triple", "_at").distinct(), [*keys, "_at"])
     cand = fit_circles(tri.select(*keys, "triple", "x", "y"), [*keys, "triple"])
     near = F.abs(distance(c("x"), c("y"), c("cx"), c("cy")) - c("cr")) <= tol
     votes = points.join(cand, keys).where(near).groupBy(*keys, "triple", "cx", "cy", "cr").agg(F.count(F.lit(1)).alias("inliers"))

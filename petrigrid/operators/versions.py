@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from petrigrid.functions.text import plural
 
 HOUR_US = 3_600_000_000
 DAY_US = 24 * HOUR_US
@@ -156,13 +155,12 @@ def restored_documents(version_images: DataFrame, version_docs: DataFrame, curre
     return j.select("image_id", src.alias("source")).where(F.col("source").isNotNull())
 
 
-def restore_summary(rows: DataFrame) -> DataFrame:
-    """One sentence on what a restore changes (VER8), from the image comparison."""
-    a = rows.agg(F.count_if(F.col("changed") & ~F.col("added_later")).alias("changed"), F.count_if("added_later").alias("later"))
-    first = F.when(F.col("changed") > 0, F.concat(F.lit("Annotations change on "), plural(F.col("changed"), "image"))).otherwise("No annotations change")
-    verb = F.when(F.col("later") == 1, "moves").otherwise("move")
-    second = F.concat(plural(F.col("later"), "image"), F.lit(" added later "), verb, F.lit(" to Recently removed (nothing is erased)"))
-    return a.select(F.concat(F.concat_ws("; ", first, F.when(F.col("later") > 0, second)), F.lit(".")).alias("summary"))
+def restore_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """What a restore changes per project (VER8), from the image comparison: images whose annotations change, images
+    added later that move to the removed ones, and a code for the two."""
+    a = rows.groupBy(*keys).agg(F.count_if(F.col("changed") & ~F.col("added_later")).alias("images_changed"), F.count_if("added_later").alias("images_removed"))
+    changes, removals = F.col("images_changed") > 0, F.col("images_removed") > 0
+    return a.withColumn("effect", F.when(changes & removals, "changes+removals").when(changes, "changes").when(removals, "removals").otherwise("none"))
 
 
 def day_title(day: Column, today: Column) -> Column:

@@ -75,10 +75,10 @@ def archive_images(spark: SparkSession, path: str, id_pattern: str = r"images/([
 def archive_warnings(images: DataFrame, files: DataFrame, documents: DataFrame) -> DataFrame:
     """Missing image files, fingerprints that differ, stray documents (SRC2, VAL12)."""
     j = images.join(files.select("image_id", "sha256"), "image_id", "left")
-    gone = j.where(c("sha256").isNull() & (c("source.kind") == "local")).select(F.concat(F.lit('The archive has no image file for "'), c("image_name"), F.lit('".')).alias("warning"))
-    diff = j.where(c("sha256") != c("fingerprint")).select(F.concat(F.lit('The image file for "'), c("image_name"), F.lit('" does not match its recorded fingerprint.')).alias("warning"))
+    gone = j.where(c("sha256").isNull() & (c("source.kind") == "local")).select(F.concat(F.lit("image-file-missing: "), c("image_name")).alias("warning"))
+    diff = j.where(c("sha256") != c("fingerprint")).select(F.concat(F.lit("fingerprint-differs: "), c("image_name")).alias("warning"))
     stray = documents.select(c("file_image_id").alias("image_id")).join(images.select("image_id"), "image_id", "left_anti").agg(F.count(F.lit(1)).alias("n")).where("n > 0")
-    return gone.unionByName(diff).unionByName(stray.select(F.format_string("%d annotation file(s) for images not in project.json were ignored.", "n").alias("warning")))
+    return gone.unionByName(diff).unionByName(stray.select(F.format_string("stray-documents: %d", "n").alias("warning")))
 
 
 def seeds_of(entries: DataFrame) -> DataFrame:
