@@ -82,21 +82,24 @@ def _(t):
     return C.seed_marks(t("marks")).select("annotation_id", "image_id", "group_id")
 
 
+# one project without groups and one without examples, so that every reason occurs
 @query("fil8_find_block", """
-WITH s AS (SELECT image_id, group_id, least(count(*), 40) AS seeds FROM marks WHERE origin='manual' AND review_status='accepted' GROUP BY 1,2),
-elig AS (SELECT s.* FROM s JOIN images i ON s.image_id = i.image_id WHERE i.deleted_at IS NULL AND i.image_id % 6 <> 1 AND s.seeds >= 3),
-refs AS (SELECT group_id, count(*) AS n FROM elig GROUP BY 1),
-grid AS (SELECT i.image_id, i.image_id % 6 = 1 AS mismatch, i.image_id % 8 = 3 AS size_mismatch, g.group_id, g.locked, g.hidden
- FROM images i JOIN project_groups g ON g.project_id = i.project_id)
-SELECT q.image_id, q.group_id, CASE WHEN q.locked THEN 'locked' WHEN q.hidden THEN 'hidden' WHEN q.mismatch THEN 'source-mismatch'
+WITH m AS (SELECT m.* FROM marks m JOIN images i ON i.image_id = m.image_id WHERE i.project_id <> 'p2'),
+s AS (SELECT image_id, group_id, least(count(*), 40) AS seeds FROM m WHERE origin='manual' AND review_status='accepted' GROUP BY 1,2),
+elig AS (SELECT s.*, i.project_id FROM s JOIN images i ON s.image_id = i.image_id WHERE i.deleted_at IS NULL AND i.image_id % 6 <> 1 AND s.seeds >= 3),
+refs AS (SELECT project_id, group_id, count(*) AS n FROM elig GROUP BY 1, 2),
+grid AS (SELECT i.image_id, i.project_id, i.image_id % 6 = 1 AS mismatch, i.image_id % 8 = 3 AS size_mismatch, g.group_id, g.locked, g.hidden
+ FROM images i LEFT JOIN (SELECT * FROM project_groups WHERE project_id <> 'p3') g ON g.project_id = i.project_id)
+SELECT q.image_id, q.group_id, CASE WHEN q.group_id IS NULL THEN 'no-group' WHEN q.locked THEN 'locked' WHEN q.hidden THEN 'hidden' WHEN q.mismatch THEN 'source-mismatch'
  WHEN q.size_mismatch THEN 'size-mismatch' WHEN coalesce(s.seeds,0)=0 AND coalesce(r.n,0) - CASE WHEN e.image_id IS NULL THEN 0 ELSE 1 END = 0 THEN 'no-seeds' END AS block
-FROM grid q LEFT JOIN s ON s.image_id=q.image_id AND s.group_id=q.group_id LEFT JOIN refs r ON r.group_id=q.group_id
+FROM grid q LEFT JOIN s ON s.image_id=q.image_id AND s.group_id=q.group_id LEFT JOIN refs r ON r.project_id=q.project_id AND r.group_id=q.group_id
 LEFT JOIN elig e ON e.image_id=q.image_id AND e.group_id=q.group_id""")
 def _(t):
     from petrigrid.operators.reconcile import find_block
 
     images = t("images").withColumns({"source_mismatch": F.col("image_id") % 6 == 1, "size_mismatch": F.col("image_id") % 8 == 3})
-    return find_block(images, t("project_groups"), t("marks"))
+    marks = t("marks").join(images.where("project_id = 'p2'").select("image_id"), "image_id", "left_anti")
+    return find_block(images, t("project_groups").where("project_id <> 'p3'"), marks)
 
 
 @query("fil9_points_in_box", """
@@ -212,24 +215,24 @@ def _(t):
 
 
 @query("agg8_clear_summary", """
-WITH per AS (SELECT m.group_id, m.image_id, count(*) AS total, count(*) FILTER (WHERE origin='manual') AS manual, count(*) FILTER (WHERE origin<>'manual') AS automated
- FROM marks m JOIN images i ON i.image_id = m.image_id WHERE i.deleted_at IS NULL GROUP BY 1, 2)
-SELECT group_id, CAST(sum(total) AS BIGINT) AS total, CAST(sum(manual) AS BIGINT) AS manual, CAST(sum(automated) AS BIGINT) AS automated, count(*) AS images FROM per GROUP BY 1""")
+WITH per AS (SELECT i.project_id, m.group_id, m.image_id, count(*) AS total, count(*) FILTER (WHERE origin='manual') AS manual, count(*) FILTER (WHERE origin<>'manual') AS automated
+ FROM marks m JOIN images i ON i.image_id = m.image_id WHERE i.deleted_at IS NULL GROUP BY 1, 2, 3)
+SELECT project_id, group_id, CAST(sum(total) AS BIGINT) AS total, CAST(sum(manual) AS BIGINT) AS manual, CAST(sum(automated) AS BIGINT) AS automated, count(*) AS images FROM per GROUP BY 1, 2""")
 def _(t):
     return C.clear_summary(t("marks"), t("images"))
 
 
-@query("agg9_group_usage", "SELECT group_id, count(*) AS annotations, count(DISTINCT image_id) AS images FROM annotations GROUP BY 1")
+@query("agg9_group_usage", "SELECT i.project_id, a.group_id, count(*) AS annotations, count(DISTINCT a.image_id) AS images FROM annotations a JOIN images i ON i.image_id = a.image_id GROUP BY 1, 2")
 def _(t):
-    return C.group_usage(t("annotations"))
+    return C.group_usage(t("annotations"), t("images"))
 
 
 @query("agg10_version_counts", """
-WITH per AS (SELECT m.group_id, count(*) AS n FROM marks m JOIN images i ON i.image_id = m.image_id WHERE i.deleted_at IS NULL AND m.review_status='accepted' GROUP BY 1)
-SELECT g.group_id, g.group_name, coalesce(p.n, 0) AS confirmed FROM annotation_groups g LEFT JOIN per p ON p.group_id = g.group_id
-UNION ALL SELECT '*', '(total)', CAST(coalesce(sum(n), 0) AS BIGINT) FROM per""")
+WITH per AS (SELECT i.project_id, m.group_id, count(*) AS n FROM marks m JOIN images i ON i.image_id = m.image_id WHERE i.deleted_at IS NULL AND m.review_status='accepted' GROUP BY 1, 2)
+SELECT g.project_id, g.group_id, g.group_name, coalesce(p.n, 0) AS confirmed FROM project_groups g LEFT JOIN per p ON p.project_id = g.project_id AND p.group_id = g.group_id
+UNION ALL SELECT g.project_id, '*', '(total)', coalesce((SELECT CAST(sum(n) AS BIGINT) FROM per WHERE per.project_id = g.project_id), 0) FROM (SELECT DISTINCT project_id FROM project_groups) g""")
 def _(t):
-    return C.version_counts(t("marks"), t("images"), t("annotation_groups"))
+    return C.version_counts(t("marks"), t("images"), t("project_groups"))
 
 
 @query("agg21_project_summaries", """

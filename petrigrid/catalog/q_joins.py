@@ -171,15 +171,15 @@ def _(t):
     return ops.select("annotation_id", "kind", c("before.x").alias("before_x"), c("after.x").alias("after_x"))
 
 
-@query("jon15_compare_groups", """WITH v AS (SELECT group_id, count(*) AS n FROM marks WHERE review_status = 'accepted' AND annotation_id % 7 <> 3 GROUP BY 1), w AS (SELECT group_id, count(*) AS n FROM marks WHERE review_status = 'accepted' GROUP BY 1),
-vg AS (SELECT * FROM (VALUES ('F'), ('P'), ('Z')) AS t(group_id))
-SELECT coalesce(vg.group_id, g.group_id) AS group_id, CASE WHEN vg.group_id IS NULL THEN 0 ELSE coalesce(v.n, 0) END AS version, coalesce(w.n, 0) AS now,
+@query("jon15_compare_groups", """WITH c AS (SELECT i.project_id, m.group_id, count(*) AS now, count(*) FILTER (WHERE annotation_id % 7 <> 3) AS version FROM marks m JOIN images i ON i.image_id = m.image_id WHERE review_status = 'accepted' GROUP BY 1, 2),
+vg AS (SELECT project_id, group_id FROM projects, (VALUES ('F'), ('P'), ('Z')) AS t(group_id) WHERE project_id <> 'p4')
+SELECT coalesce(vg.project_id, g.project_id) AS project_id, coalesce(vg.group_id, g.group_id) AS group_id, CASE WHEN vg.group_id IS NULL THEN 0 ELSE coalesce(c.version, 0) END AS version, coalesce(c.now, 0) AS now,
  CASE WHEN vg.group_id IS NULL THEN 'now-only' WHEN g.group_id IS NULL THEN 'version-only' ELSE 'both' END AS status
-FROM vg FULL OUTER JOIN annotation_groups g ON g.group_id = vg.group_id LEFT JOIN v ON v.group_id = vg.group_id LEFT JOIN w ON w.group_id = coalesce(vg.group_id, g.group_id)""")
+FROM vg FULL OUTER JOIN project_groups g ON g.project_id = vg.project_id AND g.group_id = vg.group_id LEFT JOIN c ON c.project_id = coalesce(vg.project_id, g.project_id) AND c.group_id = coalesce(vg.group_id, g.group_id)""")
 def _(t):
-    vg = t.spark.sql("SELECT * FROM (VALUES ('F'), ('P'), ('Z')) AS t(group_id)")
-    old = C.confirmed_by_group(t("marks").where("annotation_id % 7 <> 3"), ["group_id"])
-    return R.compare_groups(vg, t("annotation_groups"), old, C.confirmed_by_group(t("marks"), ["group_id"]))
+    vg = t("projects").where("project_id <> 'p4'").select("project_id", F.explode(F.array(*map(F.lit, "FPZ"))).alias("group_id"))
+    old = C.confirmed_by_project(t("marks").where("annotation_id % 7 <> 3"), t("images"))
+    return R.compare_groups(vg, t("project_groups"), old, C.confirmed_by_project(t("marks"), t("images")))
 
 
 @query("jon16_compare_images", """WITH vi AS (SELECT image_id, deleted_at FROM images WHERE image_id % 4 <> 1), vm AS (SELECT * FROM marks WHERE image_id % 4 <> 1 AND NOT (image_id % 3 = 0 AND annotation_id % 50 = 7)),
@@ -232,16 +232,16 @@ def _(t):
 
 
 @query("jon22_reference_candidates", """WITH s AS (SELECT image_id, group_id, least(count(*), 40) AS seeds FROM marks WHERE origin='manual' AND review_status='accepted' GROUP BY 1,2)
-SELECT s.group_id, s.image_id, i.image_name, s.seeds FROM s JOIN images i ON i.image_id = s.image_id WHERE s.seeds >= 3 AND i.deleted_at IS NULL AND i.image_id % 6 <> 1""")
+SELECT i.project_id, s.group_id, s.image_id, i.image_name, s.seeds FROM s JOIN images i ON i.image_id = s.image_id WHERE s.seeds >= 3 AND i.deleted_at IS NULL AND i.image_id % 6 <> 1""")
 def _(t):
     images = t("images").withColumn("source_mismatch", c("image_id") % 6 == 1)
-    return R.reference_candidates(images, t("marks")).select("group_id", "image_id", "image_name", c("seeds").cast("bigint").alias("seeds"))
+    return R.reference_candidates(images, t("marks")).select("project_id", "group_id", "image_id", "image_name", c("seeds").cast("bigint").alias("seeds"))
 
 
 @query("jon22_default_source", """WITH s AS (SELECT image_id, group_id, least(count(*), 40) AS seeds FROM marks WHERE origin='manual' AND review_status='accepted' AND (image_id % 4 <> 0 OR annotation_id % 1000 = 0) GROUP BY 1,2),
-k AS (SELECT s.group_id, s.image_id, s.seeds, i.image_name FROM s JOIN images i ON i.image_id = s.image_id WHERE s.seeds >= 3 AND i.deleted_at IS NULL AND i.image_id % 6 <> 1),
-q AS (SELECT i.image_id, g.group_id, coalesce(s.seeds, 0) AS own FROM images i JOIN project_groups g ON g.project_id = i.project_id LEFT JOIN s ON s.image_id = i.image_id AND s.group_id = g.group_id WHERE i.deleted_at IS NULL)
-SELECT q.image_id, q.group_id, CASE WHEN q.own >= 3 THEN NULL ELSE (SELECT k.image_id FROM k WHERE k.group_id = q.group_id AND k.image_id <> q.image_id ORDER BY k.seeds DESC, k.image_name, k.image_id LIMIT 1) END AS reference_image_id FROM q""")
+k AS (SELECT i.project_id, s.group_id, s.image_id, s.seeds, i.image_name FROM s JOIN images i ON i.image_id = s.image_id WHERE s.seeds >= 3 AND i.deleted_at IS NULL AND i.image_id % 6 <> 1),
+q AS (SELECT i.project_id, i.image_id, g.group_id, coalesce(s.seeds, 0) AS own FROM images i JOIN project_groups g ON g.project_id = i.project_id LEFT JOIN s ON s.image_id = i.image_id AND s.group_id = g.group_id WHERE i.deleted_at IS NULL)
+SELECT q.image_id, q.group_id, CASE WHEN q.own >= 3 THEN NULL ELSE (SELECT k.image_id FROM k WHERE k.project_id = q.project_id AND k.group_id = q.group_id AND k.image_id <> q.image_id ORDER BY k.seeds DESC, k.image_name, k.image_id LIMIT 1) END AS reference_image_id FROM q""")
 def _(t):
     images = t("images").withColumn("source_mismatch", c("image_id") % 6 == 1)
     return R.default_seed_source(images, t("project_groups"), t("marks").where("image_id % 4 <> 0 OR annotation_id % 1000 = 0"))

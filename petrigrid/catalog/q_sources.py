@@ -160,33 +160,50 @@ def _(t):
 # ---------------------------------------------------------------- streams
 
 
-def _op_stream(t, files=3):
+def _op_stream(t, files=3, delayed=None, beat=None):
+    """The op log as a stream of one file per batch, in the order of ``seq``.
+
+    ``delayed`` rows arrive one file later than their turn. ``beat`` adds two closing files of one row without an
+    image, that far behind the newest: the first moves the watermark, the second lets what it closed come out.
+    """
     path = scratch(t.spark, "ops")
     o = t("op_log").withColumn("ts", c("ts").cast("timestamp"))
-    # arrival order follows seq: one file per slice
-    o.repartitionByRange(files, "seq").write.parquet(path)
-    return t.spark.readStream.schema(o.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(path)
+    lo, hi, last = o.agg(F.min("seq"), F.max("seq") + 1, F.max("ts")).first()
+    turn = F.floor((c("seq") - lo) * files / (hi - lo))
+    if delayed is not None:
+        turn = turn + F.when(delayed, 1).otherwise(0)
+    for i in range(files + (delayed is not None)):
+        o.where(turn == i).coalesce(4).write.mode("append").parquet(f"{path}/{i:04d}")
+    beats = 2 if beat else 0
+    for i in range(beats):
+        row = o.limit(1).select(*[F.lit(last).alias("ts") + F.expr(f"INTERVAL {beat}") * (i + 1) if n == "ts" else F.lit(None).cast(k).alias(n) for n, k in o.dtypes])
+        row.toDF(*o.columns).write.mode("append").parquet(f"{path}/{9000 + i}")
+    return _in_turn(t.spark, o.schema, path)
+
+
+def _in_turn(spark, schema, path):
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{path}/*")
 
 
 @query("str1_replay_stream", REGISTRY["str1_replay"][1] if "str1_replay" in REGISTRY else None)
 def _(t):
-    s = ST.replay_stream(_op_stream(t, 1), IMG, "annotation_id")
+    s = ST.replay_stream(_op_stream(t, 3, c("seq") % 10 == 3), IMG, "annotation_id", "ts", "25 days")
     out = ST.latest(ST.run_available(s, "update", "replay"), ["image_id", "annotation_id"])
     return out.where("alive").select("image_id", "annotation_id", "position", "x")
 
 
 @query("str3_undo_redo_stream")
 def _(t):
-    o = _op_stream(t, 1)
+    o = _op_stream(t, 3)
     action = F.when(c("kind") == "remove", "undo").when(c("kind") == "update", "redo").otherwise("edit")
     cmds = o.select("image_id", "seq", action.alias("action"), c("seq").alias("entry"), (c("annotation_id") == 7).alias("blocked"))
     return ST.run_available(ST.history_stream(cmds), "append", "history").drop("batch")
 
 
-@query("str5_debounced_stream")
+@query("str5_debounced_stream", REGISTRY["str5_debounced_saves"][1] if "str5_debounced_saves" in REGISTRY else None)
 def _(t):
-    s = ST.debounced_saves_stream(_op_stream(t), IMG, "ts", "2 hours", "1 day")
-    return ST.run_available(s, "append", "saves").drop("batch")
+    s = ST.debounced_saves_stream(_op_stream(t, 3, beat="2 DAY"), IMG, "ts", "2 hours", "1 day")
+    return ST.run_available(s, "append", "saves").where("image_id is not null").select("image_id", "edits", F.col("last_edit").cast("timestamp_ntz").alias("last_edit"))
 
 
 @query("str8_counts_stream", "SELECT image_id, annotation_id, CAST(sum(CASE kind WHEN 'add' THEN 1 WHEN 'remove' THEN -1 ELSE 0 END) AS BIGINT) AS net FROM op_log GROUP BY 1, 2")

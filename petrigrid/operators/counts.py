@@ -198,30 +198,36 @@ def summary_rows(images: DataFrame, image_groups: DataFrame, groups: DataFrame,
 
 
 def clear_summary(marks: DataFrame, images: DataFrame) -> DataFrame:
-    """What clearing each group would remove on active images (AGG8)."""
-    per = tally(marks, ["image_id", "group_id"]).join(active(images).select("image_id"), "image_id", "left_semi")
-    return per.groupBy("group_id").agg(
+    """What clearing each group of a project would remove on active images (AGG8)."""
+    per = tally(marks, ["image_id", "group_id"]).join(active(images).select("image_id", "project_id"), "image_id")
+    return per.groupBy("project_id", "group_id").agg(
         F.sum("total").alias("total"), F.sum("manual").alias("manual"), F.sum("automated").alias("automated"), F.count(F.lit(1)).alias("images")
     )
 
 
-def group_usage(marks: DataFrame) -> DataFrame:
-    """Annotations and images per group over all documents, removed images too (AGG9)."""
-    per = marks.groupBy("group_id", "image_id").agg(F.count(F.lit(1)).alias("n"))
-    return per.groupBy("group_id").agg(F.sum("n").alias("annotations"), F.count(F.lit(1)).alias("images"))
+def group_usage(marks: DataFrame, images: DataFrame) -> DataFrame:
+    """Annotations and images per project and group over all documents, removed images too (AGG9)."""
+    per = marks.groupBy("group_id", "image_id").agg(F.count(F.lit(1)).alias("n")).join(images.select("image_id", "project_id"), "image_id")
+    return per.groupBy("project_id", "group_id").agg(F.sum("n").alias("annotations"), F.count(F.lit(1)).alias("images"))
 
 
 def confirmed_by_group(marks: DataFrame, keys: list[str]) -> DataFrame:
     return marks.where(is_confirmed()).groupBy(*keys).agg(F.count(F.lit(1)).alias("confirmed"))
 
 
+def confirmed_by_project(marks: DataFrame, images: DataFrame) -> DataFrame:
+    """Confirmed marks per project and group; the images are joined to counts, not to marks."""
+    per = confirmed_by_group(marks, ["image_id", "group_id"]).join(images.select("image_id", "project_id"), "image_id")
+    return per.groupBy("project_id", "group_id").agg(F.sum("confirmed").alias("confirmed"))
+
+
 def version_counts(marks: DataFrame, images: DataFrame, groups: DataFrame) -> DataFrame:
-    """Per project group and in total (orphan groups included), active images only (AGG10)."""
-    per_image = confirmed_by_group(marks, ["image_id", "group_id"])
-    per = per_image.join(active(images).select("image_id"), "image_id", "left_semi").groupBy("group_id").agg(F.sum("confirmed").alias("n"))
-    named = groups.select("group_id", "group_name").join(per, "group_id", "left").select("group_id", "group_name", F.coalesce("n", F.lit(0)).alias("confirmed"))
-    total = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("confirmed")).select(F.lit("*").alias("group_id"), F.lit("(total)").alias("group_name"), "confirmed")
-    return named.unionByName(total)
+    """Per group of a project and per project in total (orphan groups included), active images only (AGG10)."""
+    key = ["project_id", "group_id"]
+    per = confirmed_by_project(marks, active(images))
+    named = groups.select(*key, "group_name").join(per, key, "left").select(*key, "group_name", F.coalesce("confirmed", F.lit(0)).alias("confirmed"))
+    sums = groups.select("project_id").distinct().join(per.groupBy("project_id").agg(F.sum("confirmed").alias("n")), "project_id", "full_outer")
+    return named.unionByName(sums.select("project_id", F.lit("*").alias("group_id"), F.lit("(total)").alias("group_name"), F.coalesce("n", F.lit(0)).alias("confirmed")))
 
 
 def display_order(images: DataFrame, groups: DataFrame) -> DataFrame:

@@ -17,18 +17,19 @@ def resolve_groups(marks: DataFrame, groups: DataFrame, snapshots: DataFrame) ->
 
 
 def find_block(images: DataFrame, groups: DataFrame, marks: DataFrame) -> DataFrame:
-    """Why a similarity search cannot run, per image and group (FIL8); null = it can.
+    """Why a similarity search cannot run, per image and group of its project (FIL8); null = it can.
 
-    Order: no-group > locked > hidden > source-mismatch > size-mismatch > no-seeds.
+    Order: no-group > locked > hidden > source-mismatch > size-mismatch > no-seeds. An image of a project
+    without groups has one row without a group. Examples come from images of the same project only.
     """
     seeds = seed_counts(marks)
     ok = seeds.join(images.where(F.col("deleted_at").isNull() & ~F.col("source_mismatch")).select("image_id", "project_id"), "image_id").where(F.col("seeds") >= MIN_SEEDS)
-    refs = ok.groupBy("group_id").agg(F.count(F.lit(1)).alias("refs"))
+    refs = ok.groupBy("project_id", "group_id").agg(F.count(F.lit(1)).alias("refs"))
     own = ok.select("image_id", "group_id", F.lit(1).alias("own"))
-    grid = images.join(groups.select("project_id", "group_id", "locked", "hidden"), "project_id")
-    j = grid.join(seeds, ["image_id", "group_id"], "left").join(refs, "group_id", "left").join(own, ["image_id", "group_id"], "left")
+    grid = images.join(groups.select("project_id", "group_id", "locked", "hidden"), "project_id", "left")
+    j = grid.join(seeds, ["image_id", "group_id"], "left").join(refs, ["project_id", "group_id"], "left").join(own, ["image_id", "group_id"], "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    block = edit_block(F.lit(True), F.col("locked"), F.col("hidden"))
+    block = edit_block(F.col("group_id").isNotNull(), F.col("locked"), F.col("hidden"))
     block = (
         F.when(block.isNotNull(), block)
         .when(F.col("source_mismatch"), "source-mismatch")
@@ -39,29 +40,27 @@ def find_block(images: DataFrame, groups: DataFrame, marks: DataFrame) -> DataFr
 
 
 def reference_candidates(images: DataFrame, marks: DataFrame) -> DataFrame:
-    """Images that can lend examples, per group: at least three seeds, unchanged, not removed (JON22).
+    """Images that can lend examples, per project and group: at least three seeds, unchanged, not removed (JON22).
 
     The list "for another image" is this list without that image, so no image pairs are formed.
     """
-    usable = images.where(F.col("deleted_at").isNull() & ~F.col("source_mismatch")).select("image_id", "image_name")
+    usable = images.where(F.col("deleted_at").isNull() & ~F.col("source_mismatch")).select("project_id", "image_id", "image_name")
     return seed_counts(marks).where(F.col("seeds") >= MIN_SEEDS).join(usable, "image_id")
 
 
 def default_seed_source(images: DataFrame, groups: DataFrame, marks: DataFrame) -> DataFrame:
-    """Per image and group: this image when it has enough seeds, else the best other image, if any.
+    """Per image and group: this image when it has enough seeds, else the best other image of its project, if any.
 
-    The best two candidates per group settle every image: the best one that is not itself.
+    The best two candidates per project and group settle every image: the best one that is not itself. Both are
+    map-side-combined extremes, the second over what is left without the first.
     """
-    from pyspark.sql.window import Window as W
-
-    cand = reference_candidates(images, marks)
-    w = W.partitionBy("group_id").orderBy(F.col("seeds").desc(), "image_name", "image_id")
-    top = cand.withColumn("rk", F.row_number().over(w)).where("rk <= 2")
-    best = top.groupBy("group_id").agg(
-        F.max(F.when(F.col("rk") == 1, F.col("image_id"))).alias("b1"), F.max(F.when(F.col("rk") == 2, F.col("image_id"))).alias("b2")
-    )
-    grid = active(images).join(groups.select("project_id", "group_id"), "project_id").select("image_id", "group_id")
-    j = grid.join(seed_counts(marks), ["image_id", "group_id"], "left").join(best, "group_id", "left")
+    key = ["project_id", "group_id"]
+    cand = reference_candidates(images, marks).select(*key, F.struct((-F.col("seeds")).alias("s"), "image_name", "image_id").alias("c"))
+    first = cand.groupBy(*key).agg(F.min("c").alias("c1"))
+    second = cand.join(first, key).where("c <> c1").groupBy(*key).agg(F.min("c").alias("c2"))
+    best = first.join(second, key, "left").select(*key, F.col("c1.image_id").alias("b1"), F.col("c2.image_id").alias("b2"))
+    grid = active(images).join(groups.select(*key), "project_id").select("project_id", "image_id", "group_id")
+    j = grid.join(seed_counts(marks), ["image_id", "group_id"], "left").join(best, key, "left")
     other = F.when(F.col("b1") == F.col("image_id"), F.col("b2")).otherwise(F.col("b1"))
     local = (F.coalesce("seeds", F.lit(0)) >= MIN_SEEDS) | other.isNull()
     return j.select("image_id", "group_id", F.when(local, F.lit(None)).otherwise(other).alias("reference_image_id"))
@@ -88,14 +87,13 @@ def diff_ops(before: DataFrame, after: DataFrame, keys: list[str], payload: list
 
 
 def compare_groups(version_groups: DataFrame, now_groups: DataFrame, version_counts: DataFrame, now_counts: DataFrame) -> DataFrame:
-    """Counts per group then and now: both / version-only / now-only (JON15)."""
-    v = version_groups.select("group_id", F.lit(True).alias("_v")).join(version_counts.select("group_id", F.col("confirmed").alias("cv")), "group_id", "left")
-    n = now_groups.select("group_id", F.lit(True).alias("_n"))
-    nc = now_counts.select("group_id", F.col("confirmed").alias("cn"))
-    j = v.join(n, "group_id", "full_outer").join(nc, "group_id", "left")
+    """Counts per project and group then and now: both / version-only / now-only (JON15)."""
+    key = ["project_id", "group_id"]
+    v = version_groups.select(*key, F.lit(True).alias("_v")).join(version_counts.select(*key, F.col("confirmed").alias("cv")), key, "left")
+    j = v.join(now_groups.select(*key, F.lit(True).alias("_n")), key, "full_outer").join(now_counts.select(*key, F.col("confirmed").alias("cn")), key, "left")
     status = F.when(F.col("_v").isNull(), "now-only").when(F.col("_n").isNull(), "version-only").otherwise("both")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
-    return j.select("group_id", F.when(F.col("_v").isNull(), F.lit(0)).otherwise(zero("cv")).cast("bigint").alias("version"), zero("cn").alias("now"), status.alias("status"))
+    return j.select(*key, F.when(F.col("_v").isNull(), F.lit(0)).otherwise(zero("cv")).cast("bigint").alias("version"), zero("cn").alias("now"), status.alias("status"))
 
 
 def list_signature(marks: DataFrame, keys: list[str], payload: list[str]) -> DataFrame:

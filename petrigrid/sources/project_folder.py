@@ -95,7 +95,7 @@ def shared_project(doc: Column) -> Column:
 
 
 def project_documents(projects: DataFrame, images: DataFrame, groups: DataFrame, image_groups: DataFrame) -> DataFrame:
-    """One project document per project; child lists are a project's own images and groups."""
+    """One project document per project; child lists are a project's own images, groups and the image groups its images are in."""
     im = images.groupBy("project_id").agg(
         F.sort_array(
             F.collect_list(
@@ -113,9 +113,10 @@ def project_documents(projects: DataFrame, images: DataFrame, groups: DataFrame,
             )
         ).alias("groups")
     )
-    ig = image_groups.agg(F.sort_array(F.collect_list(F.struct("group_ord", c("image_group_id").cast("string").alias("id"), c("image_group_name").alias("name")))).alias("ig"))
+    used = images.where(c("image_group_id").isNotNull()).select("project_id", "image_group_id").distinct()
+    ig = used.join(image_groups, "image_group_id").groupBy("project_id").agg(F.sort_array(F.collect_list(F.struct("group_ord", c("image_group_id").cast("string").alias("id"), c("image_group_name").alias("name")))).alias("ig"))
     drop = lambda arr, n: F.transform(arr, lambda s: s.dropFields(n))
-    j = projects.join(im, "project_id", "left").join(gr, "project_id", "left").join(F.broadcast(ig))
+    j = projects.join(im, "project_id", "left").join(gr, "project_id", "left").join(ig, "project_id", "left")
     storage = F.struct(c("storage_kind").alias("kind"), F.lit("folder").alias("folderId"), F.lit("Folder").alias("folderName"), F.lit("someone@example.org").alias("account"))
     doc = F.struct(
         F.lit(1).alias("schemaVersion"), c("project_id").alias("id"), c("project_name").alias("name"), F.lit("2024-01-01T00:00:00Z").alias("createdAt"), F.lit("2024-01-02T00:00:00Z").alias("updatedAt"),

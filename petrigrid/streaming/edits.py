@@ -32,32 +32,43 @@ def run_available(stream: DataFrame, mode: str, name: str = "stream") -> DataFra
     return spark.read.schema(schema).parquet(out)
 
 
-def replay_stream(ops: DataFrame, keys: list[str], item: str, late: str = "1 hour") -> DataFrame:
+def replay_stream(ops: DataFrame, keys: list[str], item: str, ts: str, late: str) -> DataFrame:
     """Current state of every mark from a stream of ops (STR1).
 
-    State is one small row per mark, not per image. Ops of a batch apply in ``seq``
-    order. Emits the mark after each batch that touched it (``alive`` false = removed).
+    State per mark is what the ops older than the watermark add up to, and the newer ops one by one, so an op that
+    arrives up to ``late`` behind the newest still takes its place in ``seq`` order. Emits the mark after each
+    batch that touched it (``alive`` false = removed).
     """
     key = [*keys, item]
     kinds = dict(ops.dtypes)
     head = ", ".join(f"{k} {kinds[k]}" for k in key)
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        alive, position, x, seen = state.get if state.exists else (False, -1, 0.0, -1)
-        rows = pd.concat(list(batches)).sort_values("seq")  # one mark's ops of one batch
-        for seq, kind, val in rows[["seq", "kind", "x"]].itertuples(index=False):
+    def apply(mark: tuple, ops_: list) -> tuple:
+        alive, position, x = mark
+        for seq, kind, val, _ in ops_:
             if kind == "add" and not alive:
-                alive, position, x = True, int(seq), float(val)
+                alive, position, x = True, seq, val
             elif kind == "remove":
                 alive = False
             elif kind == "update" and alive:
-                x = float(val)
-            seen = int(seq)
-        state.update((alive, position, x, seen))
-        yield pd.DataFrame([(*k, alive, position, x, seen)], columns=[*key, "alive", "position", "x", "seen"])
+                x = val
+        return alive, position, x
 
-    return ops.groupBy(*key).applyInPandasWithState(
-        step, f"{head}, alive boolean, position bigint, x double, seen bigint", "alive boolean, position bigint, x double, seen bigint", "update", GroupStateTimeout.NoTimeout
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        alive, position, x, held = state.get if state.exists else (False, -1, 0.0, "[]")
+        rows = pd.concat(list(batches))
+        at = rows[ts].astype("datetime64[us]").astype("int64") // 1000
+        open_ = sorted([*map(tuple, json.loads(held)), *zip(rows["seq"].tolist(), rows["kind"].tolist(), rows["x"].tolist(), at.tolist(), strict=True)])
+        settled = 0
+        while settled < len(open_) and open_[settled][3] < state.getCurrentWatermarkMs():
+            settled += 1
+        base = apply((alive, position, x), open_[:settled])
+        open_ = open_[settled:]
+        state.update((*base, json.dumps(open_)))
+        yield pd.DataFrame([(*k, *apply(base, open_))], columns=[*key, "alive", "position", "x"])
+
+    return ops.withWatermark(ts, late).groupBy(*key).applyInPandasWithState(
+        step, f"{head}, alive boolean, position bigint, x double", "alive boolean, position bigint, x double, held string", "update", GroupStateTimeout.EventTimeTimeout
     )
 
 
