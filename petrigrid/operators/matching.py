@@ -1,12 +1,19 @@
-"""Greedy selection and matching as rounds of local decisions.
+"""Greedy selection and matching.
 
-A sequential greedy rule under a total order equals rounds in which every
-element that beats all its undecided rivals is settled at once. Rivalry is
-spatial, so a round is a grid join; nothing forms all pairs of a dense cell.
+The keys (an image, a unit) bound what can rival what. Keys of up to ``FOLD`` rows are folded in their greedy
+order inside one grouped task each, all in one job. Larger keys go in rounds, where every element that beats
+all its undecided rivals is settled at once: rivalry is spatial, so a round is a grid join, and nothing forms
+all pairs of a dense cell. Both give the sequential result.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
+from collections import defaultdict
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +24,24 @@ from petrigrid.session import cut
 
 c = F.col
 
+#: Rows of one key that one task folds.
+FOLD = 200_000
+
+
+def _by_size(rows: DataFrame, keys: list[str], fold: Callable[[pd.DataFrame], pd.DataFrame], schema: str, rounds: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``fold`` over the keys that fit a task, ``rounds`` over the keys that do not."""
+    rows = cut(rows)
+    large = cut(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(c("_n") > FOLD).select(*keys))
+    if not large.limit(1).count():
+        return rows.groupBy(*keys).applyInPandas(fold, schema)
+    small = rows.join(large, keys, "left_anti").groupBy(*keys).applyInPandas(fold, schema)
+    return small.unionByName(rounds(rows.join(large, keys, "left_semi")))
+
+
+def _schema(df: DataFrame, *columns: str) -> str:
+    kinds = dict(df.dtypes)
+    return ", ".join(f"`{n}` {kinds[n]}" for n in columns)
+
 
 def _spread(df: DataFrame, keys: list[str], reach: Column, side: float, *extra: str) -> DataFrame:
     """Cells within ``reach`` of any place in the row's own cell."""
@@ -31,11 +56,43 @@ def greedy_keep(items: DataFrame, keys: list[str], item: str, order: list[Column
     ``order`` are ascending sort columns, best first; ``item`` breaks ties (smaller
     first). Returns ``items`` with ``kept``. (WIN14-16)
 
-    A round compares champions only: the best undecided circle of each cell. A
-    champion is kept when it beats the champions of every cell in its own reach and
-    no better circle of any size class reaches its cell; it then beats all its rivals,
-    seen or not. Kept circles drop what they overlap. A cell contributes one row per
-    size class whatever it holds, so copies and dense heaps never become pairs.
+    The fold holds the kept circles in one grid per octave of the radius and asks each grid for the cells in reach.
+    """
+    names = [f"_o{i}" for i in range(len(order))]
+    rows = items.select(*keys, item, "x", "y", "r", *[o.alias(n) for o, n in zip(order, names, strict=True)])
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([*names, item], na_position="first")
+        grids: dict[int, dict[tuple[int, int], list[tuple[float, float, float]]]] = {}
+        kept = []
+        for x, y, r in pdf[["x", "y", "r"]].itertuples(index=False):
+            free = True
+            for o, cells in grids.items():
+                side, reach = factor * 2.0**o, factor * max(r, 2.0**o)
+                x0, x1, y0, y1 = (math.floor(v / side) for v in (x - reach, x + reach, y - reach, y + reach))
+                if (x1 - x0 + 1) * (y1 - y0 + 1) <= len(cells):
+                    close = (q for i in range(x0, x1 + 1) for j in range(y0, y1 + 1) for q in cells.get((i, j), ()))
+                else:
+                    close = (q for held in cells.values() for q in held)
+                if any(math.sqrt((x - a) ** 2 + (y - b) ** 2) < factor * max(r, s) for a, b, s in close):
+                    free = False
+                    break
+            kept.append(free)
+            if free:
+                o = math.ceil(math.log2(max(r, 1e-6)))
+                side = factor * 2.0**o
+                grids.setdefault(o, defaultdict(list))[math.floor(x / side), math.floor(y / side)].append((x, y, r))
+        return pdf.assign(kept=kept)[[*keys, item, "kept"]]
+
+    settled = _by_size(rows, keys, fold, f"{_schema(rows, *keys, item)}, kept boolean", lambda big: _keep_in_rounds(big, keys, item, [c(n) for n in names], factor, side))
+    return items.join(settled, [*keys, item])
+
+
+def _keep_in_rounds(items: DataFrame, keys: list[str], item: str, order: list[Column], factor: float, side: float | None) -> DataFrame:
+    """Keys, item and ``kept``. A round compares champions only: the best undecided circle of each cell. A
+    champion is kept when it beats the champions of every cell in its own reach and no better circle of any size
+    class reaches its cell; it then beats all its rivals, seen or not. Kept circles drop what they overlap. A
+    cell contributes one row per size class whatever it holds, so copies and dense heaps never become pairs.
     """
     rank = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], c(item).alias("id"), "x", "y", "r")
     base = items.select(*keys, item, "x", "y", "r", rank.alias("rank"))
@@ -61,9 +118,7 @@ def greedy_keep(items: DataFrame, keys: list[str], item: str, order: list[Column
         return verdict, pending.join(verdict.select(*keys, item), [*keys, item], "left_anti")
 
     settled = drain(start, step)
-    if settled is None:
-        return items.withColumn("kept", F.lit(True))
-    return items.join(settled, [*keys, item])
+    return items.select(*keys, item, F.lit(True).alias("kept")) if settled is None else settled
 
 
 def near_duplicates(items: DataFrame, keys: list[str], item: str, factor: float = 0.5, score: str = "score") -> DataFrame:
@@ -84,14 +139,62 @@ def match_points(pred: DataFrame, gt: DataFrame, keys: list[str], radius: Column
     Ties in distance go to the earlier prediction, then to the cell scan order (upper
     rows first, then left columns), then to the earlier ground-truth mark.
 
-    Copies share a position. Positions with capacities are matched first, and the n-th
-    copy of one side then pairs with the n-th matched copy of the other, so a heap of
-    copies is one row here. A link takes all its copies at once unless another
-    position ties with it in distance; then it takes one copy and looks again.
+    Copies share a position, so candidates are links of positions, and a heap of copies is one. The fold keeps the
+    links in a heap under their next copies on either end.
     """
     p_sites = _sites(pred, keys, pred_id)
     g_sites = gt.groupBy(*keys, "x", "y").agg(F.count(F.lit(1)).alias("cap"), F.min(gt_id).alias("first"), F.max(radius.cast("double")).alias("radius"))
-    e = grid.pairs_in_reach(g_sites, p_sites, keys, c("radius"), strict=False, size=cell)
+    e = cut(grid.pairs_in_reach(g_sites, p_sites, keys, c("radius"), strict=False, size=cell).select(*keys, "o_x", "o_y", "x", "y", "d", "radius", "o_cap", "cap", "o_first", "first"))
+    pk, gk = dict(pred.dtypes)[pred_id], dict(gt.dtypes)[gt_id]
+    null = lambda n, k: F.lit(None).cast(k).alias(n)
+    link = e.select(*keys, c("o_x").alias("px"), c("o_y").alias("py"), c("x").alias("gx"), c("y").alias("gy"), "d", "radius", null("pid", pk), null("gid", gk))
+    d = lambda n: F.lit(None).cast("double").alias(n)
+    at = lambda n, a, b: [c("x").cast("double").alias(a), c("y").cast("double").alias(b)]
+    near_p = pred.select(*keys, pred_id, "x", "y").join(e.select(*keys, c("o_x").alias("x"), c("o_y").alias("y")).distinct(), [*keys, "x", "y"], "left_semi")
+    near_g = gt.select(*keys, gt_id, "x", "y").join(e.select(*keys, "x", "y").distinct(), [*keys, "x", "y"], "left_semi")
+    rows = link.unionByName(near_p.select(*keys, *at("p", "px", "py"), d("gx"), d("gy"), d("d"), d("radius"), c(pred_id).alias("pid"), null("gid", gk)))
+    rows = rows.unionByName(near_g.select(*keys, d("px"), d("py"), *at("g", "gx", "gy"), d("d"), d("radius"), null("pid", pk), c(gt_id).alias("gid")))
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        p, g = defaultdict(list), defaultdict(list)
+        is_link = pdf["d"].notna()
+        for x, y, i in pdf.loc[~is_link & pdf["pid"].notna(), ["px", "py", "pid"]].itertuples(index=False):
+            p[x, y].append(i)
+        for x, y, i in pdf.loc[~is_link & pdf["gid"].notna(), ["gx", "gy", "gid"]].itertuples(index=False):
+            g[x, y].append(i)
+        for ids in (*p.values(), *g.values()):
+            ids.sort(reverse=True)  # the next copy is the last
+        queue, out = [], []
+        for px, py, gx, gy, dist, reach in pdf.loc[is_link, ["px", "py", "gx", "gy", "d", "radius"]].itertuples(index=False):
+            side = max(reach, 1e-6)
+            queue.append((dist, p[px, py][-1], math.floor(gy / side), math.floor(gx / side), g[gx, gy][-1], px, py, gx, gy))
+        heapq.heapify(queue)
+        while queue:
+            dist, i, row, col, j, px, py, gx, gy = heapq.heappop(queue)
+            ps, gs = p[px, py], g[gx, gy]
+            if not ps or not gs:
+                continue
+            if ps[-1] == i and gs[-1] == j:
+                out.append((ps.pop(), gs.pop(), dist))
+            if ps and gs:
+                heapq.heappush(queue, (dist, ps[-1], row, col, gs[-1], px, py, gx, gy))
+        found = pd.DataFrame(out, columns=[pred_id, gt_id, "d"])
+        for n, k in enumerate(keys):
+            found.insert(n, k, pdf[k].iloc[0])
+        return found
+
+    def rounds(big: DataFrame) -> DataFrame:
+        large = big.select(*keys).distinct()
+        return _match_in_rounds(e.join(large, keys, "left_semi"), pred.join(large, keys, "left_semi"), gt.join(large, keys, "left_semi"), keys, pred_id, gt_id)
+
+    return _by_size(rows, keys, fold, f"{_schema(pred, *keys, pred_id)}, {_schema(gt, gt_id)}, d double", rounds)
+
+
+def _match_in_rounds(e: DataFrame, pred: DataFrame, gt: DataFrame, keys: list[str], pred_id: str, gt_id: str) -> DataFrame:
+    """Rounds of links that are best at both ends. Positions with capacities are matched first, and the n-th copy
+    of one side then pairs with the n-th matched copy of the other. A link takes all its copies at once unless
+    another position ties with it in distance; then it takes one copy and looks again.
+    """
     side = F.greatest(c("radius"), F.lit(1e-6))
     zero = F.lit(0).cast("bigint")
     edges = e.select(
@@ -159,8 +262,24 @@ def same_colony(a: DataFrame, b: DataFrame, keys: list[str], a_id: str, b_id: st
 
 
 def _mutual(edges: DataFrame, keys: list[str], a_id: str, b_id: str) -> DataFrame:
-    """Sequential greedy matching over edges ordered by ``w``."""
+    """Sequential greedy matching over edges ordered by ``w``: a struct of the distance and the ids."""
+    flat = edges.select(*keys, a_id, b_id, "d")
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b, keep = set(), set(), []
+        pdf = pdf.sort_values(["d", a_id, b_id])
+        for x, y in pdf[[a_id, b_id]].itertuples(index=False):
+            free = x not in a and y not in b
+            keep.append(free)
+            if free:
+                a.add(x)
+                b.add(y)
+        return pdf[pd.Series(keep, index=pdf.index, dtype=bool)]
+
+    return _by_size(flat, keys, fold, _schema(flat, *flat.columns), lambda big: _mutual_in_rounds(big.withColumn("w", F.struct("d", a_id, b_id)), keys, a_id, b_id))
 
+
+def _mutual_in_rounds(edges: DataFrame, keys: list[str], a_id: str, b_id: str) -> DataFrame:
     def step(pending: DataFrame) -> tuple[DataFrame, DataFrame]:
         wa = pending.groupBy(*keys, a_id).agg(F.min("w").alias("wa"))
         wb = pending.groupBy(*keys, b_id).agg(F.min("w").alias("wb"))
@@ -169,18 +288,33 @@ def _mutual(edges: DataFrame, keys: list[str], a_id: str, b_id: str) -> DataFram
         return m, rest
 
     out = drain(edges, step)
-    return edges.limit(0) if out is None else out
+    return (edges.limit(0) if out is None else out.withColumn("d", c("w.d"))).select(*keys, a_id, b_id, "d")
 
 
 def assign_in_order(edges: DataFrame, keys: list[str], a_id: str, b_id: str) -> DataFrame:
     """Each ``a`` in id order takes its nearest free ``b`` (JON25, REV3).
 
-    Sequential in ``a``, so ``a`` decides once every smaller rival ``a`` that still wants
+    In rounds: sequential in ``a``, so ``a`` decides once every smaller rival ``a`` that still wants
     the same ``b`` has decided: the next ``b`` of an ``a`` is final when no smaller
     undecided ``a`` of the region has an edge to it.
     """
     e0 = edges.select(*keys, a_id, b_id, "d")
 
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([a_id, "d", b_id])
+        a, b, keep = set(), set(), []
+        for x, y in pdf[[a_id, b_id]].itertuples(index=False):
+            free = x not in a and y not in b
+            keep.append(free)
+            if free:
+                a.add(x)
+                b.add(y)
+        return pdf[pd.Series(keep, index=pdf.index, dtype=bool)]
+
+    return _by_size(e0, keys, fold, _schema(e0, *e0.columns), lambda big: _assign_in_rounds(big, keys, a_id, b_id))
+
+
+def _assign_in_rounds(e0: DataFrame, keys: list[str], a_id: str, b_id: str) -> DataFrame:
     def step(pending: DataFrame) -> tuple[DataFrame, DataFrame]:
         want = pending.groupBy(*keys, a_id).agg(F.min(F.struct("d", b_id)).alias("m")).select(*keys, a_id, c(f"m.{b_id}").alias(b_id), c("m.d").alias("d"))
         first = pending.groupBy(*keys, b_id).agg(F.min(a_id).alias("_a"))

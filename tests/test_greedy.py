@@ -27,8 +27,15 @@ def greedy(rows, factor):
     return {(r[0], r[1]) for r in kept}
 
 
+@pytest.fixture(params=["fold", "rounds"])
+def way(request, monkeypatch):
+    """Both ways through a key: folded in one task, and in rounds as beyond a task's size."""
+    if request.param == "rounds":
+        monkeypatch.setattr(M, "FOLD", 0)
+
+
 @pytest.mark.parametrize("seed,factor", [(1, 0.5), (2, 1.5)])
-def test_greedy_keep(spark, seed, factor):
+def test_greedy_keep(spark, way, seed, factor):
     rows = circles(seed, 120, 40)
     df = spark.createDataFrame(rows, "image_id int, item int, x double, y double, r double, score double")
     got = {(r.image_id, r.item) for r in M.greedy_keep(df, ["image_id"], "item", [-c("score")], factor).where("kept").collect()}
@@ -53,7 +60,7 @@ def sequential_match(pred, gt, radius):
 
 
 @pytest.mark.parametrize("seed", [3, 4])
-def test_match_points(spark, seed):
+def test_match_points(spark, way, seed):
     rnd = random.Random(seed)
     p = [(i, float(rnd.randint(0, 25)), float(rnd.randint(0, 25))) for i in range(80)]
     g = [(i, float(rnd.randint(0, 25)), float(rnd.randint(0, 25))) for i in range(70)]
@@ -65,6 +72,32 @@ def test_match_points(spark, seed):
     assert got == sequential_match(p, g, 3.0)
 
 
+def jobs(spark, run):
+    """Jobs that ``run`` starts."""
+    name = f"count-{random.random()}"
+    spark.sparkContext.setJobGroup(name, name)
+    out = run()
+    ids = spark.sparkContext.statusTracker().getJobIdsForGroup(name)
+    spark.sparkContext.setJobGroup("", "")
+    return out, len(ids)
+
+
+def test_jobs_do_not_follow_chains_or_heaps(spark):
+    def line(n):
+        df = spark.createDataFrame([(1, i, i * 1.0, 0.0, 1.0, 0.5) for i in range(n)], "image_id int, item int, x double, y double, r double, score double")
+        return M.near_duplicates(df, ["image_id"], "item", 1.5).where("kept").count()
+
+    def heap(n):
+        a = spark.createDataFrame([(1, i, 5.0, 5.0) for i in range(n)], "image_id int, pid int, x double, y double")
+        b = spark.createDataFrame([(1, i, 4.0 + 2 * (i % 2), 5.0) for i in range(n)], "image_id int, gid int, x double, y double")
+        return M.match_points(a, b, ["image_id"], F.lit(3.0), "pid", "gid").count()
+
+    (few, a), (many, b) = jobs(spark, lambda: line(10)), jobs(spark, lambda: line(1000))
+    assert (few, many) == (5, 500) and b <= a + 4
+    (few, a), (many, b) = jobs(spark, lambda: heap(10)), jobs(spark, lambda: heap(10_000))
+    assert (few, many) == (10, 10_000) and b <= a + 4
+
+
 def test_match_literals(spark):
     dp = spark.createDataFrame([(1, 0, 1.0, 0.0), (1, 1, 0.5, 0.0), (1, 2, 30.0, 0.0)], "image_id int, pid int, x double, y double")
     dg = spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 1, 10.0, 0.0)], "image_id int, gid int, x double, y double")
@@ -90,7 +123,7 @@ def test_farthest_points(spark):
     assert got == pick
 
 
-def test_assign_in_order(spark):
+def test_assign_in_order(spark, way):
     rnd = random.Random(6)
     edges = [(1, a, b, float(rnd.randint(1, 9))) for a in range(12) for b in range(10) if rnd.random() < 0.4]
     used, want = set(), set()
