@@ -56,10 +56,11 @@ def _(t):
 
 
 @query("rev6_reconciled_clusters", """WITH k AS (SELECT image_id, cluster_id, count(*) AS n FROM suggestions WHERE suggestion_id % 6 <> 1 GROUP BY 1, 2), a AS (SELECT image_id, cluster_id, count(*) AS n FROM suggestions WHERE suggestion_id % 3 <> 1 GROUP BY 1, 2),
-q AS (SELECT c.image_id, c.cluster_id, c.chosen_k, c.status, c.status = 'review' AS alt, coalesce(k.n, 0) AS n, coalesce(a.n, 0) AS m FROM clusters c LEFT JOIN k ON k.image_id = c.image_id AND k.cluster_id = c.cluster_id LEFT JOIN a ON a.image_id = c.image_id AND a.cluster_id = c.cluster_id)
-SELECT image_id, cluster_id, CASE WHEN status = 'too-large' THEN chosen_k ELSE n END AS chosen_k, CASE WHEN alt AND n <> m THEN m END AS runner_up_k, CASE WHEN alt AND n = m THEN 'ok' ELSE status END AS status, alt AND n <> m AS has_alternative FROM q""")
+q AS (SELECT c.image_id, c.cluster_id, c.chosen_k, c.status, c.status <> 'ok' AS alt, coalesce(k.n, 0) AS n, coalesce(a.n, 0) AS m FROM clusters c LEFT JOIN k ON k.image_id = c.image_id AND k.cluster_id = c.cluster_id LEFT JOIN a ON a.image_id = c.image_id AND a.cluster_id = c.cluster_id)
+SELECT image_id, cluster_id, CASE WHEN status = 'too-large' THEN chosen_k ELSE n END AS chosen_k, CASE WHEN status = 'too-large' THEN chosen_k + 1 WHEN alt AND n <> m THEN m END AS runner_up_k,
+ CASE WHEN status <> 'too-large' AND alt AND n = m THEN 'ok' ELSE status END AS status, alt AND (status = 'too-large' OR n <> m) AS has_alternative FROM q""")
 def _(t):
-    cl = t("clusters").withColumn("has_alternative", c("status") == "review")
+    cl = t("clusters").withColumns({"has_alternative": c("status") != "ok", "runner_up_k": F.when(c("status") != "ok", c("chosen_k") + 1)})
     return R.reconcile_clusters(cl, t("suggestions").where("suggestion_id % 6 <> 1"), t("suggestions").where("suggestion_id % 3 <> 1"))
 
 

@@ -106,22 +106,21 @@ IMG = ["image_id"]
 
 
 def reconcile_clusters(clusters: DataFrame, kept: DataFrame, alternatives: DataFrame) -> DataFrame:
-    """Cluster K, runner-up K and status after suggestions were filtered (REV6).
+    """Cluster K, runner-up K and status after suggestions were filtered (REV6); too-large clusters stay as they are.
 
-    ``clusters(image_id, cluster_id, chosen_k, status)``, ``kept`` the surviving suggestions,
+    ``clusters(image_id, cluster_id, chosen_k, runner_up_k, status)``, ``kept`` the surviving suggestions,
     ``alternatives(image_id, cluster_id, ...)`` the surviving circles of runner-ups, one row each;
-    clusters with a runner-up carry ``has_alternative``.
+    clusters with a runner-up carry ``has_alternative``. An alternative of as many colonies as the cluster goes.
     """
     key = ["image_id", "cluster_id"]
     k = kept.groupBy(*key).agg(F.count(F.lit(1)).alias("_k"))
     a = alternatives.groupBy(*key).agg(F.count(F.lit(1)).alias("_a"))
     j = clusters.join(k, key, "left").join(a, key, "left")
     n, m = F.coalesce("_k", F.lit(0)), F.coalesce("_a", F.lit(0))
-    big = c("status") == "too-large"
-    same = c("has_alternative") & (n == m) & ~big
-    return j.select(
-        *key, F.when(big, c("chosen_k")).otherwise(n).alias("chosen_k"), F.when(c("has_alternative") & ~same & ~big, m).alias("runner_up_k"), F.when(same, "ok").otherwise(c("status")).alias("status"), (c("has_alternative") & ~same).alias("has_alternative")
-    )
+    big, alt = c("status") == "too-large", c("has_alternative")
+    same = alt & (n == m) & ~big
+    runner_up = F.when(big | ~alt, c("runner_up_k")).when(~same, m)
+    return j.select(*key, F.when(big, c("chosen_k")).otherwise(n).alias("chosen_k"), runner_up.alias("runner_up_k"), F.when(same, "ok").otherwise(c("status")).alias("status"), (alt & ~same).alias("has_alternative"))
 
 
 def pending_marks(suggestions: DataFrame, clusters: DataFrame, marks: DataFrame, rejected: DataFrame, resolved: DataFrame) -> DataFrame:

@@ -69,9 +69,10 @@ def decode_pixels(images: DataFrame, keys: list[str], crop: tuple[int, int, int,
     x1 = c("width") - 1 if w is None else F.least(c("width") - 1, F.lit(x0 + w - 1))
     line = images.select(*keys, "width", "channels", "data", x1.alias("x1"), F.explode(F.sequence(F.lit(y0), y1)).alias("y"))
     cut = F.expr("substring(data, CAST(y * width * channels + 1 AS INT), CAST(width * channels AS INT))")
-    row = line.select(*keys, "y", "channels", "x1", F.hex(cut).alias("hex"))
-    px = row.select(*keys, "y", "channels", "hex", F.explode(F.sequence(F.lit(x0), "x1")).alias("x"))
-    byte = lambda k: F.conv(F.expr(f"substring(hex, CAST((x * channels + LEAST({k}, channels - 1)) * 2 + 1 AS INT), 2)"), 16, 10).cast("int")
+    row = line.select(*keys, "y", "channels", "x1", cut.alias("line"))
+    px = row.select(*keys, "y", "channels", "line", F.explode(F.sequence(F.lit(x0), "x1")).alias("x"))
+    # a slice of binary is found by its offset; of text, by scanning
+    byte = lambda k: F.conv(F.hex(F.expr(f"substring(line, CAST(x * channels + LEAST({k}, channels - 1) + 1 AS INT), 1)")), 16, 10).cast("int")
     return px.select(*keys, c("y").cast("bigint").alias("y"), c("x").cast("bigint").alias("x"), byte(2).alias("r"), byte(1).alias("g"), byte(0).alias("b"))
 
 
