@@ -1,5 +1,7 @@
 """Queries: spatial joins, reconciliation joins, greedy selection, set operations."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from petrigrid.operators import counts as C
@@ -148,6 +150,59 @@ def _(t):
     return t("marks").join(regions(t), "image_id").where(in_polygon(c("x"), c("y"), c("points"))).select("region_id", "annotation_id")
 
 
+def _rim(points: str) -> str:
+    """Hull sides as pairs of points: nothing lies to their right or on their line outside them."""
+    return f"""pts AS (SELECT DISTINCT image_id, x, y FROM ({points})),
+rim AS (SELECT a.image_id, a.x, a.y, b.x AS bx, b.y AS by_ FROM pts a JOIN pts b ON a.image_id = b.image_id AND (a.x <> b.x OR a.y <> b.y)
+ WHERE NOT EXISTS (SELECT 1 FROM pts p WHERE p.image_id = a.image_id AND ((b.x - a.x) * (p.y - a.y) - (b.y - a.y) * (p.x - a.x) < 0 OR ((b.x - a.x) * (p.y - a.y) = (b.y - a.y) * (p.x - a.x) AND (p.x - a.x) * (p.x - b.x) + (p.y - a.y) * (p.y - b.y) > 0))))"""
+
+
+@query("geo1_convex_hull", f"WITH {_rim('SELECT image_id, x, y FROM marks')} SELECT image_id, x, y FROM rim")
+def _(t):
+    from petrigrid.operators.shapes import convex_hull
+
+    return convex_hull(t("marks").select("image_id", "x", "y"), IMG).select("image_id", "x", "y")
+
+
+@query("geo2_simplified_paths")
+def _(t):
+    from petrigrid.operators.counts import label_numbers
+    from petrigrid.operators.shapes import simplify_paths
+
+    path = label_numbers(t("marks").withColumn("group_id", F.lit("path"))).select("image_id", (c("label") - 1).alias("i"), "x", "y")
+    return simplify_paths(path, IMG, "i", F.lit(900.0))
+
+
+@query("geo3_concave_points")
+def _(t):
+    from petrigrid.operators.shapes import concave_points
+
+    v = t("region_vertices").select("region_id", "ord", (c("x") / 50).alias("x"), (c("y") / 50).alias("y"))
+    to = v.select("region_id", ((c("ord") + 4) % 5).alias("ord"), c("x").alias("bx"), c("y").alias("by"))
+    step = v.join(to, ["region_id", "ord"]).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(39))))
+    line = lambda a, b: F.floor(c(a) + (c(b) - c(a)) * c("k") / 40).cast("double").alias(a)
+    contour = step.select("region_id", F.lit(0).alias("contour"), (c("ord") * 40 + c("k")).alias("i"), line("x", "bx"), line("y", "by"))
+    grid = t("region_vertices").select("region_id").distinct().withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(79)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(59))))
+    pixels = grid.select(c("region_id").alias("image_id"), F.concat_ws(":", "x", "y").alias("annotation_id"), ((c("x") + 0.5) * 50).alias("x"), ((c("y") + 0.5) * 50).alias("y"))
+    inside = S.in_region(pixels, t("region_vertices").withColumn("image_id", c("region_id")), "annotation_id", IMG)
+    mask = inside.select("region_id", F.split_part("annotation_id", F.lit(":"), F.lit(1)).cast("bigint").alias("x"), F.split_part("annotation_id", F.lit(":"), F.lit(2)).cast("bigint").alias("y"))
+    return concave_points(contour, mask, ["region_id"], ["contour"], 6)
+
+
+_PLATES = """SELECT image_id, x, y FROM marks UNION ALL SELECT 100000 + image_id, 2000 + 1000 * cos(annotation_id % 63 / 10.0), 1500 + 1000 * sin(annotation_id % 63 / 10.0) FROM marks
+ UNION ALL SELECT 200000 + image_id, x, y FROM marks WHERE x + y < 3000"""
+_DOUBLE = _PLATES.replace("10.0", "10.0::DOUBLE").replace("1000 * ", "1000::DOUBLE * ")
+
+
+@query("sca19_plate_shape", f"""WITH {_rim(_DOUBLE)}, q AS (SELECT image_id, count(*) AS n, abs(sum(x * by_ - bx * y)) / 2 AS area, (max(x) - min(x)) * (max(y) - min(y)) AS box, avg(x) AS mx, avg(y) AS my, var_pop(x) AS xx, var_pop(y) AS yy, covar_pop(x, y) AS xy, covar_pop(x, x * x + y * y) AS xq, covar_pop(y, x * x + y * y) AS yq FROM rim GROUP BY 1),
+f AS (SELECT *, (xq * yy - yq * xy) / (2 * (xx * yy - xy * xy)) AS cx, (yq * xx - xq * xy) / (2 * (xx * yy - xy * xy)) AS cy FROM q)
+SELECT image_id, CASE WHEN n < 3 THEN 'other' WHEN area / box > 0.9 THEN 'square' WHEN area / ({math.pi!r} * (pow(mx - cx, 2) + pow(my - cy, 2) + xx + yy)) > 0.9 AND area / box < 0.82 THEN 'round' ELSE 'other' END AS shape, round(area, 3) AS area FROM f""")
+def _(t):
+    from petrigrid.operators.shapes import plate_shapes
+
+    return plate_shapes(t.sql(_PLATES.replace("10.0", "10.0D")), IMG).withColumn("area", F.round("area", 3))
+
+
 @query("jon11_label_lookup", """SELECT m.annotation_id, coalesce(p.label, 0) AS label FROM marks m LEFT JOIN
  (SELECT plane_id AS image_id, y, x, 1 + CAST(floor(x / 8) AS BIGINT) + 8 * CAST(floor(y / 10) AS BIGINT) AS label FROM planes WHERE v > 0) p
  ON p.image_id = m.image_id AND p.x = floor((m.x - 1000) * 0.032) AND p.y = floor((m.y - 500) * 0.032)""")

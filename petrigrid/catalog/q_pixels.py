@@ -374,16 +374,16 @@ def _limits(t):
 def _(t):
     from petrigrid.operators.detector import foreground
 
-    return foreground(P.gaussian_blur(t("planes"), PL, 1.0).withColumn("on", c("x") > 2), PL, _limits(t))
+    return foreground(P.gaussian_blur(t("planes").withColumn("on", c("v") > -0.3), PL, 1.0), PL, _limits(t))
 
 
 @query("pix32_log_detector")
 def _(t):
     from petrigrid.operators.detector import log_job
 
-    seeds = _seeds(t).where("seed_id % 5 = 0").select("plane_id", c("seed_id").alias("item"), c("px").alias("x"), c("py").alias("y"))
+    seeds = _seeds(t).select("plane_id", c("seed_id").alias("item"), c("px").alias("x"), c("py").alias("y"))
     fixed = seeds.select("plane_id", "x", "y", F.lit(2.0).alias("r"))
-    s, _k = log_job(t("planes"), t("planes").where("x > 2"), seeds, fixed, _limits(t), PL, [2.0, 2.8, 4.0], 0.3)
+    s, _k = log_job(t("planes"), t("planes").where("v > -0.3"), seeds, fixed, _limits(t), PL, [2.0, 2.8, 4.0], 0.3)
     return s
 
 

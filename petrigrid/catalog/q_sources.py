@@ -185,6 +185,33 @@ def _in_turn(spark, schema, path):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{path}/*")
 
 
+# GIF headers as text: the bytes below 128 are the characters themselves
+_GIF = "CASE WHEN s_suppkey % 4 = 1 THEN 'no image' ELSE concat('GIF89a', chr({w}), {low}, chr({h}), {low}, s_name) END"
+_W, _H = "CAST(20 + s_suppkey % 100 AS INT)", "CAST(30 + s_suppkey % 70 AS INT)"
+
+
+def _image_folder(t):
+    path = scratch(t.spark, "images")
+    body = _GIF.format(w=_W, h=_H, low="chr(1)")
+    t("supplier").select(c("s_suppkey").alias("image_id"), F.expr(body).alias("value")).write.partitionBy("image_id").text(path)
+    return path
+
+
+_FILE = _GIF.format(w=_W, h=_H, low="chr(1)")
+
+
+@query("src2_archive_images", f"SELECT CAST(s_suppkey AS VARCHAR) AS image_id, CAST(length({_FILE}) + 1 AS BIGINT) AS length, sha256({_FILE} || chr(10)) AS sha256 FROM supplier")
+def _(t):
+    return PF.archive_images(t.spark, _image_folder(t) + "/image_id=*", r"image_id=([^/]+)/[^/]+$").select("image_id", "length", "sha256")
+
+
+@query("str9_folder_import", f"""SELECT CAST(s_suppkey AS VARCHAR) AS image_id, CASE WHEN s_suppkey % 4 <> 1 THEN 256 + {_W} END::BIGINT AS width, CASE WHEN s_suppkey % 4 <> 1 THEN 256 + {_H} END::BIGINT AS height,
+ sha256({_FILE} || chr(10)) AS fingerprint, CASE WHEN s_suppkey % 4 = 1 THEN 'unknown-format' END AS rejected FROM supplier""")
+def _(t):
+    found = ST.run_available(ST.folder_import_stream(t.spark, _image_folder(t) + "/image_id=*"), "append", "imports")
+    return found.select(F.regexp_extract("path", r"image_id=([^/]+)/[^/]+$", 1).alias("image_id"), "width", "height", "fingerprint", "rejected")
+
+
 @query("str1_replay_stream", REGISTRY["str1_replay"][1] if "str1_replay" in REGISTRY else None)
 def _(t):
     s = ST.replay_stream(_op_stream(t, 3, c("seq") % 10 == 3), IMG, "annotation_id", "ts", "25 days")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -69,6 +71,22 @@ def convex_hull(points: DataFrame, keys: list[str]) -> DataFrame:
     return ends.where(~inside).select(*keys, "x", "y").groupBy(*keys).applyInPandas(hull, out_schema)
 
 
+def plate_shapes(points: DataFrame, keys: list[str], square: float = 0.9, round_: float = 0.9, loose: float = 0.82) -> DataFrame:
+    """Shape class per key from how its hull fills its box and its fitted circle (SCA19): square, round or other."""
+    from .fits import fit_circles
+
+    ring = convex_hull(points, keys)
+    n = ring.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    nxt = ring.select(*keys, c("ord").alias("_o"), c("x").alias("bx"), c("y").alias("by"))
+    side = ring.join(n, keys).withColumn("_o", (c("ord") + 1) % c("n")).join(nxt, [*keys, "_o"])
+    area = side.groupBy(*keys).agg(F.abs(F.sum(c("x") * c("by") - c("bx") * c("y")) / 2).alias("area"))
+    j = n.join(area, keys).join(fit_circles(ring, keys), keys, "left")
+    box = c("area") / ((c("x1") - c("x0")) * (c("y1") - c("y0")))
+    disc = F.coalesce(c("area") / (math.pi * c("cr") * c("cr")), F.lit(0.0))
+    shape = F.when(c("n") < 3, "other").when(box > square, "square").when((disc > round_) & (box < loose), "round").otherwise("other")
+    return j.select(*keys, shape.alias("shape"), "area")
+
+
 def _segment_distance(line: bool) -> Column:
     dx, dy = c("bx") - c("ax"), c("by") - c("ay")
     len2 = dx * dx + dy * dy
