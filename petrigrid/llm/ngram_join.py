@@ -5,8 +5,9 @@ Documents become sets of word 5-grams; documents with equal sets are one class.
 A run sends every class down a random tree: in each node it keeps its tokens with a small chance that
 depends on the node and the token, and each kept token leads to a child. Pairs above the threshold keep
 a common token in the mean, so they meet again and again while unrelated sets part. Buckets that are small
-enough, or at the last depth, are compared all against all by their sketches; runs repeat until a pair at the
-threshold is missed with less than the allowed odds (``runs_for``).
+enough, or at the last depth, are compared all against all by their sketches; a larger bucket's representative
+takes what lies close to it out of the way. Runs repeat until a pair at the threshold is missed with less than
+the allowed odds (``runs_for``).
 
 The pairs found join classes into candidate components. Inside those, and only there, the texts are read
 again and every pair is compared exactly, in blocks of bounded size; what leaves a block is a count of links
@@ -29,13 +30,15 @@ from . import common as C
 GRAM, THRESHOLD = 5, 0.8
 TOKENS = 128
 #: Kept tokens per node of a pair at the threshold, in the mean; odds of missing such a pair; deepest level.
-SHARED, MISS, DEPTH = 2.0, 1e-5, 3
+SHARED, MISS, DEPTH = 2.0, 1e-5, 5
 #: Buckets of up to so many classes are compared; larger ones part again.
 BUCKET = 256
 #: Classes per side of an exact comparison.
 BLOCK = 256
-#: Sketch similarity from which a pair is a candidate, when both sets have MANY grams; smaller sets are always compared.
-LOOSE, MANY = 0.55, 256
+#: Standard errors by which a sketch may understate a similarity.
+ERRORS = 5.0
+#: Share of a bucket near its representative from which all of it is one candidate group.
+DENSE = 0.8
 
 _SMALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -60,7 +63,8 @@ def gram_sets(data: np.ndarray, offsets: np.ndarray, k: int = GRAM) -> tuple[np.
     if len(short):
         whole = np.array([C.grams(w.hash[w.first[i] : w.first[i + 1]], int(w.count[i]))[0] + np.uint64(w.count[i]) for i in short], np.uint64)
         g, doc = np.concatenate([g, whole]), np.concatenate([doc, short])
-    order = np.lexsort((g, doc))
+    order = np.argsort(g)
+    order = order[np.argsort(doc[order].astype(np.uint16 if n < 65536 else np.int64), kind="stable")]
     g, doc = g[order], doc[order]
     fresh = np.ones(len(g), bool)
     fresh[1:] = (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])
@@ -70,15 +74,12 @@ def gram_sets(data: np.ndarray, offsets: np.ndarray, k: int = GRAM) -> tuple[np.
 def sketches(grams: np.ndarray, bounds: np.ndarray, tokens: int = TOKENS) -> np.ndarray:
     """One 32-bit token per bin and set: the bin's least gram, or that of another bin drawn alike for all sets."""
     n = len(bounds) - 1
-    h = C.mixed(grams * np.uint64(0x2545F4914F6CDD1D))
     of = np.repeat(np.arange(n), np.diff(bounds))
-    cell = of * tokens + (h >> np.uint64(64 - 7)).astype(np.int64) % tokens
+    cell = of * tokens + (grams >> np.uint64(65 - tokens.bit_length())).astype(np.int64)  # tokens is a power of two; grams are sorted
     least = np.full(n * tokens, _SMALL)
-    order = np.argsort(cell, kind="stable")
-    if len(order):
-        c = cell[order]
-        edge = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-        least[c[edge]] = np.minimum.reduceat(h[order], edge)
+    if len(cell):
+        edge = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        least[cell[edge]] = grams[edge]
     least = least.reshape(n, tokens)
     full = least != _SMALL
     todo = ~full & full.any(1)[:, None]
@@ -92,6 +93,11 @@ def sketches(grams: np.ndarray, bounds: np.ndarray, tokens: int = TOKENS) -> np.
     return (C.mixed(least + np.arange(tokens, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
 
+def brief(sketch: np.ndarray) -> np.ndarray:
+    """Tokens cut to 16 bits: enough to compare two sets and to part a bucket; different tokens seldom agree."""
+    return (sketch & np.uint32(0xFFFF)).astype(np.uint16)
+
+
 def _kept(path: np.ndarray, sketch: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
     """Rows and child paths of the tokens that are kept in the rows' nodes."""
     t = sketch.shape[1]
@@ -100,15 +106,21 @@ def _kept(path: np.ndarray, sketch: np.ndarray, rate: float) -> tuple[np.ndarray
     return row, child[row, col]
 
 
-def _matrix(col: pa.Array, tokens: int = TOKENS) -> np.ndarray:
+def _error(n: np.ndarray, similarity: float) -> np.ndarray:
+    """Standard error of a sketch similarity of sets of n grams: as many draws as bins that are filled."""
+    filled = np.maximum(TOKENS * (1 - np.exp(-n / TOKENS)), 1)
+    return np.sqrt(similarity * (1 - similarity) / filled)
+
+
+def _matrix(col: pa.Array, kind: type = np.uint16, tokens: int = TOKENS) -> np.ndarray:
     col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
-    return np.frombuffer(b"".join(col.to_pylist()), np.uint32).reshape(-1, tokens)
+    return np.frombuffer(b"".join(col.to_pylist()), kind).reshape(-1, tokens)
 
 
 def described(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
-    """``doc_id, s1, s2, n, sketch`` per row: two values that name the set, its size, its tokens (null for an empty set)."""
+    """``doc_id, s1, s2, n, sketch, brief`` per row: two values that name the set, its size, its tokens in full and cut (null for an empty set)."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    schema = T.StructType([rows.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("s1", "s2", "n")), T.StructField("sketch", T.BinaryType())])
+    schema = T.StructType([rows.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("s1", "s2", "n")), T.StructField("sketch", T.BinaryType()), T.StructField("brief", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -118,37 +130,45 @@ def described(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
                 sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(C.mixed(g ^ np.uint64(seed)))]) for seed in (0x1234567, 0x89ABCDEF)]
                 s = [C.signed(x[bounds[1:]] - x[bounds[:-1]]) for x in sums]
                 sk = sketches(g, bounds)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *map(pa.array, s), pa.array(n), pa.array([x.tobytes() if c else None for x, c in zip(sk, n, strict=True)], pa.binary())], schema.names)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *map(pa.array, s), pa.array(n), *(pa.array([x.tobytes() if c else None for x, c in zip(m, n, strict=True)], pa.binary()) for m in (sk, brief(sk)))], schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
-def _part(df: DataFrame, rate: float, runs: int | None) -> DataFrame:
-    """``path, id`` one level down from ``path, id, sketch``; with ``runs`` from the roots of ``id, sketch``."""
-    schema = "path long, id long"
-    at = df.columns.index
+def _roots(df: DataFrame, rate: float, runs: int) -> DataFrame:
+    """``path, id`` of the first level of all runs, from ``id, sketch``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            ids, sk = b.column(at("id")).to_numpy(), _matrix(b.column(at("sketch")))
-            for r in range(runs or 1):
-                path = np.full(len(ids), r + 1, np.uint64) if runs else b.column(at("path")).to_numpy().view(np.uint64)
-                row, child = _kept(path, sk, rate)
-                yield pa.RecordBatch.from_arrays([pa.array(C.signed(child)), pa.array(ids[row])], ["path", "id"])
+            if b.num_rows:
+                ids, sk = b.column(0).to_numpy(), _matrix(b.column(1), np.uint32)
+                for r in range(runs):
+                    row, child = _kept(np.full(len(ids), r + 1, np.uint64), sk, rate)
+                    yield pa.RecordBatch.from_arrays([pa.array(C.signed(child)), pa.array(ids[row])], ["path", "id"])
+
+    return df.select("id", "sketch").mapInArrow(run, "path long, id long")
+
+
+def _deeper(df: DataFrame, rate: float) -> DataFrame:
+    """``path, id`` one level down, from ``path, id, brief``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                row, child = _kept(b.column(0).to_numpy().view(np.uint64), _matrix(b.column(2)), rate)
+                yield pa.RecordBatch.from_arrays([pa.array(C.signed(child)), pa.array(b.column(1).to_numpy()[row])], ["path", "id"])
 
-    return df.mapInArrow(run, schema)
+    return df.select("path", "id", "brief").mapInArrow(run, "path long, id long")
 
 
 def _similar(df: DataFrame, threshold: float) -> DataFrame:
-    """Links ``a, b`` that join each bucket's similar classes, from ``key, id, n, sketch`` sorted by key."""
+    """Links ``a, b`` that join each bucket's similar classes, from ``key, id, n, brief`` sorted by key."""
     at = df.columns.index
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in C.groups(batches, "key"):
             key, ids, n = (t.column(at(c)).to_numpy() for c in ("key", "id", "n"))
-            sk = _matrix(t.column(at("sketch")))
+            sk = _matrix(t.column(at("brief")))
             a, b = [], []
             for d in range(1, len(key)):
                 i = np.flatnonzero(key[d:] == key[:-d])
@@ -158,7 +178,7 @@ def _similar(df: DataFrame, threshold: float) -> DataFrame:
                 ok = small >= threshold * np.maximum(n[i], n[i + d])
                 i, small = i[ok], small[ok]
                 alike = (sk[i] == sk[i + d]).mean(1)
-                i = i[(alike >= LOOSE) | (small < MANY)]
+                i = i[alike >= threshold - ERRORS * _error(small, threshold)]
                 a.append(i)
                 b.append(i + d)
             a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
@@ -179,23 +199,62 @@ def blocked(df: DataFrame, group: str, size: str, block: int) -> DataFrame:
     return out.withColumn("low", low).withColumn("high", high).withColumn("key", F.xxhash64(group, "low", "high")).drop("__o")
 
 
+def _beside(df: DataFrame, threshold: float) -> DataFrame:
+    """``path, id, rep, near, core`` from ``path, id, n, brief, rep, rn, rs``.
+
+    ``core`` is so close to the bucket's representative that whatever is linked with it is ``near``: distances of
+    at most 1 - threshold on either side add up.
+    """
+    at = df.columns.index
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            n = np.minimum(b.column(at("n")).to_numpy(), b.column(at("rn")).to_numpy())
+            alike = (_matrix(b.column(at("brief"))) == _matrix(b.column(at("rs")))).mean(1)
+            far = max(0.0, 2 * threshold - 1)
+            near = alike >= far - ERRORS * _error(n, far)
+            core = alike >= threshold + 3 * _error(n, threshold)
+            yield pa.RecordBatch.from_arrays([*(b.column(at(c)) for c in ("path", "id", "rep")), pa.array(near), pa.array(core)], ["path", "id", "rep", "near", "core"])
+
+    return df.mapInArrow(run, "path long, id long, rep long, near boolean, core boolean")
+
+
 def candidates(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Links ``a, b`` between classes (``id, n, sketch``) that chosen paths bring together."""
+    """Links ``a, b`` between classes (``id, n, sketch, brief``) that chosen paths bring together.
+
+    Large buckets part again, but first their representative collects what is near it; classes at its core need
+    no further look, and a bucket that is nearly all near it is one group.
+    """
     rate = SHARED / (threshold * TOKENS)
-    level, found = _part(classes.select("id", "sketch"), rate, runs_for(threshold)), None
+    active = classes.select("id", "n", "brief")
+    level, found, links = _roots(classes, rate, runs_for(threshold)), None, None
     for depth in range(1, DEPTH + 1):
         level = C.stored(level, "paths")
-        sizes = level.groupBy("path").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("m1"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("m2")).where("size > 1")
+        each = level.groupBy("path").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("m1"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("m2"), F.min_by("id", F.xxhash64("id", "path")).alias("rep")).where("size > 1")
         # buckets of the same members need one look, in whichever run they are
-        sizes = C.stored(sizes.groupBy("size", "m1", "m2").agg(F.min("path").alias("path")).select("path", "size"), "buckets")
+        sizes = C.stored(each.groupBy("size", "m1", "m2").agg(F.min(F.struct("path", "rep")).alias("b")).select("b.path", "size", "b.rep"), "buckets")
+        large = sizes.where(F.col("size") > BUCKET)
         last = depth == DEPTH
-        ready = level.join(sizes if last else sizes.where(F.col("size") <= BUCKET), "path")
+        ready = level.join((sizes if last else sizes.where(F.col("size") <= BUCKET)).drop("rep"), "path")
         found = ready if found is None else found.unionByName(ready)
-        if last or not sizes.where(F.col("size") > BUCKET).limit(1).count():
+        if last or not large.limit(1).count():
             break
-        level = _part(level.join(sizes.where(F.col("size") > BUCKET), "path").join(classes.select("id", "sketch"), "id").select("path", "id", "sketch"), rate, None)
-    dealt = blocked(found, "path", "size", BUCKET).join(classes, "id").select("key", "id", "n", "sketch")
-    return _similar(dealt.repartition("key").sortWithinPartitions("key", "id"), threshold).distinct()
+        inside = C.stored(level.join(large, "path").select("path", "id", "rep"), "large")
+        # only what is in a large bucket is looked at again
+        active = C.stored(active.join(inside.select("id").distinct(), "id", "left_semi"), "active")
+        reps = active.join(large.select("rep").distinct().withColumnRenamed("rep", "id"), "id", "left_semi").select(F.col("id").alias("rep"), F.col("n").alias("rn"), F.col("brief").alias("rs"))
+        beside = inside.join(active, "id").join(reps, "rep").select("path", "id", "n", "brief", "rep", "rn", "rs")
+        beside = C.stored(_beside(beside, threshold), "beside")
+        dense = beside.groupBy("path").agg((F.avg(F.col("near").cast("int")) >= DENSE).alias("dense"))
+        beside = beside.join(dense, "path")
+        near = beside.where("(near or dense) and id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+        links = near if links is None else links.unionByName(near)
+        level = _deeper(beside.where("not dense and not core").join(active, "id").select("path", "id", "brief"), rate)
+    dealt = blocked(found, "path", "size", BUCKET).join(classes.select("id", "n", "brief"), "id").select("key", "id", "n", "brief")
+    small = _similar(dealt.repartition("key").sortWithinPartitions("key", "id"), threshold)
+    return (small if links is None else small.unionByName(links)).distinct()
 
 
 def _common(sets: list[np.ndarray]) -> np.ndarray:
@@ -261,7 +320,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, k: int = GRAM, doc_id: s
     rows = C.stored(described(docs, doc_id, text, k), "sets")
     filled = rows.where("n > 0 and doc_id is not null")
     sigs = C.stored(filled.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("id"), F.count("*").alias("mult")), "classes")
-    classes = filled.join(sigs.withColumnRenamed("id", "doc_id"), ["s1", "s2", "n", "doc_id"]).dropDuplicates(["doc_id", "s1", "s2"]).select(F.col("doc_id").cast("long").alias("id"), "n", "mult", "sketch")
+    classes = filled.join(sigs.withColumnRenamed("id", "doc_id"), ["s1", "s2", "n", "doc_id"]).dropDuplicates(["s1", "s2", "n", "doc_id"]).select(F.col("doc_id").cast("long").alias("id"), "n", "mult", "sketch", "brief")
     classes = C.stored(classes, "sketches")
     member = C.stored(_members(classes, threshold), "components")
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("id is not null")
