@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from petrigrid.session import checkpoint_dir, tune
 
 #: Bytes of text that one numpy pass works on. A longer text is one slice of its own.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 #: Rows of an Arrow batch: bounds what a Python worker holds at once.
 BATCH_ROWS = 1_000
 
@@ -242,33 +242,25 @@ def signed(h: np.ndarray) -> np.ndarray:
 
 
 def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
-    """Smallest id reachable from each vertex: columns ``id``, ``root``.
+    """Smallest id reachable from each vertex that has an edge to another and is not the smallest: ``id``, ``root``.
 
-    Each round hooks every vertex to the smallest neighbour of its root and then halves the depth of the
-    trees, so the rounds grow with the logarithm of the longest chain. Every round is a written table.
-    Raises if it has not settled after ``rounds``.
+    Alternates two steps. Every vertex hands its larger neighbours to the smallest vertex it knows; then every vertex
+    hands its smaller neighbours, and itself, to the smallest of them. Paths halve, so the rounds grow with the
+    logarithm of the longest one. A round is one written table. Raises if it has not settled after ``rounds``.
     """
-    spark = edges.sparkSession
-    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct()
-    e = stored(e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    # star contraction: a vertex points to the smallest of itself and its neighbours
+    e = stored(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "edges")
     for _ in range(rounds):
-        least = e.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        # large star: neighbours above u point to the minimum; small star: the rest and u point to it
-        big = e.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        big = stored(big.where("u <> v").distinct(), "large-star")
-        down = big.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.col("m").alias("y")), F.struct(F.col("v").alias("x"), F.col("m").alias("y")))).alias("s"))
-        nxt = small.select(F.col("s.x").alias("u"), F.col("s.y").alias("v")).where("u <> v").distinct()
-        nxt = stored(nxt, "small-star")
-        # settled: every vertex has one parent, and no parent has a parent
-        multi = nxt.groupBy("u").agg(F.countDistinct("v").alias("c")).where("c > 1").limit(1).count()
-        chain = 0 if multi else nxt.join(nxt.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count()
-        drop_stored(big)
+        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        big = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        low = big.groupBy("u").agg(F.min("v").alias("m"))  # v is below u after the first step
+        small = big.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.col("m").alias("y")), F.struct(F.col("v").alias("x"), F.col("m").alias("y")))).alias("s"))
+        nxt = stored(small.select(F.col("s.x").alias("u"), F.col("s.y").alias("v")).where("u <> v").distinct(), "stars")
         drop_stored(e)
-        if not multi and not chain:
+        # settled: every vertex has one parent, and no parent has a parent
+        ends = nxt.select("u", "v", F.lit(0).alias("p")).union(nxt.select("v", F.lit(None).cast("long"), F.lit(1)))
+        seen = ends.groupBy("u").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.max("p").alias("p")).where("lo <> hi or (lo is not null and p = 1)")
+        if not seen.limit(1).count():
             return nxt.select(F.col("u").alias("id"), F.col("v").alias("root"))
-        e = stored(nxt.union(nxt.select(F.col("v").alias("u"), F.col("u").alias("v"))), "edges")
-        drop_stored(nxt)
+        e = nxt
     raise RuntimeError(f"components did not settle in {rounds} rounds")
