@@ -39,8 +39,9 @@ def shards(docs: DataFrame, n: int = SHARDS, doc_id: str = "doc_id", text: str =
     """
     spark = C.prepare(docs.sparkSession)
     raw = F.coalesce(F.col(text), F.lit(""))
+    carried = [c for c in carry if c != doc_id]
     rows = docs.select(
-        F.col(doc_id).alias("doc_id"), *(F.col(c) for c in carry if c != doc_id),
+        F.col(doc_id).alias("doc_id"), F.struct(F.lit(0).alias("__none"), *(F.col(f"`{c}`") for c in carried)).alias("__carried"),
         (F.octet_length(raw) + F.lit(OVERHEAD)).cast("long").alias("size"),
         F.crc32(raw.cast("binary")).alias("text_crc32"),
         F.xxhash64(raw).alias("__h"),
@@ -90,6 +91,6 @@ def shards(docs: DataFrame, n: int = SHARDS, doc_id: str = "doc_id", text: str =
     shard = F.size(F.filter(spark_cuts, lambda c: c <= F.col("__start")))
     starts = F.array(*(F.lit(f).cast("long") for f in first))
     return placed.withColumn("shard", shard.cast("int")).select(
-        "doc_id", *(c for c in carry if c != doc_id), "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
+        "doc_id", *(F.col("__carried").getField(c).alias(c) for c in carried), "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         (F.col("__row") - F.element_at(starts, F.col("shard") + 1)).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
