@@ -10,6 +10,7 @@ from petrigrid.operators import metrics as E
 from petrigrid.operators import reconcile as R
 from petrigrid.operators import spatial as S
 
+from . import folds
 from .registry import query
 
 c = F.col
@@ -63,7 +64,7 @@ def _(t):
     return S.candidate_pairs(t("suggestions"), t("marks"), IMG, 20.0, "suggestion_id", "annotation_id")
 
 
-@query("jon2_one_to_one")
+@query("jon2_one_to_one", f"WITH {folds.matched('m', 'suggestions', 'marks', '20.0::DOUBLE')} SELECT image_id, p AS suggestion_id, g AS annotation_id, d FROM m")
 def _(t):
     return M.match_points(t("suggestions"), t("marks"), IMG, F.lit(20.0), "suggestion_id", "annotation_id")
 
@@ -313,7 +314,18 @@ def _(t):
     return resolved_clusters(t.sql(_TAGGED), runs)
 
 
-@query("jon24_circle_sets")
+_SETS = """a AS (SELECT image_id, cluster_id, suggestion_id AS a_id, x, y, r FROM suggestions), b AS (SELECT image_id, cluster_id, suggestion_id AS b_id, {x} AS x, y, {r} AS r FROM suggestions WHERE suggestion_id % 5 <> 2),
+e AS (SELECT a.image_id, a.cluster_id, a_id AS p, b_id AS g, {d} AS d FROM a JOIN b ON a.image_id = b.image_id AND a.cluster_id = b.cluster_id AND {d} < 0.5::DOUBLE * greatest(a.r, b.r)), {m},
+parts AS (SELECT image_id, cluster_id, 'shared' AS part, p AS a_id, g AS b_id FROM m UNION ALL SELECT image_id, cluster_id, 'only-a', a_id, NULL FROM a WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.image_id = a.image_id AND m.cluster_id = a.cluster_id AND m.p = a.a_id)
+ UNION ALL SELECT image_id, cluster_id, 'only-b', NULL, b_id FROM b WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.image_id = b.image_id AND m.cluster_id = b.cluster_id AND m.g = b.b_id))"""
+
+
+def circle_sets(x: str, r: str) -> str:
+    """CTEs up to ``parts``: the suggestions against a moved selection of them."""
+    return _SETS.format(x=x, r=r, d=folds.distance(), m=folds.pairs("m", "e", "d, p, g", "image_id, cluster_id"))
+
+
+@query("jon24_circle_sets", f"WITH {circle_sets('x + suggestion_id % 9 - 4', 'r * 1.1::DOUBLE')} SELECT * FROM parts")
 def _(t):
     from petrigrid.operators.review import compare_options
 
@@ -322,7 +334,9 @@ def _(t):
     return compare_options(a, b, ["image_id", "cluster_id"], "a_id", "b_id")
 
 
-@query("jon25_alternative_diff")
+@query("jon25_alternative_diff", f"""WITH a AS (SELECT unit_id, disk_id, x, y, r FROM unit_disks WHERE config_id = 6), b AS (SELECT unit_id, disk_id, x + 2 AS x, y, r FROM unit_disks WHERE config_id = 4),
+e AS (SELECT a.unit_id, a.disk_id AS p, b.disk_id AS g, {folds.distance()} AS d FROM a JOIN b ON a.unit_id = b.unit_id AND {folds.distance()} <= 0.5::DOUBLE * greatest(a.r, b.r) AND abs(ln(a.r / b.r)) <= 0.3), {folds.pairs('m', 'e', 'p, d, g', 'unit_id')}
+SELECT unit_id, 'removed' AS change, disk_id FROM a WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.unit_id = a.unit_id AND m.p = a.disk_id) UNION ALL SELECT unit_id, 'added', disk_id FROM b WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.unit_id = b.unit_id AND m.g = b.disk_id)""")
 def _(t):
     from petrigrid.operators.review import alternative_diff
 
@@ -331,7 +345,8 @@ def _(t):
     return alternative_diff(a, b, ["unit_id"], "a_id", "b_id")
 
 
-@query("jon26_exclude_given")
+@query("jon26_exclude_given", f"""WITH given AS (SELECT * FROM suggestions WHERE suggestion_id % 3 = 0), typ AS (SELECT image_id, avg(r) AS r_typ FROM marks GROUP BY 1), gt AS (SELECT m.*, r_typ FROM marks m JOIN typ ON typ.image_id = m.image_id),
+{folds.matched('m', 'given', 'gt', 'b.r_typ * 0.5::DOUBLE')} SELECT image_id, annotation_id FROM marks WHERE annotation_id NOT IN (SELECT g FROM m)""")
 def _(t):
     given = t("suggestions").where("suggestion_id % 3 = 0").select("image_id", c("suggestion_id").alias("given_id"), "x", "y")
     typ = t("marks").groupBy("image_id").agg(F.avg("r").alias("r_typ"))
@@ -372,17 +387,17 @@ def _(t):
     return comparison_plan(t("marks"), t("region_vertices"), "F")
 
 
-@query("win14_near_duplicates")
+@query("win14_near_duplicates", f"WITH {folds.kept('k', 'suggestions', 'suggestion_id', 'score DESC NULLS LAST', 0.5)} SELECT image_id, suggestion_id, suggestion_id IN (SELECT suggestion_id FROM k) AS kept FROM suggestions")
 def _(t):
     return M.near_duplicates(t("suggestions"), IMG, "suggestion_id").select("image_id", "suggestion_id", "kept")
 
 
-@query("win15_circle_nms")
+@query("win15_circle_nms", f"WITH {folds.kept('k', 'suggestions', 'suggestion_id', 'score DESC', 1.5)} SELECT image_id, suggestion_id FROM k")
 def _(t):
     return M.greedy_keep(t("suggestions"), IMG, "suggestion_id", [-c("score")], 1.5).where("kept").select("image_id", "suggestion_id")
 
 
-@query("win16_merge_measurements")
+@query("win16_merge_measurements", f"WITH {folds.kept('k', 'suggestions', 'suggestion_id', 'suggestion_id % 20, r DESC, y, x', 0.8)} SELECT image_id, suggestion_id FROM k")
 def _(t):
     m = t("suggestions").withColumn("cv", (c("suggestion_id") % 20) / 100)
     return M.greedy_keep(m, IMG, "suggestion_id", [c("cv"), -c("r"), c("y"), c("x")], 0.8).where("kept").select("image_id", "suggestion_id")

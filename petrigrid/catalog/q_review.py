@@ -12,6 +12,8 @@ from petrigrid.operators import review as R
 from petrigrid.operators import spatial as S
 
 from .q_joins import IMG
+from . import folds
+from .q_joins import circle_sets
 from .registry import query
 
 c = F.col
@@ -71,17 +73,27 @@ def _pending(t):
     return R.pending_marks(s, t("clusters"), t("marks").where(C.manual()), rejected, resolved)
 
 
-@query("rev7_pending_view")
+_PENDING = f"""{folds.kept('best', 'suggestions', 'suggestion_id', 'score DESC NULLS LAST', 0.5)},
+flagged AS (SELECT image_id, cluster_id FROM clusters WHERE status = 'review' UNION SELECT image_id, cluster_id FROM suggestions WHERE status = 'review'),
+hand AS (SELECT * FROM marks WHERE origin = 'manual'),
+pending AS (SELECT s.image_id, s.cluster_id, s.suggestion_id, s.x, s.y, s.r, s.score, f.image_id IS NOT NULL AS in_review, CASE WHEN s.suggestion_id % 8 = 3 THEN 'rejected' WHEN f.image_id IS NOT NULL THEN 'review' ELSE 'ok' END AS state
+ FROM suggestions s LEFT JOIN flagged f ON f.image_id = s.image_id AND f.cluster_id = s.cluster_id WHERE s.suggestion_id IN (SELECT suggestion_id FROM best)
+ AND NOT EXISTS (SELECT 1 FROM clusters k WHERE k.image_id = s.image_id AND k.cluster_id = s.cluster_id AND k.chosen_k % 9 = 4) AND NOT EXISTS (SELECT 1 FROM hand h WHERE h.image_id = s.image_id AND {folds.distance('s', 'h')} < 0.7::DOUBLE * s.r))"""
+
+
+@query("rev7_pending_view", f"WITH {_PENDING} SELECT image_id, count(*) FILTER (WHERE state <> 'rejected') AS suggested, count(*) FILTER (WHERE state = 'review') AS need_review, count(*) FILTER (WHERE state = 'rejected') AS rejected, count(*) FILTER (WHERE state = 'ok') AS ok FROM pending GROUP BY 1")
 def _(t):
     return R.pending_counts(_pending(t))
 
 
-@query("rev7_review_regions")
+@query("rev7_review_regions", f"""WITH {_PENDING}, q AS (SELECT image_id, cluster_id, count(*) FILTER (WHERE state <> 'rejected') AS n, count(*) FILTER (WHERE state = 'rejected') AS rejected, min(x - r) AS x0, min(y - r) AS y0, max(x + r) AS x1, max(y + r) AS y1 FROM pending WHERE in_review GROUP BY 1, 2)
+SELECT image_id, cluster_id, n AS primary, rejected, x0, y0, x1, y1, CASE WHEN n = 1 THEN 'Colony?' ELSE n || ' colonies?' END AS question FROM q""".replace("n AS primary", 'n AS "primary"'))
 def _(t):
     return R.review_clusters(_pending(t))
 
 
-@query("rev8_accept_plan")
+@query("rev8_accept_plan", f"""WITH {_PENDING}, free AS (SELECT * FROM pending WHERE state = 'ok'), {folds.kept('won', 'free', 'suggestion_id', 'score DESC NULLS LAST', 0.5)}
+SELECT image_id, suggestion_id, CASE WHEN suggestion_id IN (SELECT suggestion_id FROM won) THEN 'accepted' ELSE 'duplicate' END AS outcome FROM free UNION ALL SELECT image_id, suggestion_id, 'negative' FROM pending WHERE state = 'rejected' AND NOT in_review""")
 def _(t):
     return R.accept_plan(_pending(t), t("marks").where(C.manual()))
 
@@ -105,7 +117,9 @@ def _(t):
     return R.reject_runs(s.where("suggestion_id % 8 = 3"), s.where("suggestion_id % 5 = 1"))
 
 
-@query("rev12_display_marks")
+@query("rev12_display_marks", f"""WITH {_PENDING}, {circle_sets('x', 'r')}, focus AS (SELECT image_id, min(cluster_id) AS cluster_id FROM clusters WHERE status = 'review' GROUP BY 1)
+SELECT p.image_id, p.suggestion_id, p.x, p.y, p.r, CASE WHEN f.image_id IS NULL THEN state WHEN state = 'rejected' THEN 'rejected' WHEN o.a_id IS NOT NULL THEN 'changed' ELSE 'review' END AS state
+FROM pending p LEFT JOIN focus f ON f.image_id = p.image_id AND f.cluster_id = p.cluster_id LEFT JOIN (SELECT * FROM parts WHERE part = 'only-a') o ON o.image_id = p.image_id AND o.cluster_id = p.cluster_id AND o.a_id = p.suggestion_id""")
 def _(t):
     p = _pending(t)
     a = t("suggestions").select("image_id", "cluster_id", c("suggestion_id").alias("a_id"), "x", "y", "r")
@@ -114,7 +128,8 @@ def _(t):
     return R.display_marks(p, R.compare_options(a, b, ["image_id", "cluster_id"], "a_id", "b_id"), focus)
 
 
-@query("rev13_comparison")
+@query("rev13_comparison", f"""WITH gt AS (SELECT image_id, annotation_id, x, y FROM marks WHERE origin = 'manual'), {folds.matched('m', 'suggestions', 'gt', '12.0::DOUBLE')}
+SELECT *, nullif(tp, 0) AS matched, nullif(fp, 0) AS extra, nullif(fn, 0) AS missed FROM ({folds.counts('suggestions', 'gt', 'm')})""")
 def _(t):
     det = t("suggestions").select("image_id", "suggestion_id", "x", "y")
     gt = t("marks").where(C.manual()).select("image_id", "annotation_id", "x", "y")

@@ -14,6 +14,7 @@ from petrigrid.sources import summary_csv as SC
 from petrigrid.streaming import edits as ST
 
 from .q_joins import IMG
+from . import folds
 from .registry import REGISTRY, query
 
 c = F.col
@@ -138,9 +139,11 @@ def _(t):
     return SC.comparison_json(_evaluated(t).withColumn("radius", F.lit(12.0)))
 
 
-@query("snk6_report_markdown")
+@query("snk6_report_markdown", f"""WITH gt AS (SELECT image_id, annotation_id, x, y FROM marks WHERE origin = 'manual'), {folds.matched('m', 'suggestions', 'gt', '12.0::DOUBLE')}
+SELECT '| ' || concat_ws(' | ', image_id, n_gt, n_pred, tp, printf('%.3f', precision), printf('%.3f', recall), printf('%.3f', f1)) || ' |' AS value FROM ({folds.counts('suggestions', 'gt', 'm')})""")
 def _(t):
-    return SC.markdown_rows(_evaluated(t), ["image_id", "n_gt", "n_pred", "tp", "precision", "recall", "f1"])
+    rounded = _evaluated(t).withColumns({n: F.format_string("%.3f", n) for n in ("precision", "recall", "f1")})
+    return SC.markdown_rows(rounded, ["image_id", "n_gt", "n_pred", "tp", "precision", "recall", "f1"])
 
 
 @query("ver9_push_steps")

@@ -13,6 +13,7 @@ from petrigrid.operators import robust as R
 from petrigrid.operators import spatial as S
 
 from .q_joins import IMG, POLY
+from . import folds
 from .registry import query
 
 c = F.col
@@ -74,7 +75,9 @@ def _(t):
     return E.centre_error(d, IMG).withColumn("mean", F.round("mean", 9))
 
 
-@query("agg13_duplicate_rate")
+@query("agg13_duplicate_rate", f"""WITH {folds.matched('m', 'suggestions', 'marks', '20.0::DOUBLE')},
+f AS (SELECT s.image_id, s.suggestion_id FROM suggestions s WHERE s.suggestion_id NOT IN (SELECT p FROM m) AND EXISTS (SELECT 1 FROM marks t WHERE t.image_id = s.image_id AND t.annotation_id IN (SELECT g FROM m) AND {folds.distance('s', 't')} <= 20)),
+n AS (SELECT image_id, count(*) AS n FROM suggestions GROUP BY 1), u AS (SELECT image_id, count(*) AS k FROM f GROUP BY 1) SELECT n.image_id, coalesce(k, 0) AS duplicates, coalesce(k, 0)::DOUBLE / n::DOUBLE AS duplicate_rate FROM n LEFT JOIN u ON u.image_id = n.image_id""")
 def _(t):
     return E.duplicate_rate(t("suggestions"), t("marks"), _pairs(t), IMG, F.lit(20.0), "suggestion_id", "annotation_id")
 
@@ -94,7 +97,9 @@ def _(t):
     return E.spread(t("marks"), IMG, "r").select("image_id", F.round("mean", 9).alias("mean"), F.round("sd", 9).alias("sd"), "min", "max")
 
 
-@query("agg16_multi_radius")
+@query("agg16_multi_radius", f"""WITH given AS (SELECT image_id, annotation_id AS given_id, x, y FROM marks WHERE origin = 'manual' AND annotation_id % 60 = 0), typ AS (SELECT image_id, avg(r) AS r_typ FROM marks GROUP BY 1), gt AS (SELECT m.*, r_typ FROM marks m JOIN typ ON typ.image_id = m.image_id),
+{folds.matched('q', 'given', 'gt', 'b.r_typ * 0.5::DOUBLE', 'given_id')}, fs AS (SELECT unnest([0.6::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE]) AS factor), p AS (SELECT image_id, factor, suggestion_id, x, y FROM suggestions, fs), g AS (SELECT image_id, factor, annotation_id, x, y, r_typ FROM gt, fs WHERE annotation_id NOT IN (SELECT g FROM q)),
+{folds.matched('m', 'p', 'g', 'b.factor * b.r_typ', keys='image_id, factor')} {folds.counts('p', 'g', 'm', 'image_id, factor')}""")
 def _(t):
     given = t("marks").where(C.manual()).where("annotation_id % 60 = 0").select("image_id", c("annotation_id").alias("given_id"), "x", "y")
     typ = t("marks").groupBy("image_id").agg(F.avg("r").alias("r_typ"))
@@ -115,7 +120,11 @@ def _(t):
     return E.under_split(k, 10.0).select("image_id", "cluster_id", "suspect", "strict")
 
 
-@query("agg19_agreement")
+@query("agg19_agreement", f"""WITH s AS (SELECT image_id, suggestion_id, x, y, 'fitter' AS method FROM suggestions UNION ALL SELECT image_id, suggestion_id, x + 2, y, 'log' FROM suggestions WHERE suggestion_id % 4 <> 0 UNION ALL SELECT image_id, suggestion_id, x, y - 3, 'watershed' FROM suggestions WHERE suggestion_id % 3 <> 0),
+w AS (SELECT a.method AS method_a, b.method AS method_b FROM (SELECT DISTINCT method FROM s) a JOIN (SELECT DISTINCT method FROM s) b ON a.method < b.method),
+p AS (SELECT image_id, method_a, method_b, suggestion_id AS a_id, x, y FROM s JOIN w ON method = method_a), g AS (SELECT image_id, method_a, method_b, suggestion_id AS b_id, x, y FROM s JOIN w ON method = method_b),
+{folds.matched('m', 'p', 'g', '12.0::DOUBLE', 'a_id', 'b_id', 'image_id, method_a, method_b')}
+SELECT image_id, method_a, method_b, round(f1, 2) AS f1 FROM ({folds.counts('p', 'g', 'm', 'image_id, method_a, method_b')})""")
 def _(t):
     s = t("suggestions").select("image_id", "suggestion_id", "x", "y")
     methods = s.withColumn("method", F.lit("fitter")).unionByName(s.where("suggestion_id % 4 <> 0").withColumns({"method": F.lit("log"), "x": c("x") + 2}))
