@@ -29,12 +29,19 @@ FOLD = 200_000
 
 
 def _by_size(rows: DataFrame, keys: list[str], fold: Callable[[pd.DataFrame], pd.DataFrame], schema: str, rounds: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``fold`` over the keys that fit a task, ``rounds`` over the keys that do not."""
+    """``fold`` over the keys that fit a task, ``rounds`` over the keys that do not. A task takes many small keys at once."""
     rows = cut(rows)
-    large = cut(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(c("_n") > FOLD).select(*keys))
-    if not large.limit(1).count():
-        return rows.groupBy(*keys).applyInPandas(fold, schema)
-    small = rows.join(large, keys, "left_anti").groupBy(*keys).applyInPandas(fold, schema)
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total, most = sizes.agg(F.sum("_n"), F.max("_n")).first()
+    dealt = F.pmod(F.xxhash64(*keys), F.lit(max(64, (total or 0) // 50_000)))
+
+    def folds(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([fold(g) for _, g in pdf.drop(columns="_task").groupby(keys, sort=False, dropna=False)], ignore_index=True)
+
+    if (most or 0) <= FOLD:
+        return rows.withColumn("_task", dealt).groupBy("_task").applyInPandas(folds, schema)
+    large = cut(sizes.where(c("_n") > FOLD).select(*keys))
+    small = rows.join(large, keys, "left_anti").withColumn("_task", dealt).groupBy("_task").applyInPandas(folds, schema)
     return small.unionByName(rounds(rows.join(large, keys, "left_semi")))
 
 
