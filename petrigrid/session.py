@@ -29,6 +29,7 @@ def build_session(app: str = "petrigrid", master: str = "local[8]", shuffle_part
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")  # a round's table goes with the last plan that reads it
     )
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
@@ -46,7 +47,7 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder lineage is cut into; a temporary one only on a local master."""
+    """The shared folder lineage is cut into, from ``spark.checkpoint.dir``; a temporary one only where that is unset on a local master."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
