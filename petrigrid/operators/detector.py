@@ -215,14 +215,27 @@ def _measure_once(plane: DataFrame, sizes: DataFrame, seeds: DataFrame, keys: li
     )
 
 
+TILE = 64
+
+
+def _around(plane: DataFrame, seeds: DataFrame, keys: list[str]) -> DataFrame:
+    """Pixels in the tiles that a measurement can reach: profiles end at ``r_max``, and a centre moves by 0.8 of a radius of at most twice that."""
+    reach = c("r_max") * 2.6 + 4
+    side = lambda a: F.explode(F.sequence(F.floor((c(a) - reach) / TILE), F.floor((c(a) + reach) / TILE)))
+    tiles = seeds.select(*keys, "py", "r_max", side("px").alias("_tx")).select(*keys, "_tx", side("py").alias("_ty")).distinct()
+    at = plane.withColumns({"_tx": F.floor(c("x") / TILE), "_ty": F.floor(c("y") / TILE)})
+    return at.join(tiles, [*keys, "_tx", "_ty"], "left_semi").drop("_tx", "_ty")
+
+
 def measure_seeds(plane: DataFrame, seeds: DataFrame, keys: list[str], item: str, saturated: DataFrame | None = None, region_distance: DataFrame | None = None) -> DataFrame:
     """Radius and quality features of every seed, re-centred at most three times (PIX28).
 
     ``seeds(keys, item, px, py, noise, r_max)`` in plane pixels; ``plane(keys, y, x, v)``.
     """
     key = [*keys, item]
-    plane, seeds = cut(plane.select(*keys, "y", "x", "v")), cut(seeds.select(*keys, item, "px", "py", "noise", "r_max"))
+    seeds = cut(seeds.select(*keys, item, "px", "py", "noise", "r_max"))
     sizes = cut(P.size_of(plane, keys))
+    plane = cut(_around(plane.select(*keys, "y", "x", "v"), seeds, keys))
     cur = cut(_measure_once(plane, sizes, seeds.withColumns({"cx": c("px"), "cy": c("py")}), keys, item)).withColumn("live", F.lit(True))
     for _ in range(3):
         go = cur.where(c("live") & c("r").isNotNull() & (c("n_rays") >= 8))
