@@ -367,7 +367,7 @@ def _(t):
 
 
 def _limits(t):
-    return t("planes").select("plane_id").distinct().select("plane_id", F.lit(0.02).alias("noise"), F.lit(0.1).alias("contrast_ref"), F.lit(0.02).alias("threshold"), F.lit(2.5).alias("r_med"), F.lit(1.5).alias("r_lo"))
+    return t("planes").select("plane_id").distinct().select("plane_id", F.lit(0.02).alias("noise"), F.lit(0.1).alias("contrast_ref"), F.lit(0.02).alias("threshold"), (2.2 + c("plane_id") % 3 * 0.8).alias("r_med"), F.lit(1.5).alias("r_lo"))
 
 
 @query("pix31_foreground")

@@ -394,11 +394,12 @@ def log_job(plane: DataFrame, region: DataFrame, seeds: DataFrame, fixed: DataFr
     """
     blobs, resp = log_blobs(plane, keys, radii, 0.0, region, 0.7)
     blobs = cut(blobs)
-    mid = min(range(len(radii)), key=lambda i: (abs(radii[i] - radii[len(radii) // 2]), i))
-    rr = max(1, math.floor(radii[mid] * 0.3 + 0.5))
-    side = lambda n: F.explode(F.sequence(F.floor(c(n)) - rr, F.floor(c(n)) + rr))
-    near = seeds.select(*keys, "item", "x", "y").withColumn("sx", side("x")).withColumn("sy", side("y")).select(*keys, "item", c("sx").alias("x"), c("sy").alias("y"))
-    top = near.join(resp.where(c("scale") == mid).select(*keys, "y", "x", "v"), [*keys, "y", "x"]).groupBy(*keys, "item").agg(F.max("v").alias("v"))
+    # per image: the scale nearest its typical radius, the finer one on ties, and a window of 0.3 of that radius
+    off = F.array(*[F.struct(F.abs(F.lit(float(r)) - c("r_med")).alias("d"), F.lit(i).alias("i")) for i, r in enumerate(radii)])
+    own = limits.select(*keys, F.array_min(off)["i"].alias("scale"), F.greatest(F.lit(1), F.floor(c("r_med") * 0.3 + 0.5)).cast("bigint").alias("_rr"))
+    side = lambda n: F.explode(F.sequence(F.floor(c(n)) - c("_rr"), F.floor(c(n)) + c("_rr")))
+    near = seeds.select(*keys, "item", "x", "y").join(own, keys).withColumn("sx", side("x")).withColumn("sy", side("y")).select(*keys, "scale", "item", c("sx").alias("x"), c("sy").alias("y"))
+    top = near.join(resp.select(*keys, "scale", "y", "x", "v"), [*keys, "scale", "y", "x"]).groupBy(*keys, "item").agg(F.max("v").alias("v"))
     from .metrics import upper_median
 
     ref = upper_median(top, keys, "v", "_ref")
