@@ -45,7 +45,13 @@ def _(t):
     return D.with_relative_gap(D.decide(s), t("unit_disks"), 9.0).select("unit_id", "best_k", "runner_k", "gap", "contested", "relative_gap")
 
 
-@query("rev4_stability_flips")
+def _settings():
+    return [(x["id"], x["lambda"], x["s"]) for x in D.slider_settings(0.1, 0.3)]
+
+
+@query("rev4_stability_flips", "WITH " + ", ".join(f"s{i} AS {_scores(lam, s)}" for i, (_, lam, s) in enumerate(_settings())) + ", a AS (" + " UNION ALL ".join(f"SELECT '{n}' AS setting, * FROM s{i}" for i, (n, _, _) in enumerate(_settings())) + """),
+d AS (SELECT setting, unit_id, arg_min(k, (sc, k)) AS k FROM (SELECT setting, unit_id, k, min(score) AS sc FROM a GROUP BY 1, 2, 3) GROUP BY 1, 2)
+SELECT d.unit_id, coalesce(string_agg(DISTINCT CASE WHEN d.k <> b.k THEN CAST(d.k AS VARCHAR) END, ',' ORDER BY CASE WHEN d.k <> b.k THEN CAST(d.k AS VARCHAR) END), '') AS flips FROM d JOIN d AS b ON b.unit_id = d.unit_id AND b.setting = 'base' WHERE d.setting <> 'base' GROUP BY 1""")
 def _(t):
     s = D.config_scores(t("unit_configs"), t("unit_disks"), D.slider_settings(0.1, 0.3), LOG_R)
     return D.stability_flips(D.decide(s)).select("unit_id", F.array_join(c("flips").cast("array<string>"), ",").alias("flips"))

@@ -17,7 +17,7 @@ def r6(col):
     return F.round(col, 6)
 
 
-@query("sca1_magic_bytes")
+@query("sca1_magic_bytes", """SELECT page_id, CASE page_id % 9 WHEN 0 THEN 'image/jpeg' WHEN 1 THEN 'image/png' WHEN 2 THEN 'image/gif' WHEN 3 THEN 'image/bmp' WHEN 4 THEN 'image/tiff' WHEN 5 THEN 'image/avif' WHEN 6 THEN 'image/heic' WHEN 7 THEN 'image/webp' END AS mime FROM pages""")
 def _(t):
     # page texts stand in for file contents: a format header chosen by page, then the page bytes
     heads = ["FFD8FF", "89504E47", "474946383961", "424D", "49492A00", "0000001C6674797061766966", "0000001C66747970686569630000", "52494646000000005745425056503820", "00"]

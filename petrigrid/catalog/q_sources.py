@@ -146,7 +146,13 @@ def _(t):
     return SC.markdown_rows(rounded, ["image_id", "n_gt", "n_pred", "tp", "precision", "recall", "f1"])
 
 
-@query("ver9_push_steps")
+@query("ver9_push_steps", """WITH j AS (SELECT l.image_id, l.dirty, l.sha, s.file_id AS s_id, k.file_id IS NOT NULL AS known, s.image_id IS NOT NULL AND s.md5 IS NULL AS never, k.md5 IS DISTINCT FROM s.md5 AS differs, n.file_id AS n_id, n.md5 <> l.sha AS other
+ FROM manifest_local l LEFT JOIN manifest_seen s ON s.image_id = l.image_id LEFT JOIN manifest_remote k ON k.file_id = s.file_id LEFT JOIN manifest_remote n ON n.image_id = l.image_id),
+a AS (SELECT *, CASE WHEN NOT dirty AND (known OR never) THEN 'skip' WHEN known AND differs THEN 'conflict' WHEN known THEN 'update' WHEN never THEN 'conflict' WHEN n_id IS NOT NULL AND other THEN 'conflict' WHEN n_id IS NOT NULL THEN 'update' ELSE 'create' END AS first FROM j),
+plan AS (SELECT a.image_id, i.project_id, CASE WHEN first = 'conflict' AND i.project_id <> 'p2' THEN 'update' ELSE first END AS action, CASE WHEN first IN ('update', 'conflict') THEN CASE WHEN known OR never THEN s_id ELSE n_id END END AS target FROM a JOIN images i ON i.image_id = a.image_id),
+go AS (SELECT project_id FROM plan GROUP BY 1 HAVING NOT bool_or(action = 'conflict' OR project_id = 'p4'))
+SELECT project_id, 1 AS step, 'annotations/' || image_id || '.json' AS file, action, target FROM plan WHERE action IN ('create', 'update') AND project_id IN (SELECT project_id FROM go)
+UNION ALL SELECT project_id, 2, 'summary.csv', 'update', NULL FROM go UNION ALL SELECT project_id, 3, 'project.json', 'update', NULL FROM go""")
 def _(t):
     plan = R.reconcile_documents(t("manifest_local"), t("manifest_remote"), t("manifest_seen")).join(t("images").select("image_id", "project_id"), "image_id")
     plan = plan.withColumn("action", F.when((c("action") == "conflict") & (c("project_id") != "p2"), "update").otherwise(c("action")))
