@@ -375,7 +375,17 @@ def _(t):
 # ---------------------------------------------------------------- greedy selection
 
 
-@query("win12_farthest_points")
+def _farthest(k: int) -> str:
+    """One CTE of picks per round: next comes the point farthest from all picked ones."""
+    out = ["""h AS (SELECT m.image_id, annotation_id AS id, x, y, n, sqrt((x - gx) * (x - gx) + (y - gy) * (y - gy)) AS d0 FROM marks m JOIN (SELECT image_id, avg(x) AS gx, avg(y) AS gy, count(*) AS n FROM marks WHERE origin = 'manual' GROUP BY 1) c ON c.image_id = m.image_id WHERE origin = 'manual')""",
+           "p1 AS MATERIALIZED (SELECT image_id, unnest(m), 1 AS pick FROM (SELECT image_id, arg_min({'id': id, 'x': x, 'y': y}, (d0, id)) AS m FROM h WHERE n > 8 GROUP BY 1))"]
+    for i in range(2, k + 1):
+        out.append(f"""d{i} AS (SELECT h.image_id, h.id, h.x, h.y, min({folds.distance('h', 'q')}) AS d FROM h JOIN p{i - 1} AS q ON q.image_id = h.image_id WHERE h.id NOT IN (SELECT id FROM p{i - 1}) GROUP BY ALL),
+p{i} AS MATERIALIZED (SELECT * FROM p{i - 1} UNION ALL SELECT image_id, unnest(m), {i} FROM (SELECT image_id, arg_max({{'id': id, 'x': x, 'y': y}}, (d, -id)) AS m FROM d{i} GROUP BY 1))""")
+    return ",\n".join(out)
+
+
+@query("win12_farthest_points", f"WITH {_farthest(8)} SELECT image_id, id AS annotation_id, pick FROM p8 UNION ALL SELECT image_id, id, 0 FROM h WHERE n <= 8")
 def _(t):
     return M.farthest_points(t("marks").where(C.manual()), IMG, "annotation_id", 8).select("image_id", "annotation_id", "pick")
 

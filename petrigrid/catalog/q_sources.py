@@ -134,7 +134,11 @@ def _evaluated(t):
     return E.match_counts(det, gt, pairs, IMG)
 
 
-@query("snk5_comparison_json")
+_TWO = "floor({0} * 100 + 0.5) / 100"
+
+
+@query("snk5_comparison_json", f"""WITH gt AS (SELECT image_id, annotation_id, x, y FROM marks WHERE origin = 'manual'), {folds.matched('m', 'suggestions', 'gt', '12.0::DOUBLE')}
+SELECT image_id, CAST(to_json({{'kind': 'region-comparison', 'version': 1, 'image': image_id, 'matching': {{'radius': 12.0::DOUBLE}}, 'counts': {{'n_gt': n_gt, 'n_pred': n_pred, 'matched': tp, 'missed': fn, 'extra': fp, 'precision': {_TWO.format('precision')}, 'recall': {_TWO.format('recall')}, 'f1': {_TWO.format('f1')}}}}}) AS VARCHAR) AS value FROM ({folds.counts('suggestions', 'gt', 'm')})""")
 def _(t):
     return SC.comparison_json(_evaluated(t).withColumn("radius", F.lit(12.0)))
 
