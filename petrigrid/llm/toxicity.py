@@ -68,20 +68,20 @@ def fit(doc: np.ndarray, slot: np.ndarray, y: np.ndarray, seed: int = 7) -> Mach
     n = len(y)
     share = min(max(float(y.mean()) if n else 0.0, 1e-3), 1 - 1e-3)
     bias = float(np.log(share / (1 - share)))
-    known, at = np.unique(slot, return_inverse=True)
-    seen = np.bincount(at, minlength=len(known))
-    if share in (1e-3, 1 - 1e-3) or not len(known):
+    # counted by slot, not by pair: the pairs are the large part of the sample
+    seen = np.bincount(slot, minlength=1 << SLOT_BITS)
+    if share in (1e-3, 1 - 1e-3) or not len(slot):
         return Machine(bias, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)))
-    hits = np.bincount(at, y[doc], len(known))
+    hits = np.bincount(slot[y[doc] > 0], minlength=1 << SLOT_BITS)
     telling = np.abs(hits - seen * share) / np.sqrt(seen * share * (1 - share) + 1)
     telling[seen < LEAST_DOCS] = -1
     first = np.argsort(-telling, kind="stable")[:ACTIVE]
     active = np.unique(np.concatenate([first[telling[first] >= TELLING], np.argsort(-seen, kind="stable")[:FREQUENT]]))
     active = active[seen[active] >= LEAST_DOCS]
-    place = np.full(len(known), -1)
+    place = np.full(1 << SLOT_BITS, -1, np.int32)
     place[active] = np.arange(len(active))
-    col = place[at]
-    doc, col = doc[col >= 0], col[col >= 0]
+    used = place[slot] >= 0
+    doc, col = doc[used], place[slot[used]]
     edge = np.searchsorted(doc, np.arange(n + 1))
     rng = np.random.default_rng(seed)
     w, v = np.zeros(len(active), np.float32), rng.normal(0, 0.01, (len(active), FACTORS)).astype(np.float32)
@@ -113,7 +113,7 @@ def fit(doc: np.ndarray, slot: np.ndarray, y: np.ndarray, seed: int = 7) -> Mach
                     v = v - move
                 else:
                     b = b - move
-    return Machine(float(b), known[active], w.astype(float), v.astype(float))
+    return Machine(float(b), active, w.astype(float), v.astype(float))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: Column | None = None, limit: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> Machine:
@@ -136,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: Co
     got = got.sort_by("doc_id")
     x = got.column("x").combine_chunks()
     size = np.diff(x.offsets.to_numpy())
-    return fit(np.repeat(np.arange(got.num_rows), size), x.flatten().to_numpy().astype(np.int64), (got.column("y").to_numpy() > 0).astype(float))
+    return fit(np.repeat(np.arange(got.num_rows, dtype=np.int32), size), x.flatten().to_numpy(), (got.column("y").to_numpy() > 0).astype(float))
 
 
 def scored(docs: DataFrame, model: Machine, text: str = "text", score: str = "score") -> DataFrame:
