@@ -56,7 +56,9 @@ def _(t):
     return r["damaged"].select(c("file_image_id").cast("bigint").alias("image_id"), "problem")
 
 
-@query("val10_detection_runs")
+@query("val10_detection_runs", """WITH s AS (SELECT 'p' AS project_id, image_id, cluster_id || 'r' AS run_id, min(suggestion_id) AS n, bool_or(suggestion_id % 50 = 0) AS odd FROM suggestions GROUP BY image_id, cluster_id)
+SELECT project_id, image_id, run_id, 'version' AS path, 'expected a string' AS rule FROM s WHERE n % 11 = 0 UNION ALL SELECT project_id, image_id, run_id, 'analysis_scale', 'must be positive' FROM s WHERE n % 5 = 0
+UNION ALL SELECT project_id, image_id, run_id, 'seeds', 'expected seeds' FROM s WHERE odd UNION ALL SELECT project_id, image_id, run_id, 'roi', 'incomplete region' FROM s WHERE CASE n % 4 WHEN 0 THEN n % 9 = 0 WHEN 1 THEN n % 7 = 0 WHEN 2 THEN n % 3 = 0 ELSE TRUE END""")
 def _(t):
     s = t("suggestions").groupBy("image_id", "cluster_id").agg(F.sort_array(F.collect_list(F.struct(c("suggestion_id").cast("string").alias("annotation_id"), c("image_id").cast("string").alias("image_id"), "x", "y", F.when(c("suggestion_id") % 50 == 0, "odd").otherwise("ok").alias("quality")))).alias("seeds"), F.min("suggestion_id").alias("n"))
     n = c("n")
