@@ -127,13 +127,14 @@ def _(t):
     )
 
 
-@query("sca13_finish_rectangle")
+@query("sca13_finish_rectangle", """WITH p AS (SELECT annotation_id, least(4000, greatest(0, least(x, x + r * 3 - 40))) AS x0, least(4000, greatest(0, greatest(x, x + r * 3 - 40))) AS x1, least(3000, greatest(0, y - r * 2)) AS y0, least(3000, greatest(0, y)) AS y1 FROM marks),
+q AS (SELECT annotation_id, round(x1, 1) - round(x0, 1) AS w, round(y1, 1) - round(y0, 1) AS h FROM p) SELECT annotation_id, w < 16 OR h < 16 OR w * h < 64 AS too_small, round(w * h, 6) AS area FROM q""")
 def _(t):
     m = t("marks")
     w, h = F.lit(4000.0), F.lit(3000.0)
     poly = G.rect_points(c("x"), c("y"), c("x") + c("r") * 3 - 40, c("y") - c("r") * 2)
     p = m.select("annotation_id", F.transform(poly, lambda q: G.clamp_point(q, w, h)).alias("points"))
-    return p.select("annotation_id", G.too_small(c("points"), F.lit(16.0)).alias("too_small"), G.polygon_area(c("points")).alias("area"))
+    return p.select("annotation_id", G.too_small(c("points"), F.lit(16.0)).alias("too_small"), F.round(G.polygon_area(c("points")), 6).alias("area"))
 
 
 @query("sca13_finish_lasso")
