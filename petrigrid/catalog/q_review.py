@@ -39,10 +39,16 @@ def _(t):
     return D.decide(s).select("unit_id", "best_k", "runner_k", F.round("gap", 6).alias("gap"))
 
 
-@query("rev3_contested_area")
+@query("rev3_contested_area", f"""WITH s AS {_scores(0.1, 0.3)}, pk AS (SELECT unit_id, k, min(score) AS score, arg_min(config_id, (score, config_id)) AS cfg FROM s GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY score, k) AS rk FROM pk),
+dec AS (SELECT unit_id, max(cfg) FILTER (WHERE rk = 1) AS best, max(k) FILTER (WHERE rk = 1) AS best_k, max(cfg) FILTER (WHERE rk = 2) AS runner, max(k) FILTER (WHERE rk = 2) AS runner_k, max(score) FILTER (WHERE rk = 2) - max(score) FILTER (WHERE rk = 1) AS gap FROM r GROUP BY 1),
+a AS (SELECT d.* FROM unit_disks d JOIN dec ON dec.unit_id = d.unit_id AND d.config_id = best), b AS (SELECT d.* FROM unit_disks d JOIN dec ON dec.unit_id = d.unit_id AND d.config_id = runner),
+e AS (SELECT a.unit_id, a.disk_id AS p, b.disk_id AS g, {folds.distance()} AS d FROM a JOIN b ON a.unit_id = b.unit_id AND {folds.distance()} < 0.5::DOUBLE * greatest(a.r, b.r) AND abs(ln(a.r / b.r)) < 0.3), {folds.pairs('m', 'e', 'p, d, g', 'unit_id')},
+loose AS (SELECT unit_id, r FROM a WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.unit_id = a.unit_id AND m.p = a.disk_id) UNION ALL SELECT unit_id, r FROM b WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.unit_id = b.unit_id AND m.g = b.disk_id)),
+ar AS (SELECT unit_id, sum(r * r) / 81 AS area FROM loose GROUP BY 1)
+SELECT dec.unit_id, best_k, runner_k, round(gap, 6) AS gap, round(coalesce(area, 0), 6) AS contested, round(gap / greatest(0.25::DOUBLE, coalesce(area, 0)), 6) AS relative_gap FROM dec LEFT JOIN ar ON ar.unit_id = dec.unit_id""")
 def _(t):
     s = D.config_scores(t("unit_configs"), t("unit_disks"), [{"id": "base", "lambda": 0.1, "s": 0.3}], LOG_R)
-    return D.with_relative_gap(D.decide(s), t("unit_disks"), 9.0).select("unit_id", "best_k", "runner_k", "gap", "contested", "relative_gap")
+    return D.with_relative_gap(D.decide(s), t("unit_disks"), 9.0).select("unit_id", "best_k", "runner_k", *[F.round(n, 6).alias(n) for n in ("gap", "contested", "relative_gap")])
 
 
 def _settings():
