@@ -1,5 +1,6 @@
 """Replay, undo/redo and version rules against sequential restatements."""
 
+import datetime
 import random
 
 from petrigrid.operators import oplog as O
@@ -23,18 +24,43 @@ def replayed(rows):
     return state
 
 
+def in_batches(spark, df, parts, path):
+    """A stream that delivers the given parts one batch at a time, in turn."""
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, df.schema).coalesce(1).write.parquet(f"{path}/{i:03d}")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+
+
 def test_replay_batch_and_stream(spark, tmp_path):
     rows = ops_rows(1, 300)
-    df = spark.createDataFrame(rows, "image_id int, seq long, item int, kind string, x double")
+    start = datetime.datetime(2024, 1, 1)
+    timed = [(*r, start + datetime.timedelta(minutes=r[1])) for r in rows]
+    df = spark.createDataFrame(timed, "image_id int, seq long, item int, kind string, x double, ts timestamp")
     got = {r.item: (r.position, r.x) for r in O.replay(df, ["image_id"], "item", ["x"]).collect()}
     assert got == replayed(rows)
-    for i in range(3):
-        spark.createDataFrame(rows[i * 100 : (i + 1) * 100], df.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    s = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    out = ST.latest(ST.run_available(ST.replay_stream(s, ["image_id"], "item"), "update"), ["image_id", "item"]).where("alive")
+    # every seventh op arrives one batch late; the watermark settles what is older than two hours
+    parts = [[r for r in timed if (r[1] // 50 + (r[1] % 7 == 3)) == i] for i in range(7)]
+    s = in_batches(spark, df, [p for p in parts if p], tmp_path / "in")
+    out = ST.latest(ST.run_available(ST.replay_stream(s, ["image_id"], "item", "ts", "2 hours"), "update"), ["image_id", "item"]).where("alive")
     assert {r.item: (r.position, r.x) for r in out.collect()} == replayed(rows)
 
 
+def test_debounced_stream_is_complete(spark, tmp_path):
+    """Bursts of the last batch come out once closing rows have moved the watermark past them."""
+    rnd = random.Random(4)
+    at, times = datetime.datetime(2024, 1, 1), []
+    for _ in range(200):
+        at += datetime.timedelta(minutes=rnd.choice([1, 5, 50, 200]))
+        times.append((1, at))
+    df = spark.createDataFrame(times, "image_id int, ts timestamp")
+    beats = [[(None, at + datetime.timedelta(days=k))] for k in (1, 2)]
+    s = in_batches(spark, df, [times[:70], times[70:140], times[140:], *beats], tmp_path / "in")
+    got = ST.run_available(ST.debounced_saves_stream(s, ["image_id"], "ts", "30 minutes", "1 hour"), "append").where("image_id is not null")
+    want = O.quiet_sessions(df, ["image_id"], "ts", "30 minutes")
+    pick = lambda d: sorted((r.edits, r.last_edit) for r in d.collect())
+    assert pick(got) == pick(want) and sum(n for n, _ in pick(got)) == 200
+
+
 def test_undo_redo(spark, tmp_path):
     rnd = random.Random(2)
     rows = [(1, i, rnd.choice(["edit", "edit", "undo", "redo"]), i, rnd.random() < 0.1) for i in range(120)]
@@ -53,8 +79,7 @@ def test_undo_redo(spark, tmp_path):
                 dst.append(src.pop())
         want.append((seq, res, len(undo), len(redo)))
     df = spark.createDataFrame(rows, "image_id int, seq long, action string, entry long, blocked boolean")
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    s = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    s = in_batches(spark, df, [rows[:40], rows[40:80], rows[80:]], tmp_path / "in")
     out = ST.run_available(ST.history_stream(s, limit=5), "append").orderBy("seq").collect()
     assert [(r.seq, r.result, r.undo_size, r.redo_size) for r in out] == want
 
