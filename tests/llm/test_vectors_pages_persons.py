@@ -150,3 +150,34 @@ def test_contexts_discover_what_the_form_misses(spark):
     assert all(got[i] == (1, 1) for i in range(30))
     assert all(got[100 + i] == (0, 1) for i in range(3)) and got[300] == (0, 1)
     assert all(got[200 + i] == (0, 0) for i in range(20))
+
+
+def test_contexts_discover_unseen_formats(spark):
+    """Numbers without '+' and of several words, and emails without @, stand where seeds stand; a chain needs more than three rounds."""
+    rng = random.Random(8)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    rows = [(i, f"please call me under +1 415 {digits(3)} {digits(4)} after lunch {i}", "a") for i in range(40)]
+    rows += [(100, "please call me under (415) 555 2671 after lunch", "a"), (101, "so 415) 555 2671 again", "a")]
+    rows += [(200 + i, f"kindly write to user{i}@mail.org before noon", "b") for i in range(40)] + [(300, "é kindly write to john at example dot com before noon", "b")]
+    chain = [f"x{k}yzq" for k in range(6)]
+    for k in range(6):  # identifier k stands in the contexts of step k - 1 and of step k
+        names = [f"{chain[k]} {digits(4)} {digits(3)}" for _ in range(60)]
+        left, right = (f"open{k - 1} gate{k - 1}", f"shut{k - 1} door{k - 1}") if k else ("please call me under", "after lunch")
+        rows += [(1000 * (k + 1) + i, f"{left} {v} {right}", "c") for i, v in enumerate(names[:3])]
+        rows += [(1000 * (k + 1) + 500 + i, f"open{k} gate{k} {v} shut{k} door{k}", "c") for v in names[:3] for i in range(12)]
+    got = {r["doc_id"]: r["spans"] for r in pii.extract(documents(spark, rows)).collect()}
+    text = {r[0]: r[1] for r in rows}
+    cut = lambda i: [text[i][s["start"] : s["stop"]] for s in got[i]]
+    assert cut(100) == ["415) 555 2671"] and cut(101) == ["415) 555 2671"]
+    assert cut(300) == ["john at example dot com"]
+    assert all(len(cut(1000 * (k + 1))) == 1 for k in range(6))
+
+
+def test_unsettled_rounds_fail(spark):
+    rows = documents(spark, [(i, f"call me under +1 415 555 {1000 + i} after lunch", "a") for i in range(40)] + [(90, "call me under 555 2671 after lunch", "a")])
+    found = pii.scan(rows)
+    try:
+        pii.bootstrap(found, pii.rows_of(rows, "doc_id", "text"), rounds=1)
+    except RuntimeError:
+        return
+    raise AssertionError("an unsettled graph passed")
