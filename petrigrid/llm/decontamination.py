@@ -7,7 +7,7 @@ gives the candidate starts, and the lists of the other terms, rarest first, thin
 shuffle, and a frequent word costs no more than its own list.
 
 Test items are dealt to the tasks in blocks of at most ``BLOCK_WORDS`` words; a larger test set takes
-several blocks, whose hits are united per document.
+several blocks, whose hits are united per row: the rows are numbered in a written table first.
 """
 
 from __future__ import annotations
@@ -209,18 +209,25 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, span:
 
     Null and empty texts have no words and no hits; an item of fewer words than a window is one window and an
     item without words none; items with a null id hit words but are not listed. Without items nothing is hit.
-    Repeated rows are answered one by one (beyond one block of items, rows of one id are answered together).
+    Repeated rows and rows of one id or none are answered one by one, however many blocks the items take.
     Other columns of ``docs`` are ignored, so clashing names do no harm. With ``span``, ``near`` lists the items
     of which all words of a window occur within so many words of its rarest one, in any order.
     """
-    found = []
-    for ids, texts in blocks(items):
-        p = phrases(ids, texts, window)
-        found.append(search(C.stored(index(docs, p.vocabulary, doc_id, text), "postings"), p, span))
-    if len(found) == 1:
-        return found[0]
-    both = found[0]
-    for f in found[1:]:
-        both = both.unionByName(f)
+    parts = blocks(items)
+    first = next(parts)
+    second = next(parts, None)
+
+    def found(rows: DataFrame, part: tuple[list, list], key: str) -> DataFrame:
+        p = phrases(*part, window)
+        return search(C.stored(index(rows, p.vocabulary, key, text), "postings"), p, span)
+
+    if second is None:
+        return found(docs, first, doc_id)
+    number = F.struct(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("id")).alias("__key")
+    rows = C.stored(docs.select(number, F.col(text).cast("string").alias(text)), "numbered")
+    both = found(rows, first, "__key").unionByName(found(rows, second, "__key"))
+    for part in parts:
+        both = both.unionByName(found(rows, part, "__key"))
     merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
-    return both.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), merged("hit"), merged("items"), merged("near"))
+    one = both.groupBy(F.col("doc_id.row").alias("row")).agg(F.first("doc_id").alias("key"), F.max("n_words").alias("n_words"), merged("hit"), merged("items"), merged("near"))
+    return one.select(F.col("key.id").alias("doc_id"), "n_words", "hit", "items", "near")

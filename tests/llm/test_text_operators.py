@@ -158,6 +158,17 @@ def test_contamination_in_blocks(spark, monkeypatch):
     assert Counter((r["doc_id"], r["n_words"], tuple(r["hit"]), tuple(r["items"])) for r in got.collect()) == brute_contamination(rows, items)
 
 
+def test_blocks_keep_repeated_and_null_ids(spark, monkeypatch):
+    rows = texts()
+    long_ = rows[9][1].split()
+    rows += [(None, " ".join(long_[k : k + 30]), "a") for k in (5, 50)] + [(41, " ".join(long_[60:90]), "b")]
+    items = [(k, " ".join(long_[7 * k : 7 * k + 20])) for k in range(20)]
+    real = decontamination.blocks
+    monkeypatch.setattr(decontamination, "blocks", lambda df: real(df, words=100))
+    got = decontamination.contamination(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert Counter((r["doc_id"], r["n_words"], tuple(r["hit"]), tuple(r["items"])) for r in got.collect()) == brute_contamination(rows, items)
+
+
 def test_proximity(spark):
     rows = [(1, "alpha filler beta filler gamma", "a"), (2, "gamma beta alpha", "a"), (3, "alpha beta", "a"), (4, f"alpha {words(__import__('random').Random(1), 40)} beta gamma", "a")]
     items = spark.createDataFrame([(9, "alpha beta gamma")], "item_id long, text string")
