@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import decontamination, embedding_dedup, html_extraction, mixing, ngram_join, pii, quality, sharding, substring_dedup, toxicity
+from . import decontamination, embedding_dedup, html_extraction, merkle_manifest, mixing, ngram_join, pii, quality, sharding, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -138,3 +138,39 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes from every document."""
     return mixing.mix(C.table(spark, sf_dir, "documents"))
+
+
+def _tampered() -> Column:
+    """The leaf with one more character counted where 7 divides the checksum of the id."""
+    hit = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
+    return merkle_manifest.leaf(tuple(F.when(hit, F.col(c) + 1).otherwise(F.col(c)) if c == "n_chars" else F.col(c) for c in merkle_manifest.COLUMNS))
+
+
+def _leaf_sql(n_chars: str) -> str:
+    parts = [f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", n_chars, "text")]
+    return f"sha256({' || '.join(parts)})"
+
+
+_CRC32 = "(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, c: list_reduce([xor(a, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"
+
+
+@query
+@oracle(f"""
+WITH RECURSIVE d AS (SELECT doc_id, lang, {_leaf_sql("n_chars")} AS leaf, CASE WHEN xor({_CRC32}, 4294967295) % 7 = 0 THEN {_leaf_sql("(n_chars + 1)")} ELSE {_leaf_sql("n_chars")} END AS seen FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM d),
+t AS (SELECT tree, 0 AS lv, list(leaf ORDER BY pos) AS hs FROM p GROUP BY tree
+  UNION ALL SELECT tree, lv + 1, list_transform(range(0, len(hs), 2), lambda i: sha256(hs[i + 1] || coalesce(hs[i + 2], ''))) FROM t WHERE len(hs) > 1),
+s AS (SELECT tree, hs[1] AS subroot FROM t WHERE len(hs) = 1),
+u AS (SELECT 0 AS lv, list(subroot ORDER BY tree) AS hs FROM s
+  UNION ALL SELECT lv + 1, list_transform(range(0, len(hs), 2), lambda i: sha256(hs[i + 1] || coalesce(hs[i + 2], ''))) FROM u WHERE len(hs) > 1),
+h AS (SELECT tree, max(lv) AS h FROM t GROUP BY tree),
+steps AS (SELECT p.tree, p.pos, t.lv, (p.pos >> t.lv) % 2 AS side, coalesce(hs[xor(p.pos >> t.lv, 1) + 1], '') AS sib FROM p JOIN t ON t.tree = p.tree AND len(t.hs) > 1
+  UNION ALL SELECT p.tree, p.pos, h.h + u.lv, (p.tree >> u.lv) % 2, coalesce(hs[xor(p.tree >> u.lv, 1) + 1], '') FROM p JOIN h ON h.tree = p.tree JOIN u ON len(u.hs) > 1),
+path AS (SELECT tree, pos, list(struct_pack(side := side, sib := sib) ORDER BY lv) AS path, string_agg(sib, '' ORDER BY lv) AS proof FROM steps GROUP BY tree, pos),
+f AS (SELECT tree, pos, 0 AS lv, seen AS acc FROM p
+  UNION ALL SELECT f.tree, f.pos, lv + 1, sha256(CASE WHEN path[lv + 1].side = 1 THEN path[lv + 1].sib || acc ELSE acc || path[lv + 1].sib END) FROM f JOIN path ON path.tree = f.tree AND path.pos = f.pos WHERE lv < len(path))
+SELECT p.doc_id, leaf, subroot, hs[1] AS root, sha256(coalesce(proof, '')) AS proof_sha256, acc AS folded_root, acc = hs[1] AS verified
+FROM p JOIN s ON s.tree = p.tree JOIN u ON len(u.hs) = 1 LEFT JOIN path ON path.tree = p.tree AND path.pos = p.pos JOIN f ON f.tree = p.tree AND f.pos = p.pos AND f.lv = coalesce(len(path), 0)""")
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, checked against rows of which some were tampered with."""
+    return merkle_manifest.manifest(C.table(spark, sf_dir, "documents"), _tampered()).drop("proof")
