@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import decontamination, embedding_dedup, html_extraction, merkle_manifest, mixing, ngram_join, pii, quality, sharding, substring_dedup, toxicity
+from . import collocations, decontamination, embedding_dedup, html_extraction, merkle_manifest, mixing, multi_index, ngram_join, pii, quality, sharding, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -174,3 +174,29 @@ FROM p JOIN s ON s.tree = p.tree JOIN u ON len(u.hs) = 1 LEFT JOIN path ON path.
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, roots and proof of every document, checked against rows of which some were tampered with."""
     return merkle_manifest.manifest(C.table(spark, sf_dir, "documents"), _tampered()).drop("proof")
+
+
+@query
+@oracle(r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM w, (VALUES (1), (2), (3)) AS v(k), unnest(generate_series(1, len(w) - k + 1)) AS t(i) GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM g WHERE k > 1 AND f >= 10),
+x AS (SELECT c.*, cut, l.f AS l, r.f AS r, CAST(1000000 AS HUGEINT) * a * a // (CAST(l.f AS HUGEINT) * r.f) AS score FROM c, unnest(generate_series(1, k - 1)) AS t(cut)
+  JOIN g AS l ON l.lang = c.lang AND l.phrase = array_to_string(ws[:cut], ' ') AND l.k = cut JOIN g AS r ON r.lang = c.lang AND r.phrase = array_to_string(ws[cut + 1:], ' ') AND r.k = c.k - cut),
+s AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+i AS (SELECT lang, pair, max(a) AS most FROM (SELECT lang, a, unnest([array_to_string(ws[:2], ' '), array_to_string(ws[2:], ' ')]) AS pair FROM c WHERE k = 3) GROUP BY lang, pair)
+SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM s JOIN n ON n.lang = s.lang LEFT JOIN i ON i.lang = s.lang AND i.pair = phrase AND k = 2 WHERE most IS NULL OR 100 * most < 50 * a
+QUALIFY rank <= 2000""")
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best 2,000 phrases of two and three words of each language."""
+    found = collocations.collocations(C.table(spark, sf_dir, "documents"))
+    return found.withColumn("rank", F.col("rank").cast("long"))
+
+
+@query
+def op11_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest inner products of every twentieth embedding with all others."""
+    return multi_index.nearest(C.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
