@@ -113,7 +113,7 @@ class Sieve:
         spark = phrases.sparkSession
         n = phrases.count()
         self.bits = bits = min(SIEVE, max(16, (16 * n).bit_length()))
-        page = min(bits, 18)
+        page = min(bits, 12)
 
         def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
