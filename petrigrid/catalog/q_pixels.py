@@ -357,6 +357,28 @@ def _(t):
     return measure_seeds(smooth, _seeds(t), PL, "seed_id").select("plane_id", "seed_id", "cx", "cy", "r", "contrast", "cv", "blocked_frac", "seam_frac", "quality", "weight")
 
 
+def _image_seeds(t):
+    """Seeds of the planes as seeds of the images of the same pixels."""
+    return _seeds(t).select(c("plane_id").alias("image_id"), "seed_id", "px", "py")
+
+
+def _calibrated(t):
+    from petrigrid.operators.calibration import calibrate
+
+    planes = B.lab_planes(t("pixels"), IMG)
+    masks, _ = B.plate_region(t("pixels"), IMG)
+    seeds = _image_seeds(t)
+    remote = seeds.where("image_id % 2 = 1 and seed_id % 3 = 0").select((c("image_id") - 1).alias("image_id"), (c("seed_id") + 10_000).alias("seed_id"), c("image_id").alias("source_id"), "px", "py")
+    return calibrate(planes, masks, seeds, IMG, "seed_id", remote)
+
+
+@query("pix29_calibration")
+def _(t):
+    out = _calibrated(t)
+    image = out["prior"].select(*IMG, "source", "r_med", "r_lo", "r_hi").join(out["noise"], IMG).join(out["axes"], IMG).join(out["appearance"].select(*IMG, "contrast_ref", "contrast_lo"), IMG)
+    return image.join(out["report"], IMG, "left")
+
+
 @query("pix30_local_colonies")
 def _(t):
     from petrigrid.operators.detector import local_colonies

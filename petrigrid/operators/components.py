@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window as W
 
 from petrigrid.plans.ranks import ordered_rank
@@ -11,6 +15,7 @@ from petrigrid.session import cut
 
 c = F.col
 BLOCK = 64
+FOLD = 200_000  # links of a key that one task settles
 STRIDE = 1 << 31  # node id = y * STRIDE + first x: raster order of first pixels
 
 
@@ -37,14 +42,51 @@ def touching(r: DataFrame, keys: list[str], connectivity: int = 8) -> DataFrame:
     return j.where(c("blk") == first).select(*keys, "a", "b")
 
 
+def _folded(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, node, root`` of keys whose links fit a task: every pass takes minima over all links at once and halves the paths."""
+    schema = T.StructType([*[edges.schema[k] for k in keys], T.StructField("node", T.LongType()), T.StructField("root", T.LongType())])
+    names = schema.names
+
+    def settle(key: tuple, t: pa.Table) -> pa.Table:
+        node, at = np.unique(np.concatenate([t.column("u").to_numpy(), t.column("v").to_numpy()]), return_inverse=True)
+        a, b = at[: t.num_rows], at[t.num_rows :]
+        label = np.arange(len(node))
+        while True:
+            low = np.minimum(label[a], label[b])
+            new = label.copy()
+            for x in (a, b, label[a], label[b]):
+                np.minimum.at(new, x, low)
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        cols = [pa.repeat(k, len(node)) for k in key] + [pa.array(node), pa.array(node[label])]
+        return pa.Table.from_arrays([x.cast(f.type) for x, f in zip(cols, to_arrow_schema(schema), strict=True)], names)
+
+    return edges.select(*keys, "u", "v").groupBy(*keys).applyInArrow(settle, schema)
+
+
 def component_roots(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
-    """Smallest node of each component, by alternating large-star and small-star contraction.
+    """Smallest node of each component: keys of up to ``FOLD`` links settle in one task each, larger ones in rounds."""
+    pairs = cut(edges.select(*keys, F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    n = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    most = n.agg(F.max("_n")).first()[0] or 0
+    if most <= FOLD:
+        roots = _folded(pairs, keys)
+    else:
+        big = cut(n.where(c("_n") > FOLD).select(*keys))
+        roots = _folded(pairs.join(big, keys, "left_anti"), keys).unionByName(_contracted(pairs.join(big, keys, "left_semi"), keys))
+    return nodes.select(*keys, "node").join(roots, [*keys, "node"], "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _contracted(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, node, root`` by alternating large-star and small-star contraction.
 
     Each round is two grouped minima; the number of rounds grows with the logarithm of
     the component size, not with its diameter.
     """
     k = keys
-    state = cut(edges.select(*k, F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    state = pairs
 
     def signature(df: DataFrame):
         return df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*k, "u", "v").cast("decimal(38,0)"))).first()
@@ -64,8 +106,7 @@ def component_roots(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> Data
         if now == before:
             break
         before = now
-    roots = state.groupBy(*k, c("u").alias("node")).agg(F.min("v").alias("root"))
-    return nodes.select(*k, "node").join(roots, [*k, "node"], "left").withColumn("root", F.coalesce("root", "node"))
+    return state.groupBy(*k, c("u").alias("node")).agg(F.min("v").alias("root"))
 
 
 def label_components(mask: DataFrame, keys: list[str], connectivity: int = 8) -> tuple[DataFrame, DataFrame]:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from petrigrid.functions import scoring as SC
+from petrigrid.session import cut
 
 from . import tiles as TL
 
@@ -170,6 +171,7 @@ def measured(tiles: DataFrame, seeds: DataFrame, keys: list[str], item: list[str
     ``tiles`` hold ``v`` and, if given, ``saturated`` and ``dist`` (distance to the edge of the region). Profiles end at
     ``r_max`` and a centre moves by 0.8 of a radius of at most twice that, so a patch is bounded by ``r_max``.
     """
+    seeds = cut(seeds)  # asked twice: where to look, and what to carry
     planes = [n for n in ("v", "saturated", "dist") if n in tiles.columns]
     near = TL.patches(tiles, seeds, keys, item, planes, c("r_max") * 2.6 + 4)
     names = seeds.columns

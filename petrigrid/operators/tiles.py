@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .pixels import box_radii, gaussian_kernel
+from .pixels import box_radii, gaussian_kernel, nearest_squared
 
 c = F.col
 SIDE = 64
@@ -305,4 +305,49 @@ def patches(tiles: DataFrame, items: DataFrame, keys: list[str], item: list[str]
     return items.join(got, [*keys, *item])
 
 
-__all__ = ["to_tiles", "from_tiles", "stencil", "bands", "patches", "box_blur", "gaussian_blur", "normalised_blur", "morphology", "median_filter", "log_responses"]
+
+def pointwise(tiles: DataFrame, keys: list[str], fn: Callable[[Planes, dict], Planes], outs: list[str], columns: list[str], params: tuple[str, ...] = ()) -> DataFrame:
+    """Tiles of ``fn``'s planes, pixel by pixel: no exchange."""
+    params = list(params)
+    df = tiles.select(*keys, *params, *PLACE, *columns)
+    schema = _schema(tiles, [*keys, *params], outs)
+    index, names, cols, count = list(range(len(keys) + len(params))), schema.names, list(columns), len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            planes, where = _lists(b, cols), {n: b.column(len(index) + k).to_numpy() for k, n in enumerate(PLACE)}
+            rows, places = [], []
+            for i in range(b.num_rows):
+                p = tuple(int(where[n][i]) for n in PLACE)
+                got = fn({n: planes[n][i].reshape(p[4], p[5]) for n in cols}, {n: b.column(count + k)[i].as_py() for k, n in enumerate(params)})
+                rows.append((i, [got[n] for n in outs]))
+                places.append(p)
+            if rows:
+                yield _out(rows, b, index, places, outs, names)
+
+    return df.mapInArrow(run, schema)
+
+
+def distance(tiles: DataFrame, keys: list[str], target: str, columns: list[str], border: bool, out: str = "dist") -> DataFrame:
+    """Exact distance to the nearest pixel where ``target`` is not 0, beside ``columns`` (PIX12); 1e10 where there is none.
+
+    ``border``: pixels beyond the raster are targets.
+    """
+    far = 1e10
+
+    def gaps(p: Planes, _: dict) -> Planes:
+        on = p[target] != 0
+        h = len(on)
+        y = np.arange(h)[:, None]
+        up = np.maximum.accumulate(np.where(on, y, -1 if border else -far), 0)
+        down = np.minimum.accumulate(np.where(on, y, h if border else far)[::-1], 0)[::-1]
+        return {n: p[n] for n in columns} | {out: np.minimum(np.minimum(y - up, down - y), far).astype(float)}
+
+    def along(p: Planes, _: dict) -> Planes:
+        return {n: p[n] for n in columns} | {out: np.stack([np.sqrt(nearest_squared(row, far, border)) for row in p[out]])}
+
+    once = bands(tiles, keys, "y", gaps, [*columns, out], list(dict.fromkeys([*columns, target])))
+    return bands(once, keys, "x", along, [*columns, out], [*columns, out])
+
+
+__all__ = ["to_tiles", "from_tiles", "stencil", "bands", "pointwise", "patches", "distance", "box_blur", "gaussian_blur", "normalised_blur", "morphology", "median_filter", "log_responses"]

@@ -5,6 +5,7 @@ import random
 import struct
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from petrigrid.operators import components as CC
@@ -44,7 +45,9 @@ S4 = [(1, 0), (-1, 0), (0, 1), (0, -1)]
 S8 = S4 + [(1, 1), (1, -1), (-1, 1), (-1, -1)]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("fold", [0, CC.FOLD])
+def test_components(spark, fold, monkeypatch):
+    monkeypatch.setattr(CC, "FOLD", fold)
     for conn, step in ((8, S8), (4, S4)):
         mask = noise_mask(conn, 30, 25, 0.45)
         df = spark.createDataFrame([(1, y, x) for x, y in mask], "k int, y long, x long")
