@@ -127,8 +127,7 @@ def described(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
             for i, j, data, offsets in C.slices(b.column(1)):
                 g, bounds = gram_sets(data, offsets, k)
                 n = np.diff(bounds)
-                sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(C.mixed(g ^ np.uint64(seed)))]) for seed in (0x1234567, 0x89ABCDEF)]
-                s = [C.signed(x[bounds[1:]] - x[bounds[:-1]]) for x in sums]
+                s = _sums(g, bounds)
                 sk = sketches(g, bounds)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *map(pa.array, s), pa.array(n), *(pa.array([x.tobytes() if c else None for x, c in zip(m, n, strict=True)], pa.binary()) for m in (sk, brief(sk)))], schema.names)
 
@@ -288,21 +287,23 @@ def _exact(df: DataFrame, threshold: float) -> DataFrame:
             raw = t.column(at("grams"))
             edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
             for i, j in zip(edge[:-1], edge[1:], strict=True):
-                if j - i < 2:
+                # an id may hold several texts of one class: the first stands for it
+                once = i + np.flatnonzero(np.concatenate([[True], ids[i + 1 : j] != ids[i : j - 1]]))
+                if len(once) < 2:
                     continue
-                sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in raw.slice(i, j - i)]
+                sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in raw.take(pa.array(once))]
                 n = np.array([len(s) for s in sets])
                 both = _common(sets)
                 ok = both >= threshold * (n[:, None] + n[None, :] - both) - 1e-9
                 np.fill_diagonal(ok, False)
                 if low[i] != high[i]:
-                    ok &= side[i:j, None] != side[None, i:j]
-                links = ok @ mult[i:j]
+                    ok &= side[once, None] != side[None, once]
+                links = ok @ mult[once]
                 a, b = np.nonzero(ok)
-                root = C.roots(j - i, a, b)
+                root = C.roots(len(once), a, b)
                 hit = np.flatnonzero(links)
                 if len(hit):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][hit]), pa.array(links[hit]), pa.array(ids[i:j][root[hit]])], ["id", "links", "parent"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[once][hit]), pa.array(links[hit]), pa.array(ids[once][root[hit]])], ["id", "links", "parent"])
 
     return df.mapInArrow(run, "id long, links long, parent long")
 
@@ -313,40 +314,63 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, k: int = GRAM, doc_id: s
     ``class_id`` is the smallest id reachable by links (similarity of the threshold or more), ``n_links`` the other
     rows linked directly, ``copy_of`` the smallest id with the same grams, ``kept`` whether the row stands for its
     class. Texts of fewer than k words are one gram; null and empty texts link with nothing and are kept.
-    Of repeated rows of one id all are kept or none. Rows with a null id link with nothing. Other columns of
+    Repeated rows count one by one; of those of one id and text all are kept or none, while different texts of
+    one id are judged apart. Rows with a null id link with nothing. Other columns of
     ``docs`` are ignored, so clashing names do no harm.
     """
     C.prepare(docs.sparkSession)
     rows = C.stored(described(docs, doc_id, text, k), "sets")
     filled = rows.where("n > 0 and doc_id is not null")
-    sigs = C.stored(filled.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("id"), F.count("*").alias("mult")), "classes")
-    classes = filled.join(sigs.withColumnRenamed("id", "doc_id"), ["s1", "s2", "n", "doc_id"]).dropDuplicates(["s1", "s2", "n", "doc_id"]).select(F.col("doc_id").cast("long").alias("id"), "n", "mult", "sketch", "brief")
-    classes = C.stored(classes, "sketches")
+    name = ["s1", "s2", "n"]
+    sigs = filled.groupBy(*name).agg(F.min("doc_id").cast("long").alias("doc"), F.count("*").alias("mult"))
+    sigs = C.stored(sigs.withColumn("id", F.monotonically_increasing_id()), "classes")  # numbered once, when written
+    own = filled.withColumnRenamed("doc_id", "doc").join(sigs, [*name, "doc"]).dropDuplicates(name)
+    classes = C.stored(own.select("id", "doc", *name, "mult", "sketch", "brief"), "sketches")
     member = C.stored(_members(classes, threshold), "components")
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).where("id is not null")
-    sized = member.join(member.groupBy("root").agg(F.count("*").alias("size")), "root").join(classes.select("id", "n", "mult"), "id")
-    part = _grams(texts.join(sized, "id"), k)
+    sized = member.join(member.groupBy("root").agg(F.count("*").alias("size")), "root").join(classes.select("id", "doc", *name, "mult"), "id")
+    part = _grams(_texts(docs, rows, doc_id, text).join(sized, "doc"), k)
     dealt = blocked(part, "root", "size", BLOCK).select("key", "id", "mult", "side", "low", "high", "grams")
     links = C.stored(_exact(dealt.repartition("key").sortWithinPartitions("key", "id"), threshold), "links")
-    linked = links.groupBy("id").agg(F.sum("links").alias("links")).withColumnRenamed("id", "copy_of")
-    trees = C.components(links, "id", "parent").withColumnRenamed("id", "copy_of")
-    named = sigs.withColumnRenamed("id", "copy_of").join(linked, "copy_of", "left").join(trees, "copy_of", "left")
-    named = named.select("s1", "s2", "n", "copy_of", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("root", "copy_of").alias("class_id"))
-    out = rows.select("doc_id", "s1", "s2", "n").join(named, ["s1", "s2", "n"], "left")
+    linked = links.groupBy("id").agg(F.sum("links").alias("links"))
+    trees = C.components(links, "id", "parent")
+    trees = trees.union(trees.select(F.col("root").alias("id"), "root").distinct())
+    docs_of = trees.join(sigs.select("id", "doc"), "id")
+    least = docs_of.groupBy("root").agg(F.min("doc").alias("class_id"))
+    named = sigs.join(linked, "id", "left").join(docs_of.select("id", "root").join(least, "root"), "id", "left")
+    named = named.select(*name, F.col("doc").alias("copy_of"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("class_id", "doc").alias("class_id"))
+    out = rows.select("doc_id", *name).join(named, name, "left")
     alone = F.col("doc_id").isNull() | (F.col("n") == 0)
     pick = lambda c, other: F.when(alone, other).otherwise(F.col(c)).alias(c)
     out = out.select("doc_id", pick("class_id", F.col("doc_id")), pick("n_links", F.lit(0)).cast("long").alias("n_links"), pick("copy_of", F.col("doc_id")))
     return out.withColumn("kept", F.col("class_id").eqNullSafe(F.col("doc_id")))
 
 
+def _texts(docs: DataFrame, rows: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``doc, text`` of the rows with an id; where ids repeat, each text of an id once."""
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("string").alias("text")).where("doc is not null")
+    again = C.stored(rows.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc")).agg(F.count("*").alias("c")).where("c > 1").select("doc"), "repeated")
+    if not again.limit(1).count():
+        return texts
+    return texts.join(again, "doc", "left_anti").unionByName(texts.join(again, "doc", "left_semi").distinct())
+
+
 def _members(classes: DataFrame, threshold: float) -> DataFrame:
     """``id, root`` of all classes with a candidate."""
     found = C.components(candidates(classes, threshold), "a", "b")
     return found.union(found.select(F.col("root").alias("id"), "root").distinct())
 
 
+def _sums(g: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """Two values that name each set."""
+    out = []
+    for seed in (0x1234567, 0x89ABCDEF):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(C.mixed(g ^ np.uint64(seed)))])
+        out.append(C.signed(total[bounds[1:]] - total[bounds[:-1]]))
+    return out
+
+
 def _grams(df: DataFrame, k: int) -> DataFrame:
-    """``id, root, size, mult, grams`` from rows with the text; of rows of one id with different texts, the one with the class's size."""
+    """``id, root, size, mult, grams`` from rows of the class's id with their texts; only texts with the class's grams stay."""
     at = df.columns.index
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,8 +379,8 @@ def _grams(df: DataFrame, k: int) -> DataFrame:
                 g, bounds = gram_sets(data, offsets, k)
                 grams = pa.array([g[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
                 own = [b.column(at(c)).slice(i, j - i) for c in ("id", "root", "size", "mult")]
-                same = pa.array(np.diff(bounds) == b.column(at("n")).slice(i, j - i).to_numpy())
-                yield pa.RecordBatch.from_arrays([*own, grams], ["id", "root", "size", "mult", "grams"]).filter(same)
+                want = [b.column(at(c)).slice(i, j - i).to_numpy() for c in ("s1", "s2", "n")]
+                same = np.logical_and.reduce([x == y for x, y in zip([*_sums(g, bounds), np.diff(bounds)], want, strict=True)])
+                yield pa.RecordBatch.from_arrays([*own, grams], ["id", "root", "size", "mult", "grams"]).filter(pa.array(same))
 
-    out = df.mapInArrow(run, "id long, root long, size long, mult long, grams binary")
-    return out
+    return df.mapInArrow(run, "id long, root long, size long, mult long, grams binary")

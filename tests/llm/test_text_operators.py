@@ -262,3 +262,16 @@ def test_rates_solve_the_dual(spark):
         for s, x in sizes.items():
             scale = words_of[s][0] / words_of[s][1]
             assert math.isclose(sum(z * n * min(3, math.exp(lam[s] * z / scale)) for z, n in x), part * words_of[s][0], rel_tol=1e-6)
+
+
+def test_join_counts_rows_not_ids(spark):
+    """The smallest id of a class on several rows, several texts of one id, and texts that differ in white space only."""
+    a = " ".join(f"w{i}" for i in range(60))
+    near, other = a.replace("w30", "x"), " ".join(f"v{i}" for i in range(60))
+    for rows in (
+        [(1, a, "s"), (1, a, "s"), (2, near, "s")],
+        [(1, a, "s"), (2, near, "s"), (2, other, "s")],
+        [(1, a, "s"), (1, a.replace(" ", "  "), "s"), (1, near, "s"), (3, near, "s"), (1, other, "s"), (2, other, "s"), (2, other + " tail", "s")],
+    ):
+        got = Counter(tuple(r) for r in ngram_join.join(documents(spark, rows, clash=False)).collect())
+        assert got == brute_join(rows)
