@@ -33,12 +33,18 @@ RAW = _SET("script style title textarea xmp iframe noembed noframes")
 #: Elements and roles that never hold main text.
 ASIDE = _SET("nav aside footer form script style noscript template iframe svg button select textarea input dialog head title object canvas audio video math map noframes noembed menu")
 ROLES = _SET("navigation banner contentinfo complementary search form menu menubar dialog alert")
-#: Words in classes and ids that mark menus, adverts, notices, comments and the like.
+#: Words in classes and ids that mark menus, adverts, notices, comments and the like. A mark counts only where the
+#: element holds less than a share of the page's text: a larger one if the word stands alone, a smaller one if it is part
+#: of a longer name; never around an article or the like, and not where the name says what is absent or in use.
 MARKS = _SET(
     "ad ads advert adverts advertisement advertising adbox adsense banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments disqus respond replies "
     "share sharing social related recommended recommendations promo promotion sponsor sponsored cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login widget "
     "pagination pager toolbar copyright legal disclaimer skip"
 )
+ALONE, WITHIN = 0.8, 0.5
+STATES = re.compile(r"(?:no|not|non|with|without|has|is|hide|show)[-_]")
+#: Marks that mean a page part outside of the article only.
+OUTSIDE = _SET("header masthead banner")
 HEADINGS = _SET("h1 h2 h3 h4 h5 h6")
 #: A start tag that ends an open paragraph or list item of its kind.
 _ENDS = {"li": _SET("li"), "dt": _SET("dt dd"), "dd": _SET("dt dd"), "tr": _SET("tr td th"), "td": _SET("td th"), "th": _SET("td th"), "option": _SET("option")}
@@ -53,16 +59,59 @@ _NEEDED = re.compile(r"class|id|role|hidden|itemprop", re.I)
 
 
 class Page:
-    """A page's containers (parent, path, own tag) and text blocks in order."""
+    """A page's containers (parent, generalised path, own tag) and text blocks in order.
+
+    Paths are numbered in a tree of their own, so a container holds one number however deep it lies.
+    """
 
     def __init__(self, source: str):
-        self.parent, self.path, self.tag = [-1], [""], [""]
+        self.parent, self.path, self.tag, self.article = [-1], [0], [""], [False]
+        self.steps: dict[tuple[int, str], int] = {}  # (path, step) -> path
+        self.names: list[tuple[int, str]] = [(-1, "")]
+        self.marks: list[tuple[int, float]] = []  # mark around it (-1: none), share from which it does not count
         self.blocks: list[tuple[int, str, int, bool]] = []  # container, text, linked characters, heading
+        self._around: list[int] = []  # each block's innermost mark
+        self._held: set[int] = set()  # marks around an article
         self._read(source)
+        self._settle()
+
+    def _settle(self) -> None:
+        """Drop the blocks under marks that count."""
+        size = [0] * len(self.marks)
+        for m, (_, text, linked, _) in zip(self._around, self.blocks, strict=True):
+            if m >= 0:
+                size[m] += len(text) - linked
+        total = sum(len(t) - k for _, t, k, _ in self.blocks)
+        off = [False] * len(self.marks)
+        for m in range(len(self.marks) - 1, -1, -1):  # a mark comes after the one around it
+            up = self.marks[m][0]
+            if up >= 0:
+                size[up] += size[m]
+                if m in self._held:
+                    self._held.add(up)
+        for m, (up, share) in enumerate(self.marks):
+            off[m] = (up >= 0 and off[up]) or (m not in self._held and size[m] < share * total) or not size[m]
+        self.blocks = [b for m, b in zip(self._around, self.blocks, strict=True) if m < 0 or not off[m]]
+
+    def _step(self, path: int, name: str) -> int:
+        at = self.steps.get((path, name))
+        if at is None:
+            at = self.steps[path, name] = len(self.names)
+            self.names.append((path, name))
+        return at
+
+    def named(self, container: int) -> str:
+        """The path of a container, written out."""
+        out, at = [], self.path[container]
+        while at > 0:
+            at, name = self.names[at]
+            out.append(name)
+        return "".join("/" + n for n in reversed(out))
 
     def _read(self, s: str) -> None:
-        # an open element: tag, container, dropped, is a block
-        stack = [("", 0, False, True)]
+        # an open element: tag, container, dropped, is a block, mark
+        stack = [("", 0, False, True, -1)]
+        opened: dict[str, int] = {}
         parts: list[str] = []
         linked = [0, 0]  # open links, linked characters
         heading = [False]
@@ -72,6 +121,7 @@ class Page:
                 text = " ".join(html.unescape("".join(parts)).split())
                 if text and not stack[-1][2]:
                     self.blocks.append((stack[-1][1], text, min(linked[1], len(text)), heading[0]))
+                    self._around.append(stack[-1][4])
                 parts.clear()
             linked[1] = 0
             heading[0] = False
@@ -82,6 +132,7 @@ class Page:
                     flush()
                 if stack[-1][0] == "a":
                     linked[0] = max(0, linked[0] - 1)
+                opened[stack[-1][0]] -= 1
                 stack.pop()
 
         def add(text: str) -> None:
@@ -119,6 +170,8 @@ class Page:
             pos = m.end()
             name = m[2].lower()
             if m[1]:
+                if not opened.get(name):
+                    continue
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == name:
                         close(k)
@@ -138,13 +191,13 @@ class Page:
                 add(" ")
                 continue
             if block:
-                for k in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
+                for k in range(len(stack) - 1, 0, -1) if opened.get("p") else ():  # a block ends an open paragraph
                     if stack[k][0] == "p":
                         close(k)
                         break
                     if stack[k][0] in CONTAINERS:
                         break
-                if name in _ENDS:
+                if name in _ENDS and any(map(opened.get, _ENDS[name])):
                     for k in range(len(stack) - 1, 0, -1):
                         if stack[k][0] in _ENDS[name]:
                             close(k)
@@ -154,24 +207,34 @@ class Page:
                 flush()
             if name in VOID or m[3].endswith("/") and not block:
                 continue
-            drop, where = stack[-1][2], stack[-1][1]
+            drop, where, mark = stack[-1][2], stack[-1][1], stack[-1][4]
             attrs = {}
             if _NEEDED.search(m[3]):
                 attrs = {a[1].lower(): html.unescape(a[2] or a[3] or a[4] or "").lower() for a in _ATTRIBUTE.finditer(m[3])}
-            inside_article = "article" in self.path[where] or "main" in self.path[where]
-            drop = drop or name in ASIDE or (name == "header" and not inside_article) or "hidden" in attrs or attrs.get("role") in ROLES
-            if not drop and name != "body" and name != "html":
-                words = _WORDS.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}")
-                drop = any(w in MARKS for w in words) and not (name == "article" and "comment" not in " ".join(words))
+            inside = self.article[where]
+            drop = drop or name in ASIDE or (name == "header" and not inside) or "hidden" in attrs or attrs.get("role") in ROLES
+            body = attrs.get("itemprop") == "articlebody"
+            main = name in ("article", "main") or body
+            if not drop and ("class" in attrs or "id" in attrs) and name not in ("html", "body", "main"):
+                share = _marked(f"{attrs.get('class', '')} {attrs.get('id', '')}", inside, name == "article")
+                if share:
+                    self.marks.append((mark, share))
+                    mark = len(self.marks) - 1
+            if main and mark >= 0 and not drop:
+                outer = self.marks[mark][0] if name == "article" and stack[-1][4] != mark else mark
+                if outer >= 0:
+                    self._held.add(outer)
             if name == "a":
                 linked[0] += 1
             if name in CONTAINERS and name != "html":
                 cls = ".".join(sorted(_NUMBER.sub("#", c) for c in attrs.get("class", "").split()))
                 self.parent.append(where)
-                self.path.append(f"{self.path[where]}/{name}{'.' if cls else ''}{cls}")
-                self.tag.append(name + ("*" if attrs.get("itemprop") == "articlebody" else ""))
+                self.path.append(self._step(self.path[where], f"{name}{'.' if cls else ''}{cls}".replace("/", "|")))
+                self.tag.append(name + ("*" if body else ""))
+                self.article.append(inside or main)
                 where = len(self.path) - 1
-            stack.append((name, where, drop, block))
+            stack.append((name, where, drop, block, mark))
+            opened[name] = opened.get(name, 0) + 1
         close(1)
         flush()
 
@@ -204,14 +267,30 @@ class Page:
 
     def under(self, path: str) -> str | None:
         """Text of the containers of that path, in page order; None if the page has none."""
-        inside = [p == path for p in self.path]
-        if not any(inside):
-            return None
+        at: int | None = 0
+        for name in path.split("/")[1:]:
+            at = self.steps.get((at, name))
+            if at is None:
+                return None
+        inside = [p == at for p in self.path]
         for c in range(1, len(inside)):
             inside[c] = inside[c] or inside[self.parent[c]]
         return "\n".join(t for c, t, _, _ in self.blocks if inside[c])
 
 
+def _marked(names: str, inside: bool, article: bool) -> float:
+    """Share of the page's text from which the marks of these class and id names do not count; 0 without a mark."""
+    share = 0.0
+    for token in names.split():
+        if STATES.match(token):
+            continue
+        words = _WORDS.findall(token)
+        hit = [w for w in words if w in MARKS and not (inside and w in OUTSIDE) and not (article and not w.startswith("comment"))]
+        if hit:
+            share = max(share, ALONE if len(words) == 1 or any(w.startswith("comment") for w in hit) else WITHIN)
+    return share
+
+
 def host(url: F.Column) -> F.Column:
     """Lower-case host of a url, without a leading www; empty if there is none."""
     return F.lower(F.regexp_replace(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")), r"^(?i:www\.)", ""))
@@ -226,7 +305,7 @@ def votes(pages: DataFrame) -> DataFrame:
             for source in b.column(1).to_pylist():
                 page = Page(source or "")
                 at = page.main()
-                paths.append(None if at is None else page.path[at])
+                paths.append(None if at is None else page.named(at))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(paths, pa.string())], ["host", "path"])
 
     return pages.select("host", "html").mapInArrow(run, "host string, path string").where("path is not null")
@@ -261,7 +340,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", source
                 found = next((t for t in map(page.under, paths or []) if t), None)
                 if found is None:
                     at = page.main()
-                    found = "" if at is None else page.under(page.path[at])
+                    found = "" if at is None else page.under(page.named(at))
                 texts.append(found)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
