@@ -3,8 +3,7 @@
 A document's terms are its folded words and their stems (first 4, 5 and 6 bytes), hashed to 2^20 slots.
 The machine adds a bias, one weight per term and the inner products of the terms' factors, so a pair such
 as an insult and a group mention can count for more than both apart. It is fitted on a bounded sample of
-labelled rows over the terms that occur often or tell the classes apart; scoring is one pass over the
-text, with the pair sums taken as (sum of factors)^2 - sum of squares, linear in the terms.
+labelled rows over all slots that the sample holds; scoring is one pass over the text, with the pair sums taken as (sum of factors)^2 - sum of squares, linear in the terms.
 """
 
 from __future__ import annotations
@@ -23,9 +22,9 @@ from .quality import labelled
 
 #: Labelled rows used for fitting, at most.
 SAMPLE = 12_000
-SLOT_BITS, ACTIVE, FACTORS, EPOCHS, ROWS, STEP, DECAY, LEAST_DOCS = 20, 4096, 4, 20, 128, 0.02, 2e-4, 5
-#: Deviations from the classes' share at which a term tells them apart; the most frequent terms are taken besides.
-TELLING, FREQUENT = 4.0, 64
+SLOT_BITS, FACTORS, BATCHES, ROWS, STEP = 20, 4, 120, 256, 0.1
+#: Pull to zero; rows, and deviations from the classes' share, at which a slot counts for half; least spread of gradients that is told; most weight of the rarer class.
+DECAY, RARE, TELLING, FLOOR, MOST = 1e-4, 200.0, 4.0, 1e-2, 4.0
 STEMS = (4, 5, 6)
 _NEVER = np.uint64(1) << np.uint64(SLOT_BITS)
 
@@ -42,78 +41,82 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 @dataclass
 class Machine:
+    """Bias, and one weight and ``FACTORS`` factors for each of the 2^SLOT_BITS slots."""
+
     bias: float
-    slots: np.ndarray  # active slots, sorted
     weights: np.ndarray
-    factors: np.ndarray  # active x FACTORS
+    factors: np.ndarray
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         n = len(offsets) - 1
-        if not len(self.slots):
-            return np.full(n, 1 / (1 + np.exp(-self.bias)))
         doc, slot = terms(data, offsets)
-        at = np.minimum(np.searchsorted(self.slots, slot), len(self.slots) - 1)
-        hit = self.slots[at] == slot
-        doc, at = doc[hit], at[hit]
         size = np.maximum(np.bincount(doc, minlength=n), 1)
-        z = self.bias + np.bincount(doc, self.weights[at], n)
+        z = self.bias + np.bincount(doc, self.weights[slot], n)
         for f in range(self.factors.shape[1]):
-            v = self.factors[at, f]
+            v = self.factors[slot, f].astype(float)
             z += (np.bincount(doc, v, n) ** 2 - np.bincount(doc, v * v, n)) / (2 * size)
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
+def blank(bias: float) -> Machine:
+    return Machine(bias, np.zeros(1 << SLOT_BITS, np.float32), np.zeros((1 << SLOT_BITS, FACTORS), np.float32))
+
+
 def fit(doc: np.ndarray, slot: np.ndarray, y: np.ndarray, seed: int = 7) -> Machine:
-    """Adam over mini-batches of the (text, slot) pairs; deterministic for the same rows in the same order."""
+    """Sparse mini-batches over all slots of the sample's (text, slot) pairs; deterministic for the same rows in the same order.
+
+    A step moves only the slots that its rows hold, each by its own running mean and spread of gradients. A slot of few
+    rows that tells little by itself counts for less, so what is seen once or twice stays near zero; none is left out.
+    """
     n = len(y)
     share = min(max(float(y.mean()) if n else 0.0, 1e-3), 1 - 1e-3)
-    bias = float(np.log(share / (1 - share)))
-    # counted by slot, not by pair: the pairs are the large part of the sample
-    seen = np.bincount(slot, minlength=1 << SLOT_BITS)
+    model = blank(float(np.log(share / (1 - share))))
     if share in (1e-3, 1 - 1e-3) or not len(slot):
-        return Machine(bias, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)))
-    hits = np.bincount(slot[y[doc] > 0], minlength=1 << SLOT_BITS)
-    telling = np.abs(hits - seen * share) / np.sqrt(seen * share * (1 - share) + 1)
-    telling[seen < LEAST_DOCS] = -1
-    first = np.argsort(-telling, kind="stable")[:ACTIVE]
-    active = np.unique(np.concatenate([first[telling[first] >= TELLING], np.argsort(-seen, kind="stable")[:FREQUENT]]))
-    active = active[seen[active] >= LEAST_DOCS]
-    place = np.full(1 << SLOT_BITS, -1, np.int32)
-    place[active] = np.arange(len(active))
-    used = place[slot] >= 0
-    doc, col = doc[used], place[slot[used]]
+        return model
+    used, col = np.unique(slot, return_inverse=True)
+    col = col.astype(np.int32)
+    held = np.bincount(col).astype(np.float32)
+    toxic = np.bincount(col, y[doc])
+    off = (toxic - held * share) ** 2 / (held * share * (1 - share) + 1)  # squared deviations from the share
+    trust = np.maximum(held / (held + RARE), off / (off + TELLING**2)).astype(np.float32)
     edge = np.searchsorted(doc, np.arange(n + 1))
     rng = np.random.default_rng(seed)
-    w, v = np.zeros(len(active), np.float32), rng.normal(0, 0.01, (len(active), FACTORS)).astype(np.float32)
-    b = np.float32(bias)
-    m = [np.zeros_like(w), np.zeros_like(v), np.float32(0)]
-    s = [np.zeros_like(w), np.zeros_like(v), np.float32(0)]
-    step = 0
-    for _ in range(EPOCHS):
+    k = FACTORS + 1  # the weight, then the factors
+    p = np.concatenate([np.zeros((len(used), 1)), rng.normal(0, 0.02, (len(used), FACTORS))], 1).astype(np.float32)
+    m, s = np.zeros_like(p), np.zeros_like(p)
+    turns = np.zeros(len(used), np.int32)
+    b = np.float32(model.bias)
+    balance = np.where(y > 0, min(0.5 / share, MOST), 1.0).astype(np.float32)
+    epochs = -(-BATCHES // -(-n // ROWS))
+    for epoch in range(epochs):
+        step = STEP * (1 - epoch / epochs)
         order = rng.permutation(n)
         for lo in range(0, n, ROWS):
-            rows = order[lo : lo + ROWS]
-            x = np.zeros((len(rows), len(active)), np.float32)
+            rows = np.sort(order[lo : lo + ROWS])
             sizes = edge[rows + 1] - edge[rows]
-            x[np.repeat(np.arange(len(rows)), sizes), col[C.spread(edge[rows], sizes)]] = 1
-            size = np.maximum(sizes, 1).astype(np.float32)[:, None]
-            xv = x @ v
-            z = b + x @ w + ((xv**2).sum(1) - x @ (v**2).sum(1)) / (2 * size[:, 0])
-            err = ((1 / (1 + np.exp(-np.clip(z, -60, 60))) - y[rows]) / len(rows)).astype(np.float32)
-            e = err[:, None] / size
-            grads = [x.T @ err + DECAY * w, x.T @ (e * xv) - v * (x.T @ e) + DECAY * v, err.sum()]
-            step += 1
-            for i, g in enumerate(grads):
-                m[i] = 0.9 * m[i] + 0.1 * g
-                s[i] = 0.999 * s[i] + 0.001 * g * g
-                move = STEP * (m[i] / (1 - 0.9**step)) / (np.sqrt(s[i] / (1 - 0.999**step)) + 1e-8)
-                if i == 0:
-                    w = w - move
-                elif i == 1:
-                    v = v - move
-                else:
-                    b = b - move
-    return Machine(float(b), active, w.astype(float), v.astype(float))
+            c = col[C.spread(edge[rows], sizes)]
+            of = np.repeat(np.arange(len(rows)), sizes)
+            here, at = np.unique(c, return_inverse=True)
+            x = (p[here] * trust[here, None])[at]
+            sums = np.stack([np.bincount(of, x[:, j], len(rows)) for j in range(k)], 1).astype(np.float32)
+            squares = np.bincount(of, (x[:, 1:] ** 2).sum(1), len(rows)).astype(np.float32)
+            size = np.maximum(sizes, 1).astype(np.float32)
+            z = b + sums[:, 0] + ((sums[:, 1:] ** 2).sum(1) - squares) / (2 * size)
+            err = ((1 / (1 + np.exp(-np.clip(z, -60, 60))) - y[rows]) * balance[rows] / len(rows)).astype(np.float32)
+            g = np.empty_like(x)
+            g[:, 0] = err[of]
+            g[:, 1:] = (err / size)[of, None] * (sums[of, 1:] - x[:, 1:])
+            g = np.stack([np.bincount(at, g[:, j], len(here)) for j in range(k)], 1).astype(np.float32) * trust[here, None] + DECAY * p[here]
+            turns[here] += 1
+            t = turns[here, None]
+            m[here] = 0.9 * m[here] + 0.1 * g
+            s[here] = 0.99 * s[here] + 0.01 * g * g
+            p[here] -= step * (m[here] / (1 - 0.9**t)) / (np.sqrt(s[here] / (1 - 0.99**t)) + FLOOR)
+            b -= np.float32(step * err.sum())
+    model.bias = float(b)
+    p *= trust[:, None]
+    model.weights[used], model.factors[used] = p[:, 0], p[:, 1:]
+    return model
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out: Column | None = None, limit: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> Machine:

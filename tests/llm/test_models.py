@@ -28,7 +28,7 @@ def test_toxicity_on_the_held_out_fold(spark):
     docs, held = C.table(spark, SF, "documents").select("doc_id", "text"), C.remainder("doc_id", 5) == 0
     model = toxicity.train(docs, C.table(spark, SF, "labels"), "toxic", held)
     right, toxic, clean = held_accuracy(spark, toxicity.scored(docs, model), "toxic", held)
-    assert right > 0.96 and toxic > 0.75 and clean > 0.99
+    assert right > 0.97 and toxic > 0.8 and clean > 0.98
 
 
 def test_pairs_count_beyond_their_parts():
@@ -46,6 +46,26 @@ def test_pairs_count_beyond_their_parts():
     assert np.mean((model.score(data, offsets) >= 0.5) == np.array(y)) > 0.9
 
 
+def test_pairs_in_a_large_vocabulary():
+    """Two rare words, neutral alone and toxic together, among 5,000 others; judged on texts not fitted on."""
+
+    def sample(n, seed):
+        rng = np.random.default_rng(seed)
+        texts, pair = [], []
+        for _ in range(n):
+            kind = int(rng.integers(0, 4)) if rng.random() < 0.2 else 0
+            w = [f"v{k}" for k in rng.integers(0, 5000, 20)] + [[], ["qalu"], ["zemi"], ["qalu", "zemi"]][kind]
+            texts.append(" ".join(rng.permutation(w)))
+            pair.append(kind)
+        return C.buffers(pa.array(texts)), np.array(pair)
+
+    (data, offsets), kind = sample(12_000, 1)
+    model = toxicity.fit(*toxicity.terms(data, offsets), (kind == 3).astype(float))
+    (data, offsets), kind = sample(4_000, 2)
+    told = model.score(data, offsets) >= 0.5
+    assert np.mean(told[kind == 3]) > 0.9 and np.mean(~told[kind != 3]) > 0.97
+
+
 def test_flat_trees_follow_their_splits():
     rng = np.random.default_rng(0)
     x = rng.random((2000, 3))
