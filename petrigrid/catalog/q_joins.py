@@ -176,20 +176,24 @@ def _(t):
 
 @query("geo3_concave_points")
 def _(t):
+    from petrigrid.operators.contours import contours
     from petrigrid.operators.shapes import concave_points
 
-    v = t("region_vertices").select("region_id", "ord", (c("x") / 50).alias("x"), (c("y") / 50).alias("y"))
-    to = v.select("region_id", ((c("ord") + 4) % 5).alias("ord"), c("x").alias("bx"), c("y").alias("by"))
-    step = v.join(to, ["region_id", "ord"]).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(39))))
-    line = lambda a, b: F.floor(c(a) + (c(b) - c(a)) * c("k") / 40).cast("double").alias(a)
-    contour = step.select("region_id", F.lit(0).alias("contour"), (c("ord") * 40 + c("k")).alias("i"), line("x", "bx"), line("y", "by"))
     grid = t("region_vertices").select("region_id").distinct().withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(79)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(59))))
     pixels = grid.select(c("region_id").alias("image_id"), F.concat_ws(":", "x", "y").alias("annotation_id"), ((c("x") + 0.5) * 50).alias("x"), ((c("y") + 0.5) * 50).alias("y"))
     inside = S.in_region(pixels, t("region_vertices").withColumn("image_id", c("region_id")), "annotation_id", IMG)
     mask = inside.select("region_id", F.split_part("annotation_id", F.lit(":"), F.lit(1)).cast("bigint").alias("x"), F.split_part("annotation_id", F.lit(":"), F.lit(2)).cast("bigint").alias("y"))
+    contour = contours(mask, ["region_id"]).where("outer").drop("outer")
     return concave_points(contour, mask, ["region_id"], ["contour"], 6)
 
 
+@query("geo3_ordered_contours")
+def _(t):
+    from petrigrid.operators.contours import contours
+
+    return contours(t("planes").where("v > 0.1").select("plane_id", "y", "x"), ["plane_id"])
+
+
 _PLATES = """SELECT image_id, x, y FROM marks UNION ALL SELECT 100000 + image_id, 2000 + 1000 * cos(annotation_id % 63 / 10.0), 1500 + 1000 * sin(annotation_id % 63 / 10.0) FROM marks
  UNION ALL SELECT 200000 + image_id, x, y FROM marks WHERE x + y < 3000"""
 _DOUBLE = _PLATES.replace("10.0", "10.0::DOUBLE").replace("1000 * ", "1000::DOUBLE * ")

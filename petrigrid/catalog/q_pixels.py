@@ -418,6 +418,16 @@ def _(t):
     return marks_per_cluster(CC.to_pixels(runs, PL, "label"), stats, m, PL, _limits(t).select("plane_id", "r_med"), 2)
 
 
+@query("pix33_watershed_regions")
+def _(t):
+    from petrigrid.operators.watershed import regions
+
+    smooth = P.gaussian_blur(t("planes"), PL, 1.0).where("v > -0.1")
+    at = _seeds(t).select("plane_id", F.floor("py").cast("long").alias("y"), F.floor("px").cast("long").alias("x"), (c("seed_id") + 1).alias("marker"))
+    flooded = regions(smooth.join(at, ["plane_id", "y", "x"], "left").select("plane_id", "y", "x", (-c("v")).alias("cost"), F.coalesce("marker", F.lit(0)).alias("marker")), PL)
+    return flooded.groupBy("plane_id", "label").agg(F.count(F.lit(1)).alias("area"), F.min("x").alias("min_x"), F.min("y").alias("min_y"), F.max("x").alias("max_x"), F.max("y").alias("max_y"))
+
+
 @query("pix34_fixed_discs")
 def _(t):
     from petrigrid.operators.detector import fixed_discs, measure_seeds
