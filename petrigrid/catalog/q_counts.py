@@ -340,23 +340,23 @@ _DOCS = """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE
  CASE WHEN o_orderkey % 40 = 1 THEN NULL ELSE o_totalprice END AS price, CASE WHEN o_orderkey % 30 = 2 THEN NULL ELSE o_orderkey % 2 = 0 END AS flag FROM orders"""
 
 
-@query("val2_required_fields", f"""WITH d AS ({_DOCS}) SELECT id, 'name' AS path, 'expected a string' AS rule FROM d WHERE name IS NULL
-UNION ALL SELECT id, 'price', 'expected a finite number' FROM d WHERE price IS NULL UNION ALL SELECT id, 'flag', 'expected true/false' FROM d WHERE flag IS NULL""")
+@query("val2_required_fields", f"""WITH d AS ({_DOCS}) SELECT id, 'name' AS path, 'not-text' AS rule FROM d WHERE name IS NULL
+UNION ALL SELECT id, 'price', 'not-finite' FROM d WHERE price IS NULL UNION ALL SELECT id, 'flag', 'not-boolean' FROM d WHERE flag IS NULL""")
 def _(t):
-    rules = [Q.required_string("name", F.col("name")), Q.required_number("price", F.col("price")), ("flag", "expected true/false", F.col("flag").isNull())]
+    rules = [Q.required_string("name", F.col("name")), Q.required_number("price", F.col("price")), ("flag", "not-boolean", F.col("flag").isNull())]
     return Q.violations(t.sql(_DOCS), ["id"], rules)
 
 
-@query("val3_enumerations", """SELECT annotation_id, 'origin' AS path, 'expected one of manual, automated' AS rule FROM annotations WHERE annotation_id % 17 = 0 OR origin NOT IN ('manual','automated')
-UNION ALL SELECT annotation_id, 'reviewStatus', 'expected one of accepted, rejected' FROM annotations WHERE review_status_raw NOT IN ('accepted','rejected')""")
+@query("val3_enumerations", """SELECT annotation_id, 'origin' AS path, 'unlisted: manual|automated' AS rule FROM annotations WHERE annotation_id % 17 = 0 OR origin NOT IN ('manual','automated')
+UNION ALL SELECT annotation_id, 'reviewStatus', 'unlisted: accepted|rejected' FROM annotations WHERE review_status_raw NOT IN ('accepted','rejected')""")
 def _(t):
     a = t("annotations").withColumn("origin", F.when(F.col("annotation_id") % 17 == 0, "robot").otherwise(F.col("origin")))
     rules = [Q.one_of("origin", F.col("origin"), ["manual", "automated"]), Q.one_of("reviewStatus", F.col("review_status_raw"), ["accepted", "rejected"])]
     return Q.violations(a, ["annotation_id"], rules)
 
 
-@query("val4_ranges", """SELECT p_partkey, 'opacity' AS path, 'must be between 0 and 1' AS rule FROM part WHERE CAST(p_size - 3 AS DOUBLE) / 40 NOT BETWEEN 0 AND 1
-UNION ALL SELECT p_partkey, 'size', 'must be positive' FROM part WHERE p_size - 10 <= 0""")
+@query("val4_ranges", """SELECT p_partkey, 'opacity' AS path, 'outside: 0..1' AS rule FROM part WHERE CAST(p_size - 3 AS DOUBLE) / 40 NOT BETWEEN 0 AND 1
+UNION ALL SELECT p_partkey, 'size', 'not-positive' FROM part WHERE p_size - 10 <= 0""")
 def _(t):
     rules = [Q.in_range("opacity", (F.col("p_size") - 3).cast("double") / 40, 0, 1), Q.positive("size", F.col("p_size") - 10)]
     return Q.violations(t("part"), ["p_partkey"], rules)
@@ -394,7 +394,7 @@ _FILES = """SELECT i.image_id AS file_image_id, CASE WHEN i.image_id % 12 = 5 TH
 
 
 @query("val11_document_vs_image", f"""WITH d AS ({_FILES})
-SELECT d.file_image_id, CASE WHEN d.image_id <> d.file_image_id THEN 'belongs to another image' END AS error,
+SELECT d.file_image_id, CASE WHEN d.image_id <> d.file_image_id THEN 'other-image' END AS error,
  CASE WHEN d.image_id = d.file_image_id AND d.project_id <> i.project_id THEN i.project_id END AS reassigned_to,
  d.image_id = d.file_image_id AND (d.fingerprint <> i.fingerprint OR d.width <> i.width OR d.height <> i.height) AS different_version
 FROM d JOIN images i ON i.image_id = d.file_image_id""")
@@ -402,11 +402,11 @@ def _(t):
     return Q.check_documents(t.sql(_FILES), t("images"))
 
 
-@query("val12_stray_documents", """SELECT 'stray document' AS problem, l.image_id FROM manifest_local l WHERE l.image_id NOT IN (SELECT image_id FROM manifest_remote)
-UNION ALL SELECT 'no bytes', r.image_id FROM manifest_remote r WHERE r.image_id NOT IN (SELECT image_id FROM manifest_local)
-UNION ALL SELECT 'fingerprint differs', l.image_id FROM manifest_local l JOIN manifest_remote r ON r.image_id = l.image_id WHERE l.sha <> r.md5""")
+@query("val12_stray_documents", """SELECT 'no-image' AS problem, l.image_id FROM manifest_local l WHERE l.image_id NOT IN (SELECT image_id FROM manifest_remote)
+UNION ALL SELECT 'no-document', r.image_id FROM manifest_remote r WHERE r.image_id NOT IN (SELECT image_id FROM manifest_local)
+UNION ALL SELECT 'other-content', l.image_id FROM manifest_local l JOIN manifest_remote r ON r.image_id = l.image_id WHERE l.sha <> r.md5""")
 def _(t):
     a, b = t("manifest_local"), t("manifest_remote")
     tag = lambda df, p: df.select(F.lit(p).alias("problem"), "image_id")
     diff = a.join(b, "image_id").where(F.col("sha") != F.col("md5"))
-    return tag(Q.stray_documents(a, b), "stray document").unionByName(tag(Q.stray_documents(b, a), "no bytes")).unionByName(tag(diff, "fingerprint differs"))
+    return tag(Q.stray_documents(a, b), "no-image").unionByName(tag(Q.stray_documents(b, a), "no-document")).unionByName(tag(diff, "other-content"))

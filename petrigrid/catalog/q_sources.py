@@ -47,7 +47,7 @@ def _(t):
     return r["marks"].select(c("annotation_id").cast("bigint").alias("annotation_id"), c("image_id").cast("bigint").alias("image_id"), "x", "y", "r", "group_id", "origin", "review_status")
 
 
-@query("val13_damaged_documents", "SELECT image_id, CASE image_id % 4 WHEN 0 THEN 'is not valid JSON' WHEN 1 THEN 'newer' END AS problem FROM (SELECT DISTINCT image_id FROM marks) WHERE image_id % 4 < 2")
+@query("val13_damaged_documents", "SELECT image_id, CASE image_id % 4 WHEN 0 THEN 'broken-json' WHEN 1 THEN 'newer' END AS problem FROM (SELECT DISTINCT image_id FROM marks) WHERE image_id % 4 < 2")
 def _(t):
     docs = PF.export_documents(t("images"), t("marks"), t("project_groups"))
     v = F.when(c("image_id") % 4 == 0, F.expr("left(value, length(value) - 7)")).when(c("image_id") % 4 == 1, F.regexp_replace("value", '"schemaVersion":1', '"schemaVersion":2')).otherwise(c("value"))
@@ -57,8 +57,8 @@ def _(t):
 
 
 @query("val10_detection_runs", """WITH s AS (SELECT 'p' AS project_id, image_id, cluster_id || 'r' AS run_id, min(suggestion_id) AS n, bool_or(suggestion_id % 50 = 0) AS odd FROM suggestions GROUP BY image_id, cluster_id)
-SELECT project_id, image_id, run_id, 'version' AS path, 'expected a string' AS rule FROM s WHERE n % 11 = 0 UNION ALL SELECT project_id, image_id, run_id, 'analysis_scale', 'must be positive' FROM s WHERE n % 5 = 0
-UNION ALL SELECT project_id, image_id, run_id, 'seeds', 'expected seeds' FROM s WHERE odd UNION ALL SELECT project_id, image_id, run_id, 'roi', 'incomplete region' FROM s WHERE CASE n % 4 WHEN 0 THEN n % 9 = 0 WHEN 1 THEN n % 7 = 0 WHEN 2 THEN n % 3 = 0 ELSE TRUE END""")
+SELECT project_id, image_id, run_id, 'version' AS path, 'not-text' AS rule FROM s WHERE n % 11 = 0 UNION ALL SELECT project_id, image_id, run_id, 'analysis_scale', 'not-positive' FROM s WHERE n % 5 = 0
+UNION ALL SELECT project_id, image_id, run_id, 'seeds', 'seeds-incomplete' FROM s WHERE odd UNION ALL SELECT project_id, image_id, run_id, 'roi', 'region-incomplete' FROM s WHERE CASE n % 4 WHEN 0 THEN n % 9 = 0 WHEN 1 THEN n % 7 = 0 WHEN 2 THEN n % 3 = 0 ELSE TRUE END""")
 def _(t):
     s = t("suggestions").groupBy("image_id", "cluster_id").agg(F.sort_array(F.collect_list(F.struct(c("suggestion_id").cast("string").alias("annotation_id"), c("image_id").cast("string").alias("image_id"), "x", "y", F.when(c("suggestion_id") % 50 == 0, "odd").otherwise("ok").alias("quality")))).alias("seeds"), F.min("suggestion_id").alias("n"))
     n = c("n")

@@ -27,11 +27,11 @@ def read_projects(spark: SparkSession, path: str, folder_pattern: str) -> dict[s
     p = _read(spark, path, PROJECT).withColumn("folder", F.regexp_extract("path", folder_pattern, 1))
     newest = p.groupBy("folder").agg(F.max_by(F.struct("path", "doc"), F.struct("modified", "path")).alias("m"), F.count(F.lit(1)).alias("n"))
     d = newest.select("folder", "n", "m.path", c("m.doc").alias("doc"))
-    gate = F.when(c("doc._corrupt_record").isNotNull(), "is not valid JSON").otherwise(Q.schema_gate(c("doc.schemaVersion")))
+    gate = F.when(c("doc._corrupt_record").isNotNull(), "broken-json").otherwise(Q.schema_gate(c("doc.schemaVersion")))
     d = d.withColumn("problem", gate)
     ok = d.where(c("problem").isNull())
-    several = d.where("n > 1").select("folder", F.format_string("The folder contains %d project.json files; the most recently modified one was used.", "n").alias("warning"))
-    bad = d.where(c("problem").isNotNull()).select("folder", F.concat(F.lit("project.json cannot be read: "), c("problem")).alias("warning"))
+    several = d.where("n > 1").select("folder", F.format_string("project-files: %d", "n").alias("warning"))
+    bad = d.where(c("problem").isNotNull()).select("folder", F.concat(F.lit("project-unreadable: "), c("problem")).alias("warning"))
     child = lambda arr, name: ok.select("folder", c("doc.id").alias("project_id"), F.posexplode(f"doc.{arr}").alias("ord", name))
     images = child("images", "i").select(
         "folder", "project_id", "ord", c("i.id").alias("image_id"), c("i.name").alias("image_name"), c("i.imageGroupId").alias("image_group_id"), c("i.width").alias("width"), c("i.height").alias("height"),
@@ -51,8 +51,8 @@ def read_projects(spark: SparkSession, path: str, folder_pattern: str) -> dict[s
 def read_documents(spark: SparkSession, path: str, folder_pattern: str, file_pattern: str) -> dict[str, DataFrame]:
     """Annotation documents of all folders: header rows, marks, and damaged files that were skipped (SRC1, VAL13)."""
     d = _read(spark, path, DOCUMENT).select("path", F.regexp_extract("path", folder_pattern, 1).alias("folder"), F.regexp_extract("path", file_pattern, 1).alias("file_image_id"), "doc")
-    problem = F.when(c("doc._corrupt_record").isNotNull() | c("doc").isNull(), "is not valid JSON").otherwise(Q.schema_gate(c("doc.schemaVersion")))
-    problem = F.when(problem.isNull() & c("doc.annotations").isNull(), "annotations: expected an array").otherwise(problem)
+    problem = F.when(c("doc._corrupt_record").isNotNull() | c("doc").isNull(), "broken-json").otherwise(Q.schema_gate(c("doc.schemaVersion")))
+    problem = F.when(problem.isNull() & c("doc.annotations").isNull(), "annotations-absent").otherwise(problem)
     d = d.withColumn("problem", problem)
     ok = d.where(c("problem").isNull())
     head = ok.select(
