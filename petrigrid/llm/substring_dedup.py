@@ -32,6 +32,8 @@ WINDOW, GRAM = 35, 6
 SHARD_WORDS = 500_000
 #: Different segments of one minimiser beyond which its windows are dealt one by one.
 CROWDED = 2_000
+#: Copies of a repeated window that the segments holding it are looked up in.
+SALTS = 32
 #: Windows per stream, and longest match that is followed before the search starts anew.
 STREAM, REACH = 32, 63
 
@@ -155,12 +157,12 @@ class Index:
 
 def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     raw = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.select(F.col(doc_id).alias("doc_id"), F.hash(raw).alias("row"), raw.alias("text"))
+    return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(raw).alias("row"), raw.alias("text"))
 
 
 def _segmented(rows: DataFrame, window: int) -> DataFrame:
     """``mk, sh, n, doc_id, row, start, inner`` per segment."""
-    schema = T.StructType([T.StructField("mk", T.LongType()), T.StructField("sh", T.LongType()), T.StructField("n", T.IntegerType()), rows.schema["doc_id"], T.StructField("row", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("inner", T.BooleanType())])
+    schema = T.StructType([T.StructField("mk", T.LongType()), T.StructField("sh", T.LongType()), T.StructField("n", T.IntegerType()), rows.schema["doc_id"], T.StructField("row", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("inner", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -176,11 +178,9 @@ def _segmented(rows: DataFrame, window: int) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def _fetched(df: DataFrame, window: int) -> DataFrame:
-    """``route, mk, sh, n, weight, off, words`` from rows with the text and the ``wanted`` segments of the document."""
-    schema = "route long, mk long, sh long, n int, weight long, off int, words binary"
-    names = ["route", "mk", "sh", "n", "weight", "off", "words"]
-    fields = ["start", "n", "mk", "sh", "weight", "crowded"]
+def _fetched(df: DataFrame) -> DataFrame:
+    """``route, mk, sh, n, weight, words`` from rows with the text and the ``wanted`` segments of the document."""
+    names = ["route", "mk", "sh", "n", "weight", "words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -188,21 +188,42 @@ def _fetched(df: DataFrame, window: int) -> DataFrame:
                 w = C.Words(data, offsets, C.PLAIN)
                 wanted = b.column(1).slice(i, j - i)
                 flat = wanted.flatten()
-                start, n, mk, sh, weight, crowded = (flat.field(f).to_numpy(zero_copy_only=False) for f in fields)
-                doc = np.repeat(np.arange(j - i), wanted.value_lengths().to_numpy())
-                at = start + w.first[doc]
-                count = np.where(crowded, n - window + 1, 1)
-                which = np.repeat(np.arange(len(n)), count)
-                off = C.spread(np.zeros(len(n), np.int64), count)
-                first, size = at[which] + off, np.where(crowded, window, n)[which]
-                route = np.where(crowded[which], C.signed(spans(w.hash, first, size)), mk[which])
-                text, _ = w.joined()
-                ends = np.concatenate([[0], np.cumsum(w.end - w.start + 1)])
-                cut = np.stack([ends[first], ends[first + size] - 1], 1)
-                raw = text.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(route), *(pa.array(x[which]) for x in (mk, sh, n, weight)), pa.array(off.astype(np.int32)), pa.array([raw[x:y] for x, y in cut.tolist()], pa.binary())], names)
+                start, n, mk, sh, weight = (flat.field(f).to_numpy(zero_copy_only=False) for f in ("start", "n", "mk", "sh", "weight"))
+                at = start + w.first[np.repeat(np.arange(j - i), wanted.value_lengths().to_numpy())]
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (mk, mk, sh, n, weight)), _cut(w, at, n)], names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, "route long, mk long, sh long, n int, weight long, words binary")
+
+
+def _cut(w: C.Words, first: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Runs of words, joined by one space."""
+    text, _ = w.joined()
+    ends = np.concatenate([[0], np.cumsum(w.end - w.start + 1)])
+    raw = text.tobytes()
+    return pa.array([raw[x:y] for x, y in np.stack([ends[first], ends[first + size] - 1], 1).tolist()], pa.binary())
+
+
+def _windows(df: DataFrame, window: int, words: bool) -> DataFrame:
+    """Every window of the ``wanted`` segments: its two values ``w1, w2`` with ``weight`` and ``words``, or with ``mk, sh, n, off``."""
+    fields = ["start", "n", "mk", "sh", "weight"]
+    names = ["w1", "w2", *(["weight", "words"] if words else ["mk", "sh", "n", "off"])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, data, offsets in C.slices(b.column(0)):
+                w = C.Words(data, offsets, C.PLAIN)
+                wanted = b.column(1).slice(i, j - i)
+                flat = wanted.flatten()
+                start, n, mk, sh, weight = (flat.field(f).to_numpy(zero_copy_only=False) for f in fields)
+                at = start + w.first[np.repeat(np.arange(j - i), wanted.value_lengths().to_numpy())]
+                which = np.repeat(np.arange(len(n)), n - window + 1)
+                off = C.spread(np.zeros(len(n), np.int64), n - window + 1)
+                first, size = at[which] + off, np.full(len(which), window)
+                own = [pa.array(C.signed(spans(h, first, size))) for h in (w.hash, C.mixed(w.hash ^ np.uint64(_STEP)))]
+                own += [pa.array(weight[which]), _cut(w, first, size)] if words else [pa.array(x[which]) for x in (mk, sh, n)] + [pa.array(off.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(own, names)
+
+    return df.mapInArrow(run, "w1 long, w2 long, " + ("weight long, words binary" if words else "mk long, sh long, n int, off int"))
 
 
 def _matched(df: DataFrame, window: int) -> DataFrame:
@@ -218,8 +239,7 @@ def _matched(df: DataFrame, window: int) -> DataFrame:
         words[np.arange(len(number)) + w.doc] = number + 1
         weight = np.repeat(t.column(at("weight")).to_numpy(), w.count + 1)
         seg, lo, hi = Index(words, weight).repeated(w.first[:-1] + np.arange(m), w.count, window)
-        off = t.column(at("off")).to_numpy()[seg]
-        return pa.RecordBatch.from_arrays([*(t.column(at(c)).combine_chunks().take(pa.array(seg)) for c in ("mk", "sh", "n")), pa.array((lo + off).astype(np.int32)), pa.array((hi + off).astype(np.int32))], ["mk", "sh", "n", "lo", "hi"])
+        return pa.RecordBatch.from_arrays([*(t.column(at(c)).combine_chunks().take(pa.array(seg)) for c in ("mk", "sh", "n")), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["mk", "sh", "n", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -277,12 +297,33 @@ def repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text:
     wanted = each.join(crowd, "mk").groupBy(F.col("at.doc_id").alias("__id"), F.col("at.row").alias("__row")).agg(F.collect_list(F.struct(F.col("at.start").alias("start"), "n", "mk", "sh", "weight", "crowded")).alias("wanted"))
     texts = rows.dropDuplicates(["doc_id", "row"]) if _doubled(rows) else rows
     held = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("row") == F.col("__row"))).select("text", "wanted")
-    shards = _fetched(held, window).repartition("route").sortWithinPartitions("route")
-    found = C.stored(_matched(shards, window), "intervals").distinct()
+    some = lambda yes: held.withColumn("wanted", F.filter("wanted", lambda x: x["crowded"] == F.lit(yes))).where(F.size("wanted") > 0)
+    found = _settled(_fetched(some(False)), window)
+    if crowd.where("crowded").limit(1).count():
+        found = found.unionByName(_crowded(some(True), window))
     hits = cand.join(found, ["mk", "sh", "n"]).select("doc_id", "row", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
     return hits.groupBy("doc_id", "row").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
 
 
+def _settled(shards: DataFrame, window: int) -> DataFrame:
+    return C.stored(_matched(shards.repartition("route").sortWithinPartitions("route"), window), "intervals").distinct()
+
+
+def _crowded(held: DataFrame, window: int) -> DataFrame:
+    """The repeated windows of segments whose minimiser has too many: equal windows are added up before they meet in an index.
+
+    One row a window goes on, with the text of one of them, so a passage is no more work for a shard however many
+    documents hold it; the windows found are then looked up in the segments that hold them.
+    """
+    each = _windows(held, window, True).groupBy("w1", "w2").agg(F.sum("weight").alias("weight"), F.min("words").alias("words"))
+    shards = each.select(F.col("w1").alias("route"), F.col("w1").alias("mk"), F.col("w2").alias("sh"), F.lit(window).cast("int").alias("n"), "weight", "words")
+    found = _settled(shards, window).select(F.col("mk").alias("w1"), F.col("sh").alias("w2")).distinct()
+    # many segments hold one window: copies of its row share them
+    found = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    where = _windows(held, window, False).withColumn("salt", F.pmod("sh", F.lit(SALTS)).cast("int"))
+    return C.stored(where.join(found, ["w1", "w2", "salt"]).select("mk", "sh", "n", F.col("off").alias("lo"), (F.col("off") + window).alias("hi")), "crowded")
+
+
 def _doubled(rows: DataFrame) -> bool:
     """Whether any id occurs twice with one text."""
     return bool(rows.groupBy("doc_id", "row").count().where("count > 1").limit(1).count())

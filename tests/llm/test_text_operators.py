@@ -1,9 +1,11 @@
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from petrigrid.llm import decontamination, mixing, ngram_join, sharding, substring_dedup
 
@@ -275,3 +277,17 @@ def test_join_counts_rows_not_ids(spark):
     ):
         got = Counter(tuple(r) for r in ngram_join.join(documents(spark, rows, clash=False)).collect())
         assert got == brute_join(rows)
+
+
+def test_crowded_windows_are_added_up_first(spark):
+    """Many documents with one passage and surroundings of their own: one row a window reaches the index."""
+    rng = random.Random(3)
+    passage = words(rng, 60)
+    rows = [(i, f"{words(rng, 8, 10**6)} {passage} {words(rng, 8, 10**6)}", "a") for i in range(300)]
+    docs = documents(spark, rows, clash=False)
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.dedup(docs).select("doc_id", "n_removed").collect()}
+    assert got == {i: 60 for i in range(300)}
+    held = docs.select("text", F.array(F.struct(F.lit(0).alias("start"), F.lit(76).alias("n"), F.col("doc_id").alias("mk"), F.col("doc_id").alias("sh"), F.lit(1).cast("long").alias("weight"), F.lit(True).alias("crowded"))).alias("wanted"))
+    each = substring_dedup._windows(held, 35, True).groupBy("w1", "w2").agg(F.sum("weight").alias("weight"))
+    assert each.where("weight = 300").count() == 60 - 34 and each.where("weight > 1").count() == 60 - 34
+    assert substring_dedup._crowded(held, 35).groupBy("sh").count().where("count <> 26").count() == 0
