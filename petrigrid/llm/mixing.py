@@ -8,7 +8,7 @@ which is written once and stays small however many documents there are. A bracke
 
 Rates become whole copies by carrying the rounding error from the longest documents to the shortest, so a
 source misses its target by about half of its shortest documents. Which documents of one size get the
-extra copy is decided by hashed id, in buckets with exact quotas, so a hot size never meets in one task.
+extra copy is decided by a hash of id and text, in buckets with exact quotas, so a hot size never meets in one task.
 """
 
 from __future__ import annotations
@@ -83,8 +83,8 @@ def solve(hist: DataFrame, sources: dict[int, tuple[int, int, float]], cap: floa
     return {s: v if math.isinf(v := done.get(s, lam.get(s, 0.0))) else float(f"{v:.10g}") for s in sources}
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """``doc_id, size, source_size, target, taken, copies`` per row of ``docs``.
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, doc_id: str = "doc_id", text: str = "text", source: str = "source", tags: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, size, source_size, target, taken, copies`` and the columns ``tags`` per row of ``docs``.
 
     A null or empty text has size 0 and is kept once: it takes no words. A null source is a source of its
     own, ordered last. Repeated rows are mixed one by one. An empty table gives an empty result. Other
@@ -92,13 +92,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, d
     """
     spark = C.prepare(docs.sparkSession)
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    sized = C.stored(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size")), "sized")
+    sized = C.stored(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size"), F.xxhash64(F.col(doc_id), F.col(text)).alias("h"), *(F.col(t) for t in tags)), "sized")
     per = sized.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.when(F.col("size") > 0, 1)).alias("n")).orderBy(F.col("source").asc_nulls_last()).limit(MAX_SOURCES + 1).collect()
     if len(per) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     goal = targets([p["words"] for p in per], [float(weights[i % len(weights)]) for i in range(len(per))], cap)
     listed = spark.createDataFrame([(i, p["source"], p["words"], goal[i]) for i, p in enumerate(per)], "sid int, source string, source_size long, target double")
-    sized = sized.join(F.broadcast(listed) if len(per) <= 10_000 else listed, sized["source"].eqNullSafe(listed["source"])).select("doc_id", "size", "sid", "source_size", "target")
+    sized = sized.join(F.broadcast(listed) if len(per) <= 10_000 else listed, sized["source"].eqNullSafe(listed["source"])).select("doc_id", "size", "sid", "source_size", "target", "h", *tags)
     hist = C.stored(sized.groupBy("sid", "size").agg(F.count("*").alias("n")), "sizes")
     lam = solve(hist, {i: (p["words"], p["n"], goal[i]) for i, p in enumerate(per)}, cap)
     scale = {i: p["words"] / p["n"] if p["n"] else 1.0 for i, p in enumerate(per)}
@@ -120,8 +120,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, d
         return pdf.assign(copies=copies)[["sid", "size", "n", "copies"]]
 
     bins = C.stored(hist.groupBy("sid").applyInPandas(rounded, "sid int, size long, n long, copies long").withColumn("m", F.ceil(F.col("n") / BUCKET).cast("int")), "bins")
-    h = F.xxhash64("doc_id")
-    spread = sized.join(bins, ["sid", "size"]).withColumn("h", h).withColumn("bucket", F.pmod(F.col("h"), F.col("m")))
+    spread = sized.join(bins, ["sid", "size"]).withColumn("bucket", F.pmod(F.col("h"), F.col("m")))
     kinds = spread.groupBy("sid", "size", "bucket").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("copies").alias("copies"))
     upto = F.sum("c").over(Window.partitionBy("sid", "size").orderBy("bucket"))
     extra = F.expr("copies % n")
@@ -130,4 +129,4 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, d
     rank = F.row_number().over(Window.partitionBy("sid", "size", "bucket").orderBy("h", "doc_id"))
     ranked = spread.join(kinds, ["sid", "size", "bucket"]).withColumn("r", rank)
     copies = F.floor(F.col("copies") / F.col("n")) + (F.col("r") <= F.col("quota")).cast("long")
-    return ranked.withColumn("copies", copies.cast("long")).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    return ranked.withColumn("copies", copies.cast("long")).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", *tags)

@@ -117,10 +117,10 @@ def _matrix(col: pa.Array, kind: type = np.uint16, tokens: int = TOKENS) -> np.n
     return np.frombuffer(b"".join(col.to_pylist()), kind).reshape(-1, tokens)
 
 
-def described(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
-    """``doc_id, s1, s2, n, sketch, brief`` per row: two values that name the set, its size, its tokens in full and cut (null for an empty set)."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    schema = T.StructType([rows.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("s1", "s2", "n")), T.StructField("sketch", T.BinaryType()), T.StructField("brief", T.BinaryType())])
+def described(docs: DataFrame, doc_id: str, text: str, k: int, tag: str | None = None) -> DataFrame:
+    """``doc_id, tag, s1, s2, n, sketch, brief`` per row: two values that name the set, its size, its tokens in full and cut (null for an empty set)."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), (F.lit(0) if tag is None else F.col(tag)).cast("long").alias("tag"))
+    schema = T.StructType([rows.schema["doc_id"], T.StructField("tag", T.LongType()), *(T.StructField(c, T.LongType()) for c in ("s1", "s2", "n")), T.StructField("sketch", T.BinaryType()), T.StructField("brief", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -129,7 +129,7 @@ def described(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
                 n = np.diff(bounds)
                 s = _sums(g, bounds)
                 sk = sketches(g, bounds)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *map(pa.array, s), pa.array(n), *(pa.array([x.tobytes() if c else None for x, c in zip(m, n, strict=True)], pa.binary()) for m in (sk, brief(sk)))], schema.names)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), *map(pa.array, s), pa.array(n), *(pa.array([x.tobytes() if c else None for x, c in zip(m, n, strict=True)], pa.binary()) for m in (sk, brief(sk)))], schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -308,8 +308,8 @@ def _exact(df: DataFrame, threshold: float) -> DataFrame:
     return df.mapInArrow(run, "id long, links long, parent long")
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD, k: int = GRAM, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, class_id, n_links, copy_of, kept`` per row of ``docs``.
+def join(docs: DataFrame, threshold: float = THRESHOLD, k: int = GRAM, doc_id: str = "doc_id", text: str = "text", tag: str | None = None) -> DataFrame:
+    """``doc_id, class_id, n_links, copy_of, kept`` per row of ``docs``, and the number ``tag`` if a column is named.
 
     ``class_id`` is the smallest id reachable by links (similarity of the threshold or more), ``n_links`` the other
     rows linked directly, ``copy_of`` the smallest id with the same grams, ``kept`` whether the row stands for its
@@ -319,13 +319,13 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, k: int = GRAM, doc_id: s
     ``docs`` are ignored, so clashing names do no harm.
     """
     C.prepare(docs.sparkSession)
-    rows = C.stored(described(docs, doc_id, text, k), "sets")
+    rows = C.stored(described(docs, doc_id, text, k, tag), "sets")
     filled = rows.where("n > 0 and doc_id is not null")
     name = ["s1", "s2", "n"]
     sigs = filled.groupBy(*name).agg(F.min("doc_id").cast("long").alias("doc"), F.count("*").alias("mult"))
     sigs = C.stored(sigs.withColumn("id", F.monotonically_increasing_id()), "classes")  # numbered once, when written
-    own = filled.withColumnRenamed("doc_id", "doc").join(sigs, [*name, "doc"]).dropDuplicates(name)
-    classes = C.stored(own.select("id", "doc", *name, "mult", "sketch", "brief"), "sketches")
+    first = filled.withColumnRenamed("doc_id", "doc").join(sigs, [*name, "doc"]).dropDuplicates(name)
+    classes = C.stored(first.select("id", "doc", *name, "mult", "sketch", "brief"), "sketches")
     member = C.stored(_members(classes, threshold), "components")
     sized = member.join(member.groupBy("root").agg(F.count("*").alias("size")), "root").join(classes.select("id", "doc", *name, "mult"), "id")
     part = _grams(_texts(docs, rows, doc_id, text).join(sized, "doc"), k)
@@ -338,11 +338,12 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, k: int = GRAM, doc_id: s
     least = docs_of.groupBy("root").agg(F.min("doc").alias("class_id"))
     named = sigs.join(linked, "id", "left").join(docs_of.select("id", "root").join(least, "root"), "id", "left")
     named = named.select(*name, F.col("doc").alias("copy_of"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("class_id", "doc").alias("class_id"))
-    out = rows.select("doc_id", *name).join(named, name, "left")
+    own = [] if tag is None else ["tag"]
+    out = rows.select("doc_id", "tag", *name).join(named, name, "left")
     alone = F.col("doc_id").isNull() | (F.col("n") == 0)
     pick = lambda c, other: F.when(alone, other).otherwise(F.col(c)).alias(c)
-    out = out.select("doc_id", pick("class_id", F.col("doc_id")), pick("n_links", F.lit(0)).cast("long").alias("n_links"), pick("copy_of", F.col("doc_id")))
-    return out.withColumn("kept", F.col("class_id").eqNullSafe(F.col("doc_id")))
+    out = out.select("doc_id", pick("class_id", F.col("doc_id")), pick("n_links", F.lit(0)).cast("long").alias("n_links"), pick("copy_of", F.col("doc_id")), "tag")
+    return out.withColumn("kept", F.col("class_id").eqNullSafe(F.col("doc_id"))).select("doc_id", "class_id", "n_links", "copy_of", "kept", *own)
 
 
 def _texts(docs: DataFrame, rows: DataFrame, doc_id: str, text: str) -> DataFrame:

@@ -78,3 +78,22 @@ def test_awkward_rows_pass_every_stage(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0, name
         out = stage(spark, docs, SF)
         assert out.count() > 0 and (name == "sharding" or out.columns == docs.columns), name
+
+
+def test_mixing_takes_rows_one_by_one(spark):
+    """Many documents without an id in two sources, and rows alike in all columns."""
+    held = [(None, f"a{i} " * (20 + i % 30), "a") for i in range(400)] + [(None, f"b{i} " * (5 + i % 9), "b") for i in range(300)] + [(7, "same words here", "b")] * 9
+    docs = documents(spark, held, clash=False).withColumn("lang", F.lit("en"))
+    out = rows(P.mixing_stage(spark, docs, SF))
+    size = lambda x, s: sum(len(t.split()) for _, t, o in x if o == s)
+    total = size(held, "a") + size(held, "b")
+    want_b = min(total * 2 / 7, 3 * size(held, "b"))
+    assert abs(size(out, "b") - want_b) < 40 and abs(size(out, "a") - (total - want_b)) < 80
+    assert Counter(out)[(7, "same words here", "b")] <= 27 and set(out) <= set(held)
+
+
+def test_texts_of_one_id_are_judged_apart(spark):
+    a = " ".join(f"w{i}" for i in range(60))
+    held = [(1, a, "s"), (2, a.replace("w30", "x"), "s"), (2, "another text with some words of its own", "s"), (2, "another text with some words of its own", "s")]
+    out = rows(P.near_duplicate_stage(spark, documents(spark, held, clash=False), SF))
+    assert sorted(out) == sorted([held[0], held[2]])
