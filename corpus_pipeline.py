@@ -27,10 +27,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate class; repeated rows become one.
 
-    Documents without words or without an id are in no class and stay.
+    Documents without words or without an id are in no class and stay; texts of one id are judged apart.
     """
-    kept = ngram_join.join(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
-    once = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").withColumn("__text", F.xxhash64("text"))
+    named = docs.withColumn("__text", F.xxhash64("text"))
+    kept = ngram_join.join(named, tag="__text").where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept"), F.col("tag").alias("__tag")).distinct()
+    once = named.where("doc_id is not null").join(kept, (F.col("doc_id") == F.col("__kept")) & (F.col("__text") == F.col("__tag")), "left_semi")
     return once.dropDuplicates(["doc_id", "__text"]).drop("__text").unionByName(docs.where("doc_id is null"))
 
 
@@ -43,9 +44,12 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
-    copies = mixing.mix(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").cast("int").alias("__n")).where("__n > 0")
-    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")))
+    """Every document as often as the mix takes it; rows alike in all columns share their copies."""
+    tags = {"__t1": F.xxhash64(*docs.columns), "__t2": F.xxhash64(F.lit(1), *docs.columns)}
+    named = docs.withColumns(tags)
+    copies = mixing.mix(named, tags=tuple(tags)).groupBy(*tags).agg(F.sum("copies").cast("int").alias("__n"), F.count("*").alias("__rows")).where("__n > 0")
+    taken = named.join(copies, [*tags])
+    taken = taken.where("__rows = 1").unionByName(taken.where("__rows > 1").dropDuplicates([*tags]))
     return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__n"))).select(*docs.columns)
 
 
