@@ -8,6 +8,7 @@ from petrigrid.operators import metrics as E
 from petrigrid.operators import quality as Q
 from petrigrid.operators import reconcile as R
 from petrigrid.session import scratch
+from petrigrid.operators import tiles as TL
 from petrigrid.sources import images as I
 from petrigrid.sources import project_folder as PF
 from petrigrid.sources import summary_csv as SC
@@ -98,6 +99,16 @@ def _(t):
     return I.decode_pixels(I.encode_pixels(t("pixels"), IMG), IMG, (4, 2, 40, 30))
 
 
+@query("src4_oriented_tiles", """WITH s AS (SELECT *, 1 + image_id % 8 AS o FROM pixels),
+d AS (SELECT image_id, r, g, b, CASE WHEN o IN (1, 4) THEN x WHEN o IN (2, 3) THEN 63 - x WHEN o IN (5, 8) THEN y ELSE 49 - y END - 4 AS x,
+ CASE WHEN o IN (1, 2) THEN y WHEN o IN (3, 4) THEN 49 - y WHEN o IN (5, 6) THEN x ELSE 63 - x END - 2 AS y FROM s)
+SELECT image_id, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, r, g, b FROM d WHERE x BETWEEN 0 AND 39 AND y BETWEEN 0 AND 29""")
+def _(t):
+    img = I.encode_pixels(t("pixels"), IMG).withColumn("orientation", 1 + c("image_id") % 8)
+    px = TL.from_tiles(I.decode_tiles(img, IMG, (4, 2, 40, 30)), IMG, ["r", "g", "b"])
+    return px.select("image_id", "y", "x", *[c(n).cast("int").alias(n) for n in "rgb"])
+
+
 def _summary(t):
     docs = t("marks").groupBy("image_id").agg(F.max("updated_at").alias("updated_at"))
     return C.summary_rows(t("images"), t("image_groups"), t("project_groups"), t("marks"), t("projects"), docs)
