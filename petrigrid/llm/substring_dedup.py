@@ -321,7 +321,8 @@ def _crowded(held: DataFrame, window: int) -> DataFrame:
     # many segments hold one window: copies of its row share them
     found = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     where = _windows(held, window, False).withColumn("salt", F.pmod("sh", F.lit(SALTS)).cast("int"))
-    return C.stored(where.join(found, ["w1", "w2", "salt"]).select("mk", "sh", "n", F.col("off").alias("lo"), (F.col("off") + window).alias("hi")), "crowded")
+    # its file is far smaller than its rows: never broadcast
+    return C.stored(where.join(found.hint("merge"), ["w1", "w2", "salt"]).select("mk", "sh", "n", F.col("off").alias("lo"), (F.col("off") + window).alias("hi")), "crowded")
 
 
 def _doubled(rows: DataFrame) -> bool:
