@@ -366,7 +366,8 @@ def _calibrated(t):
     from petrigrid.operators.calibration import calibrate
 
     planes = B.lab_planes(t("pixels"), IMG)
-    masks, _ = B.plate_region(t("pixels"), IMG)
+    round_ = lambda m: P.raster_circle(F.lit(WIDTH / 2), F.lit(HEIGHT / 2), F.lit(HEIGHT / 2 - m))
+    masks = t("pixels").select(*IMG, "y", "x", round_(1).alias("plate"), round_(4).alias("on"))
     seeds = _image_seeds(t)
     remote = seeds.where("image_id % 2 = 1 and seed_id % 3 = 0").select((c("image_id") - 1).alias("image_id"), (c("seed_id") + 10_000).alias("seed_id"), c("image_id").alias("source_id"), "px", "py")
     return calibrate(planes, masks, seeds, IMG, "seed_id", remote)
