@@ -153,7 +153,7 @@ class Places:
         return np.concatenate([[0], heads])[at - self.offsets[d]]
 
     def seeds(self, d: int, text: str, spans: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Value, first and last word of the spans of text d."""
+        """Value, first and last word of the spans of text d; the last is before the first where a span holds no word."""
         s, e = self.bytes_of(d, text, [x[1] for x in spans]), self.bytes_of(d, text, [x[2] for x in spans])
         return self.w.ranges(s, e), np.searchsorted(self.w.end, s, "right"), np.searchsorted(self.w.start, e, "left") - 1
 
@@ -257,7 +257,10 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
                         continue
                     t = place.text(d)
                     value, lo, hi = place.seeds(d, t, sp)
-                    rows_ = zip(sp, C.signed(value).tolist(), _form([t[s:e] for _, s, e in sp]).tolist(), place.patterns(lo, hi).view(np.int64).tolist(), strict=True)
+                    # a span without words (-@-.-) stands at no word, which may even lie outside the slice: it is no seed
+                    worded = lo <= hi
+                    of = [x for x, w in zip(sp, worded.tolist(), strict=True) if w]
+                    rows_ = zip(of, C.signed(value[worded]).tolist(), _form([t[s:e] for _, s, e in of]).tolist(), place.patterns(lo[worded], hi[worded]).view(np.int64).tolist(), strict=True)
                     found.append([{"kind": k, "value": v, "form": f, "patterns": p} for (k, _, _), v, f, p in rows_])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(base, pa.list_(pa.struct(_ARROW_SPAN))), pa.array(found, pa.list_(_ARROW_SEED))], ["doc_id", "row", "base", "seeds"])
 

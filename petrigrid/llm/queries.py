@@ -130,7 +130,9 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.extract(C.table(spark, sf_dir, "documents"))
     kinds = F.array(*map(F.lit, pii.KINDS))
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"], s["stop"])), ",")
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    # a second parameter of the lambda would be the position in the array
+    of_kind = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    counts = [of_kind(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
     return found.select("doc_id", *counts, F.sha2(text("base"), 256).alias("base_sha256"), text("spans").alias("spans"))
 
 

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 import re
@@ -6,6 +7,7 @@ from collections import Counter, defaultdict
 from pyspark.sql import functions as F
 
 from petrigrid.llm import embedding_dedup, html_extraction, pii
+from petrigrid.llm.queries import op9_pii
 
 from .fixtures import CLASH, documents, texts
 
@@ -132,6 +134,27 @@ def test_spans_of_awkward_rows(spark):
     assert pii.extract(documents(spark, [])).count() == 0
 
 
+def test_spans_without_words(spark):
+    """Emails of punctuation alone, which hold no word that a context could stand beside, at either end of a slice or alone in it."""
+    texts_ = ["-@-.-", "%@-.- tail", "head +_@--.--", "a@b.c -@-.- 1.2.3.4", "\n", None, "-@-.-"]
+    for rows in ([(i, t, "a") for i, t in enumerate(texts_)], [(0, "-@-.-", "a")]):
+        got = pii.extract(documents(spark, rows)).collect()
+        assert {r["doc_id"]: [(s["kind"], s["start"], s["stop"]) for s in r["base"]] for r in got} == {i: brute_spans(t or "") for i, t, _ in rows}
+        assert all(set(map(tuple, r["base"])) <= set(map(tuple, r["spans"])) for r in got)
+
+
+def test_counts_and_digest_of_the_query(spark, tmp_path):
+    """The columns that the contract names, on rows with unlike numbers of each kind."""
+    rows = [(i, t, "a") for i, t in enumerate(["", None, "a@b.c and d@e.f", "1.2.3.4", "4111111111111111 x@y.z", "+1 (555) 555-0100 +44 20 7946 0958 1.2.3.4", "a@b.c 1.2.3.4 4111 1111-1111 1111 +1 (555) 555-0100"])]
+    documents(spark, rows, clash=False).write.parquet(str(tmp_path / "documents.parquet"))
+    want = {}
+    for i, t, _ in rows:
+        spans = brute_spans(t or "")
+        listed = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for k, s, e in spans)
+        want[i] = (*(sum(k == x for x, _, _ in spans) for k in range(4)), hashlib.sha256(listed.encode()).hexdigest())
+    assert {r[0]: tuple(r)[1:6] for r in op9_pii(spark, str(tmp_path)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256").collect()} == want
+
+
 def test_contexts_discover_what_the_form_misses(spark):
     """Cards with a mistyped digit fail their checksum, but stand where cards stand."""
     rng = random.Random(7)
