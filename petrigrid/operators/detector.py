@@ -174,7 +174,7 @@ def local_colonies(plane: DataFrame, within: DataFrame, keys: list[str], limits:
     smooth = cut(P.gaussian_blur(plane.select(*keys, "y", "x", "v"), keys, max(0.7, 0.35 * r_min)).join(limits.select(*keys, threshold), keys))
     peaks = P.local_maxima(smooth, keys, max(1, math.floor(0.6 * r_min + 0.5)), c(threshold)).join(within.select(*keys, "y", "x"), [*keys, "y", "x"], "left_semi")
     ids = peaks.select(*keys, (c("y") * (1 << 24) + c("x")).alias("peak_id"), (c("x") + 0.5).alias("px"), (c("y") + 0.5).alias("py"), c("v").alias("bright"))
-    m = cut(measure_seeds(plane, cut(ids.join(limits.select(*keys, "noise", "r_max"), keys)), keys, "peak_id").join(ids.select(*keys, "peak_id", "bright"), [*keys, "peak_id"]))
+    m = cut(measure_seeds(plane, cut(ids.join(limits.select(*keys, "noise", "r_max"), keys)), keys, "peak_id"))
     good = m.where((c("weight") > 0) & (c("r") >= 0.5 * r_min))
     # brighter measured colonies swallow the maxima inside half their radius
     bright = _swallow(good.select(*keys, "peak_id", "px", "py", c("cx").alias("x"), c("cy").alias("y"), "r", "bright"), keys)
