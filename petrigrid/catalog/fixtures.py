@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from petrigrid.session import tune
 
@@ -133,6 +134,24 @@ VIEWS: dict[str, tuple[str, str]] = {
     ),
 }
 
+#: Size of the planes and images that the views cut from the vectors. The last one may lack rows.
+WIDTH, HEIGHT = 64, 50
+
+
+def gaps(px: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, y``: raster lines that a plane or image lacks."""
+    lines = px.groupBy(*keys).agg(F.collect_set("y").alias("_ys"))
+    whole_ = F.sequence(F.lit(0).cast("bigint"), F.lit(HEIGHT - 1).cast("bigint"))
+    return lines.select(*keys, F.explode(F.array_except(whole_, "_ys")).alias("y"))
+
+
+def whole(px: DataFrame, keys: list[str]) -> DataFrame:
+    """Rasters of the full size: pixels of lines that are lacking are null and not ``given``."""
+    x = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(WIDTH - 1).cast("bigint")))
+    lacking = gaps(px, keys).withColumn("x", x).withColumn("given", F.lit(False))
+    return px.withColumn("given", F.lit(True)).unionByName(lacking, allowMissingColumns=True)
+
+
 _WORD = re.compile(r"\b[a-z_]+\b")
 
 

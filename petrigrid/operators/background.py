@@ -29,7 +29,7 @@ def lab_planes(pixels: DataFrame, keys: list[str]) -> DataFrame:
     return p.select(*keys, "y", "x", c("lab.l").alias("l"), c("lab.a").alias("a"), c("lab.b").alias("b"), luma(c("red"), c("green"), c("blue")).alias("luma"), sat.alias("saturated"))
 
 
-def lab_background(planes: DataFrame, keys: list[str], sigma: float, weight: str) -> DataFrame:
+def lab_background(planes: DataFrame, keys: list[str], sigma: float, weight: str, within: str | None = None) -> DataFrame:
     """Masked Gaussian of each Lab channel: columns ``bg_l bg_a bg_b`` (PIX24)."""
     med = None
     for n in LAB:
@@ -38,7 +38,7 @@ def lab_background(planes: DataFrame, keys: list[str], sigma: float, weight: str
     t = planes.withColumns({"bg_" + n: c(n) for n in LAB}).join(med, keys, "left")
     names = ["bg_" + n for n in LAB]
     fb = {"bg_" + n: F.coalesce("med_" + n, F.lit(0.0)) for n in LAB}
-    return P.normalised_blur(t, keys, sigma, weight, names, fb).drop(*["med_" + n for n in LAB])
+    return P.normalised_blur(t, keys, sigma, weight, names, fb, within).drop(*["med_" + n for n in LAB])
 
 
 def lab_differences(planes: DataFrame, points: DataFrame, keys: list[str], item: str, r: int = 1) -> DataFrame:

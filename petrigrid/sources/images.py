@@ -99,7 +99,8 @@ def decode_pixels(images: DataFrame, keys: list[str], crop: tuple[int, int, int,
     x0, y0, w, h = crop if crop else (0, 0, None, None)
     y1 = c("height") - 1 if h is None else F.least(c("height") - 1, F.lit(y0 + h - 1))
     x1 = c("width") - 1 if w is None else F.least(c("width") - 1, F.lit(x0 + w - 1))
-    line = images.select(*keys, "width", "channels", "data", x1.alias("x1"), F.explode(F.sequence(F.lit(y0), y1)).alias("y"))
+    met = images.where((y1 >= y0) & (x1 >= x0))  # a crop that misses the image would count backwards
+    line = met.select(*keys, "width", "channels", "data", x1.alias("x1"), F.explode(F.sequence(F.lit(y0), y1)).alias("y"))
     cut = F.expr("substring(data, CAST(y * width * channels + 1 AS INT), CAST(width * channels AS INT))")
     row = line.select(*keys, "y", "channels", "x1", cut.alias("line"))
     px = row.select(*keys, "y", "channels", "line", F.explode(F.sequence(F.lit(x0), "x1")).alias("x"))
