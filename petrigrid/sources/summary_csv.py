@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 from petrigrid.functions.text import csv_boolean, csv_number, csv_row, csv_text
 from petrigrid.operators.counts import CSV_COLUMNS
@@ -45,6 +47,19 @@ def read_summary(spark: SparkSession, path: str) -> DataFrame:
     return df.fillna("", text)
 
 
+def fixed(value: Column, places: int) -> Column:
+    """A number with so many places, rounded from its exact binary value as C does, ties to even.
+
+    Java's formatter, behind ``format_string``, rounds the shortest decimal text half up: 0.0625 is 0.063 there.
+    """
+
+    @pandas_udf("string")
+    def text(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: f"{x:.{places}f}", na_action="ignore").astype(object)
+
+    return text(value.cast("double"))
+
+
 def markdown_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     """Table lines of a report (SNK6)."""
     return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(c(n).cast("string"), F.lit("–")) for n in columns]), F.lit(" |")).alias("value"))
