@@ -28,14 +28,19 @@ c = F.col
 FOLD = 200_000
 
 
-def _by_size(rows: DataFrame, keys: list[str], fold: Callable[[pd.DataFrame], pd.DataFrame], schema: str, rounds: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``fold`` over the keys that fit a task, ``rounds`` over the keys that do not. A task takes many small keys at once."""
+def _by_size(rows: DataFrame, keys: list[str], fold: Callable[[pd.DataFrame], pd.DataFrame], schema: str, rounds: Callable[[DataFrame], DataFrame], together: bool = False) -> DataFrame:
+    """``fold`` over the keys that fit a task, ``rounds`` over the keys that do not. A task takes many small keys at once.
+
+    ``together``: the fold tells the keys of a task apart by itself, so nothing is done per key.
+    """
     rows = cut(rows)
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total, most = sizes.agg(F.sum("_n"), F.max("_n")).first()
     dealt = F.pmod(F.xxhash64(*keys), F.lit(max(64, (total or 0) // 50_000)))
 
     def folds(pdf: pd.DataFrame) -> pd.DataFrame:
+        if together:
+            return fold(pdf.drop(columns="_task"))
         return pd.concat([fold(g) for _, g in pdf.drop(columns="_task").groupby(keys, sort=False, dropna=False)], ignore_index=True)
 
     if (most or 0) <= FOLD:
@@ -274,16 +279,16 @@ def _mutual(edges: DataFrame, keys: list[str], a_id: str, b_id: str) -> DataFram
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b, keep = set(), set(), []
-        pdf = pdf.sort_values(["d", a_id, b_id])
-        for x, y in pdf[[a_id, b_id]].itertuples(index=False):
-            free = x not in a and y not in b
+        pdf = pdf.assign(_key=pdf.groupby(keys, sort=False, dropna=False).ngroup()).sort_values(["d", a_id, b_id])
+        for k, x, y in zip(pdf["_key"].tolist(), pdf[a_id].tolist(), pdf[b_id].tolist(), strict=True):
+            free = (k, x) not in a and (k, y) not in b
             keep.append(free)
             if free:
-                a.add(x)
-                b.add(y)
-        return pdf[pd.Series(keep, index=pdf.index, dtype=bool)]
+                a.add((k, x))
+                b.add((k, y))
+        return pdf[pd.Series(keep, index=pdf.index, dtype=bool)].drop(columns="_key")
 
-    return _by_size(flat, keys, fold, _schema(flat, *flat.columns), lambda big: _mutual_in_rounds(big.withColumn("w", F.struct("d", a_id, b_id)), keys, a_id, b_id))
+    return _by_size(flat, keys, fold, _schema(flat, *flat.columns), lambda big: _mutual_in_rounds(big.withColumn("w", F.struct("d", a_id, b_id)), keys, a_id, b_id), together=True)
 
 
 def _mutual_in_rounds(edges: DataFrame, keys: list[str], a_id: str, b_id: str) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql.window import Window as W  # noqa: E402
 
 from petrigrid.functions.text import review_question  # noqa: E402
 from petrigrid.plans.ranks import ordered_rank  # noqa: E402
+from petrigrid.session import cut  # noqa: E402
 
 from . import matching, spatial  # noqa: E402
 from .counts import MAX_SEEDS, MIN_SEEDS, is_confirmed, manual  # noqa: E402
@@ -34,7 +35,7 @@ def resolved_clusters(marks: DataFrame, runs: DataFrame) -> DataFrame:
 
 def compare_options(a: DataFrame, b: DataFrame, keys: list[str], a_id: str, b_id: str) -> DataFrame:
     """Two circle sets as shared / only-a / only-b rows (JON24)."""
-    m = matching.match_circles(a, b, keys, a_id, b_id)
+    m = cut(matching.match_circles(a, b, keys, a_id, b_id))  # asked three times below
     only_a = a.join(m, [*keys, a_id], "left_anti").select(*keys, F.lit("only-a").alias("part"), a_id, F.lit(None).cast("bigint").alias(b_id))
     only_b = b.join(m, [*keys, b_id], "left_anti").select(*keys, F.lit("only-b").alias("part"), F.lit(None).cast("bigint").alias(a_id), b_id)
     return m.select(*keys, F.lit("shared").alias("part"), a_id, b_id).unionByName(only_a).unionByName(only_b)
