@@ -13,8 +13,11 @@ c = F.col
 
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One row per JSON file; damaged files keep their text in ``_corrupt_record``."""
-    raw = spark.read.format("text").option("wholetext", True).load(path)
+    """One row per JSON file below ``path``; damaged files keep their text in ``_corrupt_record``.
+
+    Folders are listed in tasks; a pattern for many files would be resolved one by one on the driver.
+    """
+    raw = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(path)
     meta = raw.select(c("value"), c("_metadata.file_path").alias("path"), c("_metadata.file_modification_time").alias("modified"))
     return meta.withColumn("doc", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
 
@@ -67,8 +70,11 @@ def read_documents(spark: SparkSession, path: str, folder_pattern: str, file_pat
 
 
 def archive_images(spark: SparkSession, path: str, id_pattern: str = r"images/([^/.]+)\.[^/]+$") -> DataFrame:
-    """Image files by id in the unpacked layout, with their content hash (SRC2)."""
-    f = spark.read.format("binaryFile").load(path)
+    """Image files by id in the unpacked layout below ``path``, with their content hash (SRC2).
+
+    Folders are listed in tasks; a pattern for many folders would be resolved one by one on the driver.
+    """
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return f.select(F.regexp_extract("path", id_pattern, 1).alias("image_id"), "path", "length", F.sha2("content", 256).alias("sha256")).where("image_id <> ''")
 
 
