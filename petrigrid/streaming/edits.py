@@ -125,8 +125,8 @@ def running_counts_stream(ops: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def folder_import_stream(spark: SparkSession, path: str) -> DataFrame:
-    """New image files of a folder, inspected as they arrive (STR9)."""
+    """New image files of a folder and the folders in it, inspected as they arrive (STR9)."""
     from petrigrid.sources.images import inspect_images
 
-    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").load(path)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("recursiveFileLookup", True).load(path)
     return inspect_images(files.select("path", "content"))
