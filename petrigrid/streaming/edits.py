@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import json
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -15,6 +15,19 @@ from petrigrid.operators.oplog import HISTORY_LIMIT
 from petrigrid.session import scratch
 
 c = F.col
+#: States a stream deals its keys to. A call in Python costs milliseconds, so keys share them; a state is written anew when one of its keys is touched.
+SLOTS = 4096
+
+
+def _slot(keys: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(SLOTS))
+
+
+def _plain(values: pd.Series, kind: str) -> list:
+    """Key values as they were: pandas makes whole numbers beside nulls floats."""
+    if not values.isna().any():
+        return values.tolist()
+    return [None if pd.isna(v) else int(v) if kind in ("tinyint", "smallint", "int", "bigint") else v for v in values.tolist()]
 
 
 def run_available(stream: DataFrame, mode: str, name: str = "stream") -> DataFrame:
@@ -35,7 +48,7 @@ def run_available(stream: DataFrame, mode: str, name: str = "stream") -> DataFra
 def replay_stream(ops: DataFrame, keys: list[str], item: str, ts: str, late: str) -> DataFrame:
     """Current state of every mark from a stream of ops (STR1).
 
-    State per mark is what the ops older than the watermark add up to, and the newer ops one by one, so an op that
+    Marks are dealt to ``SLOTS`` states. State per mark is what the ops older than the watermark add up to, and the newer ops one by one, so an op that
     arrives up to ``late`` behind the newest still takes its place in ``seq`` order. Emits the mark after each
     batch that touched it (``alive`` false = removed).
     """
@@ -54,21 +67,31 @@ def replay_stream(ops: DataFrame, keys: list[str], item: str, ts: str, late: str
                 x = val
         return alive, position, x
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        alive, position, x, held = state.get if state.exists else (False, -1, 0.0, "[]")
-        rows = pd.concat(list(batches))
-        at = rows[ts].astype("datetime64[us]").astype("int64") // 1000
-        open_ = sorted([*map(tuple, json.loads(held)), *zip(rows["seq"].tolist(), rows["kind"].tolist(), rows["x"].tolist(), at.tolist(), strict=True)])
-        settled = 0
-        while settled < len(open_) and open_[settled][3] < state.getCurrentWatermarkMs():
-            settled += 1
-        base = apply((alive, position, x), open_[:settled])
-        open_ = open_[settled:]
-        state.update((*base, json.dumps(open_)))
-        yield pd.DataFrame([(*k, *apply(base, open_))], columns=[*key, "alive", "position", "x"])
-
-    return ops.withWatermark(ts, late).groupBy(*key).applyInPandasWithState(
-        step, f"{head}, alive boolean, position bigint, x double", "alive boolean, position bigint, x double, held string", "update", GroupStateTimeout.EventTimeTimeout
+    def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        marks = pickle.loads(state.get[0]) if state.exists else {}
+        new: dict[tuple, list] = {}
+        for rows in batches:
+            at = rows[ts].astype("datetime64[us]").astype("int64") // 1000
+            ids = zip(*(_plain(rows[n], kinds[n]) for n in key), strict=True)
+            for k, op in zip(ids, zip(rows["seq"].tolist(), rows["kind"].tolist(), rows["x"].tolist(), at.tolist(), strict=True), strict=True):
+                new.setdefault(k, []).append(op)
+        mark = state.getCurrentWatermarkMs()
+        out = []
+        for k, ops_ in new.items():
+            base, held = marks.get(k, ((False, -1, 0.0), []))
+            open_ = sorted([*held, *ops_])
+            settled = 0
+            while settled < len(open_) and open_[settled][3] < mark:
+                settled += 1
+            base, open_ = apply(base, open_[:settled]), open_[settled:]
+            marks[k] = base, open_
+            out.append((*k, *apply(base, open_)))
+        state.update((pickle.dumps(marks),))
+        # columns of objects keep nulls among whole numbers
+        yield pd.DataFrame({n: pd.Series(v, dtype=object if n in key else None) for n, v in zip([*key, "alive", "position", "x"], zip(*out, strict=True), strict=True)})
+
+    return ops.withWatermark(ts, late).withColumn("_slot", _slot(key)).groupBy("_slot").applyInPandasWithState(
+        step, f"{head}, alive boolean, position bigint, x double", "marks binary", "update", GroupStateTimeout.EventTimeTimeout
     )
 
 
@@ -81,34 +104,42 @@ def latest(table: DataFrame, keys: list[str]) -> DataFrame:
 def history_stream(commands: DataFrame, image: str = "image_id", limit: int = HISTORY_LIMIT) -> DataFrame:
     """Undo / redo per image (STR3): ``commands(image, seq, action edit|undo|redo, entry, blocked)``.
 
-    State is two stacks of entry ids, at most ``limit`` each. A new edit clears redo; an
+    State is two stacks of entry ids per image, at most ``limit`` each; images are dealt to ``SLOTS`` states. A new edit clears redo; an
     empty stack or a blocked entry leaves the state unchanged. Commands of a batch apply in
     ``seq`` order.
     """
     kinds = dict(commands.dtypes)
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        undo, redo = (json.loads(v) for v in state.get) if state.exists else ([], [])
+    def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        stacks = pickle.loads(state.get[0]) if state.exists else {}
+        cmds = []
+        for rows in batches:
+            cmds += zip(rows["seq"].tolist(), _plain(rows[image], kinds[image]), rows["action"].tolist(), rows["entry"].tolist(), rows["blocked"].tolist(), strict=True)
         out = []
-        for seq, action, entry, blocked in pd.concat(list(batches)).sort_values("seq")[["seq", "action", "entry", "blocked"]].itertuples(index=False):
+        for seq, k, action, entry, blocked in sorted(cmds, key=lambda r: r[0]):
+            undo, redo = stacks.setdefault(k, ([], []))
             result, touched = "applied", None
             if action == "edit":
-                undo, redo, touched = (undo + [int(entry)])[-limit:], [], int(entry)
+                undo.append(int(entry))
+                del undo[:-limit]
+                redo.clear()
+                touched = int(entry)
             else:
-                src = undo if action == "undo" else redo
+                src, dst = (undo, redo) if action == "undo" else (redo, undo)
                 if not src:
                     result = "empty"
                 elif blocked:
                     result, touched = "blocked", src[-1]
                 else:
                     touched = src.pop()
-                    (redo if action == "undo" else undo).append(touched)
-            out.append((*k, int(seq), action, result, touched, len(undo), len(redo)))
-        state.update((json.dumps(undo), json.dumps(redo)))
-        yield pd.DataFrame(out, columns=[image, "seq", "action", "result", "touched", "undo_size", "redo_size"]).astype({"touched": "Int64"})
-
-    return commands.groupBy(image).applyInPandasWithState(
-        step, f"{image} {kinds[image]}, seq bigint, action string, result string, touched bigint, undo_size bigint, redo_size bigint", "undo string, redo string", "append", GroupStateTimeout.NoTimeout
+                    dst.append(touched)
+            out.append((k, int(seq), action, result, touched, len(undo), len(redo)))
+        state.update((pickle.dumps(stacks),))
+        names = [image, "seq", "action", "result", "touched", "undo_size", "redo_size"]
+        yield pd.DataFrame({n: pd.Series(v, dtype=object if n in (image, "touched") else None) for n, v in zip(names, zip(*out, strict=True), strict=True)})
+
+    return commands.withColumn("_slot", _slot([image])).groupBy("_slot").applyInPandasWithState(
+        step, f"{image} {kinds[image]}, seq bigint, action string, result string, touched bigint, undo_size bigint, redo_size bigint", "stacks binary", "append", GroupStateTimeout.NoTimeout
     )
 
 

@@ -92,3 +92,19 @@ def test_csv_cells(spark):
     cases = {"plain": "plain", "a,b": '"a,b"', 'q"q': '"q""q"', "=1": "'=1", " pad": '" pad"', "l\nb": '"l\nb"', "-x,": '"\'-x,"'}
     df = spark.createDataFrame([(k,) for k in cases], "s string")
     assert {r.s: r.t for r in df.select("s", csv_text(F.col("s")).alias("t")).collect()} == cases
+
+
+def test_stream_state_is_shared_by_marks(spark, tmp_path):
+    """A call per mark costs milliseconds: marks and images share a bounded number of states; null keys keep theirs."""
+    ops = [(None if i % 7 == 0 else i % 500, i, i % 40, ("add", "update", "remove")[i % 3], float(i), datetime.datetime(2024, 1, 1)) for i in range(4000)]
+    df = spark.createDataFrame(ops, "image_id int, seq long, item int, kind string, x double, ts timestamp")
+    s = in_batches(spark, df, [ops[:2000], ops[2000:]], tmp_path / "in")
+    stream = ST.replay_stream(s, ["image_id"], "item", "ts", "1 day")
+    assert "pmod(xxhash64(image_id" in stream._jdf.queryExecution().analyzed().toString()  # not grouped by mark
+    got = ST.latest(ST.run_available(stream, "update"), ["image_id", "item"]).where("alive").select("image_id", "item", "position", "x")
+    want = {(im, k): v for im in {o[0] for o in ops} for k, v in replayed([o[:5] for o in ops if o[0] == im]).items()}
+    assert {(r.image_id, r.item): (r.position, r.x) for r in got.collect()} == want
+    cmds = spark.createDataFrame([(None if i % 2 else 5, i, "undo" if i > 5 else "edit", i, False) for i in range(10)], "image_id int, seq long, action string, entry long, blocked boolean")
+    h = in_batches(spark, cmds, [cmds.collect()], tmp_path / "h")
+    rows = ST.run_available(ST.history_stream(h), "append").orderBy("seq").collect()
+    assert [(r.image_id, r.touched, r.undo_size) for r in rows][-4:] == [(5, 4, 2), (None, 5, 2), (5, 2, 1), (None, 3, 1)]
