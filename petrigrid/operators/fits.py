@@ -89,16 +89,19 @@ def consensus_circles(points: DataFrame, keys: list[str], item: str, tol: float,
     triples of its key only.
     """
     from petrigrid.plans.ranks import ordered_rank
+    from petrigrid.session import cut
 
     n = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    draw = n.withColumn("triple", F.explode(F.sequence(F.lit(0), F.lit(triples - 1)))).withColumn("slot", F.explode(F.array(*[F.lit(i) for i in range(3)])))
-    draw = draw.withColumn("_at", F.pmod(F.xxhash64(F.lit(seed), *[c(k) for k in keys], "triple", "slot"), c("_n")) + 1)
-    tri = ordered_rank(points, keys, item, "_at").join(draw.select(*keys, "triple", "_at").distinct(), [*keys, "_at"])
+    draw = n.withColumn("triple", F.explode(F.sequence(F.lit(0), F.lit(triples - 1))))
+    at = [F.pmod(F.xxhash64(F.lit(seed), *[c(k) for k in keys], "triple", F.lit(i)), c("_n")) + 1 for i in range(3)]
+    draw = draw.select(*keys, "triple", F.explode(F.array_distinct(F.array(*at))).alias("_at"))
+    tri = ordered_rank(points, keys, item, "_at").join(draw, [*keys, "_at"])
     cand = fit_circles(tri.select(*keys, "triple", "x", "y"), [*keys, "triple"])
     near = F.abs(distance(c("x"), c("y"), c("cx"), c("cy")) - c("cr")) <= tol
     votes = points.join(cand, keys).where(near).groupBy(*keys, "triple", "cx", "cy", "cr").agg(F.count(F.lit(1)).alias("inliers"))
     best = votes.groupBy(*keys).agg(F.max(F.struct("inliers", (-c("triple")).alias("t"), "cx", "cy", "cr")).alias("m")).select(*keys, c("m.inliers").alias("inliers"), "m.cx", "m.cy", "m.cr")
-    inl = points.join(best, keys).where(near).select(*keys, "x", "y")
+    best = cut(best)  # every round of the refit reads the inliers: drawn and voted once
+    inl = cut(points.join(best, keys).where(near).select(*keys, "x", "y"))
     fit = refine_circles(inl, fit_circles(inl, keys), keys)
     fit = fit.select(*keys, c("cx").alias("fx"), c("cy").alias("fy"), c("cr").alias("fr"))
     return best.join(fit, keys, "left").select(*keys, F.coalesce("fx", "cx").alias("cx"), F.coalesce("fy", "cy").alias("cy"), F.coalesce("fr", "cr").alias("cr"), "inliers")
