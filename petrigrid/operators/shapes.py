@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql.window import Window as W
 from petrigrid.session import cut
 
 c = F.col
+DEALS = 1024  # calls that share the hulls of all keys
 MAX_REGION_POINTS = 400
 MIN_REGION_SCREEN = 16.0
 SIMPLIFY_SCREEN = 1.5
@@ -59,23 +61,28 @@ def convex_hull(points: DataFrame, keys: list[str]) -> DataFrame:
             h.append(p)
         return h
 
-    def hull(pdf: pd.DataFrame) -> pd.DataFrame:
-        pts = sorted({(float(x), float(y)) for x, y in zip(pdf["x"], pdf["y"])})
-        ring = pts if len(pts) < 3 else half(pts)[:-1] + half(pts[::-1])[:-1]
-        out = pd.DataFrame(ring, columns=["x", "y"])
-        for i, k in enumerate(keys):
-            out.insert(i, k, pdf[k].iloc[0])
-        out.insert(len(keys), "ord", range(len(out)))
-        return out
+    def hulls(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.assign(_key=pdf.groupby(keys, sort=False, dropna=False).ngroup())
+        flat = sorted(set(zip(pdf["_key"].tolist(), pdf["x"].astype(float).tolist(), pdf["y"].astype(float).tolist(), strict=True)))
+        rows = []
+        for k, own in groupby(flat, key=lambda p: p[0]):
+            pts = [p[1:] for p in own]
+            ring = pts if len(pts) < 3 else half(pts)[:-1] + half(pts[::-1])[:-1]
+            rows += [(k, i, x, y) for i, (x, y) in enumerate(ring)]
+        out = pd.DataFrame(rows, columns=["_key", "ord", "x", "y"])
+        names = pdf.drop_duplicates("_key").set_index("_key")[keys]
+        return names.loc[out["_key"]].reset_index(drop=True).join(out.drop(columns="_key"))
 
-    return ends.where(~inside).select(*keys, "x", "y").groupBy(*keys).applyInPandas(hull, out_schema)
+    # a call in Python takes the hulls of many keys: there are as many calls as deals, not as keys
+    dealt = F.pmod(F.xxhash64(*keys), F.lit(DEALS)).alias("_deal")
+    return ends.where(~inside).select(dealt, *keys, "x", "y").groupBy("_deal").applyInPandas(lambda pdf: hulls(pdf.drop(columns="_deal")), out_schema)
 
 
 def plate_shapes(points: DataFrame, keys: list[str], square: float = 0.9, round_: float = 0.9, loose: float = 0.82) -> DataFrame:
     """Shape class per key from how its hull fills its box and its fitted circle (SCA19): square, round or other."""
     from .fits import fit_circles
 
-    ring = convex_hull(points, keys)
+    ring = cut(convex_hull(points, keys))  # read four times
     n = ring.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
     nxt = ring.select(*keys, c("ord").alias("_o"), c("x").alias("bx"), c("y").alias("by"))
     side = ring.join(n, keys).withColumn("_o", (c("ord") + 1) % c("n")).join(nxt, [*keys, "_o"])
