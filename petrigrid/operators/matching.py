@@ -28,10 +28,11 @@ c = F.col
 FOLD = 200_000
 
 
-def _by_size(rows: DataFrame, keys: list[str], fold: Callable[[pd.DataFrame], pd.DataFrame], schema: str, rounds: Callable[[DataFrame], DataFrame], together: bool = False) -> DataFrame:
+def _by_size(rows: DataFrame, keys: list[str], fold: Callable[[pd.DataFrame], pd.DataFrame], schema: str, rounds: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``fold`` over the keys that fit a task, ``rounds`` over the keys that do not. A task takes many small keys at once.
 
-    ``together``: the fold tells the keys of a task apart by itself, so nothing is done per key.
+    The fold gets the rows of all keys of a task with the number of their key in ``_key`` and tells them apart by
+    it, so nothing is done per key.
     """
     rows = cut(rows)
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
@@ -39,9 +40,7 @@ def _by_size(rows: DataFrame, keys: list[str], fold: Callable[[pd.DataFrame], pd
     dealt = F.pmod(F.xxhash64(*keys), F.lit(max(64, (total or 0) // 50_000)))
 
     def folds(pdf: pd.DataFrame) -> pd.DataFrame:
-        if together:
-            return fold(pdf.drop(columns="_task"))
-        return pd.concat([fold(g) for _, g in pdf.drop(columns="_task").groupby(keys, sort=False, dropna=False)], ignore_index=True)
+        return fold(pdf.drop(columns="_task").assign(_key=pdf.groupby(keys, sort=False, dropna=False).ngroup()))
 
     if (most or 0) <= FOLD:
         return rows.withColumn("_task", dealt).groupBy("_task").applyInPandas(folds, schema)
@@ -74,10 +73,12 @@ def greedy_keep(items: DataFrame, keys: list[str], item: str, order: list[Column
     rows = items.select(*keys, item, "x", "y", "r", *[o.alias(n) for o, n in zip(order, names, strict=True)])
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([*names, item], na_position="first")
+        pdf = pdf.sort_values(["_key", *names, item], na_position="first")
         grids: dict[int, dict[tuple[int, int], list[tuple[float, float, float]]]] = {}
-        kept = []
-        for x, y, r in pdf[["x", "y", "r"]].itertuples(index=False):
+        kept, key = [], None
+        for k, x, y, r in zip(*(pdf[n].tolist() for n in ("_key", "x", "y", "r")), strict=True):
+            if k != key:
+                key, grids = k, {}
             free = True
             for o, cells in grids.items():
                 side, reach = factor * 2.0**o, factor * max(r, 2.0**o)
@@ -170,30 +171,30 @@ def match_points(pred: DataFrame, gt: DataFrame, keys: list[str], radius: Column
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         p, g = defaultdict(list), defaultdict(list)
         is_link = pdf["d"].notna()
-        for x, y, i in pdf.loc[~is_link & pdf["pid"].notna(), ["px", "py", "pid"]].itertuples(index=False):
-            p[x, y].append(i)
-        for x, y, i in pdf.loc[~is_link & pdf["gid"].notna(), ["gx", "gy", "gid"]].itertuples(index=False):
-            g[x, y].append(i)
+        columns = lambda which, *ns: zip(*(pdf.loc[which, n].tolist() for n in ns), strict=True)
+        for k, x, y, i in columns(~is_link & pdf["pid"].notna(), "_key", "px", "py", "pid"):
+            p[k, x, y].append(i)
+        for k, x, y, i in columns(~is_link & pdf["gid"].notna(), "_key", "gx", "gy", "gid"):
+            g[k, x, y].append(i)
         for ids in (*p.values(), *g.values()):
             ids.sort(reverse=True)  # the next copy is the last
         queue, out = [], []
-        for px, py, gx, gy, dist, reach in pdf.loc[is_link, ["px", "py", "gx", "gy", "d", "radius"]].itertuples(index=False):
+        for k, px, py, gx, gy, dist, reach in columns(is_link, "_key", "px", "py", "gx", "gy", "d", "radius"):
             side = max(reach, 1e-6)
-            queue.append((dist, p[px, py][-1], math.floor(gy / side), math.floor(gx / side), g[gx, gy][-1], px, py, gx, gy))
+            queue.append((dist, p[k, px, py][-1], math.floor(gy / side), math.floor(gx / side), g[k, gx, gy][-1], px, py, gx, gy, k))
         heapq.heapify(queue)
         while queue:
-            dist, i, row, col, j, px, py, gx, gy = heapq.heappop(queue)
-            ps, gs = p[px, py], g[gx, gy]
+            dist, i, row, col, j, px, py, gx, gy, k = heapq.heappop(queue)
+            ps, gs = p[k, px, py], g[k, gx, gy]
             if not ps or not gs:
                 continue
             if ps[-1] == i and gs[-1] == j:
-                out.append((ps.pop(), gs.pop(), dist))
+                out.append((k, ps.pop(), gs.pop(), dist))
             if ps and gs:
-                heapq.heappush(queue, (dist, ps[-1], row, col, gs[-1], px, py, gx, gy))
-        found = pd.DataFrame(out, columns=[pred_id, gt_id, "d"])
-        for n, k in enumerate(keys):
-            found.insert(n, k, pdf[k].iloc[0])
-        return found
+                heapq.heappush(queue, (dist, ps[-1], row, col, gs[-1], px, py, gx, gy, k))
+        found = pd.DataFrame(out, columns=["_key", pred_id, gt_id, "d"])
+        names = pdf.drop_duplicates("_key").set_index("_key")[keys]
+        return names.loc[found["_key"]].reset_index(drop=True).join(found.drop(columns="_key"))
 
     def rounds(big: DataFrame) -> DataFrame:
         large = big.select(*keys).distinct()
@@ -279,7 +280,7 @@ def _mutual(edges: DataFrame, keys: list[str], a_id: str, b_id: str) -> DataFram
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b, keep = set(), set(), []
-        pdf = pdf.assign(_key=pdf.groupby(keys, sort=False, dropna=False).ngroup()).sort_values(["d", a_id, b_id])
+        pdf = pdf.sort_values(["d", a_id, b_id])
         for k, x, y in zip(pdf["_key"].tolist(), pdf[a_id].tolist(), pdf[b_id].tolist(), strict=True):
             free = (k, x) not in a and (k, y) not in b
             keep.append(free)
@@ -288,7 +289,7 @@ def _mutual(edges: DataFrame, keys: list[str], a_id: str, b_id: str) -> DataFram
                 b.add((k, y))
         return pdf[pd.Series(keep, index=pdf.index, dtype=bool)].drop(columns="_key")
 
-    return _by_size(flat, keys, fold, _schema(flat, *flat.columns), lambda big: _mutual_in_rounds(big.withColumn("w", F.struct("d", a_id, b_id)), keys, a_id, b_id), together=True)
+    return _by_size(flat, keys, fold, _schema(flat, *flat.columns), lambda big: _mutual_in_rounds(big.withColumn("w", F.struct("d", a_id, b_id)), keys, a_id, b_id))
 
 
 def _mutual_in_rounds(edges: DataFrame, keys: list[str], a_id: str, b_id: str) -> DataFrame:
@@ -313,15 +314,15 @@ def assign_in_order(edges: DataFrame, keys: list[str], a_id: str, b_id: str) ->
     e0 = edges.select(*keys, a_id, b_id, "d")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([a_id, "d", b_id])
         a, b, keep = set(), set(), []
-        for x, y in pdf[[a_id, b_id]].itertuples(index=False):
-            free = x not in a and y not in b
+        pdf = pdf.sort_values([a_id, "d", b_id])
+        for k, x, y in zip(pdf["_key"].tolist(), pdf[a_id].tolist(), pdf[b_id].tolist(), strict=True):
+            free = (k, x) not in a and (k, y) not in b
             keep.append(free)
             if free:
-                a.add(x)
-                b.add(y)
-        return pdf[pd.Series(keep, index=pdf.index, dtype=bool)]
+                a.add((k, x))
+                b.add((k, y))
+        return pdf[pd.Series(keep, index=pdf.index, dtype=bool)].drop(columns="_key")
 
     return _by_size(e0, keys, fold, _schema(e0, *e0.columns), lambda big: _assign_in_rounds(big, keys, a_id, b_id))
 

@@ -176,3 +176,11 @@ def test_convex_hull(spark):
         return gap > math.pi + 1e-9
 
     assert got == {p for p in set(pts) if on_hull(p)}
+
+
+def test_fold_takes_all_keys_of_a_task(spark):
+    """A call in Python per task, not per key: 2,000 keys of three rows are a few dozen calls."""
+    rows = spark.range(6000).selectExpr("id % 2000 as k", "id as v")
+    calls = M._by_size(rows, ["k"], lambda pdf: pdf.assign(n=pdf["_key"].nunique())[["k", "n"]].head(1), "k bigint, n bigint", lambda big: big)
+    got = calls.collect()
+    assert len(got) <= 64 and sum(r.n for r in got) == 2000
