@@ -5,12 +5,16 @@ from __future__ import annotations
 import math
 from itertools import groupby
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from petrigrid.session import cut
 
+from .matching import _by_size, _schema
+
 c = F.col
 DEALS = 1024  # calls that share the hulls of all keys
 MAX_REGION_POINTS = 400
@@ -39,8 +43,6 @@ def convex_hull(points: DataFrame, keys: list[str]) -> DataFrame:
     most two rows per image column; points with fractional x are first thinned to those
     outside the polygon of sixteen extreme directions.
     """
-    import pandas as pd
-
     cols = points.groupBy(*keys, "x").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
     e = _extremes(points, keys, 16)
     ends = cols.select(*keys, "x", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("y")).join(e, keys)
@@ -109,12 +111,53 @@ def _segment_distance(line: bool) -> Column:
 def simplify_paths(points: DataFrame, keys: list[str], order: str, tolerance: Column, *, line: bool = False) -> DataFrame:
     """Ramer-Douglas-Peucker on open paths with dense positions ``order`` (GEO2).
 
-    All open segments of all paths split in the same round: per segment the farthest
-    point (first on ties) is a grouped maximum, so a long path is never held in one task.
-    ``line`` measures to the infinite line, else to the segment. ``tolerance`` reads
-    the point columns and is constant within the keys.
+    Paths that fit a task are split there; longer ones in rounds, with the same result. ``line`` measures to the
+    infinite line, else to the segment. ``tolerance`` reads the point columns and is constant within the keys.
     """
     pts = points.select(*keys, c(order).alias("_i"), "x", "y", tolerance.cast("double").alias("_tol"))
+
+    def distances(x: np.ndarray, y: np.ndarray, ax: float, ay: float, bx: float, by: float) -> np.ndarray:
+        """The steps of ``_segment_distance`` for many points and one segment."""
+        dx, dy = bx - ax, by - ay
+        len2 = dx * dx + dy * dy
+        ex, ey = x - ax, y - ay
+        if len2 < (1e-18 if line else 1e-12):
+            return np.sqrt(ex * ex + ey * ey)
+        if line:
+            return np.abs(dx * -ey + ex * dy) / np.sqrt(len2)
+        t = np.maximum(0.0, np.minimum(1.0, (ex * dx + ey * dy) / len2))
+        fx, fy = x - (ax + t * dx), y - (ay + t * dy)
+        return np.sqrt(fx * fx + fy * fy)
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_key", "_i"])
+        key, x, y, tol = (pdf[n].to_numpy() for n in ("_key", "x", "y", "_tol"))
+        x, y = x.astype(float), y.astype(float)
+        keep = np.zeros(len(pdf), bool)
+        starts = np.flatnonzero(np.diff(key, prepend=-1))
+        todo = list(zip(starts.tolist(), [*(starts[1:] - 1).tolist(), len(pdf) - 1], strict=True))
+        for a, b in todo:
+            keep[a] = keep[b] = True
+        while todo:
+            a, b = todo.pop()
+            if b - a < 2:
+                continue
+            d = distances(x[a + 1 : b], y[a + 1 : b], x[a], y[a], x[b], y[b])
+            at = int(d.argmax())  # the first on ties
+            if d[at] > tol[a]:
+                s = a + 1 + at
+                keep[s] = True
+                todo += [(a, s), (s, b)]
+        return pdf.loc[keep, [*keys, "_i", "x", "y"]]
+
+    done = _by_size(pts, keys, fold, _schema(pts, *keys, "_i", "x", "y"), lambda big: _simplify_in_rounds(big, keys, line))
+    return done.withColumnRenamed("_i", order)
+
+
+def _simplify_in_rounds(pts: DataFrame, keys: list[str], line: bool) -> DataFrame:
+    """All open segments of all paths split in the same round: per segment the farthest point (first on ties) is a
+    grouped maximum, so a long path is never held in one task.
+    """
     e = pts.groupBy(*keys).agg(F.min(F.struct("_i", "x", "y")).alias("p"), F.max(F.struct("_i", "x", "y")).alias("q"))
     state = pts.join(e, keys).select(
         *keys, "_i", "x", "y", "_tol", c("p._i").alias("a"), c("p.x").alias("ax"), c("p.y").alias("ay"), c("q._i").alias("b"), c("q.x").alias("bx"), c("q.y").alias("by")
@@ -137,7 +180,7 @@ def simplify_paths(points: DataFrame, keys: list[str], order: str, tolerance: Co
             break
         done = done.unionByName(nxt.where("_keep").select(*keys, "_i", "x", "y"))
         state = nxt.where("not _keep").drop("_keep")
-    return done.withColumnRenamed("_i", order)
+    return done
 
 
 def simplify_closed(points: DataFrame, keys: list[str], order: str, tolerance: Column) -> DataFrame:

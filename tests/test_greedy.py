@@ -184,3 +184,18 @@ def test_fold_takes_all_keys_of_a_task(spark):
     calls = M._by_size(rows, ["k"], lambda pdf: pdf.assign(n=pdf["_key"].nunique())[["k", "n"]].head(1), "k bigint, n bigint", lambda big: big)
     got = calls.collect()
     assert len(got) <= 64 and sum(r.n for r in got) == 2000
+
+
+@pytest.mark.parametrize("line", [False, True])
+def test_short_paths_are_simplified_in_one_job(spark, line, monkeypatch):
+    """Short paths do not go in rounds, and rounds give the same."""
+    rnd = random.Random(5)
+    rows = [(k, i, float(rnd.randint(0, 90)), float(rnd.randint(0, 90))) for k in range(12) for i in range(k * 3 + 1)]
+    p = spark.createDataFrame(rows, "k int, i bigint, x double, y double")
+    sim = lambda: {tuple(r) for r in SH.simplify_paths(p, ["k"], "i", F.lit(25.0), line=line).collect()}
+    with monkeypatch.context() as m:
+        m.setattr(M, "FOLD", 0)
+        expected = sim()
+    with monkeypatch.context() as m:
+        m.setattr(SH, "_simplify_in_rounds", lambda *a: pytest.fail("in rounds"))
+        assert sim() == expected
