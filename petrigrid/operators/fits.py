@@ -70,15 +70,14 @@ def arc_span(points: DataFrame, centres: DataFrame, keys: list[str]) -> DataFram
     Angles fall into 64 sectors; gaps inside a sector come from a window over one
     sector, gaps between sectors from their first and last angles (64 rows per key).
     """
-    a = points.join(centres, keys).select(*keys, F.atan2(c("y") - c("cy"), c("x") - c("cx")).alias("t")).distinct()
+    a = points.join(centres, keys).select(*keys, F.atan2(c("y") - c("cy"), c("x") - c("cx")).alias("t"))
     a = a.withColumn("sec", F.floor((c("t") + math.pi) / (TAU / 64)))
     prev = F.lag("t").over(W.partitionBy(*keys, "sec").orderBy("t"))
-    inner = a.withColumn("gap", c("t") - prev).groupBy(*keys, "sec").agg(F.max("gap").alias("gap"), F.min("t").alias("t0"), F.max("t").alias("t1"))
+    inner = a.withColumn("gap", c("t") - prev).groupBy(*keys, "sec").agg(F.max("gap").alias("gap"), F.min("t").alias("t0"), F.max("t").alias("t1"), F.count(F.lit(1)).alias("_n"))
     w = W.partitionBy(*keys).orderBy("sec")
     joined = inner.withColumn("between", c("t0") - F.lag("t1").over(w))
-    s = joined.groupBy(*keys).agg(F.greatest(F.max("gap"), F.max("between"), F.min("t0") + TAU - F.max("t1")).alias("widest"))
-    n = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return s.join(n, keys).select(*keys, F.when(c("_n") < 2, 0.0).otherwise(F.lit(TAU) - c("widest")).alias("span"))
+    s = joined.groupBy(*keys).agg(F.greatest(F.max("gap"), F.max("between"), F.min("t0") + TAU - F.max("t1")).alias("widest"), F.sum("_n").alias("_n"))
+    return s.select(*keys, F.when(c("_n") < 2, 0.0).otherwise(F.lit(TAU) - c("widest")).alias("span"))
 
 
 def consensus_circles(points: DataFrame, keys: list[str], item: str, tol: float, triples: int = 200, seed: str = "0") -> DataFrame:
