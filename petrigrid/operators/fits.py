@@ -12,6 +12,7 @@ from petrigrid.plans.grid import distance
 
 c = F.col
 TAU = 2 * math.pi
+ORDERED = 100_000  # angles that one task orders, about
 
 
 def fit_circles(points: DataFrame, keys: list[str]) -> DataFrame:
@@ -72,6 +73,8 @@ def arc_span(points: DataFrame, centres: DataFrame, keys: list[str]) -> DataFram
     """
     a = points.join(centres, keys).select(*keys, F.atan2(c("y") - c("cy"), c("x") - c("cx")).alias("t"))
     a = a.withColumn("sec", F.floor((c("t") + math.pi) / (TAU / 64)))
+    # a task orders a set number of angles, however many points there are
+    a = a.repartition(1 + points.count() // ORDERED, *keys, "sec")
     prev = F.lag("t").over(W.partitionBy(*keys, "sec").orderBy("t"))
     inner = a.withColumn("gap", c("t") - prev).groupBy(*keys, "sec").agg(F.max("gap").alias("gap"), F.min("t").alias("t0"), F.max("t").alias("t1"), F.count(F.lit(1)).alias("_n"))
     w = W.partitionBy(*keys).orderBy("sec")
