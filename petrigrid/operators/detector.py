@@ -27,6 +27,7 @@ from . import components as CC
 from . import matching as M
 from . import measure as ME
 from . import pixels as P
+from . import rims as RI
 from . import robust as R
 from . import spatial as S
 from . import tiles as TL
@@ -34,6 +35,7 @@ from . import tiles as TL
 c = F.col
 RAYS, STEP = 32, 0.5
 TAU = 2 * math.pi
+RIM_PIXELS = 1 << 20  # pixels of an image that one task holds
 
 
 # ---------------------------------------------------------------- blobs
@@ -88,20 +90,8 @@ def hough_circles(plane: DataFrame, keys: list[str], r_min: int, r_max: int, edg
 @pandas_udf(T.DoubleType())
 def _first_edge(profiles: pd.Series, windows: pd.Series) -> pd.Series:
     """Radius of the first strong local rise of one ray's smoothed profile, null without one."""
-    out = []
-    for d, w in zip(profiles, windows):
-        d = np.asarray(d, dtype=float)
-        run = np.concatenate([[0.0], np.cumsum(d)])
-        at = np.arange(len(d))
-        lo, hi = np.maximum(at - w, 0), np.minimum(at + w, len(d) - 1) + 1
-        smooth = (run[hi] - run[lo]) / (hi - lo)
-        gap = max(2, 2 * int(w))
-        rise = smooth[gap:] - smooth[:-gap] if len(d) > gap else np.zeros(0)
-        rise[:3] = 0.0
-        ahead = np.append(rise[1:], -np.inf)
-        peak = np.flatnonzero((rise >= max(2.0, 0.5 * max(rise.max(initial=0.0), 0.0))) & (ahead < rise) & (np.arange(len(rise)) >= 3))
-        out.append(float(peak[0] + gap / 2) if len(peak) and rise[peak[0]] > 2 else None)
-    return pd.Series(out, dtype="float64")
+    edges = [RI.first_edges(np.asarray(d, dtype=float)[None], w)[0] for d, w in zip(profiles, windows)]
+    return pd.Series([None if np.isnan(e) else e for e in edges], dtype="float64")
 
 
 def rim_estimates(pixels: DataFrame, picks: DataFrame, keys: list[str], item: str) -> DataFrame:
@@ -111,41 +101,60 @@ def rim_estimates(pixels: DataFrame, picks: DataFrame, keys: list[str], item: st
     rise is the edge, the upper median over rays the radius, the mean of the ring at
     0.65-0.85 radius the rim. A ring too close to the centre colour moves towards the
     background ring; without enough edges the window mean is the rim.
+
+    A centre picked twice is measured once. Images of up to ``RIM_PIXELS`` settle in one task each, larger ones join
+    the points of their rays with the pixels.
     """
+    spots = picks.select(*keys, "px", "py").distinct()
+    size = cut(pixels.join(spots.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
+    px = pixels.join(size.where(c("_n") <= RIM_PIXELS).select(*keys), keys, "left_semi")
+    px = with_lab(px, c("r"), c("g"), c("b")).select(*keys, "y", "x", "r", "g", "b", c("lab.l").alias("l"), c("lab.a").alias("a"), c("lab.b").alias("lb"))
+    j = RI.folded(px, spots, keys).withColumn("clab", F.struct(c("c_l").alias("l"), c("c_a").alias("a"), c("c_b").alias("b"))).drop("c_l", "c_a", "c_b")
+    big = size.where(c("_n") > RIM_PIXELS).select(*keys)
+    if big.limit(1).count():
+        j = j.unionByName(_joined_rims(pixels.join(big, keys, "left_semi"), spots.join(big, keys, "left_semi"), keys))
+    j = cut(j)
+    j = with_lab(with_lab(j, c("mr"), c("mg"), c("mb"), "mlab"), c("or"), c("og"), c("ob"), "olab")
+    j = j.withColumns({"dm": _lab_distance(c("mlab"), c("clab")), "do": _lab_distance(c("olab"), c("clab"))})
+    f = F.least(F.lit(1.0), F.lit(6.0) / c("do"))
+    pick = lambda n: F.when(c("radius").isNull(), c("w" + n)).when((c("dm") < 6) & (c("do") > 1e-6), c("c" + n) + (c("o" + n) - c("c" + n)) * f).otherwise(c("m" + n))
+    rims = j.select(*keys, "px", "py", *[F.round(pick(n), 6).alias("rim_" + n) for n in "rgb"], "radius")
+    return picks.select(*keys, item, "px", "py").join(rims, [*keys, "px", "py"]).drop("px", "py")
+
+
+def _lab_distance(a: Column, b: Column) -> Column:
+    return F.sqrt(sum((a[n] - b[n]) * (a[n] - b[n]) for n in ("l", "a", "b")))
+
+
+def _joined_rims(pixels: DataFrame, spots: DataFrame, keys: list[str]) -> DataFrame:
+    """What ``rims.folded`` gives, by joins of ray and ring points with pixels: no task holds an image."""
+    spot = [*keys, "px", "py"]
     sizes = P.size_of(pixels, keys)
     px = cut(with_lab(pixels, c("r"), c("g"), c("b")).select(*keys, "y", "x", "r", "g", "b", "lab"))
-    at = px.select(*keys, c("x").alias("px"), c("y").alias("py"), c("lab").alias("clab"), c("r").alias("cr"), c("g").alias("cg"), c("b").alias("cb"))
-    p = picks.join(at, [*keys, "px", "py"]).join(sizes, keys)
+    at = px.select(*keys, c("x").alias("px"), c("y").alias("py"), c("lab").alias("clab"), *[c(n).cast("double").alias("c" + n) for n in "rgb"])
+    p = spots.join(at, spot).join(sizes, keys)
     p = p.withColumn("max_r", F.least("px", "py", c("w") - 1 - c("px"), c("h") - 1 - c("py")))
     p = cut(p.withColumn("win", F.greatest(F.lit(1), F.floor(c("max_r") / 60 + 0.5)).cast("int")))
     ok = p.where("max_r >= 8")
     ray = ok.withColumn("ray", F.explode(F.sequence(F.lit(0), F.lit(RAYS - 1)))).withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), c("max_r"))))
     ang = c("ray") / RAYS * TAU
-    ray = ray.select(*keys, item, "clab", "win", "max_r", "ray", "k", F.floor(c("px") + c("k") * F.cos(ang) + 0.5).alias("x"), F.floor(c("py") + c("k") * F.sin(ang) + 0.5).alias("y"))
-    d3 = lambda a, b: F.sqrt(sum((a[n] - b[n]) * (a[n] - b[n]) for n in ("l", "a", "b")))
-    d = ray.join(px.select(*keys, "y", "x", "lab"), [*keys, "y", "x"]).select(*keys, item, "ray", "k", "win", "max_r", d3(c("lab"), c("clab")).alias("d"))
-    line = [*keys, item, "ray"]
-    prof = cut(d.groupBy(*line, "win", "max_r").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "d"))), lambda s: s["d"]).alias("d")))
+    ray = ray.select(*spot, "clab", "win", "max_r", "ray", "k", F.floor(c("px") + c("k") * F.cos(ang) + 0.5).alias("x"), F.floor(c("py") + c("k") * F.sin(ang) + 0.5).alias("y"))
+    d = ray.join(px.select(*keys, "y", "x", "lab"), [*keys, "y", "x"]).select(*spot, "ray", "k", "win", "max_r", _lab_distance(c("lab"), c("clab")).alias("d"))
+    prof = cut(d.groupBy(*spot, "ray", "win", "max_r").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "d"))), lambda s: s["d"]).alias("d")))
     rays = prof.withColumn("edge", _first_edge(c("d"), c("win"))).where(c("edge").isNotNull())
-    rad = rays.groupBy(*keys, item).agg(F.sort_array(F.collect_list("edge")).alias("e")).where(F.size("e") >= RAYS / 4)
-    rad = cut(rad.select(*keys, item, F.element_at("e", F.floor(F.size("e") / 2).cast("int") + 1).alias("radius")))
+    rad = rays.groupBy(*spot).agg(F.sort_array(F.collect_list("edge")).alias("e")).where(F.size("e") >= RAYS / 4)
+    rad = cut(rad.select(*spot, F.element_at("e", F.floor(F.size("e") / 2).cast("int") + 1).alias("radius")))
 
     def ring(f0: int, f1: int, name: str) -> DataFrame:
-        e = p.join(rad, [*keys, item]).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(2 * RAYS - 1)))).withColumn("f", F.explode(F.sequence(F.lit(f0), F.lit(f1), F.lit(5))))
+        e = rad.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(2 * RAYS - 1)))).withColumn("f", F.explode(F.sequence(F.lit(f0), F.lit(f1), F.lit(5))))
         ang2 = c("a") / (2 * RAYS) * TAU
-        q = e.select(*keys, item, F.floor(c("px") + c("f") / 100 * c("radius") * F.cos(ang2) + 0.5).alias("x"), F.floor(c("py") + c("f") / 100 * c("radius") * F.sin(ang2) + 0.5).alias("y"))
-        return q.join(px, [*keys, "y", "x"]).groupBy(*keys, item).agg(*[F.avg(n).alias(name + n) for n in "rgb"])
+        q = e.select(*spot, F.floor(c("px") + c("f") / 100 * c("radius") * F.cos(ang2) + 0.5).alias("x"), F.floor(c("py") + c("f") / 100 * c("radius") * F.sin(ang2) + 0.5).alias("y"))
+        return q.join(px, [*keys, "y", "x"]).groupBy(*spot).agg(*[F.avg(n).alias(name + n) for n in "rgb"])
 
     inner, outer = cut(ring(65, 85, "m")), cut(ring(130, 160, "o"))
-    j = p.join(rad, [*keys, item], "left").join(inner, [*keys, item], "left").join(outer, [*keys, item], "left")
-    whole = pixels.groupBy(*keys).agg(*[F.avg(n).alias("w" + n) for n in "rgb"])
-    j = j.join(whole, keys)
-    j = cut(j)
-    j = with_lab(with_lab(j, c("mr"), c("mg"), c("mb"), "mlab"), c("or"), c("og"), c("ob"), "olab")
-    j = j.withColumns({"dm": d3(c("mlab"), c("clab")), "do": d3(c("olab"), c("clab"))})
-    f = F.least(F.lit(1.0), F.lit(6.0) / c("do"))
-    pick = lambda n: F.when(c("radius").isNull(), c("w" + n)).when((c("dm") < 6) & (c("do") > 1e-6), c("c" + n) + (c("o" + n) - c("c" + n)) * f).otherwise(c("m" + n))
-    return j.select(*keys, item, *[F.round(pick(n), 6).alias("rim_" + n) for n in "rgb"], "radius")
+    whole = px.groupBy(*keys).agg(*[F.avg(n).alias("w" + n) for n in "rgb"])
+    j = p.join(rad, spot, "left").join(inner, spot, "left").join(outer, spot, "left").join(whole, keys)
+    return cut(j.select(*spot, "radius", *[g + n for g in "wcmo" for n in "rgb"], "clab"))
 
 
 # ---------------------------------------------------------------- seed measurement
