@@ -4,7 +4,7 @@ import math
 
 from petrigrid.operators import detector as D
 
-K = ["k"]
+K = ["image_id"]
 
 
 def scene(spark):
@@ -17,9 +17,9 @@ def scene(spark):
             for x in range(44):
                 t = max(1 / (1 + math.exp((math.hypot(x - cx, y - cy) - r) * 2)) for cx, cy, r in ((15, 14, 6), (30, 22, 5)))
                 rows.append((k, y, x, int(60 + 150 * t), int(80 + 60 * t), int(90 + x % 7)))
-    px = spark.createDataFrame(rows, "k int, y bigint, x bigint, r int, g int, b int")
+    px = spark.createDataFrame(rows, "image_id int, y bigint, x bigint, r int, g int, b int")
     picks = [(k, i, x, y) for k in (1, 2, 4) for i, (x, y) in enumerate([(15, 14), (30, 21), (15, 14), (2, 2), (16, 23), (80, 5)])]
-    return px, spark.createDataFrame(picks, "k int, id bigint, px bigint, py bigint")
+    return px, spark.createDataFrame(picks, "image_id int, id bigint, px bigint, py bigint")
 
 
 def test_rims_fold_per_image(spark, monkeypatch):
