@@ -23,6 +23,7 @@ from petrigrid.plans.quantiles import exact_median, exact_quantiles
 from petrigrid.session import cut
 
 from . import background as B
+from . import blobs as BL
 from . import components as CC
 from . import matching as M
 from . import measure as ME
@@ -35,7 +36,7 @@ from . import tiles as TL
 c = F.col
 RAYS, STEP = 32, 0.5
 TAU = 2 * math.pi
-RIM_PIXELS = 1 << 20  # pixels of an image that one task holds
+BLOB_PIXELS = RIM_PIXELS = 1 << 20  # pixels of an image that one task holds
 
 
 # ---------------------------------------------------------------- blobs
@@ -45,9 +46,25 @@ def log_blobs(plane: DataFrame, keys: list[str], radii: list[float], min_respons
     """Multi-scale blobs and all responses (PIX17).
 
     One response plane per radius; a maximum must also beat the neighbouring scales at
-    its pixel; overlapping circles are suppressed, strongest first.
+    its pixel; overlapping circles are suppressed, strongest first. Images of up to
+    ``BLOB_PIXELS`` settle in one task each; responses are made where they are read.
     """
     plane = cut(plane.select(*keys, "y", "x", "v"))
+    fits = cut(BL.foldable(plane, keys, BLOB_PIXELS))
+    own = plane.join(fits.where("_fold").select(*keys), keys, "left_semi")
+    peaks, resp = BL.peaks(own, keys, radii, min_response), BL.responses(own, keys, radii)
+    if fits.where("not _fold").limit(1).count():
+        more, all_ = _window_blobs(plane.join(fits.where("not _fold").select(*keys), keys, "left_semi"), keys, radii, min_response)
+        peaks, resp = peaks.unionByName(more), resp.unionByName(all_)
+    if within is not None:
+        peaks = peaks.join(within.select(*keys, "y", "x"), [*keys, "y", "x"], "left_semi")
+    b = peaks.select(*keys, (c("x") + 0.5).alias("x"), (c("y") + 0.5).alias("y"), "r", c("v").alias("response"), ((c("y") * (1 << 24) + c("x")) * 16 + c("scale")).alias("blob_id"))
+    kept = M.greedy_keep(cut(b), keys, "blob_id", [-c("response")], overlap)
+    return kept.where("kept").drop("kept"), resp
+
+
+def _window_blobs(plane: DataFrame, keys: list[str], radii: list[float], min_response: float) -> tuple[DataFrame, DataFrame]:
+    """What ``blobs.peaks`` and ``blobs.responses`` give, in window passes by line: no task holds an image."""
     resp = peaks = None
     for k, r in enumerate(radii):
         sigma = r / math.sqrt(2)
@@ -55,14 +72,9 @@ def log_blobs(plane: DataFrame, keys: list[str], radii: list[float], min_respons
         top = P.local_maxima(one, keys, max(1, math.floor(sigma * 0.7 + 0.5)), F.lit(min_response)).withColumn("r", F.lit(float(r)))
         resp = one if resp is None else resp.unionByName(one)
         peaks = top if peaks is None else peaks.unionByName(top)
-    if within is not None:
-        peaks = peaks.join(within.select(*keys, "y", "x"), [*keys, "y", "x"], "left_semi")
     near = resp.select(*keys, "y", "x", c("v").alias("nv"), F.explode(F.array(c("scale") - 1, c("scale") + 1)).alias("scale"))
     better = peaks.join(near, [*keys, "y", "x", "scale"]).where(c("nv") > c("v")).select(*keys, "y", "x", "scale").distinct()
-    b = peaks.join(better, [*keys, "y", "x", "scale"], "left_anti")
-    b = b.select(*keys, (c("x") + 0.5).alias("x"), (c("y") + 0.5).alias("y"), "r", c("v").alias("response"), ((c("y") * (1 << 24) + c("x")) * 16 + c("scale")).alias("blob_id"))
-    kept = M.greedy_keep(b, keys, "blob_id", [-c("response")], overlap)
-    return kept.where("kept").drop("kept"), resp
+    return peaks.join(better, [*keys, "y", "x", "scale"], "left_anti"), resp
 
 
 def hough_circles(plane: DataFrame, keys: list[str], r_min: int, r_max: int, edge_quantile: float = 0.9) -> DataFrame:
