@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from petrigrid.session import cut
 
-from .components import STRIDE, component_roots
+from . import floods
+from .components import FOLD, STRIDE, component_roots
 
 c = F.col
 
@@ -24,9 +25,19 @@ def regions(pixels: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, y, x, label`` from ``pixels(keys, y, x, cost, marker)``.
 
     Only the pixels given may be flooded; ``marker`` is the label (above 0) of a seed pixel, else 0. Pixels that no
-    marker reaches over their four neighbours have the label 0.
+    marker reaches over their four neighbours have the label 0. Images of up to ``FOLD`` pixels settle in one task each.
     """
     px = cut(pixels.select(*keys, (c("y").cast("long") * STRIDE + c("x")).alias("id"), c("cost").cast("double").alias("cost"), F.coalesce(c("marker"), F.lit(0)).cast("long").alias("marker")))
+    n = cut(px.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
+    out = floods.folded(px.join(n.where(c("_n") <= FOLD).select(*keys), keys, "left_semi"), keys)
+    big = n.where(c("_n") > FOLD).select(*keys)
+    if big.limit(1).count():
+        out = out.unionByName(_grown(px.join(big, keys, "left_semi"), keys))
+    return out.select(*keys, F.floor(c("id") / STRIDE).alias("y"), (c("id") % STRIDE).alias("x"), "label")
+
+
+def _grown(px: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, id, label`` in Boruvka rounds: no task holds an image."""
     # a part is named by a pixel, or below 0 by its marker: the least name of what joins is the marker's
     part = F.when(c("marker") > 0, -c("marker")).otherwise(c("id") + 1)
     node = px.select(*keys, "id", part.alias("part"), F.struct("cost", "id").alias("at"))
@@ -46,7 +57,7 @@ def regions(pixels: DataFrame, keys: list[str]) -> DataFrame:
         into = cut(component_roots(ends, joins, keys).where("node <> root"))
         state = cut(_renamed(state, into, keys, "part"))
         edges = _least(_renamed(_renamed(edges, into, keys, "a"), into, keys, "b").where("a <> b and (a > 0 or b > 0)"), keys)
-    return state.select(*keys, F.floor(c("id") / STRIDE).alias("y"), (c("id") % STRIDE).alias("x"), F.when(c("part") < 0, -c("part")).otherwise(F.lit(0)).alias("label"))
+    return state.select(*keys, "id", F.when(c("part") < 0, -c("part")).otherwise(F.lit(0)).cast("long").alias("label"))
 
 
 def _renamed(df: DataFrame, into: DataFrame, keys: list[str], name: str) -> DataFrame:
