@@ -109,18 +109,65 @@ def _contracted(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return state.groupBy(*k, c("u").alias("node")).agg(F.min("v").alias("root"))
 
 
+def _labelled(px: DataFrame, keys: list[str], connectivity: int) -> DataFrame:
+    """``keys, y, x0, x1, label`` of images that fit a task: runs, their links and their order in one fold."""
+    names = ["y", "x0", "x1", "label"]
+    schema = T.StructType([*[px.schema[k] for k in keys], *[T.StructField(n, T.LongType()) for n in names]])
+    arrow, slack = to_arrow_schema(schema), 1 if connectivity == 8 else 0
+
+    def settle(key: tuple, t: pa.Table) -> pa.Table:
+        at = np.unique(t.column("y").to_numpy() * STRIDE + t.column("x").to_numpy())  # raster order; lines are far apart
+        first = np.flatnonzero(np.append(True, np.diff(at) != 1))
+        lo, hi = at[first], at[np.append(first[1:], len(at)) - 1]
+        # runs of the next line that reach from the first to the last pixel of a run
+        a0 = np.searchsorted(hi, lo + STRIDE - slack)
+        n = np.maximum(np.searchsorted(lo, hi + STRIDE + slack, "right") - a0, 0)
+        a = np.repeat(np.arange(len(lo)), n)
+        b = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a0, n)
+        root = np.arange(len(lo))
+        while True:
+            low = np.minimum(root[a], root[b])
+            new = root.copy()
+            for x in (a, b, root[a], root[b]):
+                np.minimum.at(new, x, low)
+            new = new[new]
+            if (new == root).all():
+                break
+            root = new
+        label = np.unique(root, return_inverse=True)[1] + 1
+        cols = [pa.repeat(k, len(lo)) for k in key] + [pa.array(x) for x in (lo // STRIDE, lo % STRIDE, hi % STRIDE, label)]
+        return pa.Table.from_arrays([x.cast(f.type) for x, f in zip(cols, arrow, strict=True)], schema=arrow)
+
+    return px.groupBy(*keys).applyInArrow(settle, schema)
+
+
 def label_components(mask: DataFrame, keys: list[str], connectivity: int = 8) -> tuple[DataFrame, DataFrame]:
-    """Labels per run and statistics per component, numbered in raster order of first pixels (PIX10)."""
-    r = cut(runs(mask, keys))
-    roots = component_roots(r, touching(r, keys, connectivity), keys)
-    j = r.join(roots, [*keys, "node"])
+    """Labels per run and statistics per component, numbered in raster order of first pixels (PIX10).
+
+    Images of up to ``FOLD`` mask pixels settle in one task each.
+    """
+    px = cut(mask.select(*keys, c("y").cast("long").alias("y"), c("x").cast("long").alias("x")))
+    n = cut(px.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
+    j = _labelled(px.join(n.where(c("_n") <= FOLD).select(*keys), keys, "left_semi"), keys, connectivity)
+    big = n.where(c("_n") > FOLD).select(*keys)
+    if big.limit(1).count():
+        j = j.unionByName(_joined_labels(px.join(big, keys, "left_semi"), keys, connectivity))
+    j = cut(j)
     n = c("x1") - c("x0") + 1
-    stats = j.groupBy(*keys, "root").agg(
+    stats = j.groupBy(*keys, "label").agg(
         F.sum(n).alias("area"), F.min("x0").alias("min_x"), F.min("y").alias("min_y"), F.max("x1").alias("max_x"), F.max("y").alias("max_y"),
         (F.sum(n * (c("x0") + c("x1") + 1) / 2) / F.sum(n)).alias("cx"), (F.sum(n * (c("y") + 0.5)) / F.sum(n)).alias("cy"),
     )
-    stats = cut(ordered_rank(stats, keys, "root", "label", chunk=F.floor(c("root") / (STRIDE * 64))))
-    return j.join(stats.select(*keys, "root", "label"), [*keys, "root"]).select(*keys, "y", "x0", "x1", "label"), stats.drop("root")
+    return j, cut(stats.select(*keys, "area", "min_x", "min_y", "max_x", "max_y", "cx", "cy", "label"))
+
+
+def _joined_labels(px: DataFrame, keys: list[str], connectivity: int) -> DataFrame:
+    """What ``_labelled`` gives, by joins of runs: no task holds an image."""
+    r = cut(runs(px, keys))
+    roots = component_roots(r, touching(r, keys, connectivity), keys)
+    j = r.join(roots, [*keys, "node"])
+    found = ordered_rank(j.select(*keys, "root").distinct(), keys, "root", "label", chunk=F.floor(c("root") / (STRIDE * 64)))
+    return j.join(found.select(*keys, "root", "label"), [*keys, "root"]).select(*keys, "y", "x0", "x1", c("label").cast("long").alias("label"))
 
 
 def to_pixels(run_rows: DataFrame, keys: list[str], *extra: str) -> DataFrame:
