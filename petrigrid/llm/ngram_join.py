@@ -5,13 +5,13 @@ Documents become sets of word 5-grams; documents with equal sets are one class.
 A run sends every class down a random tree: in each node it keeps its tokens with a small chance that
 depends on the node and the token, and each kept token leads to a child. Pairs above the threshold keep
 a common token in the mean, so they meet again and again while unrelated sets part. Buckets that are small
-enough, or at the last depth, are compared all against all by their sketches; a larger bucket's representative
-takes what lies close to it out of the way. Runs repeat until a pair at the threshold is missed with less than
+enough, or at the last depth, are compared all against all by their sketches, and small sets, whose sketches say
+little, by their grams; a larger bucket's representative takes what lies close to it out of the way. Runs repeat until a pair at the threshold is missed with less than
 the allowed odds (``runs_for``).
 
 The pairs found join classes into candidate components. Inside those, and only there, the texts are read
-again and every pair is compared exactly, in blocks of bounded size; what leaves a block is a count of links
-and a parent per class, never the pairs.
+again and every pair whose sizes allow a link is compared exactly, in blocks of bounded size; what leaves a block
+is a count of links and a parent per class, never the pairs.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ BUCKET = 256
 BLOCK = 256
 #: Standard errors by which a sketch may understate a similarity.
 ERRORS = 5.0
+#: Sets of up to so many grams carry 32 bits of each, which tell a pair's similarity but for the odds that two grams share them.
+SMALL = 128
 #: Share of a bucket near its representative from which all of it is one candidate group.
 DENSE = 0.8
 
@@ -82,14 +84,14 @@ def sketches(grams: np.ndarray, bounds: np.ndarray, tokens: int = TOKENS) -> np.
         least[cell[edge]] = grams[edge]
     least = least.reshape(n, tokens)
     full = least != _SMALL
-    todo = ~full & full.any(1)[:, None]
+    row, col = np.nonzero(~full & full.any(1)[:, None])
     turn = 0
-    while todo.any():
+    while len(row):  # only bins that are still empty are looked at: a set of one gram takes hundreds of turns
         turn += 1
-        source = (C.mixed(np.arange(tokens, dtype=np.uint64) + np.uint64(turn * 1_000_003)) % np.uint64(tokens)).astype(np.int64)
-        take = todo & full[:, source]
-        least = np.where(take, least[:, source], least)
-        todo &= ~take
+        source = (C.mixed(np.arange(tokens, dtype=np.uint64) + np.uint64(turn * 1_000_003)) % np.uint64(tokens)).astype(np.int64)[col]
+        hit = full[row, source]
+        least[row[hit], col[hit]] = least[row[hit], source[hit]]
+        row, col = row[~hit], col[~hit]
     return (C.mixed(least + np.arange(tokens, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
 
@@ -106,6 +108,41 @@ def _kept(path: np.ndarray, sketch: np.ndarray, rate: float) -> tuple[np.ndarray
     return row, child[row, col]
 
 
+def own_grams(g: np.ndarray, bounds: np.ndarray, small: int = SMALL) -> list[bytes | None]:
+    """32 bits of each gram of a set of at most ``small``, ascending; null for larger sets and where two of them agree."""
+    out: list[bytes | None] = [None] * (len(bounds) - 1)
+    n = np.diff(bounds)
+    for i in np.flatnonzero((n > 0) & (n <= small)):
+        own = np.unique((C.mixed(g[bounds[i] : bounds[i + 1]]) >> np.uint64(32)).astype(np.uint32))
+        if len(own) == n[i]:
+            out[i] = own.tobytes()
+    return out
+
+
+def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a column of ``own_grams`` and their bounds; null is empty."""
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    col = col.fill_null(b"").cast(pa.large_binary())
+    offsets = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
+    data = np.frombuffer(col.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return data.view(np.uint32), (offsets - offsets[0]) // 4
+
+
+def _shared(left: tuple[np.ndarray, np.ndarray], a: np.ndarray, right: tuple[np.ndarray, np.ndarray], b: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the left sets a with the right sets b (of ``_flat``, none empty)."""
+    values, bounds = left
+    there, ends = right
+    own = (np.repeat(np.arange(len(ends) - 1), np.diff(ends)).astype(np.uint64) << np.uint64(32)) | there
+    out = np.zeros(len(a), np.int64)
+    for lo in range(0, len(a), 4_000):
+        i, j = a[lo : lo + 4_000], b[lo : lo + 4_000]
+        n = bounds[i + 1] - bounds[i]
+        want = (np.repeat(j, n).astype(np.uint64) << np.uint64(32)) | values[C.spread(bounds[i], n)]
+        at = np.minimum(np.searchsorted(own, want), len(own) - 1)
+        out[lo : lo + 4_000] = np.add.reduceat((own[at] == want).astype(np.int64), np.cumsum(n) - n)
+    return out
+
+
 def _error(n: np.ndarray, similarity: float) -> np.ndarray:
     """Standard error of a sketch similarity of sets of n grams: as many draws as bins that are filled."""
     filled = np.maximum(TOKENS * (1 - np.exp(-n / TOKENS)), 1)
@@ -118,9 +155,9 @@ def _matrix(col: pa.Array, kind: type = np.uint16, tokens: int = TOKENS) -> np.n
 
 
 def described(docs: DataFrame, doc_id: str, text: str, k: int, tag: str | None = None) -> DataFrame:
-    """``doc_id, tag, s1, s2, n, sketch, brief`` per row: two values that name the set, its size, its tokens in full and cut (null for an empty set)."""
+    """``doc_id, tag, s1, s2, n, sketch, brief, own`` per row: two values that name the set, its size, its tokens in full and cut (null for an empty set), its grams if they are few."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), (F.lit(0) if tag is None else F.col(tag)).cast("long").alias("tag"))
-    schema = T.StructType([rows.schema["doc_id"], T.StructField("tag", T.LongType()), *(T.StructField(c, T.LongType()) for c in ("s1", "s2", "n")), T.StructField("sketch", T.BinaryType()), T.StructField("brief", T.BinaryType())])
+    schema = T.StructType([rows.schema["doc_id"], T.StructField("tag", T.LongType()), *(T.StructField(c, T.LongType()) for c in ("s1", "s2", "n")), *(T.StructField(c, T.BinaryType()) for c in ("sketch", "brief", "own"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -129,7 +166,7 @@ def described(docs: DataFrame, doc_id: str, text: str, k: int, tag: str | None =
                 n = np.diff(bounds)
                 s = _sums(g, bounds)
                 sk = sketches(g, bounds)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), *map(pa.array, s), pa.array(n), *(pa.array([x.tobytes() if c else None for x, c in zip(m, n, strict=True)], pa.binary()) for m in (sk, brief(sk)))], schema.names)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), *map(pa.array, s), pa.array(n), *(pa.array([x.tobytes() if c else None for x, c in zip(m, n, strict=True)], pa.binary()) for m in (sk, brief(sk))), pa.array(own_grams(g, bounds), pa.binary())], schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -161,13 +198,14 @@ def _deeper(df: DataFrame, rate: float) -> DataFrame:
 
 
 def _similar(df: DataFrame, threshold: float) -> DataFrame:
-    """Links ``a, b`` that join each bucket's similar classes, from ``key, id, n, brief`` sorted by key."""
+    """Links ``a, b`` that join each bucket's similar classes, from ``key, id, n, brief, own`` sorted by key."""
     at = df.columns.index
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in C.groups(batches, "key"):
             key, ids, n = (t.column(at(c)).to_numpy() for c in ("key", "id", "n"))
-            sk = _matrix(t.column(at("brief")))
+            sk, own = _matrix(t.column(at("brief"))), _flat(t.column(at("own")))
+            few = np.diff(own[1]) > 0
             a, b = [], []
             for d in range(1, len(key)):
                 i = np.flatnonzero(key[d:] == key[:-d])
@@ -181,6 +219,11 @@ def _similar(df: DataFrame, threshold: float) -> DataFrame:
                 a.append(i)
                 b.append(i + d)
             a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+            known = few[a] & few[b]
+            x, y = a[known], b[known]
+            both = _shared(own, x, own, y)
+            ok = both >= threshold * (n[x] + n[y] - both) - 1e-9
+            a, b = np.concatenate([a[~known], x[ok]]), np.concatenate([b[~known], y[ok]])
             root = C.roots(len(key), a, b)
             low = np.flatnonzero(root != np.arange(len(key)))
             if len(low):
@@ -198,8 +241,32 @@ def blocked(df: DataFrame, group: str, size: str, block: int) -> DataFrame:
     return out.withColumn("low", low).withColumn("high", high).withColumn("key", F.xxhash64(group, "low", "high")).drop("__o")
 
 
+def banded(df: DataFrame, threshold: float, block: int) -> DataFrame:
+    """``df`` (``id, root, size, n, ...``) with each row's block ``side`` and the blocks that it ``meets``, of its group ``root``.
+
+    A group of more than ``block`` rows is parted by the logarithm of n, so that sizes a link allows lie in one band or
+    in neighbouring ones; bands are cut into blocks of about ``block`` rows. A block meets those of its band and of the next ones.
+    """
+    step = -math.log(min(threshold, 0.9))
+    df = df.withColumn("band", F.when(F.col("size") > block, F.floor(F.log("n") / step)).otherwise(0).cast("int"))
+    bands = C.stored(df.groupBy("root", "band").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "bands")
+    to = bands.select("root", F.explode(F.array(*(F.col("band") + x for x in (-1, 0, 1)))).alias("band"), F.col("band").alias("__b"), F.col("blocks").alias("__n"))
+    to = to.groupBy("root", "band").agg(F.collect_list(F.struct("__b", "__n")).alias("__to")).join(bands, ["root", "band"])
+    number = lambda band, piece: F.shiftleft(band, 20) + piece
+    meets = F.flatten(F.transform("__to", lambda t: F.transform(F.sequence(F.lit(0), t["__n"] - 1), lambda piece: number(t["__b"], piece))))
+    out = df.join(to, ["root", "band"]).withColumn("side", number(F.col("band"), F.pmod(F.xxhash64("id", F.lit(17)), F.col("blocks")).cast("int")))
+    return out.withColumn("meets", meets).drop("band", "blocks", "__to")
+
+
+def meeting(df: DataFrame) -> DataFrame:
+    """Rows of ``banded`` dealt to pairs of blocks that meet, each pair under one ``key``; ``low`` is the smaller of the two."""
+    out = df.withColumn("__o", F.explode("meets"))
+    low, high = F.least("side", "__o"), F.greatest("side", "__o")
+    return out.withColumn("low", low).withColumn("high", high).withColumn("key", F.xxhash64("root", "low", "high")).drop("__o")
+
+
 def _beside(df: DataFrame, threshold: float) -> DataFrame:
-    """``path, id, rep, near, core`` from ``path, id, n, brief, rep, rn, rs``.
+    """``path, id, rep, near, core`` from ``path, id, n, brief, own, rep, rn, rs, ro``.
 
     ``core`` is so close to the bucket's representative that whatever is linked with it is ``near``: distances of
     at most 1 - threshold on either side add up.
@@ -210,24 +277,32 @@ def _beside(df: DataFrame, threshold: float) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            n = np.minimum(b.column(at("n")).to_numpy(), b.column(at("rn")).to_numpy())
+            each, of = b.column(at("n")).to_numpy(), b.column(at("rn")).to_numpy()
+            n = np.minimum(each, of)
             alike = (_matrix(b.column(at("brief"))) == _matrix(b.column(at("rs")))).mean(1)
             far = max(0.0, 2 * threshold - 1)
             near = alike >= far - ERRORS * _error(n, far)
             core = alike >= threshold + 3 * _error(n, threshold)
+            own, reps = _flat(b.column(at("own"))), _flat(b.column(at("ro")))
+            k = np.flatnonzero((np.diff(own[1]) > 0) & (np.diff(reps[1]) > 0))
+            both = _shared(own, k, reps, k)
+            near[k], core[k] = (both >= s * (each[k] + of[k] - both) - 1e-9 for s in (far, threshold))
+            most = np.maximum(each, of)
+            near &= n >= far * most
+            core &= n >= threshold * most
             yield pa.RecordBatch.from_arrays([*(b.column(at(c)) for c in ("path", "id", "rep")), pa.array(near), pa.array(core)], ["path", "id", "rep", "near", "core"])
 
     return df.mapInArrow(run, "path long, id long, rep long, near boolean, core boolean")
 
 
 def candidates(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Links ``a, b`` between classes (``id, n, sketch, brief``) that chosen paths bring together.
+    """Links ``a, b`` between classes (``id, n, sketch, brief, own``) that chosen paths bring together.
 
     Large buckets part again, but first their representative collects what is near it; classes at its core need
     no further look, and a bucket that is nearly all near it is one group.
     """
     rate = SHARED / (threshold * TOKENS)
-    active = classes.select("id", "n", "brief")
+    active = classes.select("id", "n", "brief", "own")
     level, found, links = _roots(classes, rate, runs_for(threshold)), None, None
     for depth in range(1, DEPTH + 1):
         level = C.stored(level, "paths")
@@ -243,15 +318,15 @@ def candidates(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         inside = C.stored(level.join(large, "path").select("path", "id", "rep"), "large")
         # only what is in a large bucket is looked at again
         active = C.stored(active.join(inside.select("id").distinct(), "id", "left_semi"), "active")
-        reps = active.join(large.select("rep").distinct().withColumnRenamed("rep", "id"), "id", "left_semi").select(F.col("id").alias("rep"), F.col("n").alias("rn"), F.col("brief").alias("rs"))
-        beside = inside.join(active, "id").join(reps, "rep").select("path", "id", "n", "brief", "rep", "rn", "rs")
+        reps = active.join(large.select("rep").distinct().withColumnRenamed("rep", "id"), "id", "left_semi").select(F.col("id").alias("rep"), F.col("n").alias("rn"), F.col("brief").alias("rs"), F.col("own").alias("ro"))
+        beside = inside.join(active, "id").join(reps, "rep").select("path", "id", "n", "brief", "own", "rep", "rn", "rs", "ro")
         beside = C.stored(_beside(beside, threshold), "beside")
         dense = beside.groupBy("path").agg((F.avg(F.col("near").cast("int")) >= DENSE).alias("dense"))
         beside = beside.join(dense, "path")
         near = beside.where("(near or dense) and id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
         links = near if links is None else links.unionByName(near)
         level = _deeper(beside.where("not dense and not core").join(active, "id").select("path", "id", "brief"), rate)
-    dealt = blocked(found, "path", "size", BUCKET).join(classes.select("id", "n", "brief"), "id").select("key", "id", "n", "brief")
+    dealt = blocked(found, "path", "size", BUCKET).join(classes.select("id", "n", "brief", "own"), "id").select("key", "id", "n", "brief", "own")
     small = _similar(dealt.repartition("key").sortWithinPartitions("key", "id"), threshold)
     return (small if links is None else small.unionByName(links)).distinct()
 
@@ -263,8 +338,10 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
         out = np.zeros((2, 2), np.int64)
         out[0, 1] = out[1, 0] = len(np.intersect1d(*sets, assume_unique=True))
         return out
-    values, at = np.unique(np.concatenate(sets), return_inverse=True)
+    values, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     of = np.repeat(np.arange(m), [len(s) for s in sets])
+    again = times > 1  # what only one set holds is in no intersection
+    of, at, values = of[again[at]], (np.cumsum(again) - 1)[at[again[at]]], values[again]
     order = np.argsort(at, kind="stable")
     at, of = at[order], of[order]
     out = np.zeros((m, m))
@@ -325,11 +402,11 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, k: int = GRAM, doc_id: s
     sigs = filled.groupBy(*name).agg(F.min("doc_id").cast("long").alias("doc"), F.count("*").alias("mult"))
     sigs = C.stored(sigs.withColumn("id", F.monotonically_increasing_id()), "classes")  # numbered once, when written
     first = filled.withColumnRenamed("doc_id", "doc").join(sigs, [*name, "doc"]).dropDuplicates(name)
-    classes = C.stored(first.select("id", "doc", *name, "mult", "sketch", "brief"), "sketches")
+    classes = C.stored(first.select("id", "doc", *name, "mult", "sketch", "brief", "own"), "sketches")
     member = C.stored(_members(classes, threshold), "components")
     sized = member.join(member.groupBy("root").agg(F.count("*").alias("size")), "root").join(classes.select("id", "doc", *name, "mult"), "id")
-    part = _grams(_texts(docs, rows, doc_id, text).join(sized, "doc"), k)
-    dealt = blocked(part, "root", "size", BLOCK).select("key", "id", "mult", "side", "low", "high", "grams")
+    part = _grams(_texts(docs, rows, doc_id, text).join(banded(sized, threshold, BLOCK), "doc"), k)
+    dealt = meeting(part).select("key", "id", "mult", "side", "low", "high", "grams")
     links = C.stored(_exact(dealt.repartition("key").sortWithinPartitions("key", "id"), threshold), "links")
     linked = links.groupBy("id").agg(F.sum("links").alias("links"))
     trees = C.components(links, "id", "parent")
@@ -371,7 +448,7 @@ def _sums(g: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
 
 
 def _grams(df: DataFrame, k: int) -> DataFrame:
-    """``id, root, size, mult, grams`` from rows of the class's id with their texts; only texts with the class's grams stay."""
+    """``id, root, side, meets, mult, grams`` from rows of the class's id with their texts; only texts with the class's grams stay."""
     at = df.columns.index
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,9 +456,9 @@ def _grams(df: DataFrame, k: int) -> DataFrame:
             for i, j, data, offsets in C.slices(b.column(at("text"))):
                 g, bounds = gram_sets(data, offsets, k)
                 grams = pa.array([g[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
-                own = [b.column(at(c)).slice(i, j - i) for c in ("id", "root", "size", "mult")]
+                own = [b.column(at(c)).slice(i, j - i) for c in ("id", "root", "side", "meets", "mult")]
                 want = [b.column(at(c)).slice(i, j - i).to_numpy() for c in ("s1", "s2", "n")]
                 same = np.logical_and.reduce([x == y for x, y in zip([*_sums(g, bounds), np.diff(bounds)], want, strict=True)])
-                yield pa.RecordBatch.from_arrays([*own, grams], ["id", "root", "size", "mult", "grams"]).filter(pa.array(same))
+                yield pa.RecordBatch.from_arrays([*own, grams], ["id", "root", "side", "meets", "mult", "grams"]).filter(pa.array(same))
 
-    return df.mapInArrow(run, "id long, root long, size long, mult long, grams binary")
+    return df.mapInArrow(run, "id long, root long, side int, meets array<int>, mult long, grams binary")

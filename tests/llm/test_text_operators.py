@@ -69,6 +69,48 @@ def test_join_of_a_large_group_parts_and_blocks(spark, monkeypatch):
     assert got == brute_join(rows)
 
 
+def notices(n=240, seed=11):
+    """Short texts that share a notice and few other words, of many lengths, with some near copies among them."""
+    rng = random.Random(seed)
+    notice = words(rng, 9)
+    rows = [(i, f"{notice} {words(rng, rng.randrange(4, 40), 10**6)}", "a") for i in range(n)]
+    for i in range(n, n + n // 8):
+        text = rng.choice(rows)[1].split()
+        rows.append((i, " ".join([*text[:-1], f"c{i}"]), "a"))
+    return rows
+
+
+def test_short_texts_with_one_notice_are_no_candidates(spark, monkeypatch):
+    """Sketches of small sets say little: most texts were one component, compared all against all."""
+    rows = notices()
+    monkeypatch.setattr(ngram_join, "BUCKET", 40)
+    found = []
+    monkeypatch.setattr(ngram_join, "_members", lambda *a, members=ngram_join._members: found.append(members(*a)) or found[0])
+    got = Counter(tuple(r) for r in ngram_join.join(documents(spark, rows, clash=False)).collect())
+    want = brute_join(rows)
+    assert got == want
+    linked = max(Counter(c for _, c, n, _, _ in want if n).values())
+    assert max(r["count"] for r in found[0].groupBy("root").count().collect()) <= 2 * linked
+
+
+def test_blocks_of_a_component_meet_where_sizes_allow_a_link(spark):
+    rng = random.Random(4)
+    rows = [(i, 7 if i < 300 else 8, rng.randrange(1, 2000)) for i in range(300)] + [(i, 8, 50) for i in range(300, 320)]
+    sized = spark.createDataFrame([(i, root, n, 300 if root == 7 else 20) for i, root, n in rows], "id long, root long, n long, size long")
+    dealt = ngram_join.meeting(ngram_join.banded(sized, 0.8, 25)).collect()
+    by = defaultdict(list)
+    for r in dealt:
+        by[r["key"]].append(r)
+    met = Counter()
+    for at in by.values():
+        assert len({r["root"] for r in at}) == 1
+        met.update((a["id"], b["id"]) for a in at for b in at if a["id"] < b["id"] and (a["low"] == a["high"] or a["side"] != b["side"]))
+    assert max(met.values()) == 1
+    for x, (i, root, n) in enumerate(rows):
+        assert all((i, j) in met for j, other, m in rows[x + 1 :] if root == other and 5 * min(n, m) >= 4 * max(n, m))
+    assert len(met) < 0.5 * 300 * 299 / 2
+
+
 def test_runs_follow_the_allowed_odds():
     assert ngram_join.runs_for(miss=1e-9) > ngram_join.runs_for(miss=1e-3) >= 1
 
