@@ -194,11 +194,14 @@ def counts(chunks: DataFrame, n: int, sieve: Sieve | None = None) -> DataFrame:
 
 
 def looked_up(rows: DataFrame, part: Column, table: DataFrame, columns: dict[str, str], how: str = "inner") -> DataFrame:
-    """``rows`` with columns of ``table`` at (lang, ``part``), under new names."""
+    """``rows`` with columns of ``table`` at (lang, ``part``), under new names.
+
+    Neither side is broadcast: Spark sizes them by their compressed files and without the copies.
+    """
     right = table.select(F.col("lang").alias("__l"), F.col("phrase").alias("__p"), *(F.col(a).alias(b) for a, b in columns.items()), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__s"))
     left = rows.withColumns({"__part": part, "__salt": F.pmod(F.xxhash64("phrase"), F.lit(SALTS)).cast("int")})
     on = (F.col("lang") == F.col("__l")) & (F.col("__part") == F.col("__p")) & (F.col("__salt") == F.col("__s"))
-    return left.join(right, on, how).drop("__l", "__p", "__s", "__part", "__salt")
+    return left.join(right.hint("merge"), on, how).drop("__l", "__p", "__s", "__part", "__salt")
 
 
 def score(a: str, l: str, r: str) -> Column:  # noqa: E741
@@ -224,7 +227,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     pairs = looked_up(looked_up(pairs, side(1), often, {"f": "l"}), side(-1), often, {"f": "r"})
     pairs = C.stored(pairs, "scored")
     inside = triples.select("lang", "a", F.explode(F.array(side(2), side(-2))).alias("phrase")).groupBy("lang", "phrase").agg(F.max("a").alias("most"))
-    two = pairs.join(inside, ["lang", "phrase"], "left").where(F.col("most").isNull() | (100 * F.col("most") < covered * F.col("a"))).drop("most").withColumn("score", score("a", "l", "r"))
+    two = pairs.join(inside.hint("merge"), ["lang", "phrase"], "left").where(F.col("most").isNull() | (100 * F.col("most") < covered * F.col("a"))).drop("most").withColumn("score", score("a", "l", "r"))
     three = looked_up(looked_up(triples, side(2), pairs, {"a": "l2", "l": "l1"}), side(-2), pairs, {"a": "r1", "r": "r2"})
     three = three.withColumns({"s1": score("a", "l1", "r1"), "s2": score("a", "l2", "r2")})
     pick = lambda x, y: F.when(F.col("s1") <= F.col("s2"), F.col(x)).otherwise(F.col(y))

@@ -69,6 +69,21 @@ def test_every_run_is_in_one_chunk(period, monkeypatch):
     assert got == want
 
 
+def test_phrases_are_never_broadcast(spark):
+    """0.5 GB of documents made a broadcast of 1.4 GB: eight copies of a table of 8 MB in compressed files."""
+    df = spark.createDataFrame([(" ".join(["one two three"] * 40), "en")] * 3, "text string, lang string")
+    found = P.collocations(df)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and ("phrase" in line or "__p" in line)]
+    assert joins and not any("Broadcast" in line for line in joins)
+    rows = spark.createDataFrame([("en", "one two", 12)], "lang string, phrase string, a long")
+    table = spark.createDataFrame([("en", "one", 40)], "lang string, phrase string, f long")
+    got = P.looked_up(rows, F.substring_index("phrase", " ", 1), table, {"f": "l"})
+    assert [tuple(r) for r in got.collect()] == [("en", "one two", 12, 40)]
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def held(spark, rows, **kw):
     df = spark.createDataFrame(rows, "text string, lang string").repartition(4)
     for c in (*CLASH, "chunk", "freq", "phrase", "f", "a", "l", "r", "rank", "page"):
